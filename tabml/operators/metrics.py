@@ -123,11 +123,31 @@ def regression_metrics(df: DataFrame, y: str, pred: str, group: list[str] | None
     return agg.select(*g, "rmse", "mae", r2.alias("r2"), "residual_mean", "residual_std")
 
 
+def cell_counts(df: DataFrame, label: str, pred: str, max_classes: int = 10_000) -> dict:
+    """{(actual, predicted): n} in one partial aggregate; classes x classes entries reach the driver."""
+    rows = (df.groupBy(F.col(label).alias("a"), F.col(pred).alias("p")).count()
+            .limit(max_classes * max_classes + 1).collect())
+    return {(r["a"], r["p"]): r["count"] for r in rows}
+
+
+def prf_from_counts(counts: dict) -> dict:
+    """Accuracy and macro precision / recall / F1 from cell counts (same rules as ``macro_prf``)."""
+    labels = sorted({k for pair in counts for k in pair if k is not None})
+    n = sum(counts.values())
+    tp = {c: counts.get((c, c), 0) for c in labels}
+    n_act = {c: sum(v for (a, _), v in counts.items() if a == c) for c in labels}
+    n_pred = {c: sum(v for (_, p), v in counts.items() if p == c) for c in labels}
+    k = len(labels) or 1
+    return {"accuracy": (sum(tp.values()) / n) if n else 0.0,
+            "precision": sum(tp[c] / n_pred[c] if n_pred[c] else 0.0 for c in labels) / k,
+            "recall": sum(tp[c] / n_act[c] if n_act[c] else 0.0 for c in labels) / k,
+            "f1": sum(2 * tp[c] / (n_act[c] + n_pred[c]) if n_act[c] + n_pred[c] else 0.0 for c in labels) / k}
+
+
 def classification_metrics(df: DataFrame, label: str, pred: str, score: str | None = None) -> dict:
     """All metrics of a classification evaluation as a dict (roc_auc only for a binary target)."""
-    prf = macro_prf(df, label, pred).first()
-    acc = accuracy(df, label, pred).first()
-    out = {"f1": float(prf["f1"]), "accuracy": float(acc["accuracy"]),
+    prf = prf_from_counts(cell_counts(df, label, pred))
+    out = {"f1": float(prf["f1"]), "accuracy": float(prf["accuracy"]),
            "precision": float(prf["precision"]), "recall": float(prf["recall"])}
     if score is not None and is_binary(df, label):
         pos = df.select(F.max(label)).first()[0]

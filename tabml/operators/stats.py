@@ -95,7 +95,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     if not cols:
         return {}
     pre = wide_agg(df, [e for c in cols for e in (
-        F.count(c).alias(f"n__{c}"), F.approx_count_distinct(c, 0.02).alias(f"d__{c}"),
+        F.count(c).alias(f"n__{c}"), F.approx_count_distinct(c).alias(f"d__{c}"),
         F.min(c).alias(f"mn__{c}"), F.max(c).alias(f"mx__{c}"))])
     small = [c for c in cols if pre[f"d__{c}"] <= max_exact_distinct]
     big = [c for c in cols if c not in small]

@@ -333,8 +333,7 @@ def q_datetime_parts(spark, sf):
     + [f'{Q.dummy_expr("o_orderpriority", v)} AS "o_orderpriority_{v}"' for v in PRIORITIES]) + " FROM orders")
 def q_one_hot(spark, sf):
     o = V.table(spark, sf, "orders")
-    _, vocab = FE._vocabularies(o, ["o_orderstatus", "o_orderpriority", "o_custkey_text"]
-                                if False else ["o_orderstatus", "o_orderpriority"])
+    _, vocab = FE._vocabularies(o, ["o_orderstatus", "o_orderpriority"])
     plan = FE.FeaturePlan(target="none", categorical=vocab, source_order=list(vocab))
     plan.keep_cols = [n for n, _, _, _ in FE.candidate_columns(plan)]
     return o.select("o_orderkey", *FE.feature_columns(plan))
@@ -546,3 +545,47 @@ def q_cv_mean(spark, sf):
 def q_matrix_total(spark, sf):
     cells = M.confusion_cells(V.predictions(spark, sf), "label", "prediction")
     return M.matrix_total(cells)
+
+
+# ====================================================================== model operators (rows-only)
+
+def _flagship_folds(spark, sf):
+    from tabml.operators import search as SE  # noqa: F401
+    split, model, _ = flagship(spark, sf)
+    model.passthrough = ("o_orderkey", "is_test")
+    X = model.transform(split)
+    tr = SP.cv_folds(X.where(~F.col("is_test")), FLAG_SPEC)
+    return X, tr, model.plan.final_feature_names
+
+
+@query("cv_score")
+def q_cv_score(spark, sf):
+    """M5: 3-fold CV macro F1 of one forest setting on the flagship features."""
+    from tabml.operators import search as SE
+    _, tr, feats = _flagship_folds(spark, sf)
+    s = SE.cv_score(tr, FLAG_SPEC, feats, {"n_estimators": 50, "max_depth": 6, "min_samples_split": 4})
+    return spark.createDataFrame([(float(s),)], "cv_score double")
+
+
+@query("param_search")
+def q_param_search(spark, sf):
+    """M6 + W5 + A24: a seeded 5-trial search; one row per trial, best and convergence flags."""
+    from tabml.operators import search as SE
+    _, tr, feats = _flagship_folds(spark, sf)
+    res = SE.tune_hyperparameters(tr, FLAG_SPEC, feats, n_trials=5)
+    best = max(res.search_history, key=lambda t: (t.score, -t.trial_number)).trial_number
+    rows = [(t.trial_number, t.params["n_estimators"], t.params["max_depth"], t.params["min_samples_split"],
+             t.score, t.trial_number == best, res.converged) for t in res.search_history]
+    return spark.createDataFrame(rows, "trial_number int, n_estimators int, max_depth int, min_samples_split int, "
+                                       "score double, is_best boolean, converged boolean")
+
+
+@query("train_and_evaluate")
+def q_train_and_evaluate(spark, sf):
+    """M3 + M4 + M7: fit on train rows, predict test rows (label and P(class 1))."""
+    from tabml.operators import train as T
+    from tabml.reports import TuningResult
+    X, _, feats = _flagship_folds(spark, sf)
+    tu = TuningResult(best_params=dict(T.DEFAULT_PARAMS), best_cv_score=0.0, metric_optimized="f1_macro", converged=True)
+    _, report, preds = T.train_and_evaluate(X, FLAG_SPEC, tu, feats)
+    return preds.select("o_orderkey", "is_p", "pred", "score")
