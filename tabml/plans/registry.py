@@ -589,3 +589,333 @@ def q_train_and_evaluate(spark, sf):
     tu = TuningResult(best_params=dict(T.DEFAULT_PARAMS), best_cv_score=0.0, metric_optimized="f1_macro", converged=True)
     _, report, preds = T.train_and_evaluate(X, FLAG_SPEC, tu, feats)
     return preds.select("o_orderkey", "is_p", "pred", "score")
+
+
+# ====================================================================== run analytics
+
+from tabml.operators import runs as RU  # noqa: E402
+from tabml.operators import search as SE  # noqa: E402
+from tabml.sources import runviews as RV  # noqa: E402
+
+_H = ("h", RV.duck_form(RV.HISTORY_SQL))
+_TR = ("tr", RV.duck_form(RV.TRACE_SQL))
+_TL = ("tl", RV.duck_form(RV.TRIALS_SQL))
+_RN = ("rn", RV.duck_form(RV.RUNS_SQL))
+_LAST = "row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, seq DESC) = 1"
+_ETYPE = """CASE WHEN contains(lower(event), 'fail ->') THEN 'loop_back' WHEN contains(lower(event), 'escalat') THEN 'error'
+  WHEN contains(lower(event), 'proceed=false') OR contains(lower(event), 'concerns') THEN 'warning'
+  WHEN contains(lower(event), 'proceed=true') OR contains(lower(event), 'complete') OR contains(lower(event), 'passed')
+  THEN 'success' ELSE 'info' END"""
+
+
+@query("event_type", Q.compose(f"SELECT run_id, seq, {_ETYPE} AS type FROM h", ctes=[_H]))
+def q_event_type(spark, sf):
+    return RV.history(spark, sf).select("run_id", "seq", RU.event_type(F.col("event")).alias("type"))
+
+
+@query("latest_proceed", Q.compose(
+    """SELECT r.run_id, l.proceed FROM (SELECT DISTINCT run_id FROM h) r LEFT JOIN
+       (SELECT run_id, contains(event, 'proceed=True') AS proceed FROM h
+        WHERE stage = 'data_agent' AND (contains(event, 'proceed=True') OR contains(event, 'proceed=False'))
+        QUALIFY """ + _LAST + ") l USING (run_id)", ctes=[_H]))
+def q_latest_proceed(spark, sf):
+    return RU.latest_proceed(RV.history(spark, sf), "data_agent")
+
+
+@query("resume_point", Q.compose(
+    """SELECT s.run_id, CASE WHEN s.skipped THEN 'tuning' WHEN l.step = 'revisit_features' THEN 'feature'
+       WHEN l.step = 'expand_hyperparam_search' THEN 'tuning' END AS resume_from
+       FROM (SELECT run_id, bool_or(contains(event, 'skipping feature_agent')) AS skipped FROM h GROUP BY run_id) s
+       LEFT JOIN (SELECT run_id, regexp_extract(event, 'fail -> recommended_next_step=(\\w+)', 1) AS step FROM h
+                  WHERE regexp_extract(event, 'fail -> recommended_next_step=(\\w+)', 1) <> '' QUALIFY """ + _LAST
+    + ") l USING (run_id)", ctes=[_H]))
+def q_resume_point(spark, sf):
+    return RU.resume_point(RV.history(spark, sf))
+
+
+@query("escalation_reason", Q.compose(
+    """SELECT r.run_id, l.event AS reason FROM (SELECT DISTINCT run_id FROM h) r LEFT JOIN
+       (SELECT run_id, event FROM h WHERE contains(lower(event), 'escalat') QUALIFY """ + _LAST + ") l USING (run_id)",
+    ctes=[_H]))
+def q_escalation_reason(spark, sf):
+    return RU.escalation_reason(RV.history(spark, sf))
+
+
+_COST = ("c", """SELECT *, CAST(dcost AS DOUBLE) AS estimated_cost_usd FROM (SELECT tr.*,
+                 round(prompt_tokens * coalesce(p.pr, 0) + completion_tokens * coalesce(p.cr, 0), 6) AS dcost
+                 FROM tr LEFT JOIN (SELECT 'gpt-4o-mini' AS model, CAST(0.00000015 AS DECIMAL(18,12)) AS pr,
+                 CAST(0.0000006 AS DECIMAL(18,12)) AS cr) p USING (model)) x""")
+
+
+@query("price_lookup", Q.compose("SELECT run_id, seq, model, estimated_cost_usd FROM c", ctes=[_TR, _COST]))
+def q_price_lookup(spark, sf):
+    return RU.with_cost(RV.trace(spark, sf)).select("run_id", "seq", "model", "estimated_cost_usd")
+
+
+@query("trace_totals", Q.compose("SELECT run_id, CAST(round(sum(dcost), 6) AS DOUBLE) AS total_cost_usd, "
+                                 "CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM c GROUP BY run_id",
+                                 ctes=[_TR, _COST]))
+def q_trace_totals(spark, sf):
+    return RU.trace_totals(RV.trace(spark, sf))
+
+
+_CONV = ("cv", """SELECT a.run_id, a.n_trials, a.best_score,
+     coalesce(e.early_best >= a.best_score - 1e-9, false) AS converged
+   FROM (SELECT run_id, count(*) AS n_trials, max(score) AS best_score FROM tl GROUP BY run_id) a
+   LEFT JOIN (SELECT t.run_id, max(t.score) AS early_best FROM tl t JOIN
+              (SELECT run_id, count(*) AS n FROM tl GROUP BY run_id) c USING (run_id)
+              WHERE t.trial_number < c.n - greatest(1, c.n // 5) GROUP BY t.run_id) e USING (run_id)""")
+
+
+@query("convergence", Q.compose("SELECT run_id, n_trials, best_score, converged FROM cv", ctes=[_TL, _CONV]))
+def q_convergence(spark, sf):
+    return SE.convergence_table(RV.trials(spark, sf))
+
+
+@query("best_trial", Q.compose(
+    "SELECT run_id, trial_number AS best_trial, score AS best_score FROM tl "
+    "QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY score DESC, trial_number) = 1", ctes=[_TL]))
+def q_best_trial(spark, sf):
+    return SE.best_trial_table(RV.trials(spark, sf))
+
+
+_HIB = "(" + ", ".join(f"'{m}'" for m in ("accuracy", "f1", "precision", "recall", "roc_auc", "r2")) + ")"
+
+
+@query("verdict", Q.compose(
+    f"""SELECT run_id, success_metric, CASE WHEN success_metric IN {_HIB} THEN metric_value >= metric_threshold
+        ELSE metric_value <= metric_threshold END AS passed FROM rn""", ctes=[_RN]))
+def q_verdict(spark, sf):
+    r = RV.runs(spark, sf)
+    return r.select("run_id", "success_metric",
+                    RU.verdict(F.col("success_metric"), F.col("metric_value"), F.col("metric_threshold")).alias("passed"))
+
+
+@query("failure_step", Q.compose(
+    f"""SELECT rn.run_id, CASE
+          WHEN (CASE WHEN success_metric IN {_HIB} THEN metric_value >= metric_threshold ELSE metric_value <= metric_threshold END)
+          THEN NULL
+          WHEN coalesce(cv.converged, false) AND (CASE WHEN success_metric IN {_HIB} THEN metric_threshold - metric_value
+               ELSE metric_value - metric_threshold END) > 0.1 * abs(CASE WHEN metric_threshold = 0 THEN 1 ELSE metric_threshold END)
+          THEN 'revisit_features'
+          WHEN NOT coalesce(cv.converged, false) THEN 'expand_hyperparam_search' ELSE 'insufficient_data' END AS next_step
+        FROM rn LEFT JOIN cv USING (run_id)""", ctes=[_RN, _TL, _CONV]))
+def q_failure_step(spark, sf):
+    r = RV.runs(spark, sf).join(SE.convergence_table(RV.trials(spark, sf)).select("run_id", "converged"), "run_id", "left")
+    return r.select("run_id", RU.failure_step(F.col("success_metric"), F.col("metric_value"), F.col("metric_threshold"),
+                                              F.col("converged")).alias("next_step"))
+
+
+_RUNS_EXT = ("rx", f"""SELECT *, CASE WHEN (CASE WHEN success_metric IN {_HIB} THEN metric_value >= metric_threshold
+     ELSE metric_value <= metric_threshold END) THEN 'pass' ELSE 'fail' END AS pass_fail,
+     metric_value IS NOT NULL AS has_evaluation, max_tuning_trials IS NOT NULL AS has_tuning, true AS has_eda FROM rn""")
+
+
+def _runs_ext(spark, sf):
+    r = RV.runs(spark, sf)
+    return r.withColumn("pass_fail", F.when(RU.verdict(F.col("success_metric"), F.col("metric_value"),
+                                                       F.col("metric_threshold")), "pass").otherwise("fail")) \
+        .withColumn("has_evaluation", F.col("metric_value").isNotNull()) \
+        .withColumn("has_tuning", F.col("max_tuning_trials").isNotNull()).withColumn("has_eda", F.lit(True))
+
+
+@query("run_status", Q.compose(
+    """SELECT run_id, CASE WHEN status = 'done' THEN 'completed' WHEN status = 'escalated' THEN 'failed'
+       WHEN status = 'evaluated' AND pass_fail = 'fail' THEN 'looping_back' ELSE 'running' END AS run_status,
+       CASE WHEN status = 'done' THEN 'completed' WHEN status = 'created' THEN 'data' WHEN status = 'data_ready' THEN 'feature'
+       WHEN status = 'features_ready' THEN 'tuning' WHEN status IN ('tuned', 'evaluated') THEN 'training'
+       WHEN status = 'escalated' THEN CASE WHEN has_evaluation THEN 'training' WHEN has_tuning THEN 'tuning'
+       WHEN has_eda THEN 'feature' ELSE 'data' END END AS run_stage FROM rx""", ctes=[_RN, _RUNS_EXT]))
+def q_run_status(spark, sf):
+    r = _runs_ext(spark, sf)
+    return r.select("run_id", RU.run_status(r).alias("run_status"), RU.run_stage(r).alias("run_stage"))
+
+
+_PARAM_TEXT = ("pt", """SELECT p_partkey, 'size' AS src, CAST(p_size AS STRING) AS txt FROM part UNION ALL
+   SELECT p_partkey, 'price', CAST(p_retailprice AS STRING) FROM part UNION ALL SELECT p_partkey, 'brand', p_brand FROM part""")
+
+
+@query("parse_param", Q.compose(
+    """SELECT p_partkey, src, CASE WHEN i IS NOT NULL THEN 'int' WHEN d IS NOT NULL THEN 'float' ELSE 'str' END AS value_type,
+       i AS int_value, d AS float_value, CASE WHEN i IS NULL AND d IS NULL THEN txt END AS text_value FROM
+       (SELECT *, CASE WHEN regexp_matches(txt, '^\\s*[+-]?[0-9]+\\s*$') THEN TRY_CAST(trim(txt) AS BIGINT) END AS i,
+               CASE WHEN NOT regexp_matches(txt, '^\\s*[+-]?[0-9]+\\s*$') THEN TRY_CAST(txt AS DOUBLE) END AS d FROM pt) t""",
+    ctes=[_PARAM_TEXT]))
+def q_parse_param(spark, sf):
+    p = V.table(spark, sf, "part")
+    pt = (p.select("p_partkey", F.lit("size").alias("src"), F.col("p_size").cast("string").alias("txt"))
+          .unionByName(p.select("p_partkey", F.lit("price").alias("src"), F.col("p_retailprice").cast("string").alias("txt")))
+          .unionByName(p.select("p_partkey", F.lit("brand").alias("src"), F.col("p_brand").alias("txt"))))
+    return pt.select("p_partkey", "src", *RU.parse_param(F.col("txt")))
+
+
+@query("top8_corr", Q.compose(
+    """SELECT run_id, feature, corr, CAST(row_number() OVER (PARTITION BY run_id ORDER BY corr DESC, feature) AS INTEGER)
+       AS rank_in_group FROM (SELECT run_id, 'trial_' || CAST(trial_number AS STRING) AS feature, score AS corr FROM tl) t
+       QUALIFY rank_in_group <= 8""", ctes=[_TL]))
+def q_top8_corr(spark, sf):
+    t = RV.trials(spark, sf).select("run_id", F.concat(F.lit("trial_"), F.col("trial_number").cast("string")).alias("feature"),
+                                    F.col("score").alias("corr"))
+    return RU.top_k_per_group(t, "run_id", [F.col("corr").desc(), F.col("feature")], RU.TOP_CORRELATIONS) \
+        .withColumn("rank_in_group", F.col("rank_in_group").cast("int"))
+
+
+@query("corr_sorted", Q.compose("SELECT run_id, trial_number, score FROM tl ORDER BY run_id, score DESC", ctes=[_TL]))
+def q_corr_sorted(spark, sf):
+    return RV.trials(spark, sf).select("run_id", "trial_number", "score").orderBy("run_id", F.col("score").desc())
+
+
+@query("newest_runs", Q.compose("SELECT run_id, updated_at FROM rn ORDER BY updated_at DESC, run_id LIMIT 30", ctes=[_RN]))
+def q_newest_runs(spark, sf):
+    return RU.newest_runs(RV.runs(spark, sf)).select("run_id", "updated_at")
+
+
+@query("timeline", Q.compose(f"SELECT run_id, ts, seq, stage, event, {_ETYPE} AS type FROM h ORDER BY run_id, ts, seq",
+                             ctes=[_H]))
+def q_timeline(spark, sf):
+    return RU.timeline(RV.history(spark, sf)).select("run_id", "ts", "seq", "stage", "event", "type")
+
+
+_KINDS = ("loop_back", "error", "warning", "success", "info")
+
+
+@query("report_counts", Q.compose(
+    "SELECT run_id, " + ", ".join(f"count(*) FILTER (WHERE type = '{k}') AS {k}" for k in _KINDS)
+    + f" FROM (SELECT run_id, {_ETYPE} AS type FROM h) t GROUP BY run_id", ctes=[_H]))
+def q_report_counts(spark, sf):
+    h = RV.history(spark, sf).select("run_id", RU.event_type(F.col("event")).alias("kind"))
+    return RU.report_counts(h, _KINDS)
+
+
+@query("decision_union", Q.compose(
+    """SELECT feature, CASE WHEN kind IN ('datetime_part', 'onehot', 'interaction') AND decision <> 'dropped_low_signal'
+       AND decision <> 'dropped_low_variance' THEN 'engineered' ELSE 'dropped' END AS kind FROM fd
+       WHERE (kind IN ('datetime_part', 'onehot', 'interaction') AND decision NOT IN ('dropped_low_signal', 'dropped_low_variance'))
+          OR decision IN ('dropped_low_signal', 'dropped_low_variance', 'decomposed', 'dropped_high_cardinality')""",
+    ("flagged",), [("fd", Q.decisions_sql("flagged", "o_totalprice", _FLAGGED_NUM, _FLAGGED_COLS))]))
+def q_decision_union(spark, sf):
+    _, _, d = FE.fit_plan(V.flagged(spark, sf), _spec("regression", "o_totalprice"))
+    t = FE.decisions_frame(spark, d)
+    dropped_d = ("dropped_low_signal", "dropped_low_variance", "decomposed", "dropped_high_cardinality")
+    eng = t.where(F.col("kind").isin("datetime_part", "onehot", "interaction") & ~F.col("decision").isin(*dropped_d))
+    drp = t.where(F.col("decision").isin(*dropped_d))
+    return RU.decision_union(eng.select("feature"), drp.select("feature"))
+
+
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+           "pages", "benchmark", "labels", "conversations"]
+_INFO = ("ic", "SELECT table_name AS dataset, column_name, CAST(ordinal_position - 1 AS INTEGER) AS position "
+               "FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in _TABLES) + ")")
+
+
+def _columns_table(spark, sf):
+    rows = []
+    for t in _TABLES:
+        for i, f in enumerate(V.table(spark, sf, t).schema.fields):
+            rows.append((t, f.name, i))
+    return spark.createDataFrame(rows, "dataset string, column_name string, position int")
+
+
+@query("guess_target", Q.compose(
+    "SELECT dataset, coalesce(min_by(column_name, CASE WHEN lower(column_name) IN ("
+    + ", ".join(f"'{h}'" for h in RU.TARGET_NAME_HINTS) + ") THEN position END), max_by(column_name, position)) "
+    "AS target_guess FROM ic GROUP BY dataset", ctes=[_INFO]))
+def q_guess_target(spark, sf):
+    return RU.guess_target(_columns_table(spark, sf))
+
+
+@query("unknown_target", Q.compose(
+    """SELECT s.dataset, s.target_column, (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM ic c
+       WHERE c.dataset = s.dataset) AS real_columns
+       FROM (SELECT DISTINCT dataset, 'label' AS target_column FROM ic) s
+       WHERE NOT EXISTS (SELECT 1 FROM ic c WHERE c.dataset = s.dataset AND c.column_name = s.target_column)""",
+    ctes=[_INFO]))
+def q_unknown_target(spark, sf):
+    cols = _columns_table(spark, sf)
+    specs = cols.select("dataset").distinct().withColumn("target_column", F.lit("label"))
+    out = RU.unknown_target(specs, cols)
+    return out.select("dataset", "target_column", F.array_join("real_columns", ",").alias("real_columns"))
+
+
+@query("metric_delta", Q.compose(
+    "SELECT run_id, round(max(score) - 0.45, 6) AS delta, round(least(min(score), 0.45) * 0.96, 6) AS lower_bound, "
+    "round(greatest(max(score), 0.45) * 1.03, 6) AS upper_bound FROM tl GROUP BY run_id", ctes=[_TL]))
+def q_metric_delta(spark, sf):
+    t = RV.trials(spark, sf).withColumn("threshold", F.lit(0.45))
+    m = RU.metric_delta(t)
+    return m.select("run_id", *[r6(c).alias(c) for c in ("delta", "lower_bound", "upper_bound")])
+
+
+@query("run_search", Q.compose(
+    "SELECT run_id, data_source FROM rn WHERE task_type = 'classification' AND "
+    "(contains(lower(run_id), '1') OR contains(lower(data_source), '1'))", ctes=[_RN]))
+def q_run_search(spark, sf):
+    return RU.run_search(RV.runs(spark, sf), "1", "classification").select("run_id", "data_source")
+
+
+@query("replace_rows", Q.compose(
+    """SELECT * FROM tl WHERE run_id NOT IN ('run-1', 'run-2') UNION ALL
+       SELECT run_id, trial_number, score + 1 AS score, n_estimators, max_depth, min_samples_split FROM tl
+       WHERE run_id IN ('run-1', 'run-2') AND trial_number < 3""", ctes=[_TL]))
+def q_replace_rows(spark, sf):
+    t = RV.trials(spark, sf)
+    new = t.where(F.col("run_id").isin("run-1", "run-2") & (F.col("trial_number") < 3)).withColumn("score", F.col("score") + 1)
+    return RU.replace_rows(t, new)
+
+
+@query("spec_override", Q.compose(
+    """SELECT run_id, coalesce(o.max_tuning_trials, d.max_tuning_trials) AS max_tuning_trials,
+       coalesce(o.metric_threshold, d.metric_threshold) AS metric_threshold FROM rn d LEFT JOIN
+       (SELECT run_id, CASE WHEN loop_count % 2 = 0 THEN 100 END AS max_tuning_trials, CAST(NULL AS DOUBLE) AS metric_threshold
+        FROM rn) o USING (run_id)""", ctes=[_RN]))
+def q_spec_override(spark, sf):
+    r = RV.runs(spark, sf)
+    o = r.select("run_id", F.when(F.col("loop_count") % 2 == 0, 100).alias("max_tuning_trials"),
+                 F.lit(None).cast("double").alias("metric_threshold"))
+    return RU.spec_override(r, o, ["max_tuning_trials", "metric_threshold"])
+
+
+@query("matrix_rebuild", Q.compose(
+    "SELECT row_idx, string_agg(CAST(count AS STRING), ',' ORDER BY col_idx) AS counts FROM cells GROUP BY row_idx",
+    ("multiclass_predictions",),
+    [("cnt", "SELECT actual, predicted, count(*) AS n FROM multiclass_predictions GROUP BY ALL"),
+     ("lab", "SELECT lbl, dense_rank() OVER (ORDER BY lbl) - 1 AS idx FROM (SELECT actual AS lbl FROM "
+             "multiclass_predictions UNION SELECT predicted FROM multiclass_predictions) u"),
+     ("cells", "SELECT CAST(l1.idx AS INTEGER) AS row_idx, CAST(l2.idx AS INTEGER) AS col_idx, coalesce(c.n, 0) AS count "
+               "FROM lab l1 CROSS JOIN lab l2 LEFT JOIN cnt c ON c.actual = l1.lbl AND c.predicted = l2.lbl")]))
+def q_matrix_rebuild(spark, sf):
+    """cells back to rows of a matrix (ordered by column index)."""
+    cells = M.confusion_cells(V.multiclass_predictions(spark, sf), "actual", "predicted")
+    return cells.groupBy("row_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("col_idx", "count"))), lambda s: s["count"].cast("string")), ",").alias("counts"))
+
+
+_J_SQL = """SELECT rn.run_id, rn.status, h.n_events, h.last_event, tt.total_tokens, tt.total_cost_usd, cv.n_trials, cv.best_score
+  FROM rn LEFT JOIN (SELECT run_id, count(*) AS n_events, arg_max(event, ts) AS last_event FROM h GROUP BY run_id) h USING (run_id)
+  LEFT JOIN (SELECT run_id, CAST(round(sum(dcost), 6) AS DOUBLE) AS total_cost_usd, CAST(sum(total_tokens) AS BIGINT) AS total_tokens
+             FROM c GROUP BY run_id) tt USING (run_id)
+  LEFT JOIN cv USING (run_id)"""
+
+
+@query("run_document", Q.compose(_J_SQL, ctes=[_RN, _H, _TR, _COST, _TL, _CONV]))
+def q_run_document(spark, sf):
+    """Every child table aggregated per run first, then left joins on run_id."""
+    h = RV.history(spark, sf).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_events"),
+                                                     F.max_by("event", F.col("ts")).alias("last_event"))
+    tt = RU.trace_totals(RV.trace(spark, sf))
+    cv = SE.convergence_table(RV.trials(spark, sf)).select("run_id", "n_trials", "best_score")
+    return (RV.runs(spark, sf).select("run_id", "status").join(h, "run_id", "left").join(tt, "run_id", "left")
+            .join(cv, "run_id", "left"))
+
+
+@query("run_summary_join", Q.compose(
+    """SELECT r.run_id, r.created_at, r.status, r.task_type, r.success_metric, e.metric_value, e.pass_fail
+       FROM rn r LEFT JOIN (SELECT run_id, metric_value, pass_fail FROM rx WHERE status <> 'escalated') e USING (run_id)""",
+    ctes=[_RN, _RUNS_EXT]))
+def q_run_summary_join(spark, sf):
+    """Runs left-joined with their spec and (where present) evaluation."""
+    r = RV.runs(spark, sf)
+    runs = r.select("run_id", "created_at", "status")
+    spec = r.select("run_id", "task_type", "success_metric")
+    ev = _runs_ext(spark, sf).where(F.col("status") != "escalated").select("run_id", "metric_value", "pass_fail")
+    return runs.join(spec, "run_id", "left").join(ev, "run_id", "left")
