@@ -919,3 +919,100 @@ def q_run_summary_join(spark, sf):
     spec = r.select("run_id", "task_type", "success_metric")
     ev = _runs_ext(spark, sf).where(F.col("status") != "escalated").select("run_id", "metric_value", "pass_fail")
     return runs.join(spec, "run_id", "left").join(ev, "run_id", "left")
+
+
+# ====================================================================== run store
+
+from tabml.sources import runstore as RS  # noqa: E402
+
+
+def _store_frames(spark, sf):
+    """The derived runs in the store schemas (trial lists are bounded by each run's trial budget)."""
+    r = _runs_ext(spark, sf)
+    tl = RV.trials(spark, sf)
+    conv = SE.convergence_table(tl)
+    best = SE.best_trial_table(tl)
+    params = F.create_map(F.lit("n_estimators"), F.col("n_estimators").cast("string"), F.lit("max_depth"),
+                          F.col("max_depth").cast("string"), F.lit("min_samples_split"),
+                          F.col("min_samples_split").cast("string"))
+    raw = F.sort_array(F.collect_list(F.struct("trial_number", "n_estimators", "max_depth", "min_samples_split",
+                                               "score")))
+
+    def as_trial(t):
+        m = F.create_map(F.lit("n_estimators"), t["n_estimators"].cast("string"), F.lit("max_depth"),
+                         t["max_depth"].cast("string"), F.lit("min_samples_split"), t["min_samples_split"].cast("string"))
+        return F.struct(t["trial_number"].alias("trial_number"), m.alias("params"), t["score"].alias("score"))
+    hist = tl.groupBy("run_id").agg(F.transform(raw, as_trial).alias("search_history"),
+                                    F.max_by(params, F.struct(F.col("score"), -F.col("trial_number"))).alias("best_params"))
+    tuning = F.when(F.col("n_trials").isNotNull(), F.struct(
+        F.col("best_params"), F.col("best_score").alias("best_cv_score"), F.lit("f1_macro").alias("metric_optimized"),
+        F.col("search_history"), F.col("converged"), F.col("n_trials").cast("int"), F.col("n_trials").cast("int"),
+        F.lit("").alias("convergence_notes")))
+    evaluation = F.when(F.col("metric_value").isNotNull(), F.struct(
+        F.create_map(F.col("success_metric"), F.col("metric_value")).alias("test_metrics"), F.col("success_metric"),
+        F.col("metric_value"), F.col("metric_threshold"), F.col("pass_fail"),
+        F.lit(None).cast("array<array<bigint>>"), F.lit(None).cast("map<string,double>"),
+        F.lit(None).cast("struct<summary:string,recommended_next_step:string>")))
+    spec = F.struct("task_type", F.lit("target").alias("target_column"), "success_metric", "metric_threshold",
+                    "data_source", F.lit(None).cast("int"), "max_tuning_trials", F.lit(False), "max_loop_backs",
+                    F.lit(None).cast("string"))
+    runs = (r.join(conv, "run_id", "left").join(best.select("run_id"), "run_id", "left").join(hist, "run_id", "left")
+            .select("run_id", "status", "loop_count", F.col("created_at").cast("timestamp"),
+                    F.col("updated_at").cast("timestamp"), spec.cast(RS.SPEC_T).alias("spec"),
+                    F.lit(None).cast(RS.PROFILE_T).alias("data_profile"), F.lit(None).cast(RS.EDA_T).alias("eda_report"),
+                    tuning.cast(RS.TUNING_T).alias("tuning_result"), evaluation.cast(RS.EVAL_T).alias("evaluation_report")))
+    h = RV.history(spark, sf).select("run_id", "seq", F.col("ts").cast("timestamp"), "stage", "event")
+    t = RV.trace(spark, sf)
+    tr = RU.with_cost(t).select("run_id", "seq", F.col("ts").cast("timestamp"), "agent", "model", "prompt_tokens",
+                                "completion_tokens", "total_tokens", F.lit(0.0).alias("latency_ms"), "estimated_cost_usd")
+    return runs, h, tr
+
+
+def _fresh_store(spark, sf) -> str:
+    root = scratch_path(spark, "runstore")
+    runs, h, tr = _store_frames(spark, sf)
+    RS.write_runs_frame(root, runs, h, tr)
+    return root
+
+
+@query("run_store_read", Q.compose("SELECT run_id, seq, stage, event FROM h", ctes=[_H]))
+def q_run_store_read(spark, sf):
+    """S6 + S7: the derived runs written to a fresh store, history read back through its view."""
+    root = _fresh_store(spark, sf)
+    return RS.run_tables(spark, root)["history_entries"].select("run_id", "seq", "stage", "event")
+
+
+@query("run_store_trials", Q.compose("SELECT run_id, trial_number, score FROM tl", ctes=[_TL]))
+def q_run_store_trials(spark, sf):
+    root = _fresh_store(spark, sf)
+    return RS.run_tables(spark, root)["trial_records"].select("run_id", "trial_number", "score")
+
+
+@query("run_list", Q.compose(
+    "SELECT run_id, status, task_type, data_source, metric_value, pass_fail FROM rx ORDER BY created_at DESC",
+    ctes=[_RN, _RUNS_EXT]))
+def q_run_list(spark, sf):
+    root = _fresh_store(spark, sf)
+    return RS.run_list(spark, root).select("run_id", "status", "task_type", "data_source", "metric_value", "pass_fail")
+
+
+_REPLACED = "('run-0', 'run-1', 'run-2', 'run-3', 'run-4')"
+
+
+@query("run_store_write", Q.compose(
+    f"""SELECT run_id, seq, stage, event FROM h WHERE run_id NOT IN {_REPLACED} UNION ALL
+        SELECT run_id, seq, stage, event FROM h WHERE run_id IN {_REPLACED}
+        QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq) = 1""", ctes=[_H]))
+def q_run_store_write(spark, sf):
+    """S6 replace: runs 0-4 are written again with a one-event history; their old events are gone and
+    every other run is untouched (dynamic partition overwrite)."""
+    root = _fresh_store(spark, sf)
+    h = RS.run_tables(spark, root)["history_entries"]
+    ids = ["run-0", "run-1", "run-2", "run-3", "run-4"]
+    first = (h.where(F.col("run_id").isin(*ids)).groupBy("run_id")
+             .agg(F.min_by(F.struct("seq", "ts", "stage", "event"), F.col("seq")).alias("f"))
+             .select("run_id", "f.seq", "f.ts", "f.stage", "f.event"))
+    staged = scratch_path(spark, "replace")
+    first.write.parquet(staged)            # never overwrite a path while reading it
+    RS.write_history(root, spark.read.parquet(staged).select("run_id", "seq", "ts", "stage", "event"))
+    return RS.run_tables(spark, root)["history_entries"].select("run_id", "seq", "stage", "event")
