@@ -1016,3 +1016,96 @@ def q_run_store_write(spark, sf):
     first.write.parquet(staged)            # never overwrite a path while reading it
     RS.write_history(root, spark.read.parquet(staged).select("run_id", "seq", "ts", "stage", "event"))
     return RS.run_tables(spark, root)["history_entries"].select("run_id", "seq", "stage", "event")
+
+
+# ====================================================================== spec check, whole run, streams, synthetic
+
+from tabml.plans import specs as SPC  # noqa: E402
+
+REQUESTS_SQL = """SELECT concat('req-', CAST(user_id AS STRING)) AS request_id,
+  CASE user_id % 4 WHEN 0 THEN 'orders' WHEN 1 THEN 'part' WHEN 2 THEN 'customer' END AS dataset,
+  CASE WHEN user_id % 5 = 0 THEN NULL WHEN user_id % 2 = 0 THEN 'classification' ELSE 'regression' END AS task_type,
+  CASE user_id % 6 WHEN 0 THEN 'o_orderstatus' WHEN 1 THEN 'p_retailprice' WHEN 2 THEN 'c_mktsegment'
+       WHEN 3 THEN 'label' WHEN 4 THEN NULL ELSE 'o_totalprice' END AS target_column,
+  CASE user_id % 7 WHEN 0 THEN 'f1' WHEN 1 THEN 'rmse' WHEN 2 THEN 'accuracy' WHEN 3 THEN 'r2' WHEN 4 THEN 'roc_auc'
+       WHEN 5 THEN 'mae' END AS success_metric,
+  CASE WHEN user_id % 11 = 0 THEN NULL ELSE CAST(0.8 AS DOUBLE) END AS metric_threshold,
+  CASE user_id % 3 WHEN 0 THEN 'builtin:orders_status' WHEN 1 THEN 'data/x.csv' ELSE 'somewhere.txt' END AS data_source,
+  CASE WHEN user_id % 13 = 0 THEN 'metric_threshold' END AS unclear
+FROM (SELECT DISTINCT user_id FROM {events}) u"""
+
+_KNOWN = "[" + ", ".join(f"'{s}'" for s in sorted("builtin:" + n for n in SRC.BUILTINS)) + "]"
+_FITS = (f"CASE WHEN task_type = 'classification' THEN success_metric IN ('accuracy', 'f1', 'precision', 'recall', 'roc_auc') "
+         f"ELSE success_metric IN ('rmse', 'mae', 'r2') END")
+_VALID = ("(data_source LIKE '%.csv' OR data_source LIKE '%.parquet' OR data_source IN ("
+          + ", ".join(f"'builtin:{n}'" for n in SRC.BUILTINS) + "))")
+_MISSING = ("concat_ws(',', CASE WHEN task_type IS NULL THEN 'task_type' END, CASE WHEN target_column IS NULL THEN "
+            "'target_column' END, CASE WHEN success_metric IS NULL THEN 'success_metric' END, CASE WHEN metric_threshold "
+            "IS NULL THEN 'metric_threshold' END, CASE WHEN dataset IS NULL AND data_source IS NULL THEN 'data_source' END)")
+
+
+@query("spec_check", Q.compose(
+    f"""SELECT request_id, CASE WHEN mf IS NULL THEN 'spec' ELSE 'needs_clarification' END AS outcome, mf AS missing_fields,
+       q AS question FROM (SELECT request_id,
+         CASE WHEN bad THEN 'target_column' WHEN unclear IS NOT NULL THEN unclear WHEN miss <> '' THEN miss
+              WHEN dataset IS NULL AND NOT {_VALID} THEN 'data_source' WHEN NOT {_FITS} THEN 'success_metric' END AS mf,
+         CASE WHEN bad THEN '''' || target_column || ''' isn''t a column in this dataset. Real columns: ' || real || '.'
+              WHEN unclear IS NOT NULL THEN 'Could you clarify the missing details?'
+              WHEN miss <> '' THEN 'I need more detail on: ' || replace(miss, ',', ', ') || '.'
+              WHEN dataset IS NULL AND NOT {_VALID} THEN '''' || data_source || ''' isn''t a recognized data source. Please specify one of {_KNOWN.replace("'", "''")} or a file path ending in .csv/.parquet.'
+              WHEN NOT {_FITS} THEN 'The metric ''' || success_metric || ''' doesn''t fit a ' || task_type || ' task — could you specify a valid metric instead?' END AS q
+       FROM (SELECT r.*, {_MISSING} AS miss,
+               r.dataset IS NOT NULL AND r.target_column IS NOT NULL AND NOT EXISTS
+                 (SELECT 1 FROM ic WHERE ic.dataset = r.dataset AND ic.column_name = r.target_column) AS bad,
+               (SELECT '[' || string_agg('''' || column_name || '''', ', ' ORDER BY column_name) || ']' FROM ic
+                WHERE ic.dataset = r.dataset) AS real
+             FROM rq r) a) b""",
+    ctes=[_INFO, ("rq", REQUESTS_SQL.replace("{events}", "events"))]))
+def q_spec_check(spark, sf):
+    req = spark.sql(REQUESTS_SQL, events=V.table(spark, sf, "events"))
+    return SPC.spec_check(req, _columns_table(spark, sf))
+
+
+@query("full_run")
+def q_full_run(spark, sf):
+    """M9: the whole chain on the builtin orders table (2 trials, so the check stays quick)."""
+    from tabml.plans.pipeline import run_pipeline
+    from tabml.spec import PipelineConstraints
+    spec = ProblemSpec("classification", "is_p", "f1", 0.9, "builtin:orders_status",
+                       PipelineConstraints(max_tuning_trials=2, max_loop_backs=1))
+    run = run_pipeline(spark, spec, run_id="full-run", base_dir=sf, key="o_orderkey")
+    ev = run.evaluation_report
+    return spark.createDataFrame([(run.run_id, run.status, run.loop_count, len(run.eda_report.final_feature_names),
+                                   ev.metric_value if ev else None, ev.pass_fail if ev else None, len(run.history))],
+                                 "run_id string, status string, loop_count int, n_features int, metric_value double, "
+                                 "pass_fail string, n_history int")
+
+
+@query("stream_score", Q.compose(
+    "SELECT o_orderkey, " + ", ".join(f'{Q.dummy_expr("o_orderstatus", v)} AS o_orderstatus_{v}' for v in STATUSES)
+    + ", " + Q.dummy_expr("o_orderstatus", "P") + " * " + Q.dummy_expr("o_orderstatus", "O")
+    + " AS o_orderstatus_P__x__o_orderstatus_O, is_p FROM orders_labeled", ("orders_labeled",)))
+def q_stream_score(spark, sf):
+    """The flagship plan (fitted on batch train rows) applied to orders as a file stream of
+    several micro-batches; rows equal the batch transform."""
+    from tabml.streaming.score import stream_score
+    _, model, _ = flagship(spark, sf)
+    staged = scratch_path(spark, "stream-src")
+    V.orders_labeled(spark, sf).repartition(4).write.parquet(staged)      # the stream's input files
+    return stream_score(spark, staged, spark.read.parquet(staged).schema,
+                        FE.FeaturePlanModel(model.plan, passthrough=("o_orderkey",)),
+                        scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt"))
+
+
+@query("stream_run_status", Q.compose(
+    """SELECT run_id, count(*) AS n_events, arg_max(event, ts) AS last_event,
+       count(*) FILTER (WHERE contains(event, 'fail ->')) AS loop_backs FROM h GROUP BY run_id""", ctes=[_H]))
+def q_stream_run_status(spark, sf):
+    """R2: history replayed as a file stream in several micro-batches; the final status table equals
+    the batch aggregate."""
+    from tabml.streaming.status import stream_run_status
+    staged = scratch_path(spark, "history-src")
+    RV.history(spark, sf).repartition(4, "seq").write.parquet(staged)
+    st = stream_run_status(spark, staged, spark.read.parquet(staged).schema, scratch_path(spark, "status"),
+                           scratch_path(spark, "status-ckpt"))
+    return st.select("run_id", "n_events", "last_event", "loop_backs")
