@@ -371,16 +371,29 @@ def q_fit_features(spark, sf):
     return FE.decisions_frame(spark, decisions)
 
 
-@query("apply_features", Q.compose(
-    """SELECT o_orderkey, is_test, o_orderstatus_F, o_orderstatus_O, o_orderstatus_P,
-       o_orderstatus_P * o_orderstatus_O AS o_orderstatus_P__x__o_orderstatus_O, is_p FROM
-       (SELECT o_orderkey, is_test, is_p, """ + ", ".join(
-        f'{Q.dummy_expr("o_orderstatus", v)} AS o_orderstatus_{v}' for v in STATUSES) + " FROM sp) t",
-    ("orders_labeled",), Q.split_ctes("orders_labeled", "o_orderkey", "is_p")))
+def features_long(df: DataFrame, model: "FE.FeaturePlanModel", key: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """The replayed feature matrix in long form (row_key, extra..., feature, value)."""
+    names = model.plan.final_feature_names
+    m = FE.FeaturePlanModel(model.plan, passthrough=("row_key",) + tuple(extra))
+    wide = m.transform(df.withColumn("row_key", F.col(key)))
+    return wide.unpivot(["row_key", *extra], names, "feature", "value")
+
+
+_FLAG_DECISIONS = Q.decisions_sql("sp", "is_p", ["o_orderkey", "o_custkey", "o_totalprice"], _FLAG_COLS,
+                                  where="NOT is_test")
+
+
+def _flag_long_sql(src: str, extra: list[str]) -> str:
+    ctes, main = Q.features_long_sql(src, "o_orderkey", extra, ["o_orderkey", "o_custkey", "o_totalprice"], _FLAG_COLS)
+    return Q.compose(main, ("orders_labeled",),
+                     Q.split_ctes("orders_labeled", "o_orderkey", "is_p") + [("fd", _FLAG_DECISIONS)] + ctes)
+
+
+@query("apply_features", _flag_long_sql("sp", ["is_test"]))
 def q_apply_features(spark, sf):
+    """M2: the plan fitted on train rows replayed on all rows, as (row_key, is_test, feature, value)."""
     split, model, _ = flagship(spark, sf)
-    model.passthrough = ("o_orderkey", "is_test")
-    return model.transform(split)
+    return features_long(split, model, "o_orderkey", ("is_test",))
 
 
 _LI_COLS = [("l_returnflag", "categorical", ["A", "N", "R"]), ("l_linestatus", "categorical", ["F", "O"]),
@@ -552,8 +565,8 @@ def q_matrix_total(spark, sf):
 def _flagship_folds(spark, sf):
     from tabml.operators import search as SE  # noqa: F401
     split, model, _ = flagship(spark, sf)
-    model.passthrough = ("o_orderkey", "is_test")
-    X = model.transform(split)
+    model.passthrough = ("row_key", "is_test")
+    X = model.transform(split.withColumn("row_key", F.col("o_orderkey")))
     tr = SP.cv_folds(X.where(~F.col("is_test")), FLAG_SPEC)
     return X, tr, model.plan.final_feature_names
 
@@ -588,7 +601,7 @@ def q_train_and_evaluate(spark, sf):
     X, _, feats = _flagship_folds(spark, sf)
     tu = TuningResult(best_params=dict(T.DEFAULT_PARAMS), best_cv_score=0.0, metric_optimized="f1_macro", converged=True)
     _, report, preds = T.train_and_evaluate(X, FLAG_SPEC, tu, feats)
-    return preds.select("o_orderkey", "is_p", "pred", "score")
+    return preds.select(F.col("row_key").alias("o_orderkey"), "is_p", "pred", "score")
 
 
 # ====================================================================== run analytics
@@ -982,7 +995,8 @@ def q_run_store_read(spark, sf):
     return RS.run_tables(spark, root)["history_entries"].select("run_id", "seq", "stage", "event")
 
 
-@query("run_store_trials", Q.compose("SELECT run_id, trial_number, score FROM tl", ctes=[_TL]))
+@query("run_store_trials", Q.compose("SELECT run_id, trial_number, score FROM tl WHERE run_id IN (SELECT run_id FROM rn)",
+                                     ctes=[_TL, _RN]))
 def q_run_store_trials(spark, sf):
     root = _fresh_store(spark, sf)
     return RS.run_tables(spark, root)["trial_records"].select("run_id", "trial_number", "score")
@@ -1081,20 +1095,19 @@ def q_full_run(spark, sf):
                                  "pass_fail string, n_history int")
 
 
-@query("stream_score", Q.compose(
-    "SELECT o_orderkey, " + ", ".join(f'{Q.dummy_expr("o_orderstatus", v)} AS o_orderstatus_{v}' for v in STATUSES)
-    + ", " + Q.dummy_expr("o_orderstatus", "P") + " * " + Q.dummy_expr("o_orderstatus", "O")
-    + " AS o_orderstatus_P__x__o_orderstatus_O, is_p FROM orders_labeled", ("orders_labeled",)))
+@query("stream_score", _flag_long_sql("orders_labeled", []))
 def q_stream_score(spark, sf):
     """The flagship plan (fitted on batch train rows) applied to orders as a file stream of
-    several micro-batches; rows equal the batch transform."""
+    several micro-batches; rows equal the batch transform (long form as in apply_features)."""
     from tabml.streaming.score import stream_score
     _, model, _ = flagship(spark, sf)
+    names = model.plan.final_feature_names
     staged = scratch_path(spark, "stream-src")
-    V.orders_labeled(spark, sf).repartition(4).write.parquet(staged)      # the stream's input files
-    return stream_score(spark, staged, spark.read.parquet(staged).schema,
-                        FE.FeaturePlanModel(model.plan, passthrough=("o_orderkey",)),
-                        scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt"))
+    V.orders_labeled(spark, sf).withColumn("row_key", F.col("o_orderkey")).repartition(4).write.parquet(staged)
+    out = stream_score(spark, staged, spark.read.parquet(staged).schema,
+                       FE.FeaturePlanModel(model.plan, passthrough=("row_key",)),
+                       scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt"))
+    return out.unpivot(["row_key"], names, "feature", "value")
 
 
 @query("stream_run_status", Q.compose(

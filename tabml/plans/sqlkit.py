@@ -126,3 +126,22 @@ def macro_prf_sql(src: str, actual: str, pred: str, group: str | None = None) ->
                     avg(CASE WHEN n_actual + n_pred = 0 THEN 0 ELSE 2 * tp / (n_actual + n_pred) END) AS f1
                     FROM mp GROUP BY ALL"""),
     ]
+
+
+def features_long_sql(src: str, key: str, extra: list[str], numeric: list[str],
+                      per_column: list[tuple[str, str, list[str] | None]], decisions: str = "fd"
+                      ) -> tuple[list[tuple[str, str]], str]:
+    """M2 replay in long form: (row_key, extra..., feature, value) for every kept candidate of the
+    decision table plus the interaction product of its top two. Returns (ctes, main select)."""
+    cands = candidates(numeric, per_column)
+    ex = "".join(f"{c}, " for c in extra)
+    long = " UNION ALL ".join(f"SELECT {key} AS row_key, {ex}'{n}' AS feature, {e} AS value FROM {src}"
+                              for n, e, _, _ in cands)
+    ctes = [("lg", long),
+            ("kept", f"SELECT feature FROM {decisions} WHERE decision IN ('kept', 'kept_leakage_warning')"),
+            ("inter", f"SELECT feature, split_part(source_column, ',', 1) AS a, split_part(source_column, ',', 2) AS b "
+                      f"FROM {decisions} WHERE kind = 'interaction'")]
+    main = (f"SELECT lg.* FROM lg JOIN kept USING (feature) UNION ALL "
+            f"SELECT x.row_key, {''.join(f'x.{c}, ' for c in extra)}i.feature, x.value * y.value AS value "
+            f"FROM inter i JOIN lg x ON x.feature = i.a JOIN lg y ON y.feature = i.b AND y.row_key = x.row_key")
+    return ctes, main
