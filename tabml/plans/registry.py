@@ -1122,3 +1122,17 @@ def q_stream_run_status(spark, sf):
     st = stream_run_status(spark, staged, spark.read.parquet(staged).schema, scratch_path(spark, "status"),
                            scratch_path(spark, "status-ckpt"))
     return st.select("run_id", "n_events", "last_event", "loop_backs")
+
+
+@query("synth_customers")
+def q_synth_customers(spark, sf):
+    """One synthetic customer per row of the customer table, leaky variant included."""
+    from tabml.sources.synth import synth_customers
+    return synth_customers(V.table(spark, sf, "customer"), "c_custkey", leaky=True)
+
+
+@query("report_json")
+def q_report_json(spark, sf):
+    """a report as JSON for review (class balance of orders, one JSON object per class)."""
+    bal = P.class_balance_table(V.table(spark, sf, "orders"), "o_orderstatus")
+    return bal.select(F.to_json(F.struct("label", "share")).alias("json"))
