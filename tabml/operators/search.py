@@ -1,8 +1,8 @@
 """Cross-validated scoring and the seeded search, plus trial analytics.
 
-Folds come from W3 (a ``fold`` column), so ``CrossValidator(foldCol=...)`` uses the same seeded,
-stratified folds on every run; all trials of a search are fitted by one CrossValidator with
-``parallelism`` over the param maps.
+Folds come from W3 (a ``fold`` column), so every run uses the same seeded, stratified folds (the
+contract of ``CrossValidator(foldCol=...)``, with the assembled frame persisted once and the
+(trial, fold) fits submitted concurrently).
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 import random
 
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,21 +57,43 @@ def draw_params(n_trials: int, seed: int = S.SPLIT_SEED) -> list[dict]:
 
 
 def _cv(X: DataFrame, spec: ProblemSpec, features: list[str], param_list: list[dict], parallelism: int = 4):
+    """Mean fold score of each parameter set.
+
+    The feature vector is assembled once and the (vector, label, fold) frame persisted, so no fold
+    re-runs the upstream lineage; every (parameter set, fold) fit is an independent Spark job set,
+    submitted from a small thread pool so that small fits share the cluster."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import StorageLevel
+    from pyspark.ml.feature import VectorAssembler
+
     labels = T.class_labels(X, spec.target_column) if spec.is_classification else None
-    data = T.with_label(X, spec, labels)
-    pipe = T.forest_pipeline(spec, features, param_list[0])
-    rf = pipe.getStages()[1]
-    maps = [{rf.numTrees: p["n_estimators"], rf.maxDepth: p["max_depth"],
-             rf.minInstancesPerNode: max(1, -(-p["min_samples_split"] // 2))} for p in param_list]
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps,
-                        evaluator=MetricEvaluator(spec.success_metric, spec, labels),
-                        numFolds=S.CV_FOLDS, foldCol="fold", parallelism=parallelism, seed=S.SPLIT_SEED)
-    return cv.fit(data).avgMetrics
+    asm = VectorAssembler(inputCols=features, outputCol=T.FEATURES, handleInvalid="error")
+    data = asm.transform(T.with_label(X, spec, labels)).select(T.FEATURES, T.LABEL, "fold") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    folds = sorted(r[0] for r in data.select("fold").distinct().collect())
+    train = {f: data.where(F.col("fold") != f) for f in folds}
+    valid = {f: data.where(F.col("fold") == f) for f in folds}
+    ev = MetricEvaluator(spec.success_metric, spec, labels)
+
+    def one(job):
+        i, f = job
+        model = T.forest(spec, param_list[i]).fit(train[f])
+        return i, f, ev.evaluate(model.transform(valid[f]))
+
+    jobs = [(i, f) for i in range(len(param_list)) for f in folds]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        results = list(pool.map(one, jobs))
+    data.unpersist()
+    scores: dict[int, list[float]] = {}
+    for i, _, v in results:
+        scores.setdefault(i, []).append(v)
+    return [sum(scores[i]) / len(scores[i]) for i in range(len(param_list))]
 
 
 def cv_score(X: DataFrame, spec: ProblemSpec, features: list[str], params: dict) -> float:
     """M5: mean of the per-fold metric of one parameter set; X carries ``fold``."""
-    return float(_cv(X, spec, features, [params], parallelism=1)[0])
+    return float(_cv(X, spec, features, [params], parallelism=S.CV_FOLDS)[0])
 
 
 def tune_hyperparameters(X: DataFrame, spec: ProblemSpec, features: list[str], n_trials: int | None = None,

@@ -84,7 +84,9 @@ def train_test_split(df: DataFrame, spec: ProblemSpec, key: str | None = None,
     The input should already be target-complete and deduplicated (``prepare_for_split``)."""
     spark = df.sparkSession
     base, grp = _groups(with_hash_order(df, key), spec)
-    counts = {r[GROUP]: r["n"] for r in base.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).collect()}
+    # (class, bucket) counts: one scan; class totals and cut-offs come from this small table
+    bc = base.groupBy(GROUP, BUCKET).agg(F.count(F.lit(1)).alias("n")).persist()
+    counts = {r[GROUP]: r["n"] for r in bc.groupBy(GROUP).agg(F.sum("n").alias("n")).collect()}
     if len(counts) > MAX_BROADCAST_GROUPS:
         raise ValueError(f"{len(counts)} classes: too many for a stratified split")
     quotas = test_quotas(counts, stratified=spec.is_classification)
@@ -94,8 +96,7 @@ def train_test_split(df: DataFrame, spec: ProblemSpec, key: str | None = None,
         w = Window.partitionBy(GROUP).orderBy(*_tie(key))
         return (base.join(qf, GROUP).withColumn("__rn", F.row_number().over(w))
                 .withColumn("is_test", F.col("__rn") <= F.col("__quota")).select(*out_cols))
-    # bucketed: (group, bucket) counts -> cumulative -> per-group cut-off bucket
-    bc = base.groupBy(GROUP, BUCKET).agg(F.count(F.lit(1)).alias("n"))
+    # bucketed: cumulative (group, bucket) counts -> per-group cut-off bucket
     wb = Window.partitionBy(GROUP).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = bc.withColumn("cum", F.sum("n").over(wb)).join(qf, GROUP)
     cut = (cum.where(F.col("cum") >= F.col("__quota"))
@@ -103,6 +104,7 @@ def train_test_split(df: DataFrame, spec: ProblemSpec, key: str | None = None,
                                         F.col(BUCKET)).alias("c"))
            .select(GROUP, F.col(f"c.{BUCKET}").alias("__cut"), F.col("c.before").alias("__before")))
     cut_rows = {r[GROUP]: (r["__cut"], r["__before"]) for r in cut.collect()}
+    bc.unpersist()
     rows = []
     for g, q in quotas.items():
         if q == 0:

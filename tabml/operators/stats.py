@@ -84,7 +84,8 @@ def _kth_smallest(df: DataFrame, c: str, k: int, lo, hi, below: int):
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    max_exact_distinct: int = EXACT_PERCENTILE_MAX_DISTINCT) -> dict[str, list]:
+                    max_exact_distinct: int = EXACT_PERCENTILE_MAX_DISTINCT, n_rows: int | None = None
+                    ) -> dict[str, list]:
     """{col: [q(p) for p in probs]} over non-null values; None for an all-null column.
 
     Low-cardinality columns use Spark's exact ``percentile`` in one fused aggregate. Columns with
@@ -94,6 +95,10 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     cols = list(cols)
     if not cols:
         return {}
+    if n_rows is not None and n_rows <= max_exact_distinct:   # distinct <= rows: no pre-pass needed
+        res = wide_agg(df, [F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in probs])).alias(c)
+                            for c in cols])
+        return {c: (list(res[c]) if res[c] is not None else [None] * len(probs)) for c in cols}
     pre = wide_agg(df, [e for c in cols for e in (
         F.count(c).alias(f"n__{c}"), F.approx_count_distinct(c).alias(f"d__{c}"),
         F.min(c).alias(f"mn__{c}"), F.max(c).alias(f"mx__{c}"))])
