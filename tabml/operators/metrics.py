@@ -18,20 +18,40 @@ def _g(group: list[str] | None) -> list[str]:
     return list(group or [])
 
 
-def label_union(df: DataFrame, label: str, pred: str, group: list[str] | None = None) -> DataFrame:
-    """Labels present in actual or predicted (per group)."""
+SMALL_TABLE_ROWS = 100_000
+
+
+def pair_counts(df: DataFrame, label: str, pred: str, group: list[str] | None = None) -> DataFrame:
+    """The only pass over the rows: (group..., actual, predicted, n) with map-side combine.
+
+    The result has groups x classes x classes rows; it is materialized once (as a local table when it
+    has at most SMALL_TABLE_ROWS rows, else persisted) so every later use reads it, not the rows."""
+    g = _g(group)
+    counts = df.groupBy(*g, F.col(label).alias("actual"), F.col(pred).alias("predicted")).agg(
+        F.count(F.lit(1)).alias("n"))
+    rows = counts.limit(SMALL_TABLE_ROWS + 1).collect()
+    if len(rows) <= SMALL_TABLE_ROWS:
+        out = df.sparkSession.createDataFrame(rows, counts.schema)
+        out._tabml_rows = rows  # the same small table, already on the driver
+        return out
+    from pyspark import StorageLevel
+    return counts.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def label_union(counts: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Labels present in actual or predicted (per group), from the small count table."""
     g = _g(group)
-    return (df.select(*g, F.col(label).alias("lbl")).unionByName(df.select(*g, F.col(pred).alias("lbl")))
+    return (counts.select(*g, F.col("actual").alias("lbl")).unionByName(counts.select(*g, F.col("predicted").alias("lbl")))
             .where(F.col("lbl").isNotNull()).distinct())
 
 
-def confusion_cells(df: DataFrame, label: str, pred: str, group: list[str] | None = None) -> DataFrame:
+def confusion_cells(df: DataFrame, label: str, pred: str, group: list[str] | None = None,
+                    counts: DataFrame | None = None) -> DataFrame:
     """A17 as cells: (group..., actual, predicted, row_idx, col_idx, count); labels = sorted union of both
-    sides; zero-filled. Counting is a partial aggregate; the grid is built on the small label table."""
+    sides; zero-filled. One partial aggregate over the rows; the grid is built on the label table."""
     g = _g(group)
-    counts = df.groupBy(*g, F.col(label).alias("actual"), F.col(pred).alias("predicted")).agg(
-        F.count(F.lit(1)).alias("n"))
-    labels = label_union(df, label, pred, group)
+    counts = counts if counts is not None else pair_counts(df, label, pred, group)
+    labels = label_union(counts, group)
     w = Window.partitionBy(*g).orderBy("lbl") if g else Window.orderBy("lbl")
     labels = labels.withColumn("idx", (F.dense_rank().over(w) - 1).cast("int"))
     a = labels.select(*g, F.col("lbl").alias("actual"), F.col("idx").alias("row_idx"))
@@ -68,18 +88,36 @@ def accuracy(df: DataFrame, label: str, pred: str, group: list[str] | None = Non
 def macro_prf(df: DataFrame, label: str, pred: str, group: list[str] | None = None) -> DataFrame:
     """Unweighted means over the label union of per-class precision, recall and F1; 0/0 -> 0.
 
-    F1 per class is 2 tp / (actual + predicted), the same value as 2PR/(P+R) where defined."""
+    F1 per class is 2 tp / (actual + predicted), the same value as 2PR/(P+R) where defined. The rows
+    are read once (pair counts); per-label totals come from the small count table."""
     g = _g(group)
-    cells = confusion_cells(df, label, pred, group)
-    rows = cells.groupBy(*g, F.col("actual").alias("lbl")).agg(F.sum("count").alias("n_actual"))
-    cols = cells.groupBy(*g, F.col("predicted").alias("lbl")).agg(F.sum("count").alias("n_pred"))
-    diag = cells.where(F.col("row_idx") == F.col("col_idx")).select(*g, F.col("actual").alias("lbl"),
-                                                                     F.col("count").alias("tp"))
-    per = diag.join(rows, g + ["lbl"]).join(cols, g + ["lbl"])
+    counts = pair_counts(df, label, pred, group)
+    small = getattr(counts, "_tabml_rows", None)
+    if small is not None:   # bounded table on the driver: per-group arithmetic, no further jobs
+        by: dict = {}
+        for r in small:
+            key = tuple(r[c] for c in g)
+            by.setdefault(key, {})[(r["actual"], r["predicted"])] = r["n"]
+        out = []
+        for key, cnt in by.items():
+            m = prf_from_counts(cnt)
+            out.append((*key, float(m["precision"]), float(m["recall"]), float(m["f1"])))
+        schema = counts.select(*g).schema.simpleString()[len("struct<"):-1]
+        schema = (schema + "," if schema else "") + "precision:double,recall:double,f1:double"
+        return df.sparkSession.createDataFrame(out, "struct<" + schema + ">")
+    labels = label_union(counts, group)
+    rows = counts.groupBy(*g, F.col("actual").alias("lbl")).agg(F.sum("n").alias("n_actual"))
+    cols = counts.groupBy(*g, F.col("predicted").alias("lbl")).agg(F.sum("n").alias("n_pred"))
+    diag = counts.where(F.col("actual") == F.col("predicted")).select(*g, F.col("actual").alias("lbl"),
+                                                                      F.col("n").alias("tp"))
+    per = labels.join(diag, g + ["lbl"], "left").join(rows, g + ["lbl"], "left").join(cols, g + ["lbl"], "left")
     z = F.lit(0.0)
-    p = F.coalesce(F.try_divide(F.col("tp"), F.col("n_pred")), z)
-    r = F.coalesce(F.try_divide(F.col("tp"), F.col("n_actual")), z)
-    f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("n_actual") + F.col("n_pred")), z)
+    tp = F.coalesce(F.col("tp"), F.lit(0))
+    na = F.coalesce(F.col("n_actual"), F.lit(0))
+    npred = F.coalesce(F.col("n_pred"), F.lit(0))
+    p = F.coalesce(F.try_divide(tp, npred), z)
+    r = F.coalesce(F.try_divide(tp, na), z)
+    f1 = F.coalesce(F.try_divide(2 * tp, na + npred), z)
     return per.groupBy(*g).agg(F.avg(p).alias("precision"), F.avg(r).alias("recall"), F.avg(f1).alias("f1"))
 
 
@@ -90,6 +128,8 @@ def roc_auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     earlier partitions (a per-partition total, one row per partition) + a running sum inside the
     partition. The partition layout is pinned by a reliable checkpoint before it is used twice."""
     spark = df.sparkSession
+    from tabml.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     d = (df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s"))
          .agg(F.sum((F.col(label) == F.lit(positive)).cast("long")).alias("pos"),
               F.sum((F.col(label) != F.lit(positive)).cast("long")).alias("neg")))

@@ -1136,3 +1136,24 @@ def q_report_json(spark, sf):
     """a report as JSON for review (class balance of orders, one JSON object per class)."""
     bal = P.class_balance_table(V.table(spark, sf, "orders"), "o_orderstatus")
     return bal.select(F.to_json(F.struct("label", "share")).alias("json"))
+
+
+@query("matrix_flatten", Q.compose(
+    """SELECT CAST(l1.idx AS INTEGER) AS row_idx, CAST(l2.idx AS INTEGER) AS col_idx, CAST(coalesce(c.n, 0) AS BIGINT) AS count
+       FROM lab l1 CROSS JOIN lab l2 LEFT JOIN cnt c ON c.label = l1.lbl AND c.prediction = l2.lbl""", ("predictions",),
+    [("cnt", "SELECT label, prediction, count(*) AS n FROM predictions GROUP BY ALL"),
+     ("lab", "SELECT lbl, dense_rank() OVER (ORDER BY lbl) - 1 AS idx FROM (SELECT label AS lbl FROM predictions "
+             "UNION SELECT prediction FROM predictions) u")]))
+def q_matrix_flatten(spark, sf):
+    """a 2-D matrix as (row, col, count) cells, zero-filled over the label union."""
+    cells = M.confusion_cells(V.predictions(spark, sf), "label", "prediction")
+    return cells.select("row_idx", "col_idx", "count")
+
+
+@query("column_fate", "SELECT CAST(NULL AS VARCHAR) AS column_name WHERE false")
+def q_column_fate(spark, sf):
+    """Source columns of the flagship that no decision accounts for (must be none)."""
+    _, _, d = flagship(spark, sf)
+    accounted = FE.decisions_frame(spark, d).select(F.col("source_column").alias("column_name"))
+    src = spark.createDataFrame([(c,) for c in V.orders_labeled(spark, sf).columns if c != "is_p"], "column_name string")
+    return src.join(accounted, "column_name", "left_anti")

@@ -51,3 +51,10 @@ def test_convergence_rule():
     assert converged([0.90] + [0.80] * 9) is True
     assert converged([0.50 + 0.01 * i for i in range(10)]) is False
     assert converged([0.80] * 8 + [0.95, 0.80]) is False
+
+
+def test_macro_prf_large_count_table_path(spark, monkeypatch):
+    monkeypatch.setattr(M, "SMALL_TABLE_ROWS", 0)
+    pairs = [("a", "a"), ("a", "b"), ("b", "b"), ("b", "x"), ("a", "a")]
+    r = M.macro_prf(spark.createDataFrame(pairs, "y string, p string"), "y", "p").first()
+    assert math.isclose(r["precision"], 1.5 / 3) and math.isclose(r["recall"], (2 / 3 + 0.5) / 3)
