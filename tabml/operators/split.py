@@ -143,10 +143,11 @@ def train_only_fills(split_df: DataFrame, spec: ProblemSpec) -> dict:
 
 
 def split_and_clean(df: DataFrame, spec: ProblemSpec, key: str | None = None,
-                    method: str = "bucketed", persist: bool = True) -> tuple[DataFrame, dict]:
-    """W1 + W2: one frame with ``is_test``; fills learned on train rows, applied to both sides."""
-    prepared = prepare_for_split(df, spec)
-    if persist:
+                    method: str = "bucketed", persist: bool = True, prepared: bool = False) -> tuple[DataFrame, dict]:
+    """W1 + W2: one frame with ``is_test``; fills learned on train rows, applied to both sides.
+    ``prepared=True``: ``df`` is already target-complete and deduplicated (e.g. from the profile)."""
+    prepared = df if prepared else prepare_for_split(df, spec)
+    if persist and not prepared.is_cached:
         prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     split = train_test_split(prepared, spec, key=key, method=method)
     if persist:

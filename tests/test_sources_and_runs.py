@@ -70,3 +70,14 @@ def test_resume_point(spark):
                                ("d", 1, t, "o", "run started")], "run_id string, seq int, ts timestamp, stage string, event string")
     got = {r["run_id"]: r["resume_from"] for r in RU.resume_point(h).collect()}
     assert got == {"a": "feature", "b": "tuning", "c": "tuning", "d": None}
+
+
+def test_tools_reuse_cache(spark, sf):
+    from tabml.plans.tools import RunCache, engineer_features_tool, profile_dataset_tool
+    cache = RunCache()
+    prof = profile_dataset_tool(spark, "builtin:orders_status", "is_p", "classification", cache, "r", base_dir=sf)
+    assert prof.row_count > 0 and cache.get("r", "deduped", "profile") is not None
+    rep = engineer_features_tool(spark, "builtin:orders_status", "is_p", "classification", cache, "r", base_dir=sf)
+    assert "o_orderstatus_P" in rep.final_feature_names
+    assert cache.get("r", "X", "features")[1] == rep.final_feature_names
+    assert cache.get("other", "X") is None
