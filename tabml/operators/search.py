@@ -67,11 +67,13 @@ def _cv(X: DataFrame, spec: ProblemSpec, features: list[str], param_list: list[d
     from pyspark import StorageLevel
     from pyspark.ml.feature import VectorAssembler
 
-    labels = T.class_labels(X, spec.target_column) if spec.is_classification else None
+    base = X.select(*features, spec.target_column, "fold").persist(StorageLevel.MEMORY_AND_DISK)
+    labels = T.class_labels(base, spec.target_column) if spec.is_classification else None
     asm = VectorAssembler(inputCols=features, outputCol=T.FEATURES, handleInvalid="error")
-    data = asm.transform(T.with_label(X, spec, labels)).select(T.FEATURES, T.LABEL, "fold") \
+    data = asm.transform(T.with_label(base, spec, labels)).select(T.FEATURES, T.LABEL, "fold") \
         .persist(StorageLevel.MEMORY_AND_DISK)
     folds = sorted(r[0] for r in data.select("fold").distinct().collect())
+    base.unpersist()
     train = {f: data.where(F.col("fold") != f) for f in folds}
     valid = {f: data.where(F.col("fold") == f) for f in folds}
     ev = MetricEvaluator(spec.success_metric, spec, labels)
