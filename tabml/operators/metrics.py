@@ -126,14 +126,15 @@ def roc_auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
 
     Distinct scores are range-partitioned by a global sort; negatives below each score = negatives of
     earlier partitions (a per-partition total, one row per partition) + a running sum inside the
-    partition. The partition layout is pinned by a reliable checkpoint before it is used twice."""
+    partition. The partition layout is pinned (persisted) before it is used twice."""
     spark = df.sparkSession
-    from tabml.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
     d = (df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s"))
          .agg(F.sum((F.col(label) == F.lit(positive)).cast("long")).alias("pos"),
               F.sum((F.col(label) != F.lit(positive)).cast("long")).alias("neg")))
-    d = d.orderBy("s").withColumn("pid", F.spark_partition_id()).checkpoint(eager=True)
+    # The partition layout must be the same for both uses below. A persisted frame pins it: a lost
+    # cached partition is recomputed from the same RDD, whose range bounds are fixed.
+    from pyspark import StorageLevel
+    d = d.orderBy("s").withColumn("pid", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     per = {r["pid"]: r["n"] for r in d.groupBy("pid").agg(F.sum("neg").alias("n")).collect()}
     offsets, run = [], 0
     for pid in sorted(per):
@@ -142,8 +143,10 @@ def roc_auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     off = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "pid int, off long"))
     w = Window.partitionBy("pid").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     d2 = d.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0))).join(off, "pid")
-    return d2.agg(F.try_divide(F.sum(F.col("pos") * (F.col("off") + F.col("below") + F.col("neg") / 2.0)),
-                               F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
+    value = d2.agg(F.try_divide(F.sum(F.col("pos") * (F.col("off") + F.col("below") + F.col("neg") / 2.0)),
+                                F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc")).first()[0]
+    d.unpersist()
+    return spark.createDataFrame([(value,)], "roc_auc double")
 
 
 def is_binary(df: DataFrame, label: str) -> bool:
