@@ -1157,3 +1157,101 @@ def q_column_fate(spark, sf):
     accounted = FE.decisions_frame(spark, d).select(F.col("source_column").alias("column_name"))
     src = spark.createDataFrame([(c,) for c in V.orders_labeled(spark, sf).columns if c != "is_p"], "column_name string")
     return src.join(accounted, "column_name", "left_anti")
+
+
+# ====================================================================== remaining inventory keys
+
+@query("apply_fills", Q.compose(
+    """SELECT o_orderkey, round(coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM gaps)), 6) AS o_totalprice,
+       coalesce(o_orderpriority, (SELECT o_orderpriority FROM gaps WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority
+                ORDER BY count(*) DESC, o_orderpriority LIMIT 1)) AS o_orderpriority FROM gaps""", ("gaps",)))
+def q_apply_fills(spark, sf):
+    """One-row statistics (median, mode) applied to every row as literals (no join, no shuffle)."""
+    g = V.gaps(spark, sf)
+    fills = {**P.median_fills(g, ["o_totalprice"]), **P.mode_fills(g, ["o_orderpriority"])}
+    return P.apply_fills(g, fills).select("o_orderkey", r6("o_totalprice").alias("o_totalprice"), "o_orderpriority")
+
+
+@query("est_cost", Q.compose("SELECT run_id, seq, prompt_tokens, completion_tokens, estimated_cost_usd FROM c",
+                             ctes=[_TR, _COST]))
+def q_est_cost(spark, sf):
+    """tokens / 1000 x rate per call, rounded to 6 places."""
+    return RU.with_cost(RV.trace(spark, sf)).select("run_id", "seq", "prompt_tokens", "completion_tokens",
+                                                    "estimated_cost_usd")
+
+
+@query("keep_project", Q.compose(
+    """SELECT CAST(row_number() OVER (ORDER BY CASE WHEN kind = 'interaction' THEN 1 ELSE 0 END, position) - 1 AS INTEGER)
+       AS position, feature FROM fd WHERE decision IN ('kept', 'kept_leakage_warning')""", ("orders_labeled",),
+    Q.split_ctes("orders_labeled", "o_orderkey", "is_p") + [("fd", _FLAG_DECISIONS)]))
+def q_keep_project(spark, sf):
+    """P10: final columns in candidate order, the interaction last."""
+    _, model, _ = flagship(spark, sf)
+    return spark.createDataFrame(list(enumerate(model.plan.final_feature_names)), "position int, feature string")
+
+
+@query("label_union", Q.compose("SELECT actual AS lbl FROM multiclass_predictions UNION SELECT predicted "
+                                "FROM multiclass_predictions", ("multiclass_predictions",)))
+def q_label_union(spark, sf):
+    """Labels present in actual or predicted."""
+    counts = M.pair_counts(V.multiclass_predictions(spark, sf), "actual", "predicted")
+    return M.label_union(counts)
+
+
+@query("target_present", "SELECT 'diagnosis' AS target, false AS present, "
+                         "'Target column ''diagnosis'' not present in data.' AS blocking_issue")
+def q_target_present(spark, sf):
+    """A target missing from the data blocks the run; the profile stops before any statistic."""
+    _, prof = P.clean_and_profile(V.table(spark, sf, "orders"), _spec("classification", "diagnosis"))
+    return spark.createDataFrame([("diagnosis", prof.blocking_issue is None, prof.blocking_issue)],
+                                 "target string, present boolean, blocking_issue string")
+
+
+def _flagship_forest(spark, sf):
+    from tabml.operators import train as T
+    X, _, feats = _flagship_folds(spark, sf)
+    labels = T.class_labels(X, "is_p")
+    data = T.with_label(X, FLAG_SPEC, labels)
+    model = T.forest_pipeline(FLAG_SPEC, feats, T.DEFAULT_PARAMS).fit(data.where(~F.col("is_test")))
+    return model, data, labels, feats
+
+
+@query("rf_train")
+def q_rf_train(spark, sf):
+    """M3: forest (100 trees, depth 8, min split 4, seed 42) on the flagship train rows; one row per
+    feature with its importance."""
+    model, _, _, feats = _flagship_forest(spark, sf)
+    rf = model.stages[-1]
+    imp = rf.featureImportances.toArray().tolist()
+    return spark.createDataFrame([(f, float(v), rf.getNumTrees, rf.totalNumNodes) for f, v in zip(feats, imp)],
+                                 "feature string, importance double, num_trees int, total_nodes int")
+
+
+@query("rf_predict")
+def q_rf_predict(spark, sf):
+    """M4: label-space predictions and P(class 1) for the test rows."""
+    from tabml.operators import train as T
+    model, data, labels, _ = _flagship_forest(spark, sf)
+    preds = T.predict(model, data.where(F.col("is_test")), FLAG_SPEC, labels)
+    return preds.select(F.col("row_key").alias("o_orderkey"), "pred", "score")
+
+
+@query("reuse")
+def q_reuse(spark, sf):
+    """The feature tool reuses a run's profiled frame only when every piece is cached."""
+    from tabml.plans.tools import RunCache, engineer_features_tool, profile_dataset_tool
+    cache = RunCache()
+    profile_dataset_tool(spark, "builtin:orders_status", "is_p", "classification", cache, "r1", base_dir=sf)
+    rows = [("r1", cache.get("r1", "deduped", "profile") is not None),
+            ("r2", cache.get("r2", "deduped", "profile") is not None)]
+    engineer_features_tool(spark, "builtin:orders_status", "is_p", "classification", cache, "r1", base_dir=sf)
+    rows.append(("r1_features", cache.get("r1", "X", "features") is not None))
+    return spark.createDataFrame(rows, "piece string, reused boolean")
+
+
+@query("round_text")
+def q_round_text(spark, sf):
+    """the rationale texts of a profile (percent and fixed-point formatting on collected summaries)."""
+    _, prof = P.clean_and_profile(V.gaps(spark, sf), _spec("classification", "o_orderstatus"))
+    return spark.createDataFrame([(a.column, a.action, a.rationale) for a in prof.cleaning_actions_taken],
+                                 "column string, action string, rationale string")
