@@ -1255,3 +1255,38 @@ def q_round_text(spark, sf):
     _, prof = P.clean_and_profile(V.gaps(spark, sf), _spec("classification", "o_orderstatus"))
     return spark.createDataFrame([(a.column, a.action, a.rationale) for a in prof.cleaning_actions_taken],
                                  "column string, action string, rationale string")
+
+
+# ====================================================================== documents / labels / embeddings
+
+SOURCES = [f"src{i}" for i in range(20)]
+SOURCES_SORTED = sorted(SOURCES)
+LANGS = ["de", "en", "es", "fr"]
+_DOCS = ("dl", "SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic "
+               "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+
+
+def _docs_labeled(spark, sf):
+    """documents left-joined with their (partial) labels; labels is one row per doc_id, so the join
+    keeps one row per document. Spark picks a broadcast of labels only when its size is small."""
+    d = V.table(spark, sf, "documents")
+    lab = V.table(spark, sf, "labels")
+    return d.join(lab, "doc_id", "left").select("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic")
+
+
+@query("one_hot_boundary", Q.compose("SELECT * FROM fd", ctes=[_DOCS, ("fd", Q.decisions_sql(
+    "dl", "n_chars", ["doc_id", "quality", "toxic"],
+    [("text", "categorical", None), ("lang", "categorical", LANGS), ("source", "categorical", SOURCES_SORTED)]))]))
+def q_one_hot_boundary(spark, sf):
+    """F2 at the boundary: ``source`` has exactly 20 values (kept, 20 dummies), ``text`` is dropped as
+    high-cardinality, the labels' gaps stay gaps (pairwise-complete correlation)."""
+    _, _, d = FE.fit_plan(_docs_labeled(spark, sf), _spec("regression", "n_chars"))
+    return FE.decisions_frame(spark, d)
+
+
+@query("nested_dropped", Q.compose("SELECT * FROM fd", ctes=[("fd", Q.decisions_sql(
+    "embeddings", "label", ["vec_id"], [("embedding", "other", None)]))]))
+def q_nested_dropped(spark, sf):
+    """Array columns are out of scope as features: dropped with a reason instead of failing."""
+    _, _, d = FE.fit_plan(V.table(spark, sf, "embeddings"), _spec("classification", "label"))
+    return FE.decisions_frame(spark, d)

@@ -81,6 +81,8 @@ def decisions_sql(src: str, target: str, numeric: list[str], per_column: list[tu
             head.append((c, c, "datetime_raw", "decomposed"))
         elif cls == "categorical":
             head.append((c, c, "categorical", "one_hot" if vocab is not None else "dropped_high_cardinality"))
+        elif cls == "other":
+            head.append((c, c, "other", "dropped_type"))
     y = f"CAST({target} AS DOUBLE)"
     x_proj = ", ".join(f'{e} AS "x{i}"' for i, (_, e, _, _) in enumerate(cands))
     stats = ", ".join(f'{corr_expr(chr(34) + "x" + str(i) + chr(34), "__y")} AS "r{i}", var_samp("x{i}") AS "v{i}"'
