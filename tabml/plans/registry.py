@@ -940,7 +940,7 @@ from tabml.sources import runstore as RS  # noqa: E402
 
 
 def _store_frames(spark, sf):
-    """The derived runs in the store schemas (trial lists are bounded by each run's trial budget)."""
+    """The derived runs in the store schemas; trials go to their own flat table (never an array per run)."""
     r = _runs_ext(spark, sf)
     tl = RV.trials(spark, sf)
     conv = SE.convergence_table(tl)
@@ -948,18 +948,12 @@ def _store_frames(spark, sf):
     params = F.create_map(F.lit("n_estimators"), F.col("n_estimators").cast("string"), F.lit("max_depth"),
                           F.col("max_depth").cast("string"), F.lit("min_samples_split"),
                           F.col("min_samples_split").cast("string"))
-    raw = F.sort_array(F.collect_list(F.struct("trial_number", "n_estimators", "max_depth", "min_samples_split",
-                                               "score")))
-
-    def as_trial(t):
-        m = F.create_map(F.lit("n_estimators"), t["n_estimators"].cast("string"), F.lit("max_depth"),
-                         t["max_depth"].cast("string"), F.lit("min_samples_split"), t["min_samples_split"].cast("string"))
-        return F.struct(t["trial_number"].alias("trial_number"), m.alias("params"), t["score"].alias("score"))
-    hist = tl.groupBy("run_id").agg(F.transform(raw, as_trial).alias("search_history"),
-                                    F.max_by(params, F.struct(F.col("score"), -F.col("trial_number"))).alias("best_params"))
+    trials = tl.select("run_id", "trial_number", params.alias("params"), "score")
+    hist = tl.groupBy("run_id").agg(
+        F.max_by(params, F.struct(F.col("score"), -F.col("trial_number"))).alias("best_params"))
     tuning = F.when(F.col("n_trials").isNotNull(), F.struct(
         F.col("best_params"), F.col("best_score").alias("best_cv_score"), F.lit("f1_macro").alias("metric_optimized"),
-        F.col("search_history"), F.col("converged"), F.col("n_trials").cast("int"), F.col("n_trials").cast("int"),
+        F.col("converged"), F.col("n_trials").cast("int"), F.col("n_trials").cast("int"),
         F.lit("").alias("convergence_notes")))
     evaluation = F.when(F.col("metric_value").isNotNull(), F.struct(
         F.create_map(F.col("success_metric"), F.col("metric_value")).alias("test_metrics"), F.col("success_metric"),
@@ -978,13 +972,14 @@ def _store_frames(spark, sf):
     t = RV.trace(spark, sf)
     tr = RU.with_cost(t).select("run_id", "seq", F.col("ts").cast("timestamp"), "agent", "model", "prompt_tokens",
                                 "completion_tokens", "total_tokens", F.lit(0.0).alias("latency_ms"), "estimated_cost_usd")
-    return runs, h, tr
+    known = runs.select("run_id")
+    return runs, h, tr, trials.join(known, "run_id", "left_semi")
 
 
 def _fresh_store(spark, sf) -> str:
     root = scratch_path(spark, "runstore")
-    runs, h, tr = _store_frames(spark, sf)
-    RS.write_runs_frame(root, runs, h, tr)
+    runs, h, tr, trials = _store_frames(spark, sf)
+    RS.write_runs_frame(root, runs, h, tr, trials)
     return root
 
 

@@ -8,6 +8,7 @@ exactly the runs it contains and leaves every other run alone):
                trial budget, classes x classes), never by event volume.
 - ``history``  one row per logged event (seq, ts, stage, event).
 - ``trace``    one row per model call.
+- ``trials``   one row per search trial (its list grows with the search, so it is not an array).
 
 Section semantics of ``persist_run_state``: the spec is always replaced, a report is replaced when
 present and kept when absent, history and trace are replaced as whole lists. The 26 relational
@@ -39,7 +40,6 @@ EDA_T = ("struct<correlation_summary:array<struct<feature:string,corr:double>>,"
          "dropped_features:array<struct<name:string,rationale:string>>,leakage_warnings:array<string>,"
          "data_quality_warnings:array<string>,target_distribution_notes:string,final_feature_names:array<string>>")
 TUNING_T = ("struct<best_params:map<string,string>,best_cv_score:double,metric_optimized:string,"
-            "search_history:array<struct<trial_number:int,params:map<string,string>,score:double>>,"
             "converged:boolean,search_budget_used:int,search_budget_total:int,convergence_notes:string>")
 EVAL_T = ("struct<test_metrics:map<string,double>,metric_optimized:string,metric_value:double,"
           "metric_threshold:double,pass_fail:string,confusion_matrix:array<array<bigint>>,"
@@ -48,6 +48,7 @@ RUNS_SCHEMA = (f"run_id string, status string, loop_count int, created_at timest
                f"spec {SPEC_T}, data_profile {PROFILE_T}, eda_report {EDA_T}, tuning_result {TUNING_T}, "
                f"evaluation_report {EVAL_T}")
 HISTORY_SCHEMA = "run_id string, seq bigint, ts timestamp, stage string, event string"
+TRIALS_SCHEMA = "run_id string, trial_number int, params map<string,string>, score double"
 TRACE_SCHEMA = ("run_id string, seq bigint, ts timestamp, agent string, model string, prompt_tokens bigint, "
                 "completion_tokens bigint, total_tokens bigint, latency_ms double, estimated_cost_usd double")
 SECTIONS = ("data_profile", "eda_report", "tuning_result", "evaluation_report")
@@ -119,9 +120,6 @@ def _section_row(name: str, doc):
     if name == "tuning_result":
         return dict(best_params={k: _param_text(v) for k, v in doc.best_params.items()},
                     best_cv_score=float(doc.best_cv_score), metric_optimized=doc.metric_optimized,
-                    search_history=[dict(trial_number=t.trial_number, score=float(t.score),
-                                         params={k: _param_text(v) for k, v in t.params.items()})
-                                    for t in doc.search_history],
                     converged=doc.converged, search_budget_used=doc.search_budget_used,
                     search_budget_total=doc.search_budget_total, convergence_notes=doc.convergence_notes)
     if name == "evaluation_report":
@@ -159,6 +157,13 @@ def persist_run_state(spark: SparkSession, root: str, run: PipelineRun) -> None:
     row = dict(run_id=run.run_id, status=run.status, loop_count=run.loop_count, created_at=_ts(created),
                updated_at=_ts(updated), spec=_spec_row(run.problem_spec), **sections)
     _write(spark.createDataFrame([_asrow(row)], RUNS_SCHEMA), root, "runs")
+    if run.tuning_result is not None:   # present section: its trial list is replaced as a whole
+        trials = [(run.run_id, t.trial_number, {k: _param_text(v) for k, v in t.params.items()}, float(t.score))
+                  for t in run.tuning_result.search_history]
+        if trials:
+            _write(spark.createDataFrame(trials, TRIALS_SCHEMA), root, "trials")
+        else:
+            _delete_partition(spark, root, "trials", run.run_id)
     hist = [(run.run_id, i, _ts(h.timestamp), h.stage, h.event) for i, h in enumerate(run.history)]
     trace = [(run.run_id, i, None, t.agent, t.model, t.prompt_tokens, t.completion_tokens, t.total_tokens,
               float(t.latency_ms), float(t.estimated_cost_usd)) for i, t in enumerate(run.trace)]
@@ -187,9 +192,11 @@ def _asrow(row: dict):
 
 
 def write_runs_frame(root: str, runs: DataFrame, history: DataFrame | None = None,
-                     trace: DataFrame | None = None) -> None:
+                     trace: DataFrame | None = None, trials: DataFrame | None = None) -> None:
     """S6 in bulk: DataFrames in the store schemas; each run present is replaced (dynamic overwrite)."""
     _write(runs, root, "runs")
+    if trials is not None:
+        _write(trials, root, "trials")
     if history is not None:
         _write(history, root, "history")
     if trace is not None:
@@ -237,10 +244,11 @@ def load_run_state(spark: SparkSession, root: str, run_id: str) -> PipelineRun |
                                    e["target_distribution_notes"], list(e["final_feature_names"]))
     t = r["tuning_result"]
     if t is not None:
+        tr = _read(spark, root, "trials", TRIALS_SCHEMA).where(F.col("run_id") == run_id).orderBy("trial_number")
         run.tuning_result = TuningResult(
             {k: parse_param_value(v) for k, v in t["best_params"].items()}, t["best_cv_score"], t["metric_optimized"],
             [TrialRecord(h["trial_number"], {k: parse_param_value(v) for k, v in h["params"].items()}, h["score"])
-             for h in sorted(t["search_history"], key=lambda h: h["trial_number"])],
+             for h in tr.collect()],
             t["converged"], t["search_budget_used"], t["search_budget_total"], t["convergence_notes"])
     v = r["evaluation_report"]
     if v is not None:
@@ -275,7 +283,7 @@ def run_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     out["feature_decisions"] = (exploded("eda_report.engineered_features", "e").withColumn("kind", F.lit("engineered"))
                                 .unionByName(exploded("eda_report.dropped_features", "d")
                                              .withColumn("kind", F.lit("dropped"))))
-    out["trial_records"] = exploded("tuning_result.search_history", "trial_records")
+    out["trial_records"] = _read(spark, root, "trials", TRIALS_SCHEMA)
     out["test_metric_entries"] = runs.select("run_id", F.explode("evaluation_report.test_metrics").alias("metric", "value"))
     out["confusion_matrix_cells"] = (runs.select("run_id", F.posexplode("evaluation_report.confusion_matrix")
                                                  .alias("row_idx", "r"))

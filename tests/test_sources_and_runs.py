@@ -81,3 +81,17 @@ def test_tools_reuse_cache(spark, sf):
     assert "o_orderstatus_P" in rep.final_feature_names
     assert cache.get("r", "X", "features")[1] == rep.final_feature_names
     assert cache.get("other", "X") is None
+
+
+def test_tuning_trials_round_trip(spark, tmp_path):
+    from tabml.reports import TrialRecord, TuningResult
+    root = str(tmp_path / "store2")
+    spec = ProblemSpec("regression", "y", "rmse", 10.0, "x.parquet")
+    tr = TuningResult({"n_estimators": 120, "max_depth": 4}, -3.5, "neg_root_mean_squared_error",
+                      [TrialRecord(0, {"n_estimators": 50, "max_depth": 2}, -4.0),
+                       TrialRecord(1, {"n_estimators": 120, "max_depth": 4}, -3.5)], True, 2, 2, "ok")
+    RS.persist_run_state(spark, root, PipelineRun("t1", spec, tuning_result=tr,
+                                                  history=[HistoryEntry("2024-01-01T00:00:00", "o", "run started")]))
+    back = RS.load_run_state(spark, root, "t1").tuning_result
+    assert back.best_params == {"n_estimators": 120, "max_depth": 4}
+    assert [(t.trial_number, t.params["n_estimators"], t.score) for t in back.search_history] == [(0, 50, -4.0), (1, 120, -3.5)]
