@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from tabml import spec as S
@@ -19,6 +20,7 @@ def _g(group: list[str] | None) -> list[str]:
 
 
 SMALL_TABLE_ROWS = 100_000
+MAX_MATRIX_CLASSES = 10_000   # a zero-filled matrix has classes^2 cells; labels per group are checked below this
 
 
 def pair_counts(df: DataFrame, label: str, pred: str, group: list[str] | None = None) -> DataFrame:
@@ -52,14 +54,25 @@ def confusion_cells(df: DataFrame, label: str, pred: str, group: list[str] | Non
     g = _g(group)
     counts = counts if counts is not None else pair_counts(df, label, pred, group)
     labels = label_union(counts, group)
-    w = Window.partitionBy(*g).orderBy("lbl") if g else Window.orderBy("lbl")
-    labels = labels.withColumn("idx", (F.dense_rank().over(w) - 1).cast("int"))
-    a = labels.select(*g, F.col("lbl").alias("actual"), F.col("idx").alias("row_idx"))
-    p = labels.select(*g, F.col("lbl").alias("predicted"), F.col("idx").alias("col_idx"))
-    grid = a.join(p, g) if g else a.crossJoin(p)
-    return (grid.join(counts, g + ["actual", "predicted"], "left")
+    widest = labels.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
+    if widest > MAX_MATRIX_CLASSES:
+        raise ValueError(f"{widest} classes: too many for a confusion matrix (limit {MAX_MATRIX_CLASSES})")
+    # per group: the sorted label list (bounded above); per (group, actual): predicted -> n
+    labs = labels.groupBy(*g).agg(F.array_sort(F.collect_list("lbl")).alias("labs"))
+    known = counts.where(F.col("actual").isNotNull() & F.col("predicted").isNotNull())
+    by_row = known.groupBy(*g, "actual").agg(F.map_from_entries(F.collect_list(F.struct("predicted", "n"))).alias("m"))
+    # one row per actual label (zero rows included), expanded over the label list into its cells
+    rows = labels.withColumnRenamed("lbl", "actual").join(by_row, g + ["actual"], "left")
+    if g:
+        rows = rows.join(labs, g)
+    else:   # one list of at most MAX_MATRIX_CLASSES labels: an array literal, no join
+        first = labs.first()
+        rows = rows.withColumn("labs", F.lit(list(first["labs"]) if first else [])
+                               .cast(ArrayType(labels.schema["lbl"].dataType)))
+    return (rows.select(*g, "actual", "m", (F.array_position("labs", F.col("actual")) - 1).cast("int").alias("row_idx"),
+                        F.posexplode("labs").alias("col_idx", "predicted"))
             .select(*g, "actual", "predicted", "row_idx", "col_idx",
-                    F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("count")))
+                    F.coalesce(F.try_element_at("m", F.col("predicted")), F.lit(0)).cast("long").alias("count")))
 
 
 def confusion_matrix(df: DataFrame, label: str, pred: str) -> list[list[int]]:

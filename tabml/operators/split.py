@@ -26,6 +26,9 @@ BUCKET = "__bucket"
 GROUP = "__grp"
 BUCKET_HEX_DIGITS = 4          # 65,536 buckets per class
 MAX_BROADCAST_GROUPS = 100_000  # the per-class cut-off table is broadcast only below this size
+# The window forms rank a whole class in one task: a small-input form (and the tests' reference for
+# the bucketed form). Above this many rows in any class the bucketed form runs instead (same rows).
+WINDOW_FORM_MAX_ROWS = 1_000_000
 
 
 def key_text(df: DataFrame, key: str | None) -> Column:
@@ -92,7 +95,7 @@ def train_test_split(df: DataFrame, spec: ProblemSpec, key: str | None = None,
     quotas = test_quotas(counts, stratified=spec.is_classification)
     qf = F.broadcast(_quota_frame(spark, quotas, base.schema[GROUP].dataType))
     out_cols = df.columns + ["is_test"]
-    if method == "window":
+    if method == "window" and max(counts.values(), default=0) <= WINDOW_FORM_MAX_ROWS:
         w = Window.partitionBy(GROUP).orderBy(*_tie(key))
         return (base.join(qf, GROUP).withColumn("__rn", F.row_number().over(w))
                 .withColumn("is_test", F.col("__rn") <= F.col("__quota")).select(*out_cols))
@@ -166,8 +169,21 @@ def cv_folds(train: DataFrame, spec: ProblemSpec, key: str | None = None, folds:
     base, grp = _groups(with_hash_order(train, key), spec)
     out_cols = train.columns + ["fold"]
     if method == "window":
-        w = Window.orderBy(grp, *_tie(key))
-        return base.withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int")).select(*out_cols)
+        # per class: rows of earlier classes (a small table) + rank inside the class
+        sizes = base.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).limit(MAX_BROADCAST_GROUPS + 1).collect()
+        if len(sizes) > MAX_BROADCAST_GROUPS:
+            raise ValueError(f"more than {MAX_BROADCAST_GROUPS} classes: too many for stratified folds")
+        if max((r["n"] for r in sizes), default=0) <= WINDOW_FORM_MAX_ROWS:
+            spark = train.sparkSession
+            offs, run = [], 0
+            for r in sorted(sizes, key=lambda r: r[GROUP]):
+                offs.append((r[GROUP], run))
+                run += r["n"]
+            of = F.broadcast(spark.createDataFrame(offs, f"{GROUP} {base.schema[GROUP].dataType.simpleString()}, __off long"))
+            w = Window.partitionBy(GROUP).orderBy(*_tie(key))
+            return (base.join(of, GROUP)
+                    .withColumn("fold", ((F.col("__off") + F.row_number().over(w) - 1) % folds).cast("int"))
+                    .select(*out_cols))
     cells = base.groupBy(GROUP, BUCKET).agg(F.count(F.lit(1)).alias("n"))
     w_all = Window.orderBy(GROUP, BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.withColumn("__off", F.coalesce(F.sum("n").over(w_all), F.lit(0))).select(GROUP, BUCKET, "__off")

@@ -41,10 +41,14 @@ def build_session(master: str | None = None, app: str = "tabml", shuffle_partiti
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local runs, tests) we pick a fresh scratch folder.
+    Read from the session; only when it is unset on a ``local`` master (local runs, tests) we pick a
+    fresh scratch folder. On a cluster a machine-local folder would not survive a lost executor, so
+    an unset value is an error there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:  # only where the cluster names none (local runs, tests)
+    if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on HDFS or S3)")
         d = tempfile.mkdtemp(prefix="tabml-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

@@ -34,6 +34,23 @@ def test_macro_prf_with_label_only_predicted(spark):
     assert M.confusion_matrix(df, "y", "p") == [[2, 1, 0], [0, 1, 1], [0, 0, 0]]
 
 
+def test_confusion_cells_per_group_match_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(f"g{rng.randint(0, 2)}", rng.choice("abc"), rng.choice("abcd")) for _ in range(300)]
+    rows.append(("g3", None, "a"))   # a null actual is not a label
+    df = spark.createDataFrame(rows, "g string, y string, p string").repartition(4)
+    got = {(r["g"], r["actual"], r["predicted"]): (r["row_idx"], r["col_idx"], r["count"])
+           for r in M.confusion_cells(df, "y", "p", ["g"]).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        sub = [(y, p) for gg, y, p in rows if gg == g]
+        labs = sorted({v for pair in sub for v in pair if v is not None})
+        for i, a in enumerate(labs):
+            for j, b in enumerate(labs):
+                want[(g, a, b)] = (i, j, sum(1 for y, p in sub if (y, p) == (a, b)))
+    assert got == want
+
+
 def test_regression_metrics(spark):
     rows = [(float(2 * i + 1), float(2 * i + 1 + (1 if i % 2 else -1))) for i in range(120)]
     r = M.regression_metrics(spark.createDataFrame(rows, "y double, p double"), "y", "p").first()
