@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 # Wide aggregates are split into chunks so generated code stays under the JVM method-size limit.
 AGG_CHUNK = 48
-# Exact `percentile` keeps a value->count map per aggregation buffer; above this many distinct
-# values we switch to the narrowing histogram search (bounded memory, a few scans, no shuffle).
-EXACT_PERCENTILE_MAX_DISTINCT = 1_000_000
+# Exact `percentile` keeps a value->count map per aggregation buffer, and a global aggregate merges
+# every task's map in one final task: the merge work is bounded by the number of rows, not by the
+# number of distinct values. So it is used only on inputs of at most PERCENTILE_MAX_ROWS rows, with
+# columns packed so one job's maps hold at most PERCENTILE_BUDGET entries. Larger inputs use the
+# narrowing histogram search (distributed partial aggregates, a few scans for all columns together).
+PERCENTILE_MAX_ROWS = 250_000
+PERCENTILE_BUDGET = 8_000_000
 HIST_BUCKETS = 4096
-FINAL_TAKE_ROWS = 200_000
+# a search range holding at most this many rows is finished by counting its distinct values
+FINAL_RANGE_ROWS = 20_000
+MAX_ROUNDS = 64
 
 
 def wide_agg(df: DataFrame, exprs: Sequence[Column]) -> dict:
@@ -52,84 +58,110 @@ def rounded_corr(value) -> float:
 # Exact quantiles (linear interpolation, like numpy / pandas / DuckDB quantile_cont)
 # --------------------------------------------------------------------------------------------
 
-def _kth_smallest(df: DataFrame, c: str, k: int, lo, hi, below: int):
-    """k-th smallest (0-based, over non-null values of c) by narrowing a value range.
+def kth_smallest(df: DataFrame, targets: Sequence[tuple[str, int]], bounds: dict) -> dict:
+    """{(column, k): k-th smallest (0-based) non-null value of the column, as float}.
 
-    Invariant: exactly ``below`` values are < lo, and the k-th value lies in [lo, hi].
-    Each round is one scan with a partial aggregate into <= HIST_BUCKETS rows; once the range
-    holds few rows they are ordered with a bounded take.
+    All targets narrow together: each round is ONE scan that emits, for every open search range
+    (column, lo, hi), the row's histogram bucket, and one partial aggregate counts (range, bucket)
+    cells, so the shuffle carries at most ranges x HIST_BUCKETS rows whatever the data size. The
+    driver keeps, per target, the bucket holding rank k (invariant: exactly ``below`` values are
+    < lo and the k-th value lies in [lo, hi]). A range with few rows is finished by counting its
+    distinct values (still an aggregate; at most FINAL_RANGE_ROWS rows per range reach the driver).
+    ``bounds``: {column: (min, max)} of the non-null values.
     """
-    col = F.col(c)
-    for _ in range(64):
-        if lo == hi:
-            return lo
-        sub = df.where((col >= F.lit(lo)) & (col <= F.lit(hi)))
-        b = F.least(F.width_bucket(col.cast("double"), F.lit(float(lo)), F.lit(float(hi)),
-                                   F.lit(HIST_BUCKETS)), F.lit(HIST_BUCKETS))
-        hist = (sub.groupBy(b.alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"))
-                .orderBy("b").collect())
-        n_in = sum(r["n"] for r in hist)
-        stuck = len(hist) == 1
-        if n_in <= FINAL_TAKE_ROWS or stuck:
-            rows = sub.select(col).orderBy(col).limit(k - below + 1).collect()
-            return rows[-1][0]
-        cum = below
-        for r in hist:
-            if k < cum + r["n"]:
-                lo, hi, below = r["lo"], r["hi"], cum
-                break
-            cum += r["n"]
-    raise RuntimeError(f"quantile search on {c} did not converge")
+    state = {t: (float(bounds[t[0]][0]), float(bounds[t[0]][1]), 0, False) for t in targets}
+    done: dict = {}
+    for _ in range(MAX_ROUNDS):
+        for t, (lo, hi, _b, _f) in list(state.items()):
+            if t not in done and lo == hi:
+                done[t] = lo
+        open_ = [t for t in state if t not in done]
+        if not open_:
+            return done
+        ranges: dict = {}
+        for t in open_:
+            lo, hi, _b, final = state[t]
+            ranges.setdefault((t[0], lo, hi, final), len(ranges))
+        cells = []
+        for (c, lo, hi, final), rid in ranges.items():
+            v = F.col(c).cast("double")
+            key = v if final else F.least(F.width_bucket(v, F.lit(lo), F.lit(hi), F.lit(HIST_BUCKETS)),
+                                          F.lit(HIST_BUCKETS)).cast("double")
+            cells.append(F.when(v.between(F.lit(lo), F.lit(hi)),
+                                F.struct(F.lit(rid).alias("r"), key.alias("b"), v.alias("v"))))
+        stacked = df.select(F.explode(F.array(*cells)).alias("s")).where(F.col("s").isNotNull())
+        hist: dict = {}
+        for row in (stacked.groupBy(F.col("s.r").alias("r"), F.col("s.b").alias("b"))
+                    .agg(F.count(F.lit(1)).alias("n"), F.min("s.v").alias("lo"), F.max("s.v").alias("hi"))
+                    .collect()):
+            hist.setdefault(row["r"], []).append(row)
+        for t in open_:
+            lo, hi, below, final = state[t]
+            k = t[1]
+            cum = below
+            for cell in sorted(hist.get(ranges[(t[0], lo, hi, final)], []), key=lambda r: r["b"]):
+                if k < cum + cell["n"]:
+                    if final or cell["lo"] == cell["hi"]:
+                        done[t] = float(cell["lo"])
+                    else:
+                        stuck = (cell["lo"], cell["hi"]) == (lo, hi)
+                        state[t] = (float(cell["lo"]), float(cell["hi"]), cum,
+                                    stuck or cell["n"] <= FINAL_RANGE_ROWS)
+                    break
+                cum += cell["n"]
+            else:
+                raise RuntimeError(f"rank {k} of {t[0]} not found in its search range")
+    raise RuntimeError("quantile search did not converge")
+
+
+def _percentile_jobs(cols: Sequence[str], n_rows: int) -> list[list[str]]:
+    """Columns per job so their percentile maps hold at most PERCENTILE_BUDGET entries together."""
+    per = max(1, min(AGG_CHUNK, PERCENTILE_BUDGET // max(n_rows, 1)))
+    return [list(cols[i:i + per]) for i in range(0, len(cols), per)]
+
+
+def _percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], n_rows: int) -> dict[str, list]:
+    out: dict[str, list] = {}
+    arr = F.array(*[F.lit(float(p)) for p in probs])
+    for job in _percentile_jobs(list(cols), n_rows):
+        res = df.agg(*[F.percentile(F.col(c), arr).alias(c) for c in job]).first().asDict()
+        for c in job:
+            out[c] = list(res[c]) if res[c] is not None else [None] * len(probs)
+    return out
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    max_exact_distinct: int = EXACT_PERCENTILE_MAX_DISTINCT, n_rows: int | None = None
+                    max_percentile_rows: int = PERCENTILE_MAX_ROWS, n_rows: int | None = None
                     ) -> dict[str, list]:
     """{col: [q(p) for p in probs]} over non-null values; None for an all-null column.
 
-    Low-cardinality columns use Spark's exact ``percentile`` in one fused aggregate. Columns with
-    more distinct values than ``max_exact_distinct`` (whose percentile buffer would grow with the
-    data) use a per-rank range search; the answer is the same.
+    Inputs of at most ``max_percentile_rows`` rows use Spark's exact ``percentile``; larger ones the
+    batched rank search (``kth_smallest``). Both give the same answer (tested).
     """
     cols = list(cols)
     if not cols:
         return {}
-    if n_rows is not None and n_rows <= max_exact_distinct:   # distinct <= rows: no pre-pass needed
-        res = wide_agg(df, [F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in probs])).alias(c)
-                            for c in cols])
-        return {c: (list(res[c]) if res[c] is not None else [None] * len(probs)) for c in cols}
-    pre = wide_agg(df, [e for c in cols for e in (
-        F.count(c).alias(f"n__{c}"), F.approx_count_distinct(c).alias(f"d__{c}"),
-        F.min(c).alias(f"mn__{c}"), F.max(c).alias(f"mx__{c}"))])
-    small = [c for c in cols if pre[f"d__{c}"] <= max_exact_distinct]
-    big = [c for c in cols if c not in small]
+    if n_rows is not None and n_rows <= max_percentile_rows:
+        return _percentiles(df, cols, probs, n_rows)
+    pre = wide_agg(df, [F.count(F.lit(1)).alias("__rows")] + [e for c in cols for e in (
+        F.count(c).alias(f"n__{c}"), F.min(c).alias(f"mn__{c}"), F.max(c).alias(f"mx__{c}"))])
+    if pre["__rows"] <= max_percentile_rows:
+        return _percentiles(df, cols, probs, pre["__rows"])
     out: dict[str, list] = {}
-    if small:
-        res = wide_agg(df, [F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in probs])).alias(c)
-                            for c in small])
-        for c in small:
-            out[c] = list(res[c]) if res[c] is not None else [None] * len(probs)
-    for c in big:
+    ranks: dict[str, list] = {}
+    for c in cols:
         n = pre[f"n__{c}"]
         if n == 0:
             out[c] = [None] * len(probs)
             continue
-        sub = df.select(c).where(F.col(c).isNotNull())
-        cache: dict[int, float] = {}
-
-        def kth(k: int) -> float:
-            if k not in cache:
-                cache[k] = float(_kth_smallest(sub, c, k, pre[f"mn__{c}"], pre[f"mx__{c}"], 0))
-            return cache[k]
-
-        vals = []
+        ranks[c] = []
         for p in probs:
             h = (n - 1) * p
             k0 = int(math.floor(h))
-            k1 = min(k0 + 1, n - 1)
-            v0 = kth(k0)
-            v1 = kth(k1) if k1 != k0 else v0
-            vals.append(v0 + (h - k0) * (v1 - v0))
-        out[c] = vals
+            ranks[c].append((h - k0, k0, min(k0 + 1, n - 1)))
+    if ranks:
+        targets = sorted({(c, k) for c, rs in ranks.items() for _, k0, k1 in rs for k in (k0, k1)})
+        found = kth_smallest(df.select(*ranks), targets, {c: (pre[f"mn__{c}"], pre[f"mx__{c}"]) for c in ranks})
+        for c, rs in ranks.items():
+            out[c] = [found[(c, k0)] + frac * (found[(c, k1)] - found[(c, k0)]) for frac, k0, k1 in rs]
     return out
