@@ -1193,13 +1193,21 @@ def q_label_union(spark, sf):
     return M.label_union(counts)
 
 
-@query("target_present", "SELECT 'diagnosis' AS target, false AS present, "
-                         "'Target column ''diagnosis'' not present in data.' AS blocking_issue")
+@query("target_present", Q.compose(
+    "SELECT r.request_id, r.dataset, r.target_column, h.hit IS NOT NULL AS present, "
+    "CASE WHEN h.hit IS NULL THEN 'Target column ''' || r.target_column || ''' not present in data.' END AS blocking_issue "
+    "FROM rq r LEFT JOIN (SELECT dataset, column_name, true AS hit FROM ic) h "
+    "ON h.dataset = r.dataset AND h.column_name = r.target_column "
+    "WHERE r.dataset IS NOT NULL AND r.target_column IS NOT NULL",
+    ctes=[_INFO, ("rq", REQUESTS_SQL.replace("{events}", "events"))]))
 def q_target_present(spark, sf):
-    """A target missing from the data blocks the run; the profile stops before any statistic."""
-    _, prof = P.clean_and_profile(V.table(spark, sf, "orders"), _spec("classification", "diagnosis"))
-    return spark.createDataFrame([("diagnosis", prof.blocking_issue is None, prof.blocking_issue)],
-                                 "target string, present boolean, blocking_issue string")
+    """P4 over every candidate spec (one per user in ``events``): a target that is not a column of its
+    dataset blocks the run with the profile's message. The single-spec form is ``clean_and_profile``,
+    which stops before any statistic (unit-tested)."""
+    req = spark.sql(REQUESTS_SQL, events=V.table(spark, sf, "events"))
+    req = req.where(F.col("dataset").isNotNull() & F.col("target_column").isNotNull())
+    return P.target_present_table(req, _columns_table(spark, sf)).select(
+        "request_id", "dataset", "target_column", "present", "blocking_issue")
 
 
 def _flagship_forest(spark, sf):
