@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabml import spec as S
+from tabml.operators.stats import broadcast_if_small
 
 # ---- fixed values: model prices per 1K tokens (prompt, completion), unknown models cost 0 ----
 PRICING_PER_1K_TOKENS = {"gpt-4o-mini": (0.00015, 0.0006)}
@@ -215,7 +216,9 @@ def spec_override(defaults: DataFrame, overrides: DataFrame, fields: list[str],
 
 def unknown_target(specs: DataFrame, columns: DataFrame, key: str = "dataset") -> DataFrame:
     """Requested targets that are not real columns, with the sorted real column names."""
-    missing = specs.join(columns.select(key, F.col("column_name").alias("target_column")),
-                         [key, "target_column"], "left_anti")
+    names = columns.select(key, F.col("column_name").alias("target_column"))
     real = columns.groupBy(key).agg(F.array_sort(F.collect_set("column_name")).alias("real_columns"))
+    # a catalog (one row per column) is tiny next to the specs, and its key (dataset) has few values
+    names, real = broadcast_if_small(names), broadcast_if_small(real)
+    missing = specs.join(names, [key, "target_column"], "left_anti")
     return missing.join(real, key, "left")

@@ -36,6 +36,17 @@ def wide_agg(df: DataFrame, exprs: Sequence[Column]) -> dict:
     return out
 
 
+CATALOG_BROADCAST_ROWS = 100_000   # catalogs / lookup tables below this many rows are broadcast
+
+
+def broadcast_if_small(df: DataFrame, limit: int = CATALOG_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``limit`` rows (checked with a bounded count), else df.
+
+    Used for catalogs joined on keys with few values (dataset, label), where a shuffle join would
+    send each key's rows to one task."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def abs_corr(x: Column, y: Column) -> Column:
     """|Pearson r| over pairwise-complete rows; null when undefined (constant column, < 2 rows).
 

@@ -815,6 +815,19 @@ def q_decision_union(spark, sf):
     return RU.decision_union(eng.select("feature"), drp.select("feature"))
 
 
+# candidate problem specs, one per user of ``events`` (spec checks run over all of them)
+REQUESTS_SQL = """SELECT concat('req-', CAST(user_id AS STRING)) AS request_id,
+  CASE user_id % 4 WHEN 0 THEN 'orders' WHEN 1 THEN 'part' WHEN 2 THEN 'customer' END AS dataset,
+  CASE WHEN user_id % 5 = 0 THEN NULL WHEN user_id % 2 = 0 THEN 'classification' ELSE 'regression' END AS task_type,
+  CASE user_id % 6 WHEN 0 THEN 'o_orderstatus' WHEN 1 THEN 'p_retailprice' WHEN 2 THEN 'c_mktsegment'
+       WHEN 3 THEN 'label' WHEN 4 THEN NULL ELSE 'o_totalprice' END AS target_column,
+  CASE user_id % 7 WHEN 0 THEN 'f1' WHEN 1 THEN 'rmse' WHEN 2 THEN 'accuracy' WHEN 3 THEN 'r2' WHEN 4 THEN 'roc_auc'
+       WHEN 5 THEN 'mae' END AS success_metric,
+  CASE WHEN user_id % 11 = 0 THEN NULL ELSE CAST(0.8 AS DOUBLE) END AS metric_threshold,
+  CASE user_id % 3 WHEN 0 THEN 'builtin:orders_status' WHEN 1 THEN 'data/x.csv' ELSE 'somewhere.txt' END AS data_source,
+  CASE WHEN user_id % 13 = 0 THEN 'metric_threshold' END AS unclear
+FROM (SELECT DISTINCT user_id FROM {events}) u"""
+
 _TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
            "pages", "benchmark", "labels", "conversations"]
 _INFO = ("ic", "SELECT table_name AS dataset, column_name, CAST(ordinal_position - 1 AS INTEGER) AS position "
@@ -838,16 +851,18 @@ def q_guess_target(spark, sf):
 
 
 @query("unknown_target", Q.compose(
-    """SELECT s.dataset, s.target_column, (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM ic c
-       WHERE c.dataset = s.dataset) AS real_columns
-       FROM (SELECT DISTINCT dataset, 'label' AS target_column FROM ic) s
-       WHERE NOT EXISTS (SELECT 1 FROM ic c WHERE c.dataset = s.dataset AND c.column_name = s.target_column)""",
-    ctes=[_INFO]))
+    """SELECT r.request_id, r.dataset, r.target_column, (SELECT string_agg(column_name, ',' ORDER BY column_name)
+       FROM ic c WHERE c.dataset = r.dataset) AS real_columns
+       FROM rq r WHERE r.dataset IS NOT NULL AND r.target_column IS NOT NULL
+       AND NOT EXISTS (SELECT 1 FROM ic c WHERE c.dataset = r.dataset AND c.column_name = r.target_column)""",
+    ctes=[_INFO, ("rq", REQUESTS_SQL.replace("{events}", "events"))]))
 def q_unknown_target(spark, sf):
-    cols = _columns_table(spark, sf)
-    specs = cols.select("dataset").distinct().withColumn("target_column", F.lit("label"))
-    out = RU.unknown_target(specs, cols)
-    return out.select("dataset", "target_column", F.array_join("real_columns", ",").alias("real_columns"))
+    """J5 over every candidate spec (one per user in ``events``): targets that are not real columns,
+    with the dataset's real columns, sorted."""
+    req = spark.sql(REQUESTS_SQL, events=V.table(spark, sf, "events"))
+    req = req.where(F.col("dataset").isNotNull() & F.col("target_column").isNotNull())
+    out = RU.unknown_target(req.select("request_id", "dataset", "target_column"), _columns_table(spark, sf))
+    return out.select("request_id", "dataset", "target_column", F.array_join("real_columns", ",").alias("real_columns"))
 
 
 @query("metric_delta", Q.compose(
@@ -1031,18 +1046,6 @@ def q_run_store_write(spark, sf):
 
 from tabml.plans import specs as SPC  # noqa: E402
 
-REQUESTS_SQL = """SELECT concat('req-', CAST(user_id AS STRING)) AS request_id,
-  CASE user_id % 4 WHEN 0 THEN 'orders' WHEN 1 THEN 'part' WHEN 2 THEN 'customer' END AS dataset,
-  CASE WHEN user_id % 5 = 0 THEN NULL WHEN user_id % 2 = 0 THEN 'classification' ELSE 'regression' END AS task_type,
-  CASE user_id % 6 WHEN 0 THEN 'o_orderstatus' WHEN 1 THEN 'p_retailprice' WHEN 2 THEN 'c_mktsegment'
-       WHEN 3 THEN 'label' WHEN 4 THEN NULL ELSE 'o_totalprice' END AS target_column,
-  CASE user_id % 7 WHEN 0 THEN 'f1' WHEN 1 THEN 'rmse' WHEN 2 THEN 'accuracy' WHEN 3 THEN 'r2' WHEN 4 THEN 'roc_auc'
-       WHEN 5 THEN 'mae' END AS success_metric,
-  CASE WHEN user_id % 11 = 0 THEN NULL ELSE CAST(0.8 AS DOUBLE) END AS metric_threshold,
-  CASE user_id % 3 WHEN 0 THEN 'builtin:orders_status' WHEN 1 THEN 'data/x.csv' ELSE 'somewhere.txt' END AS data_source,
-  CASE WHEN user_id % 13 = 0 THEN 'metric_threshold' END AS unclear
-FROM (SELECT DISTINCT user_id FROM {events}) u"""
-
 _KNOWN = "[" + ", ".join(f"'{s}'" for s in sorted("builtin:" + n for n in SRC.BUILTINS)) + "]"
 _FITS = (f"CASE WHEN task_type = 'classification' THEN success_metric IN ('accuracy', 'f1', 'precision', 'recall', 'roc_auc') "
          f"ELSE success_metric IN ('rmse', 'mae', 'r2') END")
