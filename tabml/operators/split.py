@@ -185,8 +185,15 @@ def cv_folds(train: DataFrame, spec: ProblemSpec, key: str | None = None, folds:
                     .withColumn("fold", ((F.col("__off") + F.row_number().over(w) - 1) % folds).cast("int"))
                     .select(*out_cols))
     cells = base.groupBy(GROUP, BUCKET).agg(F.count(F.lit(1)).alias("n"))
-    w_all = Window.orderBy(GROUP, BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.withColumn("__off", F.coalesce(F.sum("n").over(w_all), F.lit(0))).select(GROUP, BUCKET, "__off")
+    # offset of a cell = rows of earlier classes + rows of earlier buckets of its class: a running sum
+    # per class (65,536 cells per task) plus class offsets from a one-row-per-class table (AQE
+    # broadcasts that table at run time when it is small)
+    w_in = Window.partitionBy(GROUP).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    w_cls = Window.orderBy(GROUP).rowsBetween(Window.unboundedPreceding, -1)
+    cls = (cells.groupBy(GROUP).agg(F.sum("n").alias("__tot"))
+           .select(GROUP, F.coalesce(F.sum("__tot").over(w_cls), F.lit(0)).alias("__cls_off")))
+    offsets = (cells.withColumn("__in", F.coalesce(F.sum("n").over(w_in), F.lit(0))).join(cls, GROUP)
+               .select(GROUP, BUCKET, (F.col("__cls_off") + F.col("__in")).alias("__off")))
     w = Window.partitionBy(GROUP, BUCKET).orderBy(*_tie(key))
     return (base.join(offsets, [GROUP, BUCKET])
             .withColumn("fold", ((F.col("__off") + F.row_number().over(w) - 1) % folds).cast("int"))
