@@ -147,8 +147,15 @@ def parse_param(text: Column) -> list[Column]:
 
 
 def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int, salts: int = 16) -> DataFrame:
-    """T1 many runs: top k rows per group in two rounds (per salted sub-group, then per group), so a
-    group holding a third of the rows is ranked by many tasks; ``rank_in_group`` is 1..k."""
+    """T1 many runs: top k rows per group; ``rank_in_group`` is 1..k.
+
+    For k up to ``spark.sql.optimizer.windowGroupLimitThreshold`` Spark puts a partial per-task limit
+    (WindowGroupLimit) before the shuffle, so even a group holding a third of the rows sends at most
+    k rows per task: one window suffices. Above it, a first round over salted sub-groups does that."""
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if 0 < k <= threshold:
+        w = Window.partitionBy(group).orderBy(*order)
+        return df.withColumn("rank_in_group", F.row_number().over(w)).where(F.col("rank_in_group") <= k)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts))
     w1 = Window.partitionBy(group, "__salt").orderBy(*order)
     first = df.withColumn("__salt", salt).withColumn("__r", F.row_number().over(w1)).where(F.col("__r") <= k)

@@ -95,3 +95,23 @@ def test_tuning_trials_round_trip(spark, tmp_path):
     back = RS.load_run_state(spark, root, "t1").tuning_result
     assert back.best_params == {"n_estimators": 120, "max_depth": 4}
     assert [(t.trial_number, t.params["n_estimators"], t.score) for t in back.search_history] == [(0, 50, -4.0), (1, 120, -3.5)]
+
+
+def test_top_k_per_group_hot_group_both_paths(spark):
+    import random
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.6 else f"g{rng.randint(0, 9)}", i, rng.randint(0, 50)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "grp string, id int, score int").repartition(6)
+    want = set()
+    for g in {r[0] for r in rows}:
+        top = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))[:5]
+        want |= {(g, r[1], k + 1) for k, r in enumerate(top)}
+    order = [F.col("score").desc(), F.col("id")]
+    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    try:
+        for threshold in ("1000", "2"):   # one window with a partial limit / salted first round
+            spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
+            got = {(r["grp"], r["id"], r["rank_in_group"]) for r in RU.top_k_per_group(df, "grp", order, 5).collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
