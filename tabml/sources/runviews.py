@@ -33,12 +33,20 @@ TRACE_SQL = f"""SELECT concat('run-', CAST(user_id AS STRING)) AS run_id, event_
   CAST(floor(value * 10) AS BIGINT) + CAST(floor(value) AS BIGINT) AS total_tokens
 FROM {{events}}"""
 
-TRIALS_SQL = """SELECT concat('run-', CAST(p_size AS STRING)) AS run_id,
-  CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS INT) AS trial_number,
-  round(p_retailprice / 2100, 4) AS score,
-  CAST(50 + p_partkey % 251 AS INT) AS n_estimators, CAST(2 + p_partkey % 19 AS INT) AS max_depth,
-  CAST(2 + p_partkey % 9 AS INT) AS min_samples_split
-FROM {part}"""
+# Trial numbers are positions inside a run (p_partkey order). No task sorts a whole run: keys are cut
+# into cells of 4,096 consecutive keys; a run's cell offsets are running sums over its (small) cell
+# counts, and rows are ranked only inside their (run, cell).
+TRIALS_SQL = """SELECT concat('run-', CAST(p.p_size AS STRING)) AS run_id,
+  CAST(o.off + row_number() OVER (PARTITION BY p.p_size, p.cell ORDER BY p.p_partkey) - 1 AS INT) AS trial_number,
+  round(p.p_retailprice / 2100, 4) AS score,
+  CAST(50 + p.p_partkey % 251 AS INT) AS n_estimators, CAST(2 + p.p_partkey % 19 AS INT) AS max_depth,
+  CAST(2 + p.p_partkey % 9 AS INT) AS min_samples_split
+FROM (SELECT p_partkey, p_size, p_retailprice, CAST(floor(p_partkey / 4096) AS BIGINT) AS cell FROM {part}) p
+JOIN (SELECT p_size, cell,
+        COALESCE(sum(n) OVER (PARTITION BY p_size ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+      FROM (SELECT p_size, CAST(floor(p_partkey / 4096) AS BIGINT) AS cell, count(*) AS n FROM {part}
+            GROUP BY p_size, CAST(floor(p_partkey / 4096) AS BIGINT)) c) o
+  ON o.p_size = p.p_size AND o.cell = p.cell"""
 
 RUNS_SQL = """SELECT run_id, created_at, updated_at, loop_count, task_type, data_source, success_metric,
   metric_threshold, metric_value, max_loop_backs, max_tuning_trials,
