@@ -105,7 +105,7 @@ def q_column_classes(spark, sf):
     return column_classes_frame(spark, V.flagged(spark, sf))
 
 
-@query("numeric_select")
+@query("numeric_select", Q.compose("SELECT o_orderkey, o_custkey, constant_flag, leaked FROM flagged", ("flagged",)))
 def q_numeric_select(spark, sf):
     df = V.flagged(spark, sf)
     return df.select(*numeric_columns(df, exclude=("o_totalprice",)))
@@ -1129,7 +1129,9 @@ def q_synth_customers(spark, sf):
     return synth_customers(V.table(spark, sf, "customer"), "c_custkey", leaky=True)
 
 
-@query("report_json")
+@query("report_json", "SELECT to_json(struct_pack(label := label, share := share)) AS json FROM "
+                     "(SELECT o_orderstatus AS label, round(count(*) / sum(count(*)) OVER (), 4) AS share "
+                     "FROM orders GROUP BY o_orderstatus) t")
 def q_report_json(spark, sf):
     """a report as JSON for review (class balance of orders, one JSON object per class)."""
     bal = P.class_balance_table(V.table(spark, sf, "orders"), "o_orderstatus")
@@ -1255,7 +1257,16 @@ def q_reuse(spark, sf):
     return spark.createDataFrame(rows, "piece string, reused boolean")
 
 
-@query("round_text")
+@query("round_text", Q.compose(
+    "SELECT 'o_totalprice' AS \"column\", 'median_imputation' AS action, printf('% .1f%% missing: used median (% .3f) "
+    "as a robust default  given no distribution info suggesting otherwise', mp_price, med) AS rationale FROM st WHERE mp_price > 0 "
+    "UNION ALL SELECT 'o_orderpriority', 'mode_imputation', printf('% .1f%% missing: used mode (''%s'') as the most "
+    "frequent category, since a median is undefined for non-numeric data', mp_prio, mode) FROM st WHERE mp_prio > 0",
+    ("gaps",), [("g", "SELECT DISTINCT * FROM gaps WHERE o_orderstatus IS NOT NULL"),
+                ("st", "SELECT round(avg(CAST(o_totalprice IS NULL OR isnan(o_totalprice) AS INTEGER)) * 100, 2) AS mp_price, "
+                       "round(avg(CAST(o_orderpriority IS NULL AS INTEGER)) * 100, 2) AS mp_prio, "
+                       "quantile_cont(o_totalprice, 0.5) AS med, (SELECT o_orderpriority FROM g WHERE o_orderpriority IS NOT NULL "
+                       "GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority LIMIT 1) AS mode FROM g")]))
 def q_round_text(spark, sf):
     """the rationale texts of a profile (percent and fixed-point formatting on collected summaries)."""
     _, prof = P.clean_and_profile(V.gaps(spark, sf), _spec("classification", "o_orderstatus"))
