@@ -100,7 +100,20 @@ def q_is_missing(spark, sf):
                     is_missing("o_orderpriority", dt["o_orderpriority"]).alias("priority_missing"))
 
 
-@query("column_classes")
+# fixed values: DuckDB type names and the Spark type names they read back as
+_DUCK_TO_SPARK_TYPE = ("CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'SMALLINT' THEN 'smallint' "
+                       "WHEN 'TINYINT' THEN 'tinyint' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'float' "
+                       "WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' "
+                       "WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' WHEN 'DATE' THEN 'date' ELSE lower(column_type) END")
+
+
+@query("column_classes", (
+    "SELECT column_name, CASE WHEN dtype = 'boolean' THEN 'bool' "
+    "WHEN dtype IN ('bigint', 'int', 'smallint', 'tinyint', 'double', 'float') OR dtype LIKE 'decimal%' THEN 'numeric' "
+    "WHEN dtype IN ('timestamp_ntz', 'timestamp', 'date') THEN 'datetime' WHEN dtype = 'string' THEN 'categorical' "
+    "ELSE 'other' END AS column_class, dtype, CAST(position AS INTEGER) AS position FROM "
+    f"(SELECT column_name, {_DUCK_TO_SPARK_TYPE} AS dtype, row_number() OVER () - 1 AS position FROM "
+    f"(DESCRIBE (WITH flagged AS ({V.SQL_VIEWS['flagged']}) SELECT * FROM flagged))) d"))
 def q_column_classes(spark, sf):
     return column_classes_frame(spark, V.flagged(spark, sf))
 
