@@ -42,8 +42,10 @@ def key_text(df: DataFrame, key: str | None) -> Column:
 def with_hash_order(df: DataFrame, key: str | None, seed: int = S.SPLIT_SEED) -> DataFrame:
     kt = key_text(df, key)
     h = F.md5(F.concat(kt, F.lit(f":{seed}")))
+    # non-nullable bucket: no inferred not-null filter is pushed into one plan branch only, so the
+    # branches reading the same input stay identical and Spark reuses their exchanges
     return df.withColumn(HASH, h).withColumn(
-        BUCKET, F.conv(F.substring(h, 1, BUCKET_HEX_DIGITS), 16, 10).cast("int"))
+        BUCKET, F.coalesce(F.conv(F.substring(h, 1, BUCKET_HEX_DIGITS), 16, 10).cast("int"), F.lit(0)))
 
 
 def _tie(key: str | None) -> list[Column]:
@@ -80,44 +82,76 @@ def _quota_frame(spark, quotas: dict, dtype) -> DataFrame:
     return spark.createDataFrame(rows, f"{GROUP} {dtype.simpleString()}, __quota long")
 
 
+def quota_table(cells: DataFrame, stratified: bool) -> DataFrame:
+    """Per-class test quotas (``__grp``, ``__quota``) from (``__grp``, ``__bucket``, n) cells, in the
+    plan: the rule of ``test_quotas`` (ceil(0.2 n) test rows; train side shared by largest remainder,
+    ties to the smaller label text) with exact decimal products, so it holds for any row count.
+
+    The windows run over one row per class; more than MAX_BROADCAST_GROUPS classes fails the job
+    (the table is then broadcast, so its size must be bounded)."""
+    everything = Window.partitionBy()
+    cls = (cells.groupBy(GROUP).agg(F.sum("n").alias("__c"))
+           .withColumn("__k", F.count(F.lit(1)).over(everything)))
+    cls = cls.where(F.when(F.col("__k") > MAX_BROADCAST_GROUPS,
+                           F.raise_error(F.lit(f"more than {MAX_BROADCAST_GROUPS} classes: too many for a "
+                                               "stratified split"))).isNull())
+    n = F.sum("__c").over(everything)
+    cls = cls.withColumn("__n", n).withColumn("__n_test", F.ceil(F.lit(S.TEST_SIZE) * F.col("__n").cast("double")))
+    if not stratified:
+        return cls.select(GROUP, F.col("__n_test").cast("long").alias("__quota"))
+    d = "CAST({} AS DECIMAL(38,0))"
+    prod = f"{d.format('__n - __n_test')} * {d.format('__c')}"
+    cls = cls.selectExpr(GROUP, "__c", "__n - __n_test AS __ntr",
+                         f"CAST({prod} div {d.format('__n')} AS BIGINT) AS __tr",
+                         f"{prod} % {d.format('__n')} AS __rem")
+    cls = (cls.withColumn("__left", F.col("__ntr") - F.sum("__tr").over(everything))
+           .withColumn("__rr", F.row_number().over(Window.orderBy(F.col("__rem").desc(), F.col(GROUP).cast("string")))))
+    bonus = F.when(F.col("__rr") <= F.col("__left"), F.lit(1)).otherwise(F.lit(0))
+    return cls.select(GROUP, (F.col("__c") - F.col("__tr") - bonus).cast("long").alias("__quota"))
+
+
 def train_test_split(df: DataFrame, spec: ProblemSpec, key: str | None = None,
                      method: str = "bucketed") -> DataFrame:
     """Adds ``is_test``; 20 % test rows, stratified by label for classification.
 
-    The input should already be target-complete and deduplicated (``prepare_for_split``)."""
+    The input should already be target-complete and deduplicated (``prepare_for_split``).
+    Bucketed form: (class, bucket) counts give each class's quota and cut-off bucket; only rows of
+    the cut-off bucket are ranked. Over an uncached input this is one lazy plan whose count branch
+    and row branch share the input (its deduplication shuffle runs once); over a cached input the
+    small tables come from a short eager job first. Both give the same rows (tested)."""
     spark = df.sparkSession
     base, grp = _groups(with_hash_order(df, key), spec)
-    # (class, bucket) counts: one scan; class totals and cut-offs come from this small table
-    bc = base.groupBy(GROUP, BUCKET).agg(F.count(F.lit(1)).alias("n")).persist()
-    counts = {r[GROUP]: r["n"] for r in bc.groupBy(GROUP).agg(F.sum("n").alias("n")).collect()}
-    if len(counts) > MAX_BROADCAST_GROUPS:
-        raise ValueError(f"{len(counts)} classes: too many for a stratified split")
-    quotas = test_quotas(counts, stratified=spec.is_classification)
-    qf = F.broadcast(_quota_frame(spark, quotas, base.schema[GROUP].dataType))
     out_cols = df.columns + ["is_test"]
-    if method == "window" and max(counts.values(), default=0) <= WINDOW_FORM_MAX_ROWS:
-        w = Window.partitionBy(GROUP).orderBy(*_tie(key))
-        return (base.join(qf, GROUP).withColumn("__rn", F.row_number().over(w))
-                .withColumn("is_test", F.col("__rn") <= F.col("__quota")).select(*out_cols))
-    # bucketed: cumulative (group, bucket) counts -> per-group cut-off bucket
-    wb = Window.partitionBy(GROUP).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = bc.withColumn("cum", F.sum("n").over(wb)).join(qf, GROUP)
-    cut = (cum.where(F.col("cum") >= F.col("__quota"))
-           .groupBy(GROUP).agg(F.min_by(F.struct(BUCKET, (F.col("cum") - F.col("n")).alias("before")),
-                                        F.col(BUCKET)).alias("c"))
-           .select(GROUP, F.col(f"c.{BUCKET}").alias("__cut"), F.col("c.before").alias("__before")))
-    cut_rows = {r[GROUP]: (r["__cut"], r["__before"]) for r in cut.collect()}
-    bc.unpersist()
-    rows = []
-    for g, q in quotas.items():
-        if q == 0:
-            rows.append((g, -1, 0, 0))
-        else:
-            c, before = cut_rows[g]
-            rows.append((g, int(c), int(q - before), int(q)))
-    cf = F.broadcast(spark.createDataFrame(
-        rows, f"{GROUP} {base.schema[GROUP].dataType.simpleString()}, __cut int, __need long, __quota long"))
-    tagged = base.join(cf, GROUP)
+    if method == "window":
+        counts = {r[GROUP]: r["n"] for r in base.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"))
+                  .limit(MAX_BROADCAST_GROUPS + 1).collect()}
+        if len(counts) > MAX_BROADCAST_GROUPS:
+            raise ValueError(f"{len(counts)} classes: too many for a stratified split")
+        if max(counts.values(), default=0) <= WINDOW_FORM_MAX_ROWS:
+            quotas = test_quotas(counts, stratified=spec.is_classification)
+            qf = F.broadcast(_quota_frame(spark, quotas, base.schema[GROUP].dataType))
+            w = Window.partitionBy(GROUP).orderBy(*_tie(key))
+            return (base.join(qf, GROUP).withColumn("__rn", F.row_number().over(w))
+                    .withColumn("is_test", F.col("__rn") <= F.col("__quota")).select(*out_cols))
+    cells = base.groupBy(GROUP, BUCKET).agg(F.count(F.lit(1)).alias("n"))
+    if df.is_cached:
+        # a cached input is cheap to read twice: counts and cut-offs as a small eager job, then one
+        # plain pass (fewer stages than deriving them inside the plan)
+        cells = cells.persist()
+        counts = {r[GROUP]: r["n"] for r in cells.groupBy(GROUP).agg(F.sum("n").alias("n"))
+                  .limit(MAX_BROADCAST_GROUPS + 1).collect()}
+        if len(counts) > MAX_BROADCAST_GROUPS:
+            raise ValueError(f"more than {MAX_BROADCAST_GROUPS} classes: too many for a stratified split")
+        quotas = _quota_frame(spark, test_quotas(counts, stratified=spec.is_classification),
+                              base.schema[GROUP].dataType)
+        cut = spark.createDataFrame(_cut_offs(cells, F.broadcast(quotas)).collect(), _CUT_SCHEMA.format(
+            base.schema[GROUP].dataType.simpleString()))
+        cells.unpersist()
+    else:
+        # an uncached input (e.g. after a deduplication shuffle) is produced once: the count branch
+        # and the row branch of this single plan share it (the exchange is reused)
+        cut = _cut_offs(cells, quota_table(cells, spec.is_classification))
+    tagged = base.join(F.broadcast(cut), GROUP)   # one row per class, bounded (checked)
     clear = tagged.where(F.col(BUCKET) != F.col("__cut")).withColumn("is_test", F.col(BUCKET) < F.col("__cut"))
     w = Window.partitionBy(GROUP).orderBy(*_tie(key))
     edge = (tagged.where(F.col(BUCKET) == F.col("__cut")).withColumn("__rn", F.row_number().over(w))
@@ -125,6 +159,20 @@ def train_test_split(df: DataFrame, spec: ProblemSpec, key: str | None = None,
     return clear.select(*out_cols).unionByName(edge.select(*out_cols))
 
 
+_CUT_SCHEMA = GROUP + " {}, __cut int, __need long"
+
+
+def _cut_offs(cells: DataFrame, quotas: DataFrame) -> DataFrame:
+    """Per class: the first bucket whose running count reaches the quota, and how many of its rows
+    (in hash order) are test rows."""
+    wb = Window.partitionBy(GROUP).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = cells.withColumn("cum", F.sum("n").over(wb)).join(quotas, GROUP)
+    return (cum.where(F.col("cum") >= F.col("__quota"))
+            .groupBy(GROUP).agg(F.min_by(F.struct(F.col(BUCKET).alias("b"), (F.col("__quota") - F.col("cum") + F.col("n"))
+                                                  .alias("need")), F.col(BUCKET)).alias("c"))
+            .select(GROUP, F.col("c.b").cast("int").alias("__cut"), F.col("c.need").cast("long").alias("__need")))
+
+
 def prepare_for_split(df: DataFrame, spec: ProblemSpec) -> DataFrame:
     """Target-missing rows and exact duplicates go before the split (removed, not learned from)."""
     return dedup_rows(drop_missing_target(nullify(df), spec.target_column))

@@ -61,3 +61,37 @@ def test_train_only_median(spark):
                   .where("not is_test and x is not null").collect()]
     assert fills["x"] == float(np.median(train_vals))
     assert out.where("x is null").count() == 0
+
+
+def test_quota_table_matches_driver_rule(spark):
+    import random
+    rng = random.Random(9)
+    for trial in range(6):
+        k = rng.randint(1, 7)
+        counts = {f"c{i}": rng.choice([1, 2, 3, 5, 10, rng.randint(1, 5000)]) for i in range(k)}
+        cells = spark.createDataFrame([(g, 0, n) for g, n in counts.items()], f"{SP.GROUP} string, {SP.BUCKET} int, n long")
+        got = {r[SP.GROUP]: r["__quota"] for r in SP.quota_table(cells, stratified=True).collect()}
+        assert got == SP.test_quotas(counts), counts
+    one = spark.createDataFrame([(0, 0, 7), (0, 1, 9)], f"{SP.GROUP} int, {SP.BUCKET} int, n long")
+    assert SP.quota_table(one, stratified=False).collect()[0]["__quota"] == 4   # ceil(0.2 * 16)
+
+
+def test_too_many_classes_fails(spark, monkeypatch):
+    import pytest
+    monkeypatch.setattr(SP, "MAX_BROADCAST_GROUPS", 2)
+    df = spark.createDataFrame([(i, i % 3) for i in range(30)], "id long, y int")
+    with pytest.raises(Exception, match="too many for a stratified split"):
+        SP.train_test_split(df, ProblemSpec("classification", "y", "f1", 0.8, "builtin:orders_status"), key="id").count()
+
+
+def test_cached_and_single_plan_paths_agree(spark):
+    import random
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "b", "b", "c"])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, y string")
+    spec = ProblemSpec("classification", "y", "f1", 0.8, "x.parquet")
+    lazy = sorted(r[0] for r in SP.train_test_split(df, spec, key="id").where("is_test").select("id").collect())
+    cached = df.persist()
+    eager = sorted(r[0] for r in SP.train_test_split(cached, spec, key="id").where("is_test").select("id").collect())
+    cached.unpersist()
+    assert lazy == eager and len(lazy) == 600
