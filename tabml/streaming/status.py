@@ -1,59 +1,111 @@
 """R2: live run status from a stream of history events.
 
 ``foreachBatch`` per micro-batch:
-1. append the batch to the event table, partitioned by (bucket, batch_id) and written with dynamic
-   overwrite, so a retried batch replaces itself (idempotent);
-2. recompute the status of the buckets the batch touched, from all their events, and replace those
-   bucket partitions of the status table.
-
-State lives in tables, not in the state store: it is bounded, restartable and a late event simply
-triggers a recompute. (A streaming ``groupBy(run_id)`` would keep every key forever; a watermark
-does not expire non-windowed keys.) A run is one key, so a hot run is one group of the per-bucket
-aggregate, computed with partial aggregation.
+1. write the batch to the event table, partitioned by (bucket, batch_id) with dynamic overwrite, so
+   a retried batch replaces itself (the event table is the source of truth);
+2. merge the batch's per-run partial aggregates into the stored status of the buckets it touched.
+   Every status field is mergeable (counts add up; "last event" and "latest data-agent verdict"
+   are maxima of (ts, seq, value) structs), so a batch costs its own rows plus the status rows of
+   its buckets, never the whole history.
+
+Retries: each bucket's status rows carry the last batch they absorbed (``upto_batch``); a retried
+batch skips buckets it already updated. A bucket without status rows (new, or a partition lost in
+a crash) is rebuilt from its earlier events. The merged rows are checkpointed (reliably, to
+``spark.checkpoint.dir``) before they replace the status partitions they were read from.
+
+State lives in tables, not in the state store: bounded by the number of runs, restartable, and a
+late event is simply merged. (A streaming ``groupBy(run_id)`` would keep every key forever; a
+watermark does not expire non-windowed keys.)
 """
 
 from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabml.operators.runs import event_type
+from tabml.session import ensure_checkpoint_dir
 
-BUCKETS = 16
+BUCKETS = 16   # status partitions: a batch rewrites the status rows of the buckets it touches
+_KEYS = ["bucket", "run_id"]
+_PARTS = ["n_events", "last", "loop_backs", "dp"]
 
 
-def status_of(history: DataFrame) -> DataFrame:
-    """Per run: events, last event and its type, loop-backs, latest data_agent proceed flag."""
-    last = F.max_by(F.col("event"), F.struct("ts", "seq"))
-    dp = F.max_by(F.when((F.col("stage") == "data_agent") & F.col("event").contains("proceed="),
-                         F.col("event").contains("proceed=True")),
-                  F.when((F.col("stage") == "data_agent") & F.col("event").contains("proceed="), F.struct("ts", "seq")))
-    return history.groupBy("bucket", "run_id").agg(
-        F.count(F.lit(1)).alias("n_events"), last.alias("last_event"),
+def partial_status(history: DataFrame) -> DataFrame:
+    """Mergeable per-run parts: events, last (ts, seq, event), loop-backs, latest data_agent proceed
+    verdict as (ts, seq, flag)."""
+    is_dp = (F.col("stage") == "data_agent") & F.col("event").contains("proceed=")
+    return history.groupBy(*_KEYS).agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.max(F.struct("ts", "seq", "event")).alias("last"),
         F.count(F.when(F.col("event").contains("fail ->"), 1)).alias("loop_backs"),
-        dp.alias("data_proceed")).withColumn("last_type", event_type(F.col("last_event")))
+        F.max(F.when(is_dp, F.struct("ts", "seq", F.col("event").contains("proceed=True").alias("flag")))).alias("dp"))
 
 
-def _bucket(df: DataFrame) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS)).cast("int"))
+def merge_status(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*_KEYS).agg(F.sum("n_events").alias("n_events"), F.max("last").alias("last"),
+                                     F.sum("loop_backs").alias("loop_backs"), F.max("dp").alias("dp"))
 
 
-def make_batch_writer(root: str):
+def public_status(parts: DataFrame) -> DataFrame:
+    """Per run: events, last event and its type, loop-backs, latest data_agent proceed flag."""
+    return (parts.select(*_KEYS, "n_events", F.col("last.event").alias("last_event"), "loop_backs",
+                         F.col("dp.flag").alias("data_proceed"))
+            .withColumn("last_type", event_type(F.col("last_event"))))
+
+
+def status_of(history: DataFrame) -> DataFrame:
+    """The whole-history aggregate (what the incremental table must equal)."""
+    return public_status(partial_status(history))
+
+
+def _bucket(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(buckets)).cast("int"))
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:   # nothing written yet
+        return None
+
+
+def make_batch_writer(root: str, buckets: int = BUCKETS):
     events_path = os.path.join(root, "events")
     status_path = os.path.join(root, "status")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        b = _bucket(batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        (b.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        ensure_checkpoint_dir(spark)
+        (_bucket(batch, buckets).withColumn("batch_id", F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket", "batch_id").parquet(events_path))
-        touched = [r[0] for r in b.select("bucket").distinct().collect()]   # at most BUCKETS values
+        events = spark.read.parquet(events_path)
+        mine = events.where(F.col("batch_id") == batch_id)          # partition pruning: this batch only
+        touched = [r[0] for r in mine.select("bucket").distinct().collect()]   # at most `buckets` values
         if not touched:
             return
-        events = spark.read.parquet(events_path).where(F.col("bucket").isin(*touched))
-        (status_of(events).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        stored = _read(spark, status_path)
+        old = stored.where(F.col("bucket").isin(*touched)) if stored is not None else None
+        seen = ({r["bucket"]: r["upto"] for r in old.groupBy("bucket").agg(F.max("upto_batch").alias("upto")).collect()}
+                if old is not None else {})
+        todo = [k for k in touched if seen.get(k, -1) < batch_id]   # a retry skips buckets already merged
+        if not todo:
+            return
+        present = [k for k in todo if k in seen]
+        missing = [k for k in todo if k not in seen]
+        parts = partial_status(mine.where(F.col("bucket").isin(*todo)))
+        if present:
+            parts = parts.unionByName(old.where(F.col("bucket").isin(*present)).select(*_KEYS, *_PARTS))
+        if missing:   # new bucket, or status lost: rebuild from the bucket's earlier events
+            earlier = events.where(F.col("bucket").isin(*missing) & (F.col("batch_id") < batch_id))
+            parts = parts.unionByName(partial_status(earlier))
+        merged = merge_status(parts).withColumn("upto_batch", F.lit(batch_id).cast("long"))
+        merged = merged.checkpoint(eager=True)   # read the old rows fully before replacing their files
+        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(status_path))
     return write_batch
 
@@ -65,4 +117,4 @@ def stream_run_status(spark: SparkSession, source_dir: str, schema, root: str, c
     q = (stream.writeStream.foreachBatch(make_batch_writer(root)).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(root, "status"))
+    return public_status(spark.read.parquet(os.path.join(root, "status")))

@@ -33,3 +33,17 @@ def test_retried_batch_replaces_itself(spark, sf):
     assert events.count() == h.count()
     st = spark.read.parquet(root + "/status")
     assert st.agg(F.sum("n_events")).first()[0] == h.count()
+
+
+def test_incremental_merge_with_retry_equals_whole_history(spark, sf):
+    root = scratch_path(spark, "incr")
+    write = ST.make_batch_writer(root)
+    h = RV.history(spark, sf)
+    first, second = h.where(F.col("seq") % 2 == 0), h.where(F.col("seq") % 2 == 1)
+    write(first, 0)
+    write(second, 1)
+    write(second, 1)   # a retried batch: every bucket already absorbed it
+    got = ST.public_status(spark.read.parquet(root + "/status"))
+    want = ST.status_of(ST._bucket(h))
+    cols = ["run_id", "n_events", "last_event", "loop_backs", "data_proceed", "last_type"]
+    assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in want.select(*cols).collect())
