@@ -1,7 +1,10 @@
 """The run store as Parquet tables keyed by ``run_id``.
 
-Tables (all partitioned by ``run_id``, written with dynamic partition overwrite, so a write replaces
-exactly the runs it contains and leaves every other run alone):
+Tables are partitioned by ``run_bucket`` = hash(run_id) mod STORE_BUCKETS (not by run_id: one
+folder per run would not survive millions of runs). A write replaces exactly the runs it names:
+only their buckets are rewritten (old rows of those buckets minus those runs, plus the new rows),
+with dynamic partition overwrite; every other run is left alone. Files are clustered by
+(run_bucket, run_id, order), so reading one run prunes to its bucket and to a few row groups.
 
 - ``runs``     one row per run: status, loop count, times, the spec and the four stage reports as
                structs. Their lists are bounded by the run's own configuration (columns, candidates,
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from tabml.reports import (CleaningAction, ColumnSchema, DataProfile, EDAReport, EvaluationReport,
                            FailureAnalysis, FeatureDecision, HistoryEntry, PipelineRun, TraceEntry, TrialRecord,
                            TuningResult)
+from tabml.operators.stats import broadcast_if_small
 from tabml.spec import PipelineConstraints, ProblemSpec
 
 SPEC_T = ("struct<task_type:string,target_column:string,success_metric:string,metric_threshold:double,"
@@ -58,9 +62,11 @@ def _path(root: str, name: str) -> str:
     return os.path.join(root, name)
 
 
-def _write(df: DataFrame, root: str, name: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_id").parquet(_path(root, name)))
+STORE_BUCKETS = 64
+
+
+def _bucket_of(run_id):
+    return F.pmod(F.xxhash64(run_id), F.lit(STORE_BUCKETS)).cast("int")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -69,20 +75,70 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _delete_partition(spark: SparkSession, root: str, name: str, run_id: str) -> None:
-    """A whole-list replace by an empty list: the run's partition is removed."""
+def _delete_bucket(spark: SparkSession, path: str, bucket: int) -> None:
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(os.path.join(_path(root, name), f"run_id={run_id}"))
+    p = jvm.org.apache.hadoop.fs.Path(os.path.join(path, f"run_bucket={bucket}"))
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(p):
         fs.delete(p, True)
 
 
-def _read(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+def _stored(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame | None:
     path = _path(root, name)
     if not _exists(spark, path):
+        return None
+    return spark.read.schema(f"{schema}, run_bucket int").option("basePath", path).parquet(path)
+
+
+def _read(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+    st = _stored(spark, root, name, schema)
+    return spark.createDataFrame([], schema) if st is None else st.drop("run_bucket")
+
+
+def _run_rows(spark: SparkSession, root: str, name: str, schema: str, run_id: str) -> DataFrame:
+    """The rows of one run: its bucket folder only (partition pruning), then the run_id filter."""
+    st = _stored(spark, root, name, schema)
+    if st is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", path).parquet(path)
+    return st.where((F.col("run_bucket") == _bucket_of(F.lit(run_id))) & (F.col("run_id") == run_id)).drop("run_bucket")
+
+
+def _clustered(df: DataFrame, order: str | None) -> DataFrame:
+    """Range-partition and sort by (run_bucket, run_id, order) before the bucket-partitioned write:
+    a task holds a contiguous key range (about one file per bucket and task boundary), a run
+    holding a third of the rows is cut into many tasks by its order column, and sorted row groups
+    let a one-run read skip the rest of its bucket."""
+    keys = ["run_bucket", "run_id"] + ([order] if order else [])
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def _replace(spark: SparkSession, root: str, name: str, new: DataFrame, schema: str, order: str | None,
+             run_ids: list[str] | None = None) -> None:
+    """Replace every stored row of the runs in ``new`` (or ``run_ids``: a run whose list is now
+    empty) by the rows of ``new``. Only touched buckets are rewritten; the result is checkpointed
+    (the old files are read fully) before it replaces them; a bucket left empty is removed."""
+    path = _path(root, name)
+    cols = [f.name for f in spark.createDataFrame([], schema).schema.fields]
+    out = new.select(*cols).withColumn("run_bucket", _bucket_of(F.col("run_id")))
+    writer = lambda df: (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                         .partitionBy("run_bucket").parquet(path))
+    old = _stored(spark, root, name, schema)
+    if old is None:   # first write: nothing to merge or clean up, one pass over the input
+        writer(_clustered(out, order))
+        return
+    ids = (new.select("run_id") if run_ids is None else spark.createDataFrame([(r,) for r in run_ids], "run_id string"))
+    ids = ids.distinct().withColumn("run_bucket", _bucket_of(F.col("run_id")))
+    touched = sorted(r[0] for r in ids.select("run_bucket").distinct().collect())   # at most STORE_BUCKETS
+    if not touched:
+        return
+    keep = old.where(F.col("run_bucket").isin(*touched)).join(broadcast_if_small(ids.select("run_id")), "run_id",
+                                                              "left_anti")
+    out = _clustered(keep.select(*cols, "run_bucket").unionByName(out), order).checkpoint(eager=True)
+    writer(out)
+    left = {r[0] for r in out.select("run_bucket").distinct().collect()}   # reads the checkpoint
+    for b_ in touched:
+        if b_ not in left:   # dynamic overwrite keeps partitions it wrote no rows to
+            _delete_bucket(spark, path, b_)
 
 
 # ---------------------------------------------------------------- document <-> row
@@ -156,22 +212,17 @@ def persist_run_state(spark: SparkSession, root: str, run: PipelineRun) -> None:
     updated = max(times) if times else (old["updated_at"] if old is not None else None)
     row = dict(run_id=run.run_id, status=run.status, loop_count=run.loop_count, created_at=_ts(created),
                updated_at=_ts(updated), spec=_spec_row(run.problem_spec), **sections)
-    _write(spark.createDataFrame([_asrow(row)], RUNS_SCHEMA), root, "runs")
+    _replace(spark, root, "runs", spark.createDataFrame([_asrow(row)], RUNS_SCHEMA), RUNS_SCHEMA, None)
     if run.tuning_result is not None:   # present section: its trial list is replaced as a whole
         trials = [(run.run_id, t.trial_number, {k: _param_text(v) for k, v in t.params.items()}, float(t.score))
                   for t in run.tuning_result.search_history]
-        if trials:
-            _write(spark.createDataFrame(trials, TRIALS_SCHEMA), root, "trials")
-        else:
-            _delete_partition(spark, root, "trials", run.run_id)
+        _replace(spark, root, "trials", spark.createDataFrame(trials, TRIALS_SCHEMA), TRIALS_SCHEMA, "trial_number",
+                 run_ids=[run.run_id])
     hist = [(run.run_id, i, _ts(h.timestamp), h.stage, h.event) for i, h in enumerate(run.history)]
     trace = [(run.run_id, i, None, t.agent, t.model, t.prompt_tokens, t.completion_tokens, t.total_tokens,
               float(t.latency_ms), float(t.estimated_cost_usd)) for i, t in enumerate(run.trace)]
     for name, rows, schema in (("history", hist, HISTORY_SCHEMA), ("trace", trace, TRACE_SCHEMA)):
-        if rows:
-            _write(spark.createDataFrame(rows, schema), root, name)
-        else:
-            _delete_partition(spark, root, name, run.run_id)
+        _replace(spark, root, name, spark.createDataFrame(rows, schema), schema, "seq", run_ids=[run.run_id])
 
 
 def _ts(v):
@@ -191,37 +242,31 @@ def _asrow(row: dict):
     return Row(**{k: conv(v) for k, v in row.items()})
 
 
-def _clustered(df: DataFrame, order: str | None) -> DataFrame:
-    """Range-partition by (run_id, order) before a write partitioned by run_id: each task holds a
-    contiguous run_id range, so a run lands in about one file, and a run holding a third of the
-    rows is cut into many tasks by its order column (hash-partitioning by run_id would put it in
-    one task; writing unclustered rows would make one file per task and run)."""
-    return df.repartitionByRange(*(["run_id", order] if order else ["run_id"]))
-
-
 def write_runs_frame(root: str, runs: DataFrame, history: DataFrame | None = None,
                      trace: DataFrame | None = None, trials: DataFrame | None = None) -> None:
-    """S6 in bulk: DataFrames in the store schemas; each run present is replaced (dynamic overwrite)."""
-    _write(_clustered(runs, None), root, "runs")
+    """S6 in bulk: DataFrames in the store schemas; each run present in a frame is replaced there."""
+    spark = runs.sparkSession
+    _replace(spark, root, "runs", runs, RUNS_SCHEMA, None)
     if trials is not None:
-        _write(_clustered(trials, "trial_number"), root, "trials")
+        _replace(spark, root, "trials", trials, TRIALS_SCHEMA, "trial_number")
     if history is not None:
-        _write(_clustered(history, "seq"), root, "history")
+        _replace(spark, root, "history", history, HISTORY_SCHEMA, "seq")
     if trace is not None:
-        _write(_clustered(trace, "seq"), root, "trace")
+        _replace(spark, root, "trace", trace, TRACE_SCHEMA, "seq")
 
 
 def write_history(root: str, history: DataFrame) -> None:
     """Replace the whole history of every run present in ``history``."""
-    _write(_clustered(history, "seq"), root, "history")
+    _replace(history.sparkSession, root, "history", history, HISTORY_SCHEMA, "seq")
 
 
 def load_run_row(spark: SparkSession, root: str, run_id: str):
-    """One run's row, partition-pruned (only that run's folder is listed and read)."""
-    path = os.path.join(_path(root, "runs"), f"run_id={run_id}")
-    if not _exists(spark, path):
+    """One run's row: its bucket folder only, and row groups skipped by run_id statistics."""
+    st = _stored(spark, root, "runs", RUNS_SCHEMA)
+    if st is None:
         return None
-    rows = spark.read.schema(RUNS_SCHEMA).option("basePath", _path(root, "runs")).parquet(path).collect()
+    rows = st.where((F.col("run_bucket") == _bucket_of(F.lit(run_id))) & (F.col("run_id") == run_id)) \
+        .drop("run_bucket").collect()
     return rows[0] if rows else None
 
 
@@ -252,7 +297,7 @@ def load_run_state(spark: SparkSession, root: str, run_id: str) -> PipelineRun |
                                    e["target_distribution_notes"], list(e["final_feature_names"]))
     t = r["tuning_result"]
     if t is not None:
-        tr = _read(spark, root, "trials", TRIALS_SCHEMA).where(F.col("run_id") == run_id).orderBy("trial_number")
+        tr = _run_rows(spark, root, "trials", TRIALS_SCHEMA, run_id).orderBy("trial_number")
         run.tuning_result = TuningResult(
             {k: parse_param_value(v) for k, v in t["best_params"].items()}, t["best_cv_score"], t["metric_optimized"],
             [TrialRecord(h["trial_number"], {k: parse_param_value(v) for k, v in h["params"].items()}, h["score"])
@@ -266,9 +311,9 @@ def load_run_state(spark: SparkSession, root: str, run_id: str) -> PipelineRun |
             None if v["confusion_matrix"] is None else [list(x) for x in v["confusion_matrix"]],
             None if v["residual_summary"] is None else dict(v["residual_summary"]),
             None if fa is None else FailureAnalysis(fa["summary"], fa["recommended_next_step"]))
-    hist = _read(spark, root, "history", HISTORY_SCHEMA).where(F.col("run_id") == run_id).orderBy("seq").collect()
+    hist = _run_rows(spark, root, "history", HISTORY_SCHEMA, run_id).orderBy("seq").collect()
     run.history = [HistoryEntry(h["ts"].isoformat() if h["ts"] else "", h["stage"], h["event"]) for h in hist]
-    tr = _read(spark, root, "trace", TRACE_SCHEMA).where(F.col("run_id") == run_id).orderBy("seq").collect()
+    tr = _run_rows(spark, root, "trace", TRACE_SCHEMA, run_id).orderBy("seq").collect()
     run.trace = [TraceEntry(x["agent"], x["model"], x["prompt_tokens"], x["completion_tokens"], x["total_tokens"],
                             x["latency_ms"], x["estimated_cost_usd"]) for x in tr]
     return run

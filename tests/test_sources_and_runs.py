@@ -115,3 +115,23 @@ def test_top_k_per_group_hot_group_both_paths(spark):
             assert got == want
     finally:
         spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
+
+
+def test_bucketed_store_replace_and_empty(spark):
+    import datetime as dt
+    from tabml.session import scratch_path
+    root = scratch_path(spark, "bucketed")
+    t = dt.datetime(2024, 1, 1)
+    rows = [(r, i, t, "s", f"{r}-{i}") for r in ("a", "b", "c") for i in range(3)]
+    RS.write_history(root, spark.createDataFrame(rows, RS.HISTORY_SCHEMA))
+    RS.write_history(root, spark.createDataFrame([("a", 0, t, "s", "a-new")], RS.HISTORY_SCHEMA))
+    got = sorted((r["run_id"], r["event"]) for r in RS._read(spark, root, "history", RS.HISTORY_SCHEMA).collect())
+    assert got == [("a", "a-new")] + [(r, f"{r}-{i}") for r in ("b", "c") for i in range(3)]
+    RS._replace(spark, root, "history", spark.createDataFrame([], RS.HISTORY_SCHEMA), RS.HISTORY_SCHEMA, "seq",
+                run_ids=["b"])   # an empty list replaces the run's rows: they are gone
+    got = sorted({r["run_id"] for r in RS._read(spark, root, "history", RS.HISTORY_SCHEMA).collect()})
+    assert got == ["a", "c"]
+    buckets = {r[0] for r in RS._stored(spark, root, "history", RS.HISTORY_SCHEMA).select("run_bucket").distinct().collect()}
+    b_bucket = spark.range(1).select(RS._bucket_of(F.lit("b"))).first()[0]
+    a_c = {spark.range(1).select(RS._bucket_of(F.lit(x))).first()[0] for x in ("a", "c")}
+    assert buckets == a_c and (b_bucket in a_c or b_bucket not in buckets)
