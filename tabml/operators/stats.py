@@ -141,21 +141,30 @@ def _percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], n_r
     return out
 
 
+def column_stats_exprs(cols: Sequence[str]) -> list[Column]:
+    """The pre-pass of ``exact_quantiles`` as expressions, to ride on another aggregate."""
+    return [F.count(F.lit(1)).alias("__rows")] + [e for c in cols for e in (
+        F.count(c).alias(f"n__{c}"), F.min(c).alias(f"mn__{c}"), F.max(c).alias(f"mx__{c}"))]
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    max_percentile_rows: int = PERCENTILE_MAX_ROWS, n_rows: int | None = None
-                    ) -> dict[str, list]:
+                    max_percentile_rows: int | None = None, n_rows: int | None = None,
+                    stats: dict | None = None) -> dict[str, list]:
     """{col: [q(p) for p in probs]} over non-null values; None for an all-null column.
 
     Inputs of at most ``max_percentile_rows`` rows use Spark's exact ``percentile``; larger ones the
-    batched rank search (``kth_smallest``). Both give the same answer (tested).
+    batched rank search (``kth_smallest``). Both give the same answer (tested). ``stats``: the
+    values of ``column_stats_exprs(cols)`` when an earlier aggregate already computed them.
     """
     cols = list(cols)
     if not cols:
         return {}
+    if max_percentile_rows is None:
+        max_percentile_rows = PERCENTILE_MAX_ROWS
     if n_rows is not None and n_rows <= max_percentile_rows:
         return _percentiles(df, cols, probs, n_rows)
-    pre = wide_agg(df, [F.count(F.lit(1)).alias("__rows")] + [e for c in cols for e in (
-        F.count(c).alias(f"n__{c}"), F.min(c).alias(f"mn__{c}"), F.max(c).alias(f"mx__{c}"))])
+    have = stats is not None and "__rows" in stats and all(f"n__{c}" in stats for c in cols)
+    pre = stats if have else wide_agg(df, column_stats_exprs(cols))
     if pre["__rows"] <= max_percentile_rows:
         return _percentiles(df, cols, probs, pre["__rows"])
     out: dict[str, list] = {}
