@@ -74,7 +74,9 @@ def test_quotas(counts: dict, n_test_total: int | None = None, stratified: bool
 def _groups(df: DataFrame, spec: ProblemSpec) -> tuple[DataFrame, Column]:
     if spec.is_classification:
         return df.withColumn(GROUP, F.col(spec.target_column)), F.col(GROUP)
-    return df.withColumn(GROUP, F.lit(0)), F.col(GROUP)
+    # one class 0, as a column of the row (buckets are >= 0) rather than a literal: a literal key is
+    # folded away, which would turn the per-class joins below into nested-loop joins
+    return df.withColumn(GROUP, F.when(F.col(BUCKET) >= 0, F.lit(0)).otherwise(F.lit(1))), F.col(GROUP)
 
 
 def _quota_frame(spark, quotas: dict, dtype) -> DataFrame:

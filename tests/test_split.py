@@ -95,3 +95,12 @@ def test_cached_and_single_plan_paths_agree(spark):
     eager = sorted(r[0] for r in SP.train_test_split(cached, spec, key="id").where("is_test").select("id").collect())
     cached.unpersist()
     assert lazy == eager and len(lazy) == 600
+
+
+def test_regression_split_and_folds_use_no_nested_loop_join(spark):
+    df = strat_df(spark)
+    for out in (SP.train_test_split(df, REG, key="id"), SP.train_test_split(df.persist(), REG, key="id"),
+                SP.cv_folds(df, REG, key="id")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert SP.train_test_split(df, REG, key="id").where("is_test").count() == 40
