@@ -46,3 +46,16 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert any(r["decision"] == "kept_leakage_warning" and r["feature"] == "o_orderstatus_P" for r in rows)
+
+
+JOIN_KEYS = ["confusion_matrix", "matrix_total", "cv_folds", "cv_folds_regression", "train_test_split", "target_present",
+             "unknown_target", "spec_check", "run_document", "run_summary_join", "est_cost", "replace_rows",
+             "top8_corr", "fit_features"]
+
+
+@pytest.mark.parametrize("key", JOIN_KEYS)
+def test_no_cartesian_or_nested_loop_join(spark, sf, key):
+    """No registered query pairs rows without an equi-join key (the confusion grid, per-class joins,
+    catalog joins and run-store joins included)."""
+    plan = E.queries()[key](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
