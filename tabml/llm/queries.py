@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabml.llm import html_text, langid, mixing, quality, tokens, url_filter
+from tabml.llm import html_text, langid, mixing, neardup, quality, tokens, url_filter
 
 #: The path rules of the URL query, (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -30,6 +30,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "source_size", "target", mixing.taken(F.col("parts")).alias("taken"))
@@ -55,7 +59,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "host", "path", "canonical_url", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op5_mixing, op7_quality_rules, op9_language_id,
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_minhash_near_dedup, op5_mixing, op7_quality_rules, op9_language_id,
                                    op10_url_filters)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
