@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabml.llm import html_text, langid, mixing, neardup, quality, tokens, url_filter
+from tabml.llm import decontaminate, html_text, langid, mixing, neardup, passages, quality, tokens, url_filter
 
 #: The path rules of the URL query, (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -39,6 +39,24 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", mixing.taken(F.col("parts")).alias("taken"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    got = docs.select("doc_id").join(found, "doc_id", "left")
+    return got.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
+                      F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = passages.merged_spans(passages.repeated_passages(docs)).withColumnRenamed("id", "doc_id")
+    got = docs.select("doc_id").join(found, "doc_id", "left")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return got.select("doc_id", F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"), F.coalesce(removed, F.lit(0)).alias("n_repeated_words"),
+                      F.coalesce("spans", F.array().cast(passages.SPANS)).alias("spans"),
+                      F.coalesce("source_ids", F.array().cast("array<bigint>")).alias("source_ids"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
 
@@ -59,7 +77,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "host", "path", "canonical_url", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_minhash_near_dedup, op5_mixing, op7_quality_rules, op9_language_id,
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_minhash_near_dedup, op5_mixing, op6_decontamination, op7_quality_rules, op8_substring_dedup, op9_language_id,
                                    op10_url_filters)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
