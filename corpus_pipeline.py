@@ -9,15 +9,16 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
   the text; no document goes.
 * decontamination: documents that overlap a benchmark item go; null ids stay.
 * mixing: every document with its size, its source's size and target, the words taken, and ``pieces``: the drawn parts of its text with
-  their output shard, their place in it and the pass over the source.
+  their output shard, their place in it and the pass over the source (none for a row with a null id).
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-import pyarrow as pa
+from pyspark.sql.types import StringType
 
 from tabml.llm import decontaminate, mixing, neardup, passages, quality
 from tabml.llm.store import Scratch
@@ -35,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())
 def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array([t if not s else passages.cut_words(t, [(x["start"], x["end"]) for x in s])
                      for t, s in zip(text.to_pylist(), spans.to_pylist())], pa.string())
@@ -65,7 +66,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return F.struct(p["shard"].alias("shard"), p["place"].alias("place"), p["epoch"].alias("epoch"), part.alias("text"))
 
     pieces = mixing.let(words, lambda w: F.transform("parts", lambda p: piece(w, p)))
-    return docs.join(mixed, "doc_id").select(*docs.columns, "size", "source_size", "target", "taken", pieces.alias("pieces"))
+    return docs.join(mixed, "doc_id", "left").select(*docs.columns, "size", "source_size", "target", "taken", pieces.alias("pieces"))
 
 
 STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("substring dedup", substring_dedup),
