@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabml.llm import decontaminate, html_text, langid, mixing, neardup, passages, quality, tokens, url_filter
+from tabml.llm import decontaminate, html_text, langid, mixing, neardup, passages, quality, suffix_dedup, tokens, url_filter
 
 #: The path rules of the URL query, (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -34,6 +34,11 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.summary(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+    return got.withColumnRenamed("id", "doc_id")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "source_size", "target", mixing.taken(F.col("parts")).alias("taken"))
@@ -77,7 +82,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "host", "path", "canonical_url", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_minhash_near_dedup, op5_mixing, op6_decontamination, op7_quality_rules, op8_substring_dedup, op9_language_id,
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_minhash_near_dedup, op4_suffix_dedup, op5_mixing, op6_decontamination, op7_quality_rules, op8_substring_dedup, op9_language_id,
                                    op10_url_filters)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
