@@ -30,10 +30,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     verdicts = Scratch(spark, "stage").table(neardup.near_duplicates(docs, k=5))
-    kept = docs.join(verdicts.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    # one shuffle of the texts, at any size: the rejected ids grow with the corpus, so they aren't broadcast
+    kept = docs.join(verdicts.where("not kept").select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_anti")
     again = verdicts.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = kept.join(again, "doc_id", "left_anti")
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    if not again.isEmpty():  # ids on several rows: one of each stays
+        once = kept.join(again, "doc_id", "left_anti")
+        kept = once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
 
 
 @arrow_udf(StringType())
