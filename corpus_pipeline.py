@@ -48,10 +48,9 @@ def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = passages.merged_spans(passages.repeated_passages(docs)).select(F.col("id").alias("doc_id"), "spans")
     found = Scratch(spark, "stage").table(found)
-    hit = docs.join(found, "doc_id")
-    hit = hit.withColumn("text", _cut("text", "spans")).withColumn("n_chars", F.length("text").cast("long"))
-    rest = docs.join(found.select("doc_id"), "doc_id", "left_anti")
-    return rest.select(*docs.columns).unionByName(hit.select(*docs.columns))
+    # one shuffle of the texts, at any size: the spans grow with the corpus, so they aren't broadcast
+    got = docs.join(found.hint("shuffle_hash"), "doc_id", "left").withColumn("text", _cut("text", "spans"))
+    return got.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
