@@ -179,13 +179,6 @@ def regression_metrics(df: DataFrame, y: str, pred: str, group: list[str] | None
     return agg.select(*g, "rmse", "mae", r2.alias("r2"), "residual_mean", "residual_std")
 
 
-def cell_counts(df: DataFrame, label: str, pred: str, max_classes: int = 10_000) -> dict:
-    """{(actual, predicted): n} in one partial aggregate; classes x classes entries reach the driver."""
-    rows = (df.groupBy(F.col(label).alias("a"), F.col(pred).alias("p")).count()
-            .limit(max_classes * max_classes + 1).collect())
-    return {(r["a"], r["p"]): r["count"] for r in rows}
-
-
 def prf_from_counts(counts: dict) -> dict:
     """Accuracy and macro precision / recall / F1 from cell counts (same rules as ``macro_prf``)."""
     labels = sorted({k for pair in counts for k in pair if k is not None})
@@ -200,9 +193,17 @@ def prf_from_counts(counts: dict) -> dict:
             "f1": sum(2 * tp[c] / (n_act[c] + n_pred[c]) if n_act[c] + n_pred[c] else 0.0 for c in labels) / k}
 
 
+def macro_values(df: DataFrame, label: str, pred: str) -> dict[str, float]:
+    """Accuracy and macro precision / recall / F1 of one evaluation, over all of its cells."""
+    r = macro_prf(df, label, pred).first()
+    out = {k: float(r[k] or 0.0) if r else 0.0 for k in ("precision", "recall", "f1")}
+    out["accuracy"] = float(accuracy(df, label, pred).first()["accuracy"] or 0.0)
+    return out
+
+
 def classification_metrics(df: DataFrame, label: str, pred: str, score: str | None = None) -> dict:
     """All metrics of a classification evaluation as a dict (roc_auc only for a binary target)."""
-    prf = prf_from_counts(cell_counts(df, label, pred))
+    prf = macro_values(df, label, pred)
     out = {"f1": float(prf["f1"]), "accuracy": float(prf["accuracy"]),
            "precision": float(prf["precision"]), "recall": float(prf["recall"])}
     if score is not None and is_binary(df, label):

@@ -137,13 +137,14 @@ def failure_step(metric: Column, value: Column, threshold: Column, converged: Co
 
 
 def parse_param(text: Column) -> list[Column]:
-    """text -> int, else float, else text; returns (value_type, int_value, float_value, text_value)."""
+    """float if the text holds "." or "e" and is a decimal number, int if it is all digits, else text; returns
+    (value_type, int_value, float_value, text_value). Digits beyond 64 bits stay exact as text."""
+    is_float = text.rlike("[.eE]") & text.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")
     is_int = text.rlike(r"^\s*[+-]?[0-9]+\s*$")
-    i = F.when(is_int, text.try_cast("bigint"))
-    d = F.when(i.isNull(), text.try_cast("double"))
-    t = (F.when(i.isNotNull(), "int").when(d.isNotNull(), "float").otherwise("str"))
-    return [t.alias("value_type"), i.alias("int_value"), d.alias("float_value"),
-            F.when(t == "str", text).alias("text_value")]
+    t = F.when(is_float, "float").when(is_int, "int").otherwise("str")
+    i = F.when(is_int, F.trim(text).try_cast("bigint"))
+    return [t.alias("value_type"), i.alias("int_value"), F.when(is_float, F.trim(text).try_cast("double")).alias("float_value"),
+            F.when((t == "str") | (is_int & i.isNull()), text).alias("text_value")]
 
 
 def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int, salts: int = 16) -> DataFrame:
@@ -196,9 +197,9 @@ def metric_delta(scores: DataFrame, threshold: str = "threshold", score: str = "
                  group: str = "run_id") -> DataFrame:
     """per run the best achieved minus threshold, and chart bounds min*0.96 / max*1.03 (with threshold)."""
     return scores.groupBy(group).agg(
-        (F.max(score) - F.first(threshold)).alias("delta"),
-        (F.least(F.min(score), F.first(threshold)) * 0.96).alias("lower_bound"),
-        (F.greatest(F.max(score), F.first(threshold)) * 1.03).alias("upper_bound"))
+        (F.max(score) - F.max(threshold)).alias("delta"),
+        (F.least(F.min(score), F.max(threshold)) * 0.96).alias("lower_bound"),
+        (F.greatest(F.max(score), F.max(threshold)) * 1.03).alias("upper_bound"))
 
 
 def run_search(runs: DataFrame, query: str = "", task_type: str | None = None) -> DataFrame:

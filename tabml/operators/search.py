@@ -36,7 +36,7 @@ class MetricEvaluator(Evaluator):
         if self.metric == "roc_auc":
             d = dataset.withColumn("__score", _prob1(dataset))
             return float(M.roc_auc(d, t, "__score", positive=1.0).first()["roc_auc"])
-        return float(M.prf_from_counts(M.cell_counts(dataset, t, "prediction"))[self.metric])
+        return float(M.macro_values(dataset, t, "prediction")[self.metric])
 
     def isLargerBetter(self) -> bool:
         return True

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabml import spec as S
-from tabml.functions.dtypes import CATEGORICAL, DATETIME, NUMERIC, column_classes
+from tabml.functions.dtypes import BOOL, CATEGORICAL, DATETIME, NUMERIC, column_classes
 from tabml.functions.missing import nullify
 from tabml.operators.profile import apply_fills, dedup_rows, drop_missing_target, median_fills, mode_fills
 from tabml.spec import ProblemSpec
@@ -188,7 +188,7 @@ def train_only_fills(split_df: DataFrame, spec: ProblemSpec) -> dict:
     gaps = split_df.agg(*[F.max(F.col(c).isNull().cast("int")).alias(c) for c in cols]).first().asDict()
     train = split_df.where(~F.col("is_test"))
     num = [c for c in cols if gaps[c] and classes[c] == NUMERIC]
-    cat = [c for c in cols if gaps[c] and classes[c] == CATEGORICAL]
+    cat = [c for c in cols if gaps[c] and classes[c] in (CATEGORICAL, BOOL)]
     fills = {}
     fills.update({c: v for c, v in (median_fills(train, num) if num else {}).items() if v is not None})
     fills.update({c: v for c, v in (mode_fills(train, cat) if cat else {}).items() if v is not None})

@@ -761,17 +761,27 @@ _PARAM_TEXT = ("pt", """SELECT p_partkey, 'size' AS src, CAST(p_size AS STRING)
    SELECT p_partkey, 'price', CAST(p_retailprice AS STRING) FROM part UNION ALL SELECT p_partkey, 'brand', p_brand FROM part""")
 
 
+_ODD = {"suffix": "{}d", "exponent": "{}e3", "word": "nan", "long": "{}12345678901234567890"}
+
+
 @query("parse_param", Q.compose(
-    """SELECT p_partkey, src, CASE WHEN i IS NOT NULL THEN 'int' WHEN d IS NOT NULL THEN 'float' ELSE 'str' END AS value_type,
-       i AS int_value, d AS float_value, CASE WHEN i IS NULL AND d IS NULL THEN txt END AS text_value FROM
-       (SELECT *, CASE WHEN regexp_matches(txt, '^\\s*[+-]?[0-9]+\\s*$') THEN TRY_CAST(trim(txt) AS BIGINT) END AS i,
-               CASE WHEN NOT regexp_matches(txt, '^\\s*[+-]?[0-9]+\\s*$') THEN TRY_CAST(txt AS DOUBLE) END AS d FROM pt) t""",
+    """SELECT p_partkey, src, CASE WHEN f THEN 'float' WHEN i THEN 'int' ELSE 'str' END AS value_type,
+       CASE WHEN i THEN TRY_CAST(trim(txt) AS BIGINT) END AS int_value, CASE WHEN f THEN TRY_CAST(trim(txt) AS DOUBLE) END AS float_value,
+       CASE WHEN NOT f AND (NOT i OR TRY_CAST(trim(txt) AS BIGINT) IS NULL) THEN txt END AS text_value FROM
+       (SELECT *, regexp_matches(txt, '[.eE]') AND regexp_matches(txt, '^\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$') AS f,
+               regexp_matches(txt, '^\\s*[+-]?[0-9]+\\s*$') AS i FROM (SELECT * FROM pt
+        UNION ALL SELECT p_partkey, 'suffix', p_size || 'd' FROM part UNION ALL SELECT p_partkey, 'exponent', p_size || 'e3' FROM part
+        UNION ALL SELECT p_partkey, 'word', 'nan' FROM part UNION ALL SELECT p_partkey, 'long', p_size || '12345678901234567890' FROM part)) t""",
     ctes=[_PARAM_TEXT]))
 def q_parse_param(spark, sf):
     p = V.table(spark, sf, "part")
     pt = (p.select("p_partkey", F.lit("size").alias("src"), F.col("p_size").cast("string").alias("txt"))
           .unionByName(p.select("p_partkey", F.lit("price").alias("src"), F.col("p_retailprice").cast("string").alias("txt")))
           .unionByName(p.select("p_partkey", F.lit("brand").alias("src"), F.col("p_brand").alias("txt"))))
+    for src, form in _ODD.items():
+        before, _, after = form.partition("{}")
+        odd = F.concat(F.col("p_size").cast("string"), F.lit(after)) if "{}" in form else F.lit(before)
+        pt = pt.unionByName(p.select("p_partkey", F.lit(src).alias("src"), odd.alias("txt")))
     return pt.select("p_partkey", "src", *RU.parse_param(F.col("txt")))
 
 

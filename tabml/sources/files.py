@@ -61,26 +61,39 @@ def _csv_type_of(stats: dict, c: str) -> T.DataType:
     return T.StringType()
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+#: What counts as a number in a file; a cast alone would also take suffixes such as ``30D``.
+_INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+_DECIMAL = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
+
+
+def _number(c: str, kind: str) -> Column:
+    col = F.col(_quoted(c))
+    return F.when(col.rlike(_INTEGER if kind == "bigint" else _DECIMAL), F.trim(col).try_cast(kind))
+
+
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     """S1. Header row, every cell read as text, the missing-token set nulled, then each column's
     type picked by one aggregate over the file (integer, else double, else boolean, else text).
     Date-like text stays text (D1): the reference's reader does not parse dates either."""
     try:
         raw = spark.read.option("header", True).option("inferSchema", False) \
-            .option("mode", "FAILFAST").option("multiLine", False).csv(path)
+            .option("mode", "PERMISSIVE").option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
         cols = raw.columns
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             raise ValueError(f"CSV file not found: {path!r}") from None
         raise ValueError(f"Failed to read CSV {path!r}: {e}") from e
     tokens = F.array(*[F.lit(t) for t in CSV_MISSING_TOKENS])
-    cleaned = raw.select(*[F.when(~F.array_contains(tokens, F.col(c)), F.col(c)).alias(c) for c in cols])
+    cleaned = raw.select(*[F.when(~F.array_contains(tokens, F.col(_quoted(c))), F.col(_quoted(c))).alias(c) for c in cols])
     exprs = []
     for c in cols:
-        col = F.col(c)
-        exprs += [F.count(col).alias(f"n__{c}"),
-                  F.count(F.expr(f"try_cast(`{c}` AS BIGINT)")).alias(f"i__{c}"),
-                  F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"d__{c}"),
+        col = F.col(_quoted(c))
+        exprs += [F.count(col).alias(f"n__{c}"), F.count(_number(c, "bigint")).alias(f"i__{c}"),
+                  F.count(_number(c, "double")).alias(f"d__{c}"),
                   F.count(F.when(F.lower(col).isin("true", "false"), 1)).alias(f"b__{c}")]
     from tabml.operators.stats import wide_agg
     try:
@@ -91,11 +104,11 @@ def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     for c in cols:
         t = _csv_type_of(stats, c)
         if isinstance(t, T.BooleanType):
-            out.append((F.lower(F.col(c)) == "true").alias(c))
+            out.append((F.lower(F.col(_quoted(c))) == "true").alias(c))
         elif isinstance(t, T.StringType):
-            out.append(F.col(c).alias(c))
+            out.append(F.col(_quoted(c)).alias(c))
         else:
-            out.append(F.expr(f"try_cast(`{c}` AS {t.simpleString()})").alias(c))
+            out.append(_number(c, t.simpleString()).alias(c))
     return cleaned.select(*out)
 
 

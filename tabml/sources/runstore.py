@@ -189,14 +189,11 @@ def _section_row(name: str, doc):
 
 
 def parse_param_value(text: str):
-    """F5 on the driver: int, else float, else the text."""
+    """F5 on the driver: float where the text holds "." or "e", int otherwise, the text itself where that fails."""
+    kind = float if "." in text or "e" in text.lower() else int
     try:
-        return int(text)
-    except (TypeError, ValueError):
-        pass
-    try:
-        return float(text)
-    except (TypeError, ValueError):
+        return kind(text)
+    except ValueError:
         return text
 
 
