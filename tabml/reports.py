@@ -123,6 +123,7 @@ class TraceEntry(_Doc):
     total_tokens: int = 0
     latency_ms: float = 0.0
     estimated_cost_usd: float = 0.0
+    timestamp: str | None = None
 
 
 @dataclass

@@ -1,9 +1,12 @@
 """The run store as Parquet tables keyed by ``run_id``.
 
 Tables are partitioned by ``run_bucket`` = hash(run_id) mod STORE_BUCKETS (not by run_id: one
-folder per run would not survive millions of runs). A write replaces exactly the runs it names:
-only their buckets are rewritten (old rows of those buckets minus those runs, plus the new rows),
-with dynamic partition overwrite; every other run is left alone. Files are clustered by
+folder per run would not survive millions of runs) and are append-only. A write stages its own rows in a
+folder of its own, moves the finished files into the tables and then adds one line per (run, table) to
+``commits``; all its rows carry one version. A reader takes, per run and table, the rows of the largest
+committed version, so concurrent writers of different runs never touch each other's rows, a crash before
+the commit leaves the earlier state in force, and a write costs its own rows, never the store's. Of
+concurrent writers of one run the last commit wins. ``compact`` drops superseded rows. Files are clustered by
 (run_bucket, run_id, order), so reading one run prunes to its bucket and to a few row groups.
 
 - ``runs``     one row per run: status, loop count, times, the spec and the four stage reports as
@@ -22,8 +25,10 @@ from __future__ import annotations
 
 import json
 import os
+import time
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tabml.reports import (CleaningAction, ColumnSchema, DataProfile, EDAReport, EvaluationReport,
@@ -55,6 +60,7 @@ HISTORY_SCHEMA = "run_id string, seq bigint, ts timestamp, stage string, event s
 TRIALS_SCHEMA = "run_id string, trial_number int, params map<string,string>, score double"
 TRACE_SCHEMA = ("run_id string, seq bigint, ts timestamp, agent string, model string, prompt_tokens bigint, "
                 "completion_tokens bigint, total_tokens bigint, latency_ms double, estimated_cost_usd double")
+COMMITS_SCHEMA = "run_id string, part string, version string"
 SECTIONS = ("data_profile", "eda_report", "tuning_result", "evaluation_report")
 
 
@@ -75,32 +81,79 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _delete_bucket(spark: SparkSession, path: str, bucket: int) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(os.path.join(path, f"run_bucket={bucket}"))
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(p):
-        fs.delete(p, True)
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _stored(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame | None:
+def _files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(bucket folder, file) of every data file of a table."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return [(d.getPath().getName(), f.getPath().getName()) for d in fs.listStatus(p) if d.isDirectory()
+            for f in fs.listStatus(d.getPath())]
+
+
+def _move(spark: SparkSession, staged: str, path: str) -> None:
+    """Move finished files (their names are unique) into the bucket folders of a table."""
+    fs, _ = _fs(spark, path)
+    for folder, name in _files(spark, staged):
+        to = _fs(spark, os.path.join(path, folder))[1]
+        fs.mkdirs(to)
+        if not fs.rename(_fs(spark, os.path.join(staged, folder, name))[1], _fs(spark, os.path.join(path, folder, name))[1]):
+            raise OSError(f"cannot move {name} to {to}")
+
+
+def _raw(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame | None:
+    """Every stored row, superseded and uncommitted ones too."""
     path = _path(root, name)
     if not _exists(spark, path):
         return None
-    return spark.read.schema(f"{schema}, run_bucket int").option("basePath", path).parquet(path)
+    extra = "" if name == "commits" else "version string, "
+    return spark.read.schema(f"{schema}, {extra}run_bucket int").option("basePath", path).parquet(path)
+
+
+def _heads(spark: SparkSession, root: str) -> DataFrame:
+    """(run_id, part, version): the version in force of every run and table."""
+    commits = _raw(spark, root, "commits", COMMITS_SCHEMA)
+    if commits is None:
+        return spark.createDataFrame([], COMMITS_SCHEMA)
+    return commits.groupBy("run_id", "part").agg(F.max("version").alias("version"))
+
+
+def _run_heads(spark: SparkSession, root: str, run_id: str) -> dict[str, str]:
+    commits = _raw(spark, root, "commits", COMMITS_SCHEMA)
+    if commits is None:
+        return {}
+    mine = commits.where((F.col("run_bucket") == _bucket_of(F.lit(run_id))) & (F.col("run_id") == run_id))
+    return {r["part"]: r["version"] for r in mine.groupBy("part").agg(F.max("version").alias("version")).collect()}
+
+
+def _stored(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame | None:
+    """The rows in force, with their bucket."""
+    raw = _raw(spark, root, name, schema)
+    if raw is None:
+        return None
+    heads = _heads(spark, root).where(F.col("part") == name).select("run_id", "version")
+    return raw.join(broadcast_if_small(heads), ["run_id", "version"], "left_semi").drop("version")
 
 
 def _read(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     st = _stored(spark, root, name, schema)
-    return spark.createDataFrame([], schema) if st is None else st.drop("run_bucket")
+    cols = spark.createDataFrame([], schema)
+    return cols if st is None else st.select(*cols.columns)
 
 
-def _run_rows(spark: SparkSession, root: str, name: str, schema: str, run_id: str) -> DataFrame:
+def _run_rows(spark: SparkSession, root: str, name: str, schema: str, run_id: str,
+              heads: dict[str, str] | None = None) -> DataFrame:
     """The rows of one run: its bucket folder only (partition pruning), then the run_id filter."""
-    st = _stored(spark, root, name, schema)
-    if st is None:
+    version = (_run_heads(spark, root, run_id) if heads is None else heads).get(name)
+    raw = _raw(spark, root, name, schema)
+    if version is None or raw is None:
         return spark.createDataFrame([], schema)
-    return st.where((F.col("run_bucket") == _bucket_of(F.lit(run_id))) & (F.col("run_id") == run_id)).drop("run_bucket")
+    return raw.where((F.col("run_bucket") == _bucket_of(F.lit(run_id))) & (F.col("run_id") == run_id)
+                     & (F.col("version") == version)).drop("run_bucket", "version")
 
 
 def _clustered(df: DataFrame, order: str | None) -> DataFrame:
@@ -112,33 +165,77 @@ def _clustered(df: DataFrame, order: str | None) -> DataFrame:
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
+def _next_version(after: str | None) -> str:
+    """Larger than ``after`` and unique: the clock, or one past a stored version that is ahead of it."""
+    ticks = max(time.time_ns(), int(after[:20]) + 1 if after else 0)
+    return f"{ticks:020d}-{uuid.uuid4().hex}"
+
+
+def _replace_all(spark: SparkSession, root: str, parts: list[tuple], after: str | None) -> None:
+    """Write new versions of some tables' runs and commit them together. ``parts``: (name, rows, schema, order, run_ids); the runs
+    replaced are those of the rows, or run_ids (a run whose list is now empty)."""
+    version = _next_version(after)
+    stage = os.path.join(root, "_staged", version)
+    heads = None
+    for name, new, schema, order, run_ids in parts:
+        cols = spark.createDataFrame([], schema).columns
+        out = new.select(*cols, F.lit(version).alias("version"), _bucket_of(F.col("run_id")).alias("run_bucket"))
+        staged = os.path.join(stage, name)
+        _clustered(out, order).write.partitionBy("run_bucket").parquet(staged)
+        ids = (spark.read.schema(f"{schema}, version string, run_bucket int").parquet(staged).select("run_id").distinct()
+               if run_ids is None else spark.createDataFrame([(r,) for r in run_ids], "run_id string"))
+        ids = ids.select("run_id", F.lit(name).alias("part"))
+        heads = ids if heads is None else heads.unionByName(ids)
+    _stage_commits(heads.withColumn("version", F.lit(version)), stage)
+    _publish(spark, root, stage, [p[0] for p in parts])
+
+
+def _stage_commits(heads: DataFrame, stage: str) -> None:
+    (heads.withColumn("run_bucket", _bucket_of(F.col("run_id"))).repartition("run_bucket")
+     .write.partitionBy("run_bucket").parquet(os.path.join(stage, "commits")))
+
+
+def _publish(spark: SparkSession, root: str, stage: str, names: list[str]) -> None:
+    """Move the staged tables into the store, the commits last, and remove the stage."""
+    for name in [*names, "commits"]:
+        _move(spark, os.path.join(stage, name), _path(root, name))
+    fs, p = _fs(spark, stage)
+    fs.delete(p, True)
+
+
 def _replace(spark: SparkSession, root: str, name: str, new: DataFrame, schema: str, order: str | None,
              run_ids: list[str] | None = None) -> None:
-    """Replace every stored row of the runs in ``new`` (or ``run_ids``: a run whose list is now
-    empty) by the rows of ``new``. Only touched buckets are rewritten; the result is checkpointed
-    (the old files are read fully) before it replaces them; a bucket left empty is removed."""
-    path = _path(root, name)
-    cols = [f.name for f in spark.createDataFrame([], schema).schema.fields]
-    out = new.select(*cols).withColumn("run_bucket", _bucket_of(F.col("run_id")))
-    writer = lambda df: (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                         .partitionBy("run_bucket").parquet(path))
-    old = _stored(spark, root, name, schema)
-    if old is None:   # first write: nothing to merge or clean up, one pass over the input
-        writer(_clustered(out, order))
-        return
-    ids = (new.select("run_id") if run_ids is None else spark.createDataFrame([(r,) for r in run_ids], "run_id string"))
-    ids = ids.distinct().withColumn("run_bucket", _bucket_of(F.col("run_id")))
-    touched = sorted(r[0] for r in ids.select("run_bucket").distinct().collect())   # at most STORE_BUCKETS
-    if not touched:
-        return
-    keep = old.where(F.col("run_bucket").isin(*touched)).join(broadcast_if_small(ids.select("run_id")), "run_id",
-                                                              "left_anti")
-    out = _clustered(keep.select(*cols, "run_bucket").unionByName(out), order).checkpoint(eager=True)
-    writer(out)
-    left = {r[0] for r in out.select("run_bucket").distinct().collect()}   # reads the checkpoint
-    for b_ in touched:
-        if b_ not in left:   # dynamic overwrite keeps partitions it wrote no rows to
-            _delete_bucket(spark, path, b_)
+    """Replace every row of the runs in ``new`` (or ``run_ids``: a run whose list is now empty) by the rows of ``new``."""
+    _replace_all(spark, root, [(name, new, schema, order, run_ids)], _latest(spark, root))
+
+
+def _latest(spark: SparkSession, root: str) -> str | None:
+    commits = _raw(spark, root, "commits", COMMITS_SCHEMA)
+    return None if commits is None else commits.agg(F.max("version")).first()[0]
+
+
+def compact(spark: SparkSession, root: str) -> None:
+    """Drop superseded rows: the rows in force are written once more under versions just above their own, then the files
+    found at the start go. Run it while nothing writes to the store; readers that are under way may have to start again."""
+    tables = {"runs": (RUNS_SCHEMA, None), "history": (HISTORY_SCHEMA, "seq"), "trace": (TRACE_SCHEMA, "seq"),
+              "trials": (TRIALS_SCHEMA, "trial_number")}
+    old = {name: _files(spark, _path(root, name)) for name in [*tables, "commits"]}
+    mark = f"~{uuid.uuid4().hex}"
+    stage = os.path.join(root, "_staged", mark[1:])
+    heads = _heads(spark, root)
+    for name, (schema, order) in tables.items():
+        raw = _raw(spark, root, name, schema)
+        if raw is not None:
+            mine = heads.where(F.col("part") == name).select("run_id", "version")
+            live = raw.join(broadcast_if_small(mine), ["run_id", "version"], "left_semi").select(*raw.columns)
+            (_clustered(live.withColumn("version", F.concat("version", F.lit(mark))), order)
+             .write.partitionBy("run_bucket").parquet(os.path.join(stage, name)))
+    _stage_commits(heads.withColumn("version", F.concat("version", F.lit(mark))), stage)
+    _publish(spark, root, stage, list(tables))
+    for name, files in old.items():
+        for folder, f in files:
+            fs, p = _fs(spark, os.path.join(_path(root, name), folder, f))
+            fs.delete(p, False)
 
 
 # ---------------------------------------------------------------- document <-> row
@@ -199,7 +296,8 @@ def parse_param_value(text: str):
 
 def persist_run_state(spark: SparkSession, root: str, run: PipelineRun) -> None:
     """Idempotent replace of one run (spec always, reports when present, history/trace whole)."""
-    old = load_run_row(spark, root, run.run_id)
+    heads = _run_heads(spark, root, run.run_id)
+    old = load_run_row(spark, root, run.run_id, heads)
     sections = {}
     for s in SECTIONS:
         new = _section_row(s, getattr(run, s))
@@ -209,17 +307,17 @@ def persist_run_state(spark: SparkSession, root: str, run: PipelineRun) -> None:
     updated = max(times) if times else (old["updated_at"] if old is not None else None)
     row = dict(run_id=run.run_id, status=run.status, loop_count=run.loop_count, created_at=_ts(created),
                updated_at=_ts(updated), spec=_spec_row(run.problem_spec), **sections)
-    _replace(spark, root, "runs", spark.createDataFrame([_asrow(row)], RUNS_SCHEMA), RUNS_SCHEMA, None)
+    hist = [(run.run_id, i, _ts(h.timestamp), h.stage, h.event) for i, h in enumerate(run.history)]
+    trace = [(run.run_id, i, _ts(t.timestamp), t.agent, t.model, t.prompt_tokens, t.completion_tokens, t.total_tokens,
+              float(t.latency_ms), float(t.estimated_cost_usd)) for i, t in enumerate(run.trace)]
+    lists = [("history", hist, HISTORY_SCHEMA, "seq"), ("trace", trace, TRACE_SCHEMA, "seq")]
     if run.tuning_result is not None:   # present section: its trial list is replaced as a whole
         trials = [(run.run_id, t.trial_number, {k: _param_text(v) for k, v in t.params.items()}, float(t.score))
                   for t in run.tuning_result.search_history]
-        _replace(spark, root, "trials", spark.createDataFrame(trials, TRIALS_SCHEMA), TRIALS_SCHEMA, "trial_number",
-                 run_ids=[run.run_id])
-    hist = [(run.run_id, i, _ts(h.timestamp), h.stage, h.event) for i, h in enumerate(run.history)]
-    trace = [(run.run_id, i, None, t.agent, t.model, t.prompt_tokens, t.completion_tokens, t.total_tokens,
-              float(t.latency_ms), float(t.estimated_cost_usd)) for i, t in enumerate(run.trace)]
-    for name, rows, schema in (("history", hist, HISTORY_SCHEMA), ("trace", trace, TRACE_SCHEMA)):
-        _replace(spark, root, name, spark.createDataFrame(rows, schema), schema, "seq", run_ids=[run.run_id])
+        lists.append(("trials", trials, TRIALS_SCHEMA, "trial_number"))
+    parts = [("runs", spark.createDataFrame([Row(**row)], RUNS_SCHEMA), RUNS_SCHEMA, None, [run.run_id])]
+    parts += [(name, spark.createDataFrame(rows, schema), schema, order, [run.run_id]) for name, rows, schema, order in lists]
+    _replace_all(spark, root, parts, max(heads.values(), default=None))
 
 
 def _ts(v):
@@ -229,27 +327,13 @@ def _ts(v):
     return dt.datetime.fromisoformat(v.replace("Z", "+00:00")).replace(tzinfo=None)
 
 
-def _asrow(row: dict):
-    from pyspark.sql import Row
-
-    def conv(v):
-        if isinstance(v, dict):
-            return v
-        return v
-    return Row(**{k: conv(v) for k, v in row.items()})
-
-
 def write_runs_frame(root: str, runs: DataFrame, history: DataFrame | None = None,
                      trace: DataFrame | None = None, trials: DataFrame | None = None) -> None:
     """S6 in bulk: DataFrames in the store schemas; each run present in a frame is replaced there."""
     spark = runs.sparkSession
-    _replace(spark, root, "runs", runs, RUNS_SCHEMA, None)
-    if trials is not None:
-        _replace(spark, root, "trials", trials, TRIALS_SCHEMA, "trial_number")
-    if history is not None:
-        _replace(spark, root, "history", history, HISTORY_SCHEMA, "seq")
-    if trace is not None:
-        _replace(spark, root, "trace", trace, TRACE_SCHEMA, "seq")
+    parts = [("runs", runs, RUNS_SCHEMA, None, None), ("trials", trials, TRIALS_SCHEMA, "trial_number", None),
+             ("history", history, HISTORY_SCHEMA, "seq", None), ("trace", trace, TRACE_SCHEMA, "seq", None)]
+    _replace_all(spark, root, [p for p in parts if p[1] is not None], _latest(spark, root))
 
 
 def write_history(root: str, history: DataFrame) -> None:
@@ -257,19 +341,16 @@ def write_history(root: str, history: DataFrame) -> None:
     _replace(history.sparkSession, root, "history", history, HISTORY_SCHEMA, "seq")
 
 
-def load_run_row(spark: SparkSession, root: str, run_id: str):
+def load_run_row(spark: SparkSession, root: str, run_id: str, heads: dict[str, str] | None = None):
     """One run's row: its bucket folder only, and row groups skipped by run_id statistics."""
-    st = _stored(spark, root, "runs", RUNS_SCHEMA)
-    if st is None:
-        return None
-    rows = st.where((F.col("run_bucket") == _bucket_of(F.lit(run_id))) & (F.col("run_id") == run_id)) \
-        .drop("run_bucket").collect()
+    rows = _run_rows(spark, root, "runs", RUNS_SCHEMA, run_id, heads).collect()
     return rows[0] if rows else None
 
 
 def load_run_state(spark: SparkSession, root: str, run_id: str) -> PipelineRun | None:
     """Rebuild the nested document of one run, or None for an unknown run."""
-    r = load_run_row(spark, root, run_id)
+    heads = _run_heads(spark, root, run_id)   # one version set for all parts of the document
+    r = load_run_row(spark, root, run_id, heads)
     if r is None:
         return None
     s = r["spec"]
@@ -294,7 +375,7 @@ def load_run_state(spark: SparkSession, root: str, run_id: str) -> PipelineRun |
                                    e["target_distribution_notes"], list(e["final_feature_names"]))
     t = r["tuning_result"]
     if t is not None:
-        tr = _run_rows(spark, root, "trials", TRIALS_SCHEMA, run_id).orderBy("trial_number")
+        tr = _run_rows(spark, root, "trials", TRIALS_SCHEMA, run_id, heads).orderBy("trial_number")
         run.tuning_result = TuningResult(
             {k: parse_param_value(v) for k, v in t["best_params"].items()}, t["best_cv_score"], t["metric_optimized"],
             [TrialRecord(h["trial_number"], {k: parse_param_value(v) for k, v in h["params"].items()}, h["score"])
@@ -308,11 +389,11 @@ def load_run_state(spark: SparkSession, root: str, run_id: str) -> PipelineRun |
             None if v["confusion_matrix"] is None else [list(x) for x in v["confusion_matrix"]],
             None if v["residual_summary"] is None else dict(v["residual_summary"]),
             None if fa is None else FailureAnalysis(fa["summary"], fa["recommended_next_step"]))
-    hist = _run_rows(spark, root, "history", HISTORY_SCHEMA, run_id).orderBy("seq").collect()
+    hist = _run_rows(spark, root, "history", HISTORY_SCHEMA, run_id, heads).orderBy("seq").collect()
     run.history = [HistoryEntry(h["ts"].isoformat() if h["ts"] else "", h["stage"], h["event"]) for h in hist]
-    tr = _run_rows(spark, root, "trace", TRACE_SCHEMA, run_id).orderBy("seq").collect()
+    tr = _run_rows(spark, root, "trace", TRACE_SCHEMA, run_id, heads).orderBy("seq").collect()
     run.trace = [TraceEntry(x["agent"], x["model"], x["prompt_tokens"], x["completion_tokens"], x["total_tokens"],
-                            x["latency_ms"], x["estimated_cost_usd"]) for x in tr]
+                            x["latency_ms"], x["estimated_cost_usd"], x["ts"].isoformat() if x["ts"] else None) for x in tr]
     return run
 
 

@@ -1,5 +1,7 @@
 """Inputs on which earlier versions were wrong."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,8 +9,12 @@ from tabml.operators import metrics as M
 from tabml.operators.features import _vocabularies
 from tabml.operators.profile import apply_fills, mode_fills
 from tabml.operators.runs import metric_delta, parse_param
+from tabml.reports import HistoryEntry, PipelineRun, TraceEntry
+from tabml.session import scratch_path
+from tabml.sources import runstore as RS
 from tabml.sources.files import scan_csv
 from tabml.sources.runstore import parse_param_value
+from tabml.spec import ProblemSpec
 
 
 def test_csv_as_people_write_it(spark, tmp_path):
@@ -50,3 +56,42 @@ def test_delta_does_not_depend_on_row_order(spark):
     rows = [("r", 0.8, 0.7), ("r", 0.8, 0.9)]
     for order in (rows, rows[::-1]):
         assert metric_delta(spark.createDataFrame(order, "run_id string, threshold double, score double")).first()["delta"] == pytest.approx(0.1)
+
+
+def _run(run_id, n):
+    return PipelineRun(run_id, ProblemSpec("classification", "y", "f1", 0.8, "builtin:orders_status"), status="done",
+                       history=[HistoryEntry(f"2024-01-01T00:00:0{i}", "s", f"{run_id}-{i}") for i in range(n)],
+                       trace=[TraceEntry("a", "m", 1, 2, 3, 1.0, 0.5, "2024-01-02T00:00:00")])
+
+
+def test_store_keeps_all_concurrent_writers_of_one_bucket(spark):
+    root = scratch_path(spark, "threads")
+    ids = [r["r"] for r in spark.range(2000).select(F.concat(F.lit("r"), "id").alias("r")).where(RS._bucket_of(F.col("r")) == 0).limit(9).collect()]
+    RS.persist_run_state(spark, root, _run(ids[0], 3))
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda r: RS.persist_run_state(spark, root, _run(r, 2)), ids[1:]))
+    for name, schema, each in (("runs", RS.RUNS_SCHEMA, 1), ("history", RS.HISTORY_SCHEMA, 2), ("trace", RS.TRACE_SCHEMA, 1)):
+        got = {r["run_id"]: r["count"] for r in RS._read(spark, root, name, schema).groupBy("run_id").count().collect()}
+        assert got == {r: each for r in ids} | ({ids[0]: 3} if name == "history" else {})
+    assert RS.load_run_state(spark, root, ids[4]).trace[0].timestamp == "2024-01-02T00:00:00"
+
+
+def test_store_write_costs_its_own_rows_and_compaction_drops_the_rest(spark):
+    root = scratch_path(spark, "append")
+    for i in range(2):
+        RS.persist_run_state(spark, root, _run(f"x{i}", 3))
+    before = set(RS._files(spark, f"{root}/history"))
+    RS.persist_run_state(spark, root, _run("x0", 1))
+    added = set(RS._files(spark, f"{root}/history")) - before
+    assert before <= set(RS._files(spark, f"{root}/history")) and len(added) == 1
+    assert RS._raw(spark, root, "history", RS.HISTORY_SCHEMA).count() == 7
+    want = [("x0", "x0-0")] + [("x1", f"x1-{i}") for i in range(3)]
+    for _ in range(2):
+        assert sorted(map(tuple, RS._read(spark, root, "history", RS.HISTORY_SCHEMA).select("run_id", "event").collect())) == want
+        RS.compact(spark, root)
+        assert RS._raw(spark, root, "history", RS.HISTORY_SCHEMA).count() == 4
+    RS.persist_run_state(spark, root, _run("x1", 0))
+    assert RS.load_run_state(spark, root, "x1").history == [] and len(RS.load_run_state(spark, root, "x0").history) == 1
+    uncommitted = RS._raw(spark, root, "history", RS.HISTORY_SCHEMA).withColumn("version", F.lit("9"))
+    uncommitted.write.mode("append").partitionBy("run_bucket").parquet(f"{root}/history")   # a writer that died before its commit
+    assert RS._read(spark, root, "history", RS.HISTORY_SCHEMA).count() == 1
