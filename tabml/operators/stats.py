@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ PERCENTILE_BUDGET = 8_000_000
 HIST_BUCKETS = 4096
 # a search range holding at most this many rows is finished by counting its distinct values
 FINAL_RANGE_ROWS = 20_000
-MAX_ROUNDS = 64
+MAX_ROUNDS = 256  # a factor of HIST_BUCKETS a round: the widest range of doubles takes 175
 
 
 def wide_agg(df: DataFrame, exprs: Sequence[Column]) -> dict:
@@ -69,6 +70,18 @@ def rounded_corr(value) -> float:
 # Exact quantiles (linear interpolation, like numpy / pandas / DuckDB quantile_cont)
 # --------------------------------------------------------------------------------------------
 
+def _cell(v: Column, lo: float, hi: float) -> Column:
+    """Histogram cell of a value in [lo, hi]; lo and hi never share one. Infinities have cells of their own, and a range
+    too wide for a double (or with an infinite end) is cut on a logarithmic scale."""
+    a, b, x = lo, hi, v
+    if math.isinf(hi - lo):
+        a, b = (math.copysign(math.log1p(min(abs(e), sys.float_info.max)), e) for e in (lo, hi))
+        x = F.signum(v) * F.log1p(F.abs(v))
+    inside = F.greatest(F.least(F.width_bucket(x, F.lit(a), F.lit(b), F.lit(HIST_BUCKETS)), F.lit(HIST_BUCKETS)), F.lit(1))
+    return (F.when(v == F.lit(-math.inf), F.lit(0.0)).when(v == F.lit(math.inf), F.lit(HIST_BUCKETS + 1.0))
+            .otherwise(inside.cast("double")))
+
+
 def kth_smallest(df: DataFrame, targets: Sequence[tuple[str, int]], bounds: dict) -> dict:
     """{(column, k): k-th smallest (0-based) non-null value of the column, as float}.
 
@@ -96,8 +109,7 @@ def kth_smallest(df: DataFrame, targets: Sequence[tuple[str, int]], bounds: dict
         cells = []
         for (c, lo, hi, final), rid in ranges.items():
             v = F.col(c).cast("double")
-            key = v if final else F.least(F.width_bucket(v, F.lit(lo), F.lit(hi), F.lit(HIST_BUCKETS)),
-                                          F.lit(HIST_BUCKETS)).cast("double")
+            key = v if final else _cell(v, lo, hi)
             cells.append(F.when(v.between(F.lit(lo), F.lit(hi)),
                                 F.struct(F.lit(rid).alias("r"), key.alias("b"), v.alias("v"))))
         stacked = df.select(F.explode(F.array(*cells)).alias("s")).where(F.col("s").isNotNull())
@@ -115,9 +127,7 @@ def kth_smallest(df: DataFrame, targets: Sequence[tuple[str, int]], bounds: dict
                     if final or cell["lo"] == cell["hi"]:
                         done[t] = float(cell["lo"])
                     else:
-                        stuck = (cell["lo"], cell["hi"]) == (lo, hi)
-                        state[t] = (float(cell["lo"]), float(cell["hi"]), cum,
-                                    stuck or cell["n"] <= FINAL_RANGE_ROWS)
+                        state[t] = (float(cell["lo"]), float(cell["hi"]), cum, cell["n"] <= FINAL_RANGE_ROWS)
                     break
                 cum += cell["n"]
             else:

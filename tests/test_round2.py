@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabml.operators import metrics as M
+from tabml.operators import stats
 from tabml.operators.features import _vocabularies
 from tabml.operators.profile import apply_fills, mode_fills
 from tabml.operators.runs import metric_delta, parse_param
@@ -95,3 +96,22 @@ def test_store_write_costs_its_own_rows_and_compaction_drops_the_rest(spark):
     uncommitted = RS._raw(spark, root, "history", RS.HISTORY_SCHEMA).withColumn("version", F.lit("9"))
     uncommitted.write.mode("append").partitionBy("run_bucket").parquet(f"{root}/history")   # a writer that died before its commit
     assert RS._read(spark, root, "history", RS.HISTORY_SCHEMA).count() == 1
+
+
+def test_rank_search_with_infinities_gathers_little(spark, monkeypatch):
+    monkeypatch.setattr(stats, "HIST_BUCKETS", 16)
+    monkeypatch.setattr(stats, "FINAL_RANGE_ROWS", 20)
+    inf = float("inf")
+    values = [-inf, -inf, -1.7e308, 1.7e308, inf] + [float(i * i) for i in range(2000)] + [-2.0 ** -i for i in range(0, 1000, 7)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(4)
+    gathered, collect = [], type(df).collect
+
+    def counted(frame):
+        rows = collect(frame)
+        gathered.append(len(rows))
+        return rows
+    monkeypatch.setattr(type(df), "collect", counted)
+    ks = [0, 1, 2, 3, 70, 1000, len(values) - 2, len(values) - 1]
+    got = stats.kth_smallest(df, [("x", k) for k in ks], {"x": (-inf, inf)})
+    assert [got["x", k] for k in ks] == [sorted(values)[k] for k in ks]
+    assert max(gathered) <= 20 * len(ks)
