@@ -107,9 +107,8 @@ def tune_hyperparameters(X: DataFrame, spec: ProblemSpec, features: list[str], n
     history = [TrialRecord(i, p, float(s)) for i, (p, s) in enumerate(zip(params, scores))]
     best = max(history, key=lambda t: (t.score, -t.trial_number))
     conv = converged([t.score for t in history])
-    notes = ("score plateaued: the best result came before the final 20% of trials - likely converged."
-             if conv else "Score was still improving near the trial budget limit - consider a larger "
-                          "search_budget_total next run.")
+    notes = ("The last fifth of the trials brought no better score." if conv
+             else "A better score came in the last fifth of the trials; allow more of them.")
     return TuningResult(best_params=dict(best.params), best_cv_score=best.score,
                         metric_optimized=S.cv_scorer(spec.success_metric), search_history=history,
                         converged=conv, search_budget_used=len(history), search_budget_total=n,

@@ -1084,11 +1084,11 @@ _MISSING = ("concat_ws(',', CASE WHEN task_type IS NULL THEN 'task_type' END, CA
        q AS question FROM (SELECT request_id,
          CASE WHEN bad THEN 'target_column' WHEN unclear IS NOT NULL THEN unclear WHEN miss <> '' THEN miss
               WHEN dataset IS NULL AND NOT {_VALID} THEN 'data_source' WHEN NOT {_FITS} THEN 'success_metric' END AS mf,
-         CASE WHEN bad THEN '''' || target_column || ''' isn''t a column in this dataset. Real columns: ' || real || '.'
-              WHEN unclear IS NOT NULL THEN 'Could you clarify the missing details?'
-              WHEN miss <> '' THEN 'I need more detail on: ' || replace(miss, ',', ', ') || '.'
-              WHEN dataset IS NULL AND NOT {_VALID} THEN '''' || data_source || ''' isn''t a recognized data source. Please specify one of {_KNOWN.replace("'", "''")} or a file path ending in .csv/.parquet.'
-              WHEN NOT {_FITS} THEN 'The metric ''' || success_metric || ''' doesn''t fit a ' || task_type || ' task — could you specify a valid metric instead?' END AS q
+         CASE WHEN bad THEN 'No column is called ''' || target_column || '''. Columns: ' || real || '.'
+              WHEN unclear IS NOT NULL THEN 'Please state what is still open.'
+              WHEN miss <> '' THEN 'Still needed: ' || replace(miss, ',', ', ') || '.'
+              WHEN dataset IS NULL AND NOT {_VALID} THEN 'Unknown data source ''' || data_source || '''. Give one of {_KNOWN.replace("'", "''")} or a .csv or .parquet path.'
+              WHEN NOT {_FITS} THEN '''' || success_metric || ''' does not measure ' || task_type || '; name a metric that does.' END AS q
        FROM (SELECT r.*, {_MISSING} AS miss,
                r.dataset IS NOT NULL AND r.target_column IS NOT NULL AND NOT EXISTS
                  (SELECT 1 FROM ic WHERE ic.dataset = r.dataset AND ic.column_name = r.target_column) AS bad,
@@ -1281,10 +1281,10 @@ def q_reuse(spark, sf):
 
 
 @query("round_text", Q.compose(
-    "SELECT 'o_totalprice' AS \"column\", 'median_imputation' AS action, printf('% .1f%% missing: used median (% .3f) "
-    "as a robust default  given no distribution info suggesting otherwise', mp_price, med) AS rationale FROM st WHERE mp_price > 0 "
-    "UNION ALL SELECT 'o_orderpriority', 'mode_imputation', printf('% .1f%% missing: used mode (''%s'') as the most "
-    "frequent category, since a median is undefined for non-numeric data', mp_prio, mode) FROM st WHERE mp_prio > 0",
+    "SELECT 'o_totalprice' AS \"column\", 'median_imputation' AS action, printf('%.1f%% of the values were gaps, "
+    "filled with the median %.3f.', mp_price, med) AS rationale FROM st WHERE mp_price > 0 "
+    "UNION ALL SELECT 'o_orderpriority', 'mode_imputation', printf('%.1f%% of the values were gaps, filled with the "
+    "commonest value ''%s''.', mp_prio, mode) FROM st WHERE mp_prio > 0",
     ("gaps",), [("g", "SELECT DISTINCT * FROM gaps WHERE o_orderstatus IS NOT NULL"),
                 ("st", "SELECT round(avg(CAST(o_totalprice IS NULL OR isnan(o_totalprice) AS INTEGER)) * 100, 2) AS mp_price, "
                        "round(avg(CAST(o_orderpriority IS NULL AS INTEGER)) * 100, 2) AS mp_prio, "
