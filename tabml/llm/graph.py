@@ -34,8 +34,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     label = chain[0].select(F.col("v").alias("id"), F.col("to").alias("component"))
     for step in chain[1:]:
         label = label.join(step, F.col("component") == F.col("v"), "left").select("id", F.coalesce("to", "component").alias("component"))
-    # a label that had no edge left in a round is final; the smallest id names the component
-    root = label.groupBy("component").agg(F.min(F.least("id", "component")).alias("root"))
-    out = scratch.table(label.join(root, "component").select("id", F.col("root").alias("component")))
+    # the smallest id of a component takes itself in every round and all others end with its label, so the label is its name
+    out = scratch.table(label)
     scratch.drop(*chain)
     return out
