@@ -159,7 +159,8 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, id_col: str = "d
     classes = scratch.table(linked.groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
     keys = classes.select("id", "sig").mapInArrow(_keys, "id long, key long")
     hubs = keys.groupBy("key").agg(F.min_by("id", F.xxhash64("key", "id")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    stars = keys.join(hubs.select("key", "hub"), "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = scratch.table(hubs.select("key", "hub"))  # a join of two exchanges: a hot key's classes can be split among tasks
+    stars = keys.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     stars = scratch.table(stars)
     sig = classes.select("id", "sig")
     pairs = (stars.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
