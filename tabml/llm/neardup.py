@@ -6,9 +6,13 @@ some chunk up to one symbol, so every chunk is keyed once with each single symbo
 chunk errors). All pairs under that distance share a key. At a similarity of 0.8 a pair shares none with probability 2e-6.
 
 No pair is emitted within a group. Texts with the same set are one class. Under each key one class is the hub (smallest keyed
-hash, so hubs differ from key to key) and the others meet it alone; candidate families are the components of these stars. In a family,
-each class is first confirmed against its ``NEAREST`` hubs of the smallest signature distance. Whatever a family still has in
-separate components is then compared in blocks: classes outside the family's largest component against all classes of the other
+hash, so hubs differ from key to key) and the others meet it first; the components of the star edges up to ``LIMIT`` are parts. Two near
+classes can both be far from all of their hubs, so a key whose classes lie in several parts is compared further: the classes
+outside its largest part against all of its classes, ``SIG_BLOCK`` by ``SIG_BLOCK``, on signatures. A block emits only edges that join
+parts (a spanning forest). So any two classes that share a key and are within LIMIT share a family, a component of both kinds of edges.
+
+In a family, each class is first confirmed against its ``NEAREST`` neighbours of the smallest signature distance. Whatever a family still
+has in separate components is then compared in blocks: classes outside the family's largest component against all classes of the other
 components, ``BLOCK`` by ``BLOCK``, so that no link is lost. Links are confirmed on full sets (64-bit hashes of the runs).
 
 A signature distance above ``LIMIT`` is taken as similarity below 0.8: for 50 symbols at 0.8 the chance of that is under 1e-6.
@@ -36,6 +40,7 @@ SYMBOLS = CHUNKS * WIDTH
 LIMIT = 25
 NEAREST = 3
 BLOCK = 256
+SIG_BLOCK = 2048
 _rng = np.random.RandomState(20240607)
 _MULT = (_rng.randint(0, 1 << 31, SYMBOLS).astype(np.uint64) << np.uint64(33)) | (_rng.randint(0, 1 << 31, SYMBOLS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = (_rng.randint(0, 1 << 31, SYMBOLS).astype(np.uint64) << np.uint64(32)) | _rng.randint(0, 1 << 31, SYMBOLS).astype(np.uint64)
@@ -159,15 +164,22 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, id_col: str = "d
     classes = scratch.table(linked.groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
     keys = classes.select("id", "sig").mapInArrow(_keys, "id long, key long")
     hubs = keys.groupBy("key").agg(F.min_by("id", F.xxhash64("key", "id")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    hubs = scratch.table(hubs.select("key", "hub"))  # a join of two exchanges: a hot key's classes can be split among tasks
-    stars = keys.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = scratch.table(stars)
+    hubs = scratch.table(hubs.select("key", "hub", "c"))  # a join of two exchanges: a hot key's classes can be split among tasks
+    met = scratch.table(keys.join(hubs, "key"))
+    stars = scratch.table(met.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
     sig = classes.select("id", "sig")
     pairs = (stars.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
              .join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b"))
     pairs = pairs.mapInArrow(_distances, "a long, b long, dist int")
     near = scratch.table(pairs.where(F.col("dist") <= LIMIT))
-    family = components(scratch, near.select("a", "b"))
+    parts = components(scratch, near.select("a", "b"))
+    more = _far_members(scratch, met.where("c > 2").select("key", "id"), parts, sig)  # of two classes both have met
+    scratch.drop(met)
+    if more.isEmpty():
+        family = parts
+    else:
+        near = near.unionByName(more)
+        family = components(scratch, parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
     # full sets of the classes in families only
     wanted = family.select(F.col("id").alias("want")).hint("shuffle_hash")
     sets = rows.join(wanted, F.col("id") == F.col("want"), "left_semi").mapInArrow(_sets(k), "id long, runs binary")
@@ -197,6 +209,77 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array((x != y).sum(1).astype(np.int32))], ["a", "b", "dist"])
 
 
+def _join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b, dist) up to LIMIT that join parts, of the block pairs (key, i, j) in a sorted partition; a block pair may span batches."""
+    names = ("key", "i", "j", "side", "id", "part")
+    held: list[np.ndarray] = []
+
+    def edges(side, ids, part, sig):
+        up: dict[int, int] = {}
+
+        def root(x):
+            while up.get(x, x) != x:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+        right = np.flatnonzero(side == 1)
+        rsig, rpart = sig[right], part[right]
+        for i in np.flatnonzero(side == 0):
+            dist = (rsig != sig[i]).sum(1)
+            for j in np.flatnonzero((dist <= LIMIT) & (rpart != part[i])):
+                x, y = root(int(part[i])), root(int(rpart[j]))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    yield int(ids[i]), int(ids[right[j]]), int(dist[j])
+
+    def groups(cols, sig, whole):
+        """Edges of all block pairs but the last, or of all; and where the last begins."""
+        key, i, j = cols[:3]
+        n = len(key)
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if n else np.zeros(0, np.int64)
+        ends = np.r_[new[1:], n]
+        out = []
+        for x, y in zip(new, ends) if whole else zip(new[:-1], ends[:-1]):
+            out += edges(cols[3][x:y], cols[4][x:y], cols[5][x:y], sig[x:y])
+        return out, (n if whole or not n else int(new[-1]))
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
+                                           pa.array([o[2] for o in out], pa.int32())], ["a", "b", "dist"])
+
+    sig = np.zeros((0, SYMBOLS), np.uint16)
+    for b in batches:
+        new = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint16).reshape(b.num_rows, SYMBOLS)
+        cols = [np.asarray(b.column(c)) for c in names]
+        held = [np.concatenate([h, c]) for h, c in zip(held, cols)] if held else cols
+        sig = np.concatenate([sig, new])
+        out, at = groups(held, sig, False)
+        held, sig = [h[at:] for h in held], sig[at:]
+        yield batch(out)
+    if held:
+        yield batch(groups(held, sig, True)[0])
+
+
+def _far_members(scratch: Scratch, met: DataFrame, parts: DataFrame, sig: DataFrame) -> DataFrame:
+    """(a, b, dist): near classes that share a key of ``met`` (key, id) but no part, as far as needed to join their parts."""
+    state = met.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    state = scratch.table(state)
+    sizes = state.groupBy("key", "part").agg(F.count("*").alias("c"))
+    top = sizes.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("largest"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    top = scratch.table(top.where("all > most").select(
+        "key", "largest", F.ceil((F.col("all") - F.col("most")) / SIG_BLOCK).cast("int").alias("n_out"),
+        F.ceil(F.col("all") / SIG_BLOCK).cast("int").alias("n_all")))
+    at = state.join(top, "key").join(sig, "id").withColumn("h", F.xxhash64("id"))
+    out = at.where("part <> largest").select("key", F.pmod("h", "n_out").cast("int").alias("i"), F.explode(
+        F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), F.lit(0).alias("side"), "id", "part", "sig")
+    every = at.select("key", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"), F.pmod("h", "n_all").cast("int").alias("j"),
+                      F.lit(1).alias("side"), "id", "part", "sig")
+    both = out.unionByName(every).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    got = scratch.table(both.mapInArrow(_join_parts, "a long, b long, dist int"))
+    scratch.drop(state)
+    return got
+
+
 def _separate_parts(scratch: Scratch, state: DataFrame, sig: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components of one family, by block pairs: classes outside the largest component against all of the others."""
     sizes = state.groupBy("family", "comp").agg(F.count("*").alias("c"))

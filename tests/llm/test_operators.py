@@ -122,6 +122,58 @@ def test_near_duplicates_edge_rows(spark):
     assert neardup.near_duplicates(make(spark, []), k=2).count() == 0
 
 
+def test_near_duplicates_far_from_every_hub(spark, monkeypatch):
+    """Under the keys that A and B share, unrelated classes are hubs: classes of one symbol run each, by set signatures."""
+    import numpy as np
+
+    rng = np.random.RandomState(8)
+    a = rng.randint(1, 1 << 16, neardup.SYMBOLS).astype(np.uint16)
+    b = a.copy()
+    b[::5] += 1  # one symbol of every chunk: A and B share one key of each chunk
+    sigs = {10: a, 20: b}
+    keyed = [(c, s) for c in range(neardup.CHUNKS) for s in range(1, neardup.WIDTH)]
+    for n in range(400):  # each holds the shared symbols of one chunk and others of its own
+        c = n % neardup.CHUNKS
+        x = rng.randint(1, 1 << 16, neardup.SYMBOLS).astype(np.uint16)
+        for d, s in keyed:
+            if d == c:
+                x[d * neardup.WIDTH + s] = a[d * neardup.WIDTH + s]
+        sigs[100 + n] = x
+    scratch = neardup.Scratch(spark, "far-test")
+    sig = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sigs.items()], "id long, sig binary")
+    met = sig.mapInArrow(neardup._keys, "id long, key long")
+    parts = spark.createDataFrame([], "id long, component long")
+    for size in (neardup.SIG_BLOCK, 16):
+        monkeypatch.setattr(neardup, "SIG_BLOCK", size)
+        got = neardup._far_members(scratch, scratch.table(met), parts, sig).select("a", "b", "dist").collect()
+        assert {(min(r.a, r.b), max(r.a, r.b), r.dist) for r in got} == {(10, 20, 10)}
+    # A in a part with the hub of a key, B not: they still meet
+    parts = spark.createDataFrame([(10, 10), (100, 10)], "id long, component long")
+    assert {(r.a, r.b) for r in neardup._far_members(scratch, scratch.table(met), parts, sig).collect()} <= {(10, 20), (20, 10)}
+    assert neardup._far_members(scratch, scratch.table(met.where("id > 10")), parts, sig).isEmpty()
+
+
+def test_near_duplicates_among_background(spark):
+    """Texts that share frequent runs independently of each other (J about 0.25), with near pairs among them, against brute force."""
+    rng = random.Random(21)
+    common = [f"c{i} d{i}" for i in range(60)]
+    texts = []
+    for i in range(600):
+        own = [f"u{i}x{j} v{i}x{j}" for j in range(24)]
+        mine = rng.sample(common, 36) + own
+        rng.shuffle(mine)
+        texts.append(" . ".join(mine))
+    for i in range(0, 600, 6):  # near copies: one own piece changed
+        texts.append(texts[i].replace(f"u{i}x3 v{i}x3", f"u{i}y3 v{i}y3"))
+    sets = {}
+    for i, t in enumerate(texts):
+        w = words(t)
+        sets[i] = {tuple(w[j: j + 2]) for j in range(len(w) - 1)}
+    want = similar_components(sets, 80)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(make(spark, texts), k=2).collect()}
+    assert got == want and len({want[i] for i in want}) < len(texts)
+
+
 def test_suffix_dedup(docs, corpus):
     raw = [(t or "").encode() for t in corpus]
     seen = collections.Counter(b[i: i + 200] for b in raw for i in range(len(b) - 199))
