@@ -4,7 +4,7 @@ The suffix array is built for a slice of rows at once by prefix doubling (a rank
 of the slice; only tied suffixes are ranked again). Words carry their row, so no repeat crosses rows. The ranks of
 each doubling give the longest common prefix of suffix-array neighbours; the larger of a position's two values is
 the longest substring that starts there and occurs again in the text. The union of these spans over ``MIN_REPEAT``
-words gives the covered share, the largest value the longest repeat.
+words gives the covered share, the largest value the longest repeat. Both have a limit of their own, below what the base rule lets pass.
 
 Nulls: a null text has no word, so base_failed. Empty and one-word texts likewise. A text is one row of one task,
 and its memory is a multiple of its own length (24 bytes a word and doubling). Repeated rows are judged each; an empty
@@ -26,9 +26,12 @@ MIN_WORDS = 50
 REPEAT_PCT = 50
 #: A repeat counts from this many words on; shorter ones are ordinary phrases.
 MIN_REPEAT = 8
-#: Share of words under repeats, and words of the longest repeat against the text, from which a text is rejected.
-MAX_COVERED = 0.6
-MAX_LONGEST = 0.4
+#: Share of words under repeats, and words of the longest repeat against the text, above which a text is rejected. Both are far under
+#: REPEAT_PCT, which bounds the covered share of any text that passes the base rule.
+MAX_COVERED = 0.25
+MAX_LONGEST = 0.1
+#: A sentence of so many words said twice is ordinary in a text of any length (clean documents: 13 words at most).
+ORDINARY = 16
 SYMBOLS = b"#*$%&|<>"
 SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
           "covered double, longest long, base_failed boolean, kept boolean")
@@ -138,7 +141,8 @@ def measure(w: T.Words) -> dict[str, np.ndarray]:
     many = np.maximum(n_words, 1)
     covered = covered_words / many
     base_failed = (n_words < MIN_WORDS) | (100 * n_repeat > REPEAT_PCT * n_words)
-    kept = ~base_failed & (covered <= MAX_COVERED) & ((longest <= MAX_LONGEST * many) | (longest < MIN_REPEAT))
+    kept = (~base_failed & (covered_words <= np.maximum(MAX_COVERED * many, 2 * ORDINARY))
+            & (longest <= np.maximum(MAX_LONGEST * many, ORDINARY)))
     return {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines,
             "n_repeat_words": n_repeat, "covered": covered, "longest": longest, "base_failed": base_failed, "kept": kept}
 

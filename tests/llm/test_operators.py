@@ -289,6 +289,24 @@ def test_quality(docs, corpus):
     assert got[0].kept and not got[len(corpus)].kept
 
 
+def test_quality_limits_reject_texts_that_pass_the_base_rule(spark):
+    def own(n, tag):
+        return [f"{tag}{j}" for j in range(n)]
+
+    line, passage = own(12, "l"), own(25, "p")
+    looped = own(52, "a") + line * 4  # 48 of 100 words under repeats, the longest of 36
+    pasted = own(60, "a") + passage + own(50, "b") + passage + own(60, "c")  # 50 of 220, the longest 25: only the longest is over
+    lines = [w for k in range(4) for w in own(8, f"x{k}_") + own(10, f"y{k}_") + own(8, f"x{k}_")] + own(60, "z")  # 64 of 164, longest 8
+    said_twice = own(15, "s") + own(25, "t") + own(15, "s") + own(30, "u")  # one ordinary sentence twice
+    got = {r.doc_id: r for r in quality.judge_quality(make(spark, [" ".join(x) for x in (looped, pasted, lines, said_twice)]))
+           .select("doc_id", "quality.*").collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[i].kept for i in range(4)] == [False, False, False, True]
+    assert (got[0].covered, got[0].longest) == (0.48, 36)
+    assert got[1].covered <= quality.MAX_COVERED and got[1].longest == 25
+    assert got[2].covered > quality.MAX_COVERED and got[2].longest == 8
+
+
 def brute_passages(texts):
     """Exact repeats only: words under a 50-word window that a smaller id holds too."""
     seen, out = set(), {}
