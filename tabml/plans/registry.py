@@ -595,10 +595,10 @@ def q_cv_score(spark, sf):
 
 @query("param_search")
 def q_param_search(spark, sf):
-    """M6 + W5 + A24: a seeded 5-trial search; one row per trial, best and convergence flags."""
+    """M6 + W5 + A24: a seeded search with the spec's own trial budget; one row per trial, best and convergence flags."""
     from tabml.operators import search as SE
     _, tr, feats = _flagship_folds(spark, sf)
-    res = SE.tune_hyperparameters(tr, FLAG_SPEC, feats, n_trials=5)
+    res = SE.tune_hyperparameters(tr, FLAG_SPEC, feats)
     best = max(res.search_history, key=lambda t: (t.score, -t.trial_number)).trial_number
     rows = [(t.trial_number, t.params["n_estimators"], t.params["max_depth"], t.params["min_samples_split"],
              t.score, t.trial_number == best, res.converged) for t in res.search_history]
@@ -1103,11 +1103,9 @@ def q_spec_check(spark, sf):
 
 @query("full_run")
 def q_full_run(spark, sf):
-    """M9: the whole chain on the builtin orders table (2 trials, so the check stays quick)."""
+    """M9: the whole chain on the builtin orders table, with the default trials and loop-backs."""
     from tabml.plans.pipeline import run_pipeline
-    from tabml.spec import PipelineConstraints
-    spec = ProblemSpec("classification", "is_p", "f1", 0.9, "builtin:orders_status",
-                       PipelineConstraints(max_tuning_trials=2, max_loop_backs=1))
+    spec = ProblemSpec("classification", "is_p", "f1", 0.9, "builtin:orders_status")
     run = run_pipeline(spark, spec, run_id="full-run", base_dir=sf, key="o_orderkey")
     ev = run.evaluation_report
     return spark.createDataFrame([(run.run_id, run.status, run.loop_count, len(run.eda_report.final_feature_names),
