@@ -1,7 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Fixed masks select some of the positions of a run of ``SPAN`` lower-cased words; the others may differ. Every run of a test item and of a
-text is hashed under every mask and equal hashes are joined. A hit names a text, an item and a diagonal (text place minus item
+text is hashed under every mask and equal hashes are joined; items of fewer words bring masks of their own length. A hit names a text, an item and a diagonal (text place minus item
 place); the words of both are then compared along the diagonal, and an overlap counts where a stretch of ``MIN_OVERLAP`` words (the
 whole item, if it is shorter) agrees in at least ``MIN_PCT`` percent of its places.
 
@@ -9,7 +9,7 @@ The texts' hashes first pass a Bloom filter of the items' hashes (``BLOOM_BITS``
 filter only lets more hits through to the join), so only hits are shuffled: each with its region, the words up to ``REACH`` before
 the first and after the last hit that lie close together.
 
-Nulls: null or empty texts hold no overlap; null item texts and items with fewer than ``SPAN`` words are never found; null ids are kept. Repeated
+Nulls: null or empty texts hold no overlap; null item texts and items without a word are never found; null ids are kept. Repeated
 rows of a text are judged each; repeated items count once per id. Empty tables give no rows, or no overlap. Only the named
 columns are read, so clashing names do not matter.
 """
@@ -27,7 +27,8 @@ from tabml.llm import textnum as T
 from tabml.llm.store import Scratch
 
 SPAN = 8
-MASKS = ("11111111", "11101101", "11011011", "10110111")
+#: The last three hit what the others leave: by enumeration (tested) every accepted pattern of MIN_OVERLAP words, or of a whole item of SPAN words or more.
+MASKS = ("11111111", "11101101", "11011011", "10110111", "11000111", "11011100", "01101011")
 MIN_OVERLAP = 13
 MIN_PCT = 80
 REACH = 128
@@ -35,13 +36,22 @@ BLOOM_BITS = 23
 PROBES = 4
 
 
-def seeds(h: np.ndarray, first: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, word place) of every full run under mask ``m``."""
+def masks(lengths: list[int]) -> list[str]:
+    """``MASKS``, and for items of these lengths under SPAN words masks of that length: the whole item, or each word left out if one may differ."""
+    out = list(MASKS)
+    for n in sorted(lengths):
+        one = 100 * (n - 1) >= MIN_PCT * n
+        out += ["1" * i + "0" + "1" * (n - 1 - i) for i in range(n)] if one else ["1" * n]
+    return out
+
+
+def seeds(h: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, word place) of every full run under ``mask``."""
     n = len(h)
     left = np.repeat(first[1:], np.diff(first)) - np.arange(n)
-    at = np.flatnonzero(left >= SPAN)
-    acc = np.full(len(at), 1000 + m, dtype=np.uint64)
-    for j, c in enumerate(MASKS[m]):
+    at = np.flatnonzero(left >= len(mask))
+    acc = np.full(len(at), 1000 + int("1" + mask, 2), dtype=np.uint64)
+    for j, c in enumerate(mask):
         if c == "1":
             acc = T.mix(acc * np.uint64(6364136223846793005) + h[at + j])
     return acc, at
@@ -52,15 +62,20 @@ def probes(h: np.ndarray) -> list[np.ndarray]:
     return [((h >> np.uint64(5)) + np.uint64(i) * (g | np.uint64(1))) >> np.uint64(7) & np.uint64((1 << BLOOM_BITS) - 1) for i in range(PROBES)]
 
 
-def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo, hi, w in T.word_slices(b.column("text")):
-            h = w.hashes()
-            ids = b.column("item").slice(lo, hi - lo)
-            for m in range(len(MASKS)):
-                s, at = seeds(h, w.first, m)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(w.row[at])), pa.array(s.view(np.int64)),
-                                                  pa.array(at - w.first[w.row[at]])], ["item", "seed", "place"])
+def _item_seeds(every: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, w in T.word_slices(b.column("text")):
+                h = w.hashes()
+                ids = b.column("item").slice(lo, hi - lo)
+                many = np.diff(w.first)
+                for m in every:
+                    s, at = seeds(h, w.first, m)
+                    own = (len(m) == SPAN) | (many[w.row[at]] == len(m))  # shorter masks are for items of their length only
+                    s, at = s[own], at[own]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(w.row[at])), pa.array(s.view(np.int64)),
+                                                      pa.array(at - w.first[w.row[at]])], ["item", "seed", "place"])
+    return run
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +97,7 @@ def _bloom_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 REGION = "row long, region long, start long, words binary, hits array<struct<seed:long,place:long>>"
 
 
-def _find(bloom: np.ndarray):
+def _find(bloom: np.ndarray, every: list[str]):
     def maybe(h: np.ndarray) -> np.ndarray:
         ok = np.arange(len(h))
         for i in range(PROBES):
@@ -96,7 +111,7 @@ def _find(bloom: np.ndarray):
             for lo, hi, w in T.word_slices(b.column("text")):
                 h = w.hashes()
                 got = []
-                for m in range(len(MASKS)):
+                for m in every:
                     s, at = seeds(h, w.first, m)
                     i = maybe(s)
                     got.append((s[i], at[i]))
@@ -157,16 +172,18 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "decon")
     items = bench.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null").distinct()
-    seed = scratch.table(items.mapInArrow(_item_seeds, "item long, seed long, place long"))
+    words = items.mapInArrow(_item_words, "item long, words binary").withColumnRenamed("words", "item_words").distinct()
+    many = words.select((F.octet_length("item_words") / 8).cast("int").alias("n")).where(f"n between 1 and {SPAN - 1}").distinct()
+    every = masks([r["n"] for r in many.collect()])  # at most SPAN - 1 rows
+    seed = scratch.table(items.mapInArrow(_item_seeds(every), "item long, seed long, place long"))
     cells = (seed.select("seed").mapInArrow(_bloom_places, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
              .toPandas())  # at most 2**17 rows
     bloom = np.zeros(1 << (BLOOM_BITS - 6), dtype=np.uint64)
     bloom[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
     rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text")).where("row is not null")
-    regions = scratch.table(rows.mapInArrow(_find(bloom), REGION))
+    regions = scratch.table(rows.mapInArrow(_find(bloom, every), REGION))
     hits = regions.select("row", "region", F.explode("hits").alias("h")).select("row", "region", F.col("h.seed").alias("seed"), F.col("h.place").alias("p"))
     found = hits.join(seed, "seed").select("row", "region", "item", (F.col("p") - F.col("place")).alias("diagonal")).distinct()
-    words = items.mapInArrow(_item_words, "item long, words binary").withColumnRenamed("words", "item_words").distinct()
     full = found.join(regions.select("row", "region", "start", "words").distinct(), ["row", "region"]).join(words, "item")
     return full.select("row", "item", "start", "words", "diagonal", "item_words").mapInArrow(_verify, "row long, item long, start long, end long")
 

@@ -265,6 +265,25 @@ def test_decontamination(spark):
     assert decontaminate.contamination(make(spark, []), bench).count() == 0
 
 
+def test_decontamination_masks_hit_every_accepted_pattern():
+    from itertools import combinations
+
+    for n in range(1, decontaminate.MIN_OVERLAP + 1):
+        every = [m for m in decontaminate.masks([n] if n < decontaminate.SPAN else []) if len(m) <= n]
+        most = n - -(-decontaminate.MIN_PCT * n // 100)
+        for changed in (c for k in range(most + 1) for c in combinations(range(n), k)):
+            assert any(all(x == "0" or o + j not in changed for j, x in enumerate(m)) for m in every for o in range(n - len(m) + 1)), (n, changed)
+
+
+def test_decontamination_of_short_items_and_close_changes(spark):
+    items = ["a1 a2 a3 a4 a5 a6", "b1 b2", "c1 c2 c3 c4 c5 c6 c7 c8 c9 c10 c11 c12 c13", "d1 d2 d3 d4 d5 d6 d7 d8"]
+    bench = spark.createDataFrame([(i, t, "c") for i, t in enumerate(items)], "item_id long, text string, doc_id string")
+    texts = ["x y a1 a2 zz a4 a5 a6 x", "x a1 a2 zz zz a5 a6", "p b1 b2 q", "b2 b1", "c1 c2 c3 c4 zz zz c7 c8 c9 c10 c11 c12 c13",
+             "u zz d2 d3 d4 d5 d6 d7 d8 v", "d1 d2"]
+    got = {r.doc_id: r["items"] for r in decontaminate.contamination(make(spark, texts), bench).collect()}
+    assert got == {0: [0], 2: [1], 4: [2], 5: [3]}
+
+
 def test_quality(docs, corpus):
     junk = "\n".join(["same words on every line here"] * 20)
     got = {r.doc_id: r for r in quality.judge_quality(make(docs.sparkSession, corpus + [junk])).select("doc_id", "quality.*").collect()}
