@@ -9,7 +9,7 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
   the text; no document goes.
 * decontamination: documents that overlap a benchmark item go; null ids stay.
 * mixing: every document with its size, its source's size and target, the words taken, and ``pieces``: the drawn parts of its text with
-  their output shard, their place in it and the pass over the source (none for a row with a null id).
+  their output shard, their place in it and the pass over the source. Rows with a null id take part like any other.
 """
 
 from __future__ import annotations
@@ -60,7 +60,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(docs).drop("source").withColumn("taken", mixing.taken(F.col("parts")))
+    # a null id does not find its row again, so these rows, and only these, go through the stage whole
+    whole = F.when(F.col("doc_id").isNull(), F.struct(*docs.columns))
+    mixed = mixing.mix_sources(docs, carry=whole).drop("source").withColumn("taken", mixing.taken(F.col("parts")))
+    drawn = ["size", "source_size", "target", "taken", "parts"]
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(mixing.WORD), F.lit(0))
 
     def piece(w, p):
@@ -68,7 +71,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return F.struct(p["shard"].alias("shard"), p["place"].alias("place"), p["epoch"].alias("epoch"), part.alias("text"))
 
     pieces = mixing.let(words, lambda w: F.transform("parts", lambda p: piece(w, p)))
-    return docs.join(mixed, "doc_id", "left").select(*docs.columns, "size", "source_size", "target", "taken", pieces.alias("pieces"))
+    named = docs.where("doc_id is not null").join(mixed.where("doc_id is not null").select("doc_id", *drawn), "doc_id", "left")
+    unnamed = mixed.where("doc_id is null").select("carried.*", *drawn)
+    both = named.select(*docs.columns, *drawn).unionByName(unnamed)
+    return both.select(*docs.columns, "size", "source_size", "target", "taken", pieces.alias("pieces"))
 
 
 STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("substring dedup", substring_dedup),

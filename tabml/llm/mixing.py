@@ -142,17 +142,19 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), shards: int = 16, seed: int = 42,
-                id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+                id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Column | None = None) -> DataFrame:
     """Per row: id, source, size, source_size, target and ``parts``, an array of (shard, place, epoch, block, start, words): ``words``
-    words from word ``start`` of the text go to ``shard``, ordered there by ``place``; see the module's text."""
+    words from word ``start`` of the text go to ``shard``, ordered there by ``place``; see the module's text. ``carry``: a value of the row
+    that comes back as the column ``carried``, for rows that their id does not find again."""
     spark: SparkSession = docs.sparkSession
     if shards < 1 or shards & (shards - 1):
         raise ValueError("shards must be a power of two")
     scratch = Scratch(spark, "mixing")
     # 'a' before a source and 'z' for null keep code point order with null last
     key = F.coalesce(F.concat(F.lit("a"), F.col(source_col)), F.lit("z"))
+    more = [] if carry is None else ["carried"]
     sizes = scratch.table(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("key"),
-                                      n_words(F.col(text_col)).alias("size")))
+                                      n_words(F.col(text_col)).alias("size"), *([] if carry is None else [carry.alias("carried")])))
     per = source_targets(scratch, sizes, list(weights))
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.ceil(F.col("source_size") / BLOCKS_AT_LEAST))).cast("long")
     per = (per.withColumn("block", block).withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
@@ -170,9 +172,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
     s = s.withColumn("bucket", F.shiftrightunsigned("o", 64 - bits) if bits else F.lit(0).cast("long"))
     offsets = s.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     offsets = offsets.select("key", "bucket", (F.sum("words").over(Window.partitionBy("key").orderBy("bucket")) - F.col("words")).alias("off"))
-    inside = Window.partitionBy("key", "bucket").orderBy("o", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("key", "bucket").orderBy("o", "id", "size", *[F.xxhash64(c) for c in more]).rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("at", F.sum("size").over(inside) - F.col("size")).join(offsets, ["key", "bucket"])
-    s = s.withColumn("at", F.col("at") + F.col("off")).select("id", "source", "key", "size", "at")
+    s = s.withColumn("at", F.col("at") + F.col("off")).select("id", "source", "key", "size", "at", *more)
     s = s.join(per.select("key", "source_size", "target", "block", "n_blocks", "q", "upto"), "key")
     prime = F.when(F.col("n_blocks") % PRIMES[0] != 0, PRIMES[0]).otherwise(PRIMES[1])
 
@@ -192,7 +194,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), s
     blocks = F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((F.col("at") + F.col("size") - 1) / F.col("block")))
     none = F.array().cast("array<struct<shard:int,place:bigint,epoch:int,block:bigint,start:bigint,words:bigint>>")
     parts = F.when(F.col("size") > 0, F.flatten(F.transform(blocks, draws))).otherwise(none)
-    return s.select("id", "source", "size", "source_size", "target", parts.alias("parts")).withColumnRenamed("id", id_col)
+    return s.select("id", "source", "size", "source_size", "target", parts.alias("parts"), *more).withColumnRenamed("id", id_col)
 
 
 def taken(parts: Column) -> Column:

@@ -42,3 +42,19 @@ def test_empty_table(spark, sf, tmp_path):
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in C.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_mix_draws_from_rows_with_null_ids(spark, sf):
+    data = [(i, " ".join(f"a{i}_{j}" for j in range(40)), "en", "s0", 0) for i in range(4)]
+    data += [(None, " ".join(f"n{i}_{j}" for j in range(40)), "en", "s0", 0) for i in range(3)] + [(None, "twin " * 9, "en", None, 0)] * 2
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = C.mix(spark, docs, sf).collect()
+    key = lambda r: (str(r[0]), r[1], str(r[3]))
+    assert sorted(map(key, got)) == sorted(map(key, data))
+    assert all(r.size == len(r.text.split()) and r.source_size == {"s0": 280, None: 18}[r.source] for r in got)
+    assert all(sum(len(p.text.split()) for p in r.pieces) == r.taken for r in got)
+    assert all(set(p.text.split()) <= set(r.text.split()) for r in got for p in r.pieces)
+    total = {s: sum(r.taken for r in got if r.source == s) for s in ("s0", None)}
+    assert all(abs(total[r.source] - r.target) <= 8 for r in got) and all(r.taken for r in got)
+    again = C.mix(spark, docs.repartition(3), sf).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
