@@ -1010,8 +1010,7 @@ def _store_frames(spark, sf):
     t = RV.trace(spark, sf)
     tr = RU.with_cost(t).select("run_id", "seq", F.col("ts").cast("timestamp"), "agent", "model", "prompt_tokens",
                                 "completion_tokens", "total_tokens", F.lit(0.0).alias("latency_ms"), "estimated_cost_usd")
-    known = runs.select("run_id")
-    return runs, h, tr, trials.join(known, "run_id", "left_semi")
+    return runs, h, tr, trials
 
 
 def _fresh_store(spark, sf) -> str:

@@ -135,3 +135,14 @@ def test_bucketed_store_replace_and_empty(spark):
     b_bucket = spark.range(1).select(RS._bucket_of(F.lit("b"))).first()[0]
     a_c = {spark.range(1).select(RS._bucket_of(F.lit(x))).first()[0] for x in ("a", "c")}
     assert buckets == a_c and (b_bucket in a_c or b_bucket not in buckets)
+
+
+def test_store_keeps_trials_of_runs_without_a_row(spark, sf, monkeypatch):
+    from tabml.plans import registry as R
+    from tabml.sources import runviews as RV
+
+    every = [tuple(r) for r in RV.trials(spark, sf).select("run_id", "trial_number", "score").collect()]
+    gone = every[0][0]
+    full = R._runs_ext
+    monkeypatch.setattr(R, "_runs_ext", lambda spark, sf: full(spark, sf).where(F.col("run_id") != gone))
+    assert sorted(tuple(r) for r in R.q_run_store_trials(spark, sf).collect()) == sorted(every)
