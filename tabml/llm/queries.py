@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabml.llm import decontaminate, html_text, langid, mixing, neardup, passages, quality, suffix_dedup, tokens, url_filter
+from tabml.llm import decontaminate, html_text, langid, mixing, neardup, passages, quality, suffix_dedup, tokens, url_filter, whitening
 
 #: The path rules of the URL query, (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -82,8 +82,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "host", "path", "canonical_url", "rule", "verdict")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_minhash_near_dedup, op4_suffix_dedup, op5_mixing, op6_decontamination, op7_quality_rules, op8_substring_dedup, op9_language_id,
-                                   op10_url_filters)}
+                                   op10_url_filters, op13_embedding_whitening)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
