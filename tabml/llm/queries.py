@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabml.llm import decontaminate, html_text, langid, mixing, neardup, passages, quality, suffix_dedup, tokens, url_filter, whitening
+from tabml.llm import decontaminate, html_text, langid, mixing, neardup, passages, phrases, quality, suffix_dedup, tokens, url_filter, whitening
 
 #: The path rules of the URL query, (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -82,12 +82,16 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "host", "path", "canonical_url", "rule", "verdict")
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_minhash_near_dedup, op4_suffix_dedup, op5_mixing, op6_decontamination, op7_quality_rules, op8_substring_dedup, op9_language_id,
-                                   op10_url_filters, op13_embedding_whitening)}
+                                   op10_url_filters, op12_phrase_collocations, op13_embedding_whitening)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
@@ -112,4 +116,26 @@ SELECT c.page_id, c.host, c.path, c.canonical_url, f.rule,
     coalesce(f.v, CASE WHEN l.canonical_url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM canon c LEFT JOIN listed l USING (canonical_url)
 LEFT JOIN fits f ON c.page_id = f.page_id AND c.host = f.url_host AND c.path = f.url_path""",
+    "op12_phrase_collocations": r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+lists AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+f1 AS (SELECT lang, w[i] AS x, count(*) AS f FROM places GROUP BY ALL),
+f2 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS f FROM places WHERE i + 1 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f FROM places WHERE i + 2 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang),
+two AS (SELECT p.lang, p.x || ' ' || p.y AS phrase, p.f AS a, u.f AS l, v.f AS r,
+    (1000000::HUGEINT * p.f * p.f) // (u.f::HUGEINT * v.f) AS score
+  FROM f2 p JOIN f1 u ON p.lang = u.lang AND p.x = u.x JOIN f1 v ON p.lang = v.lang AND p.y = v.x
+  WHERE NOT EXISTS (SELECT 1 FROM f3 t WHERE t.lang = p.lang AND t.x = p.x AND t.y = p.y AND 100 * t.f >= 50 * p.f)
+    AND NOT EXISTS (SELECT 1 FROM f3 t WHERE t.lang = p.lang AND t.y = p.x AND t.z = p.y AND 100 * t.f >= 50 * p.f)),
+cuts AS (SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z AS phrase, t.f AS a, u.f AS l1, yz.f AS r1, xy.f AS l2, v.f AS r2,
+    (1000000::HUGEINT * t.f * t.f) // (u.f::HUGEINT * yz.f) AS s1, (1000000::HUGEINT * t.f * t.f) // (xy.f::HUGEINT * v.f) AS s2
+  FROM f3 t JOIN f1 u ON t.lang = u.lang AND t.x = u.x JOIN f2 yz ON t.lang = yz.lang AND t.y = yz.x AND t.z = yz.y
+  JOIN f2 xy ON t.lang = xy.lang AND t.x = xy.x AND t.y = xy.y JOIN f1 v ON t.lang = v.lang AND t.z = v.x),
+found AS (SELECT lang, phrase, a, l, r, score FROM two UNION ALL
+  SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM found)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
 }
