@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabml.llm import decontaminate, html_text, langid, mixing, neardup, passages, phrases, quality, suffix_dedup, tokens, url_filter, whitening
+from tabml.llm import decontaminate, html_text, langid, lm, mixing, neardup, passages, phrases, quality, suffix_dedup, tokens, url_filter, whitening
 
 #: The path rules of the URL query, (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -82,6 +82,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "host", "path", "canonical_url", "rule", "verdict")
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = lm.held_out(F.col("doc_id"))
+    return lm.score(docs, lm.fit(docs.where(~out)), out).withColumnRenamed("id", "doc_id")
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -91,7 +97,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_minhash_near_dedup, op4_suffix_dedup, op5_mixing, op6_decontamination, op7_quality_rules, op8_substring_dedup, op9_language_id,
-                                   op10_url_filters, op12_phrase_collocations, op13_embedding_whitening)}
+                                   op10_url_filters, op11_lm_scoring, op12_phrase_collocations, op13_embedding_whitening)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
