@@ -45,7 +45,7 @@ TABLES = 3
 LEAST_BITS, MOST_BITS, PLACE_BYTES = 14, 22, 32
 REGION = 14
 COUNT_BYTES, COUNT_TASKS = 1 << 26, 1 << 16
-HEAD, LEAD = 1 << 20, 20
+HEAD, LEAD = 1 << 18, 20
 #: Log odds are kept in steps of 1 / STEPS.
 STEPS = 16
 GATES, CELLS = 8, 25
@@ -311,7 +311,7 @@ def fit(train: DataFrame, text_col: str = "text") -> Model:
         if have > HEAD:
             break
         least = r["level"]
-    head = words.where(F.col("level") >= least).select("key", "n").toPandas()  # HEAD rows at most
+    head = words.where(F.col("level") >= least).select("key", "n").toArrow()  # HEAD rows at most
     spelled = codes(followers, mass)
     bits = min(MOST_BITS, max(LEAST_BITS, (size // PLACE_BYTES).bit_length()))
     tasks = max(1, min(COUNT_TASKS, -(-size // COUNT_BYTES)))
@@ -323,7 +323,7 @@ def fit(train: DataFrame, text_col: str = "text") -> Model:
     for r in merged:
         odds[r["tab"], r["region"] * step: (r["region"] + 1) * step] = np.frombuffer(r["odds"], dtype=np.int8)
     total, distinct = sum(r["n"] for r in levels), sum(r["many"] for r in levels)
-    return Model(tables(spelled, odds, bits, head["key"].to_numpy(np.int64), head["n"].to_numpy()), words.where(F.col("level") < least).select("key", "n"), texts, total + texts, distinct + (texts > 0))
+    return Model(tables(spelled, odds, bits, head["key"].to_numpy(), head["n"].to_numpy()), words.where(F.col("level") < least).select("key", "n"), texts, total + texts, distinct + (texts > 0))
 
 
 class Mixer:
