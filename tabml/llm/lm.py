@@ -49,7 +49,9 @@ HEAD, LEAD = 1 << 18, 20
 #: Log odds are kept in steps of 1 / STEPS.
 STEPS = 16
 GATES, CELLS = 8, 25
-BLOCK = 512
+BLOCK = 1024
+#: Bytes scored at a time, and bytes of texts side by side.
+TOGETHER, SIDE_BYTES = 1 << 14, 1 << 22
 #: Start weight of every predictor; sizes of a step of the weights and of the corrections; events by which a small block's step is damped.
 START, RATE, REFINE, DAMP = 0.35, 2.0, 1.0, 24.0
 _SPACE = np.zeros(256, dtype=bool)
@@ -142,7 +144,7 @@ def word_shifts(x: np.ndarray) -> np.ndarray:
 
 def contexts(x: np.ndarray, at: np.ndarray, shifts: np.ndarray) -> list[np.ndarray]:
     """Hashes (uint32) of the contexts of the places ``at``, one array for each hashed table."""
-    last = np.ndarray((len(x) - 7,), dtype="<u8", buffer=x.data, strides=(1,)).take(at - LOOKBACK)  # the byte before is the highest
+    last = np.ndarray((len(x) - 7,), dtype="<u8", buffer=x.data, strides=(1,))[at - LOOKBACK]  # the byte before is the highest
     keys = (last >> np.uint64(40), last >> np.uint64(32), last >> shifts.take(at).astype(np.uint64))
     return [((k + np.uint64(1)) * m >> np.uint64(32)).astype(np.uint32) for k, m in zip(keys, _MULT)]
 
@@ -342,8 +344,7 @@ class Mixer:
         salt, bit, mask = c.salt.take(path), c.bit.take(path), np.uint32((1 << t.bits) - 1)
         kept = [table.take((base.take(of) ^ salt) & mask) for table, base in zip(t.odds, contexts(x, at, shifts))]
         cell = (row * GATES).take(of) + c.first.take(path)
-        cell += kept[1] != 0
-        cell += (kept[2] != 0) * 2
+        cell += (kept[1] != 0).view(np.uint8) | ((kept[2] != 0).view(np.uint8) << 1)
         odds = [k * np.float32(1 / STEPS) for k in kept]
         mixed = self.weights[0].take(cell) * odds[0]
         for w, o in zip(self.weights[1:], odds[1:]):
@@ -367,8 +368,8 @@ class Mixer:
 
 
 def ends_of_blocks(longest: int) -> list[int]:
-    """0, 32, 64, 128, 256, 512, then every BLOCK."""
-    out = [0, 32, 64, 128, 256]
+    """0, 32, doubled up to BLOCK, then every BLOCK."""
+    out = [0, *(1 << i for i in range(5, BLOCK.bit_length() - 1))]
     return [x for x in out if x < longest] + list(range(BLOCK, longest, BLOCK)) + [longest]
 
 
@@ -386,11 +387,13 @@ def text_bits(t: Tables, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     x, first = padded(data, offsets)
     shifts, n = word_shifts(x), np.diff(offsets) + 1
     for a, b in _spans(ends_of_blocks(int(n.max()))):
-        live = np.flatnonzero(n > a)
-        many = np.minimum(n[live], b) - a
-        row = np.repeat(live, many)
-        at = np.arange(len(row)) + np.repeat(first[live] + a - (np.cumsum(many) - many), many)
-        mixer.block(x, shifts, at, row)
+        whole = np.flatnonzero(n > a)
+        size = np.cumsum(np.minimum(n[whole], b) - a)
+        cuts = [0, *np.flatnonzero(np.diff(size // TOGETHER)) + 1, len(whole)]
+        for live in (whole[i:j] for i, j in _spans(cuts)):
+            many = np.minimum(n[live], b) - a
+            row = np.repeat(live, many)
+            mixer.block(x, shifts, np.arange(len(row)) + np.repeat(first[live] + a - (np.cumsum(many) - many), many), row)
     return mixer.bits
 
 
@@ -406,7 +409,7 @@ def _score(shared):
         t: Tables = shared.value
         for b in batches:
             data, off = T.texts(b.column("text"))
-            for lo, hi in T.slices(off):
+            for lo, hi in T.slices(off, SIDE_BYTES):
                 d, o = data[off[lo]: off[hi]], off[lo: hi + 1] - off[lo]
                 rows = hi - lo
                 w = T.words(d, o)
