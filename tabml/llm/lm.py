@@ -51,7 +51,7 @@ STEPS = 16
 GATES, CELLS = 8, 25
 BLOCK = 1024
 #: Bytes scored at a time, and bytes of texts side by side.
-TOGETHER, SIDE_BYTES = 1 << 14, 1 << 22
+TOGETHER, SIDE_BYTES = 1 << 14, 1 << 21
 #: Start weight of every predictor; sizes of a step of the weights and of the corrections; events by which a small block's step is damped.
 START, RATE, REFINE, DAMP = 0.35, 2.0, 1.0, 24.0
 _SPACE = np.zeros(256, dtype=bool)
@@ -164,7 +164,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, key, n): 0 words by digest, 1 coded bytes with the two before, 2 number of texts (key 0) and of their bytes (key 1)."""
     rows, size = 0, 0
     held, many = [], 0
-    triples = np.zeros(1 << 24, dtype=np.int32)
+    triples, seen = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for b in batches:
         data, off = T.texts(b.column("text"))
         rows += b.num_rows
@@ -175,24 +175,18 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wide = x.astype(np.int32)
             key = np.sort(((wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:])[coded(o, first) - 2])
             new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            triples[key[new]] += np.diff(np.r_[new, len(key)]).astype(np.int32)
+            triples, at = np.unique(np.r_[triples, key[new]], return_inverse=True)
+            seen = np.bincount(at, np.r_[seen, np.diff(np.r_[new, len(key)])]).astype(np.int64)
             held.append(T.words(d, o).hashes())
             many += len(held[-1])
-            if many >= 1 << 22:
+            if many >= 1 << 21:
                 yield _tally(held, 0)
                 held, many = [], 0
-            if size >= 1 << 30:  # before a count can pass 32 bits
-                key = np.flatnonzero(triples)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), pa.array(key), pa.array(triples[key].astype(np.int64))], ["kind", "key", "n"])
-                triples[:] = 0
-                yield pa.RecordBatch.from_arrays([pa.array([2, 2], pa.int32()), pa.array([0, 1], pa.int64()), pa.array([rows, size], pa.int64())], ["kind", "key", "n"])
-                rows, size = 0, 0
     if many:
         yield _tally(held, 0)
     if rows:
-        key = np.flatnonzero(triples)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.ones(len(key), np.int32), [2, 2]].astype(np.int32)), pa.array(np.r_[key, 0, 1]),
-                                          pa.array(np.r_[triples[key], rows, size].astype(np.int64))], ["kind", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.ones(len(triples), np.int32), [2, 2]].astype(np.int32)), pa.array(np.r_[triples, 0, 1]),
+                                          pa.array(np.r_[seen, rows, size].astype(np.int64))], ["kind", "key", "n"])
 
 
 def _place_counts(shared, bits: int):
@@ -204,13 +198,13 @@ def _place_counts(shared, bits: int):
         any_ = False
         for b in batches:
             data, off = T.texts(b.column("text"))
-            for lo, hi in T.slices(off, 1 << 22):
+            for lo, hi in T.slices(off, 1 << 21):
                 any_ = True
                 o = off[lo: hi + 1] - off[lo]
                 x, first = padded(data[off[lo]: off[hi]], o)
                 at, shifts = coded(o, first), word_shifts(x)
-                for i in range(0, len(at), 1 << 22):
-                    here = at[i: i + (1 << 22)]
+                for i in range(0, len(at), 1 << 21):
+                    here = at[i: i + (1 << 21)]
                     rank = c.rank(x, here)
                     for places, base in zip(counts, contexts(x, here, shifts)):
                         key = np.sort((base.astype(np.int64) << 8) | rank)  # equal ones are counted at once
