@@ -80,8 +80,8 @@ class Codes:
         """(index into rank, index into the path tables) of every decision, and the number of decisions of each rank."""
         n = self.length.take(rank)
         total = np.cumsum(n)
-        path = np.arange(total[-1] if len(total) else 0) + np.repeat(self.start.take(rank) - total + n, n)
-        return np.repeat(np.arange(len(rank)), n), path, n
+        of = np.repeat(np.arange(len(rank)), n)
+        return of, np.arange(len(of)) + (self.start.take(rank) - total + n).take(of), n
 
 
 def codes(followers: dict[int, list[int]], mass: dict[int, int]) -> Codes:
@@ -129,8 +129,20 @@ def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(bytes with LOOKBACK end marks before each row and after the last, place of each row's first byte)."""
     rows = len(offsets) - 1
     x = np.full(len(data) + LOOKBACK * (rows + 1), END, dtype=np.uint8)
-    x[np.arange(len(data)) + np.repeat(LOOKBACK * np.arange(1, rows + 1), np.diff(offsets))] = data
-    return x, offsets[:-1] + LOOKBACK * np.arange(1, rows + 1)
+    first = offsets[:-1] + LOOKBACK * np.arange(1, rows + 1)
+    if 64 * rows < len(data):  # long rows one by one, short ones all at once
+        for a, b, at in zip(offsets[:-1].tolist(), offsets[1:].tolist(), first.tolist()):
+            x[at: at + b - a] = data[a:b]
+    else:
+        x[np.arange(len(data)) + np.repeat(LOOKBACK * np.arange(1, rows + 1), np.diff(offsets))] = data
+    return x, first
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[T.Words, np.ndarray]:
+    """(words of the rows, their digests with A-Z lower-cased)."""
+    upper = (data - np.uint8(65)) < 26
+    w = T.words(data + (upper.view(np.uint8) << 5), offsets)
+    return w, w.hashes(lower=False)
 
 
 def word_shifts(x: np.ndarray) -> np.ndarray:
@@ -177,7 +189,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             triples, at = np.unique(np.r_[triples, key[new]], return_inverse=True)
             seen = np.bincount(at, np.r_[seen, np.diff(np.r_[new, len(key)])]).astype(np.int64)
-            held.append(T.words(d, o).hashes())
+            held.append(words(d, o)[1])
             many += len(held[-1])
             if many >= 1 << 21:
                 yield _tally(held, 0)
@@ -406,8 +418,7 @@ def _score(shared):
             for lo, hi in T.slices(off, SIDE_BYTES):
                 d, o = data[off[lo]: off[hi]], off[lo: hi + 1] - off[lo]
                 rows = hi - lo
-                w = T.words(d, o)
-                digest = w.hashes()
+                w, digest = words(d, o)
                 count = t.counts(digest)
                 known = count > 0
                 part = np.log10(count + 0.1) * known
