@@ -154,11 +154,27 @@ def word_shifts(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def before(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 8 bytes before each place as one number, the nearest byte highest."""
+    return np.ndarray((len(x) - 7,), dtype="<u8", buffer=x.data, strides=(1,))[at - LOOKBACK]
+
+
+def context(table: int, key: np.ndarray) -> np.ndarray:
+    """Hashes (uint32) of a table's contexts."""
+    return ((key + np.uint64(1)) * _MULT[table] >> np.uint64(32)).astype(np.uint32)
+
+
 def contexts(x: np.ndarray, at: np.ndarray, shifts: np.ndarray) -> list[np.ndarray]:
-    """Hashes (uint32) of the contexts of the places ``at``, one array for each hashed table."""
-    last = np.ndarray((len(x) - 7,), dtype="<u8", buffer=x.data, strides=(1,))[at - LOOKBACK]  # the byte before is the highest
-    keys = (last >> np.uint64(40), last >> np.uint64(32), last >> shifts.take(at).astype(np.uint64))
-    return [((k + np.uint64(1)) * m >> np.uint64(32)).astype(np.uint32) for k, m in zip(keys, _MULT)]
+    """Hashes of the contexts of the places ``at``, one array for each table."""
+    last = before(x, at)
+    return [context(i, k) for i, k in enumerate((last >> np.uint64(40), last >> np.uint64(32), last >> shifts.take(at).astype(np.uint64)))]
+
+
+def tallied(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, how often each)."""
+    key = np.sort(key)
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return key[new], np.diff(np.r_[new, len(key)])
 
 
 def coded(offsets: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -185,10 +201,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d, o = data[off[lo]: off[hi]], off[lo: hi + 1] - off[lo]
             x, first = padded(d, o)
             wide = x.astype(np.int32)
-            key = np.sort(((wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:])[coded(o, first) - 2])
-            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            triples, at = np.unique(np.r_[triples, key[new]], return_inverse=True)
-            seen = np.bincount(at, np.r_[seen, np.diff(np.r_[new, len(key)])]).astype(np.int64)
+            key, n = tallied(((wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:])[coded(o, first) - 2])
+            triples, at = np.unique(np.r_[triples, key], return_inverse=True)
+            seen = np.bincount(at, np.r_[seen, n]).astype(np.int64)
             held.append(words(d, o)[1])
             many += len(held[-1])
             if many >= 1 << 21:
@@ -208,6 +223,12 @@ def _place_counts(shared, bits: int):
         mask = np.uint32((1 << bits) - 1)
         counts = np.zeros((TABLES, 2 << bits), dtype=np.uint32)
         any_ = False
+
+        def put(places: np.ndarray, base: np.ndarray, rank: np.ndarray, n: np.ndarray) -> None:
+            of, path, _ = c.paths(rank)
+            place = (base.take(of) ^ c.salt.take(path)) & mask
+            np.add.at(places, (place.astype(np.int64) << 1) | (c.bit.take(path) > 0), n.astype(np.uint32).take(of))
+
         for b in batches:
             data, off = T.texts(b.column("text"))
             for lo, hi in T.slices(off, 1 << 21):
@@ -217,21 +238,21 @@ def _place_counts(shared, bits: int):
                 at, shifts = coded(o, first), word_shifts(x)
                 for i in range(0, len(at), 1 << 21):
                     here = at[i: i + (1 << 21)]
-                    rank = c.rank(x, here)
-                    for places, base in zip(counts, contexts(x, here, shifts)):
-                        key = np.sort((base.astype(np.int64) << 8) | rank)  # equal ones are counted at once
-                        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                        n = np.diff(np.r_[new, len(key)]).astype(np.uint32)
-                        key = key[new]
-                        of, path, _ = c.paths(key & 255)
-                        place = ((key >> 8).astype(np.uint32).take(of) ^ c.salt.take(path)) & mask
-                        np.add.at(places, (place.astype(np.int64) << 1) | (c.bit.take(path) > 0), n.take(of))
+                    last = before(x, here)
+                    # equal cases are counted at once: by the 4 bytes before and the byte, by the word so far and the byte's rank
+                    near, n = tallied(((last >> np.uint64(24)) & np.uint64(0xFFFFFFFF00)).view(np.int64) | x[here])
+                    pair = ((near >> 16) & 0xFF00) | (near >> 32)
+                    rank, key = c.ranks.take((c.of.take(pair).astype(np.int64) << 8) | (near & 255)), (near >> 8).view(np.uint64)
+                    put(counts[0], context(0, key >> np.uint64(8)), rank, n)
+                    put(counts[1], context(1, key), rank, n)
+                    word, n = tallied((context(2, last >> shifts.take(here).astype(np.uint64)).astype(np.int64) << 8) | c.rank(x, here))
+                    put(counts[2], (word >> 8).astype(np.uint32), word & 255, n)
         if not any_:
             return
         width = 2 << min(bits, REGION)
-        for t, c in enumerate(counts):
-            for r in range(len(c) // width):
-                part = c[r * width: (r + 1) * width]
+        for t, places in enumerate(counts):
+            for r in range(len(places) // width):
+                part = places[r * width: (r + 1) * width]
                 most = part.max()
                 if most:
                     raw = part.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
