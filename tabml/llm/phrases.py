@@ -39,7 +39,7 @@ LEAST, WORDS, TOP = 10, 3, 2000
 INSIDE_PERCENT = 50
 MILLION = 1_000_000
 #: Text bytes a task sorts at a time, text bytes a part stands for, fewest parts, and places from which a prefix is routed one word deeper.
-FLUSH_BYTES, PART_BYTES, FEWEST_PARTS, HEAVY = 1 << 24, 1 << 22, 48, 200_000
+FLUSH_BYTES, PART_BYTES, FEWEST_PARTS, HEAVY = 1 << 23, 1 << 22, 48, 200_000
 HEAVY_MOST = 1 << 18
 #: Partitions up to this size are sorted directly.
 SMALL = 1 << 15
@@ -142,8 +142,9 @@ def pointers(data: np.ndarray, offsets: np.ndarray, lang: np.ndarray, lang_diges
     return Pointers(low, start, end, digest, lang[row], joined)
 
 
-def _flushes(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[Pointers, list[str]]]:
-    """Pointers of about FLUSH_BYTES of text at a time, and the languages that their numbers mean."""
+def _flushes(batches: Iterator[pa.RecordBatch], seed: int, texts: bool) -> Iterator[tuple[Pointers, list[str]]]:
+    """Pointers of about FLUSH_BYTES of text at a time (without their bytes and bounds unless ``texts``), and the languages that their numbers mean."""
+    none = np.zeros(0, dtype=np.uint8)
     names: list[str] = []
     held: list[Pointers] = []
     size = 0
@@ -164,7 +165,8 @@ def _flushes(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[Poi
         digest = np.array([int.from_bytes(hashlib.md5(f"{seed}\n{n}".encode()).digest()[:8], "little") for n in names], dtype=np.uint64)
         data, off = T.texts(b.column("text"))
         for d, o, rows in pieces(data, off):
-            held.append(pointers(d, o, number[rows], digest, seed))
+            p = pointers(d, o, number[rows], digest, seed)
+            held.append(p if texts else Pointers(none, none, none, p.digest, none, p.joined))
             size += len(d)
             if size >= FLUSH_BYTES:
                 yield joined(), names
@@ -201,7 +203,7 @@ _WORDS = "part int, digest long, lang string, word string, n long"
 
 def _count_words(parts: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, names in _flushes(batches, seed):
+        for p, names in _flushes(batches, seed, True):
             order, n = multikey_partitions([p.digest])
             # all members of a set against its one pointer
             nth = np.searchsorted(p.digest[order], p.digest)
@@ -278,7 +280,7 @@ def _count_phrases(depth: int, parts: int, seed: int, shared):
     """Packed runs, by part, of the phrases of ``depth`` words whose first and last depth - 1 words may have survived."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alive, heavy = shared.value
-        for p, _ in _flushes(batches, seed):
+        for p, _ in _flushes(batches, seed, False):
             m = len(p.digest) - depth + 1
             if m <= 0:
                 continue
