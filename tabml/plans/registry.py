@@ -480,13 +480,7 @@ def q_missing_datetime(spark, sf):
     dg = o.select("o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, None).otherwise(F.col("o_orderdate")).alias("o_orderdate"),
                   "o_totalprice")
     _, rep, _ = FE.fit_plan(dg, _spec("regression", "o_totalprice"))
-    import re
-    rows = []
-    for w in rep.data_quality_warnings:
-        m = re.match(r"'(.+?)' contains (\d+) missing datetime", w)
-        if m:
-            rows.append((m.group(1), int(m.group(2))))
-    return spark.createDataFrame(rows, "column_name string, missing_count long")
+    return spark.createDataFrame(sorted(rep.missing_datetimes.items()), "column_name string, missing_count long")
 
 
 # ====================================================================== metrics
@@ -974,6 +968,7 @@ def q_run_summary_join(spark, sf):
 
 # ====================================================================== run store
 
+from tabml.sources import documents as DOC  # noqa: E402
 from tabml.sources import runstore as RS  # noqa: E402
 
 
@@ -993,18 +988,40 @@ def _store_frames(spark, sf):
         F.col("best_params"), F.col("best_score").alias("best_cv_score"), F.lit("f1_macro").alias("metric_optimized"),
         F.col("converged"), F.col("n_trials").cast("int"), F.col("n_trials").cast("int"),
         F.lit("").alias("convergence_notes")))
+    matrix = spark.sql(RV.MATRIX_SQL, events=V.table(spark, sf, "events"))
+    matrix = matrix.select("run_id", F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("matrix"))
+    residual = spark.sql(RV.RESIDUAL_SQL, events=V.table(spark, sf, "events"))
+    residual = residual.select("run_id", F.create_map(F.lit("mean"), "mean", F.lit("top"), "top").alias("residual"))
+    failure = F.when(F.col("pass_fail") == "fail", F.struct(F.lit("threshold missed").alias("summary"), F.when(
+        F.col("loop_count") % 2 == 0, "revisit_features").otherwise("expand_hyperparam_search").alias("recommended_next_step")))
     evaluation = F.when(F.col("metric_value").isNotNull(), F.struct(
         F.create_map(F.col("success_metric"), F.col("metric_value")).alias("test_metrics"), F.col("success_metric"),
-        F.col("metric_value"), F.col("metric_threshold"), F.col("pass_fail"),
-        F.lit(None).cast("array<array<bigint>>"), F.lit(None).cast("map<string,double>"),
-        F.lit(None).cast("struct<summary:string,recommended_next_step:string>")))
+        F.col("metric_value"), F.col("metric_threshold"), F.col("pass_fail"), F.col("matrix"), F.col("residual"), failure,
+        F.when(F.col("pass_fail") == "pass", F.concat(F.lit("models/"), F.col("run_id")))))
+
+    def parts(head: str, *lists: str) -> DataFrame:
+        out = RV.section(spark, sf, head)
+        for name in lists:
+            rows = RV.section(spark, sf, name)
+            entry = F.struct("ord", F.col("v").alias("x") if "v" in rows.columns else
+                             F.struct(*[c for c in rows.columns if c not in ("run_id", "ord")]).alias("x"))
+            out = out.join(rows.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["x"]).alias(name)), "run_id", "left")
+        return out
+
+    pf = parts("profile", "column_schema", "class_balance", "outlier_flags", "cleaning_actions_taken", "warnings")
+    some = lambda c: F.coalesce(c, F.array())
+    pf = pf.select("run_id", F.struct("row_count", "column_count", "column_schema", "class_balance", some("outlier_flags"),
+                                      some("cleaning_actions_taken"), some("warnings"), "blocking_issue").cast(RS.PROFILE_T).alias("data_profile"))
+    ed = parts("eda", "correlation_summary", "engineered_features", "dropped_features", "leakage_warnings", "data_quality_warnings", "final_feature_names")
+    ed = ed.select("run_id", F.struct("correlation_summary", some("engineered_features"), some("dropped_features"), some("leakage_warnings"),
+                                      some("data_quality_warnings"), "notes", some("final_feature_names")).cast(RS.EDA_T).alias("eda_report"))
     spec = F.struct("task_type", F.lit("target").alias("target_column"), "success_metric", "metric_threshold",
                     "data_source", F.lit(None).cast("int"), "max_tuning_trials", F.lit(False), "max_loop_backs",
                     F.lit(None).cast("string"))
     runs = (r.join(conv, "run_id", "left").join(best.select("run_id"), "run_id", "left").join(hist, "run_id", "left")
+            .join(matrix, "run_id", "left").join(residual, "run_id", "left").join(pf, "run_id", "left").join(ed, "run_id", "left")
             .select("run_id", "status", "loop_count", F.col("created_at").cast("timestamp"),
-                    F.col("updated_at").cast("timestamp"), spec.cast(RS.SPEC_T).alias("spec"),
-                    F.lit(None).cast(RS.PROFILE_T).alias("data_profile"), F.lit(None).cast(RS.EDA_T).alias("eda_report"),
+                    F.col("updated_at").cast("timestamp"), spec.cast(RS.SPEC_T).alias("spec"), "data_profile", "eda_report",
                     tuning.cast(RS.TUNING_T).alias("tuning_result"), evaluation.cast(RS.EVAL_T).alias("evaluation_report")))
     h = RV.history(spark, sf).select("run_id", "seq", F.col("ts").cast("timestamp"), "stage", "event")
     t = RV.trace(spark, sf)
@@ -1020,18 +1037,28 @@ def _fresh_store(spark, sf) -> str:
     return root
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def _store(spark, sf) -> str:
+    """The derived runs in a store that is written once per application and only read by the queries that share it."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _STORES:
+        _STORES[at] = _fresh_store(spark, sf)
+    return _STORES[at]
+
+
 @query("run_store_read", Q.compose("SELECT run_id, seq, stage, event FROM h", ctes=[_H]))
 def q_run_store_read(spark, sf):
     """S6 + S7: the derived runs written to a fresh store, history read back through its view."""
     root = _fresh_store(spark, sf)
-    return RS.run_tables(spark, root)["history_entries"].select("run_id", "seq", "stage", "event")
+    return DOC.run_tables(spark, root)["history_entries"].select("run_id", "seq", "stage", "event")
 
 
-@query("run_store_trials", Q.compose("SELECT run_id, trial_number, score FROM tl WHERE run_id IN (SELECT run_id FROM rn)",
-                                     ctes=[_TL, _RN]))
+@query("run_store_trials", Q.compose("SELECT run_id, trial_number, score FROM tl", ctes=[_TL]))
 def q_run_store_trials(spark, sf):
     root = _fresh_store(spark, sf)
-    return RS.run_tables(spark, root)["trial_records"].select("run_id", "trial_number", "score")
+    return DOC.run_tables(spark, root)["trial_records"].select("run_id", "trial_number", "score")
 
 
 @query("run_list", Q.compose(
@@ -1053,7 +1080,7 @@ def q_run_store_write(spark, sf):
     """S6 replace: runs 0-4 are written again with a one-event history; their old events are gone and
     every other run is untouched (dynamic partition overwrite)."""
     root = _fresh_store(spark, sf)
-    h = RS.run_tables(spark, root)["history_entries"]
+    h = DOC.run_tables(spark, root)["history_entries"]
     ids = ["run-0", "run-1", "run-2", "run-3", "run-4"]
     first = (h.where(F.col("run_id").isin(*ids)).groupBy("run_id")
              .agg(F.min_by(F.struct("seq", "ts", "stage", "event"), F.col("seq")).alias("f"))
@@ -1061,7 +1088,175 @@ def q_run_store_write(spark, sf):
     staged = scratch_path(spark, "replace")
     first.write.parquet(staged)            # never overwrite a path while reading it
     RS.write_history(root, spark.read.parquet(staged).select("run_id", "seq", "ts", "stage", "event"))
-    return RS.run_tables(spark, root)["history_entries"].select("run_id", "seq", "stage", "event")
+    return DOC.run_tables(spark, root)["history_entries"].select("run_id", "seq", "stage", "event")
+
+
+# Relational tables and whole documents of the store: the SQL forms read the derived inputs, never the store.
+_SEC = [RV.TYPES_CTE, *[(f"s_{k}", v) for k, v in RV.SECTION_SQL.items()], _RN, _RUNS_EXT, _H, _TR, _COST, _TL, _CONV,
+        ("mx", RV.duck_form(RV.MATRIX_SQL)), ("rs", RV.duck_form(RV.RESIDUAL_SQL)),
+        ("bt", "SELECT * FROM tl QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY score DESC, trial_number) = 1"),
+        ("ev", """SELECT *, CASE WHEN pass_fail = 'pass' THEN 'models/' || run_id END AS model_artifact_path,
+           CASE WHEN loop_count % 2 = 0 THEN 'revisit_features' ELSE 'expand_hyperparam_search' END AS step FROM rx WHERE metric_value IS NOT NULL""")]
+
+
+def _params_sql(src: str, cols: str = "run_id") -> str:
+    return " UNION ALL ".join(f"SELECT {cols}, '{p}' AS param_name, CAST({p} AS VARCHAR) AS param_value FROM {src}"
+                              for p in ("n_estimators", "max_depth", "min_samples_split"))
+
+
+def _by_key(sql: str, key: str) -> str:
+    """ord of map entries: their rank by key."""
+    return f"SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY {key}) - 1 AS INTEGER) AS ord FROM ({sql}) e"
+
+
+TABLE_SQL = {
+    "runs": "SELECT run_id, status, loop_count, created_at, updated_at FROM rn",
+    "problem_specs": "SELECT run_id, task_type, 'target' AS target_column, success_metric, metric_threshold, data_source, "
+                     "CAST(NULL AS VARCHAR) AS notes FROM rn",
+    "pipeline_constraints": "SELECT run_id, CAST(NULL AS INTEGER) AS max_training_seconds, max_tuning_trials, false AS interpretability_required, "
+                            "max_loop_backs FROM rn",
+    "history_entries": "SELECT run_id, seq, ts, stage, event FROM h",
+    "trace_entries": "SELECT run_id, seq, ts, agent, model, prompt_tokens, completion_tokens, total_tokens, CAST(0 AS DOUBLE) AS latency_ms, "
+                     "estimated_cost_usd FROM c",
+    "trial_records": "SELECT run_id, trial_number, score FROM tl",
+    "trial_record_params": _params_sql("tl", "run_id, trial_number"),
+    "data_profiles": "SELECT run_id, row_count, column_count, blocking_issue FROM s_profile",
+    "eda_reports": "SELECT run_id, notes AS target_distribution_notes FROM s_eda",
+    "tuning_results": "SELECT run_id, best_score AS best_cv_score, 'f1_macro' AS metric_optimized, CAST(n_trials AS INTEGER) AS search_budget_used, "
+                      "CAST(n_trials AS INTEGER) AS search_budget_total, '' AS convergence_notes, converged FROM cv WHERE run_id IN (SELECT run_id FROM rn)",
+    "evaluation_reports": "SELECT run_id, success_metric AS metric_optimized, metric_value, metric_threshold, pass_fail, model_artifact_path FROM ev",
+    "failure_analyses": "SELECT run_id, 'threshold missed' AS summary, step AS recommended_next_step FROM ev WHERE pass_fail = 'fail'",
+    "column_schemas": "SELECT run_id, ord, name, dtype, missing_pct, is_target FROM s_column_schema",
+    "cleaning_actions": 'SELECT run_id, ord, col AS "column", action, rationale FROM s_cleaning_actions_taken',
+    "class_balance_entries": "SELECT run_id, ord, label AS class_label, share AS proportion FROM s_class_balance",
+    "data_profile_warnings": "SELECT run_id, ord, v AS warning_text FROM s_warnings",
+    "outlier_flags": "SELECT run_id, ord, v AS column_name FROM s_outlier_flags",
+    "feature_correlations": "SELECT run_id, ord, feature AS feature_name, corr AS correlation FROM s_correlation_summary",
+    "feature_decisions": "SELECT run_id, ord, name, rationale, 'engineered' AS kind FROM s_engineered_features UNION ALL "
+                         "SELECT run_id, ord, name, rationale, 'dropped' AS kind FROM s_dropped_features",
+    "leakage_warnings": "SELECT run_id, ord, v AS warning_text FROM s_leakage_warnings",
+    "data_quality_warnings": "SELECT run_id, ord, v AS warning_text FROM s_data_quality_warnings",
+    "final_feature_names": "SELECT run_id, ord, v AS feature_name FROM s_final_feature_names",
+    "tuning_best_params": _by_key(_params_sql("bt") .replace("FROM bt", "FROM bt WHERE run_id IN (SELECT run_id FROM rn)"), "param_name"),
+    "test_metric_entries": "SELECT run_id, 0 AS ord, success_metric AS metric_name, metric_value AS value FROM ev",
+    "residual_summary_entries": _by_key("SELECT run_id, 'mean' AS key, mean AS value FROM rs UNION ALL SELECT run_id, 'top', top FROM rs", "key"),
+    "confusion_matrix_cells": "SELECT run_id, 0 AS row_idx, 0 AS col_idx, tn AS count FROM mx UNION ALL SELECT run_id, 0, 1, fp FROM mx UNION ALL "
+                              "SELECT run_id, 1, 0, fn FROM mx UNION ALL SELECT run_id, 1, 1, tp FROM mx",
+}
+
+
+def _table_query(name: str):
+    def run(spark, sf):
+        out = DOC.run_tables(spark, _store(spark, sf))[name]
+        return out.drop("params") if name == "trial_records" else out
+    run.__name__ = f"q_table_{name}"
+    run.__doc__ = f"The relational table {name} of the derived runs, read from their store."
+    return run
+
+
+for _name, _sql in TABLE_SQL.items():
+    query(f"table_{_name}", Q.compose(_sql, ctes=_SEC))(_table_query(_name))
+
+
+def _leaf_sql(path: str, src: str, text: str | None = None, number: str | None = None) -> str:
+    """Leaves of one field: those with a value."""
+    v = text or number
+    return (f"SELECT run_id, {path} AS path, {text or 'CAST(NULL AS VARCHAR)'} AS text, "
+            f"{f'CAST({number} AS DOUBLE)' if number else 'CAST(NULL AS DOUBLE)'} AS number FROM ({src}) x WHERE {v} IS NOT NULL")
+
+
+def _document_sql() -> str:
+    t, out = TABLE_SQL, []
+
+    def fields(prefix: str, src: str, texts: str = "", numbers: str = "") -> None:
+        out.extend(_leaf_sql(f"{prefix} || '{c}'", src, text=f'"{c}"') for c in texts.split())
+        out.extend(_leaf_sql(f"{prefix} || '{c}'", src, number=f'"{c}"') for c in numbers.split())
+
+    def length(path: str, section: str, src: str, where: str = "") -> None:
+        out.append(f"SELECT s.run_id, '{path}#' AS path, CAST(NULL AS VARCHAR) AS text, CAST(coalesce(k.n, 0) AS DOUBLE) AS number "
+                   f"FROM (SELECT run_id FROM ({section}) z {where}) s LEFT JOIN (SELECT run_id, count(*) AS n FROM ({src}) y GROUP BY run_id) k USING (run_id)")
+
+    fields("''", t["runs"], "status", "loop_count")
+    fields("'problem_spec.'", t["problem_specs"], "task_type target_column success_metric data_source", "metric_threshold")
+    fields("'problem_spec.constraints.'", t["pipeline_constraints"], "", "max_tuning_trials interpretability_required max_loop_backs")
+    fields("'data_profile.'", t["data_profiles"], "blocking_issue", "row_count column_count")
+    fields("'data_profile.column_schema[' || ord || '].'", t["column_schemas"], "name dtype", "missing_pct is_target")
+    fields("'data_profile.cleaning_actions_taken[' || ord || '].'", t["cleaning_actions"], "column action rationale")
+    out.append(_leaf_sql("'data_profile.class_balance.' || class_label", t["class_balance_entries"], number="proportion"))
+    out.append(_leaf_sql("'data_profile.warnings[' || ord || ']'", t["data_profile_warnings"], text="warning_text"))
+    out.append(_leaf_sql("'data_profile.outlier_flags[' || ord || ']'", t["outlier_flags"], text="column_name"))
+    for f, name in (("column_schema", "column_schemas"), ("cleaning_actions_taken", "cleaning_actions"), ("warnings", "data_profile_warnings"),
+                    ("outlier_flags", "outlier_flags")):
+        length(f"data_profile.{f}", t["data_profiles"], t[name])
+    length("data_profile.class_balance", "SELECT DISTINCT run_id FROM s_class_balance", t["class_balance_entries"])
+    fields("'eda_report.'", t["eda_reports"], "target_distribution_notes")
+    out.append(_leaf_sql("'eda_report.correlation_summary.' || feature_name", t["feature_correlations"], number="correlation"))
+    for kind in ("engineered", "dropped"):
+        src = f"SELECT * FROM s_{kind}_features"
+        fields(f"'eda_report.{kind}_features[' || ord || '].'", src, "name rationale")
+        length(f"eda_report.{kind}_features", t["eda_reports"], src)
+    for f, col in (("leakage_warnings", "warning_text"), ("data_quality_warnings", "warning_text"), ("final_feature_names", "feature_name")):
+        out.append(_leaf_sql(f"'eda_report.{f}[' || ord || ']'", t[f], text=col))
+        length(f"eda_report.{f}", t["eda_reports"], t[f])
+    length("eda_report.correlation_summary", t["eda_reports"], t["feature_correlations"])
+    fields("'tuning_result.'", t["tuning_results"], "metric_optimized convergence_notes", "best_cv_score converged search_budget_used search_budget_total")
+    out.append(_leaf_sql("'tuning_result.best_params.' || param_name", t["tuning_best_params"], text="param_value"))
+    length("tuning_result.best_params", t["tuning_results"], t["tuning_best_params"])
+    mine = "SELECT * FROM tl WHERE run_id IN (SELECT run_id FROM rn)"
+    fields("'tuning_result.search_history[' || trial_number || '].'", mine, "", "trial_number score")
+    length("tuning_result.search_history", t["tuning_results"], mine)
+    out.append(_leaf_sql("'tuning_result.search_history[' || trial_number || '].params.' || param_name",
+                         t["trial_record_params"].replace("FROM tl", "FROM tl WHERE run_id IN (SELECT run_id FROM rn)"), text="param_value"))
+    out.append(_leaf_sql("'tuning_result.search_history[' || trial_number || '].params#'", mine, number="3"))
+    fields("'evaluation_report.'", t["evaluation_reports"], "metric_optimized pass_fail model_artifact_path", "metric_value metric_threshold")
+    fields("'evaluation_report.failure_analysis.'", t["failure_analyses"], "summary recommended_next_step")
+    out.append(_leaf_sql("'evaluation_report.test_metrics.' || metric_name", t["test_metric_entries"], number="value"))
+    length("evaluation_report.test_metrics", t["evaluation_reports"], t["test_metric_entries"])
+    out.append(_leaf_sql("'evaluation_report.residual_summary.' || key", t["residual_summary_entries"], number="value"))
+    length("evaluation_report.residual_summary", "SELECT run_id FROM rs", t["residual_summary_entries"])
+    out.append(_leaf_sql("'evaluation_report.confusion_matrix[' || row_idx || '][' || col_idx || ']'", t["confusion_matrix_cells"], number="count"))
+    out += [_leaf_sql(f"'evaluation_report.confusion_matrix{p}#'", "SELECT run_id FROM mx", number="2") for p in ("", "[0]", "[1]")]
+    place = "CAST(row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1 AS INTEGER) AS i, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp"
+    past, calls = f"SELECT *, {place} FROM h", f"SELECT *, 0 AS latency_ms, {place} FROM c"
+    fields("'history[' || i || '].'", past, "timestamp stage event")
+    length("history", t["runs"], past)
+    fields("'trace[' || i || '].'", calls, "timestamp agent model", "prompt_tokens completion_tokens total_tokens latency_ms estimated_cost_usd")
+    length("trace", t["runs"], calls)
+    return "\nUNION ALL ".join(out)
+
+
+_DOCUMENT_SQL = _document_sql()
+
+
+@query("run_documents", Q.compose(_DOCUMENT_SQL + """
+UNION ALL SELECT run_id, 'created_at', strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f'), NULL FROM rn
+UNION ALL SELECT run_id, 'updated_at', strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%f'), NULL FROM rn
+UNION ALL SELECT run_id, 'total_cost_usd', NULL, CAST(round(sum(dcost), 6) AS DOUBLE) FROM c GROUP BY run_id
+UNION ALL SELECT run_id, 'total_tokens', NULL, CAST(sum(total_tokens) AS DOUBLE) FROM c GROUP BY run_id""", ctes=_SEC))
+def q_run_documents(spark, sf):
+    """J1 + S7: every run's whole document, rebuilt from the store; one row per value in it."""
+    return DOC.leaves(DOC.run_documents(spark, _store(spark, sf)))
+
+
+@query("report_documents_json", Q.compose(_DOCUMENT_SQL, ctes=_SEC))
+def q_report_documents_json(spark, sf):
+    """every document as JSON text and back; one row per value in what came back."""
+    texts = DOC.documents_json(DOC.run_documents(spark, _store(spark, sf)))
+    return DOC.leaves(DOC.documents_from_json(texts).drop("invalid"))
+
+
+@query("decision_counts", Q.compose(
+    """SELECT rn.run_id, CASE WHEN e.run_id IS NOT NULL THEN coalesce(k.n, 0) END AS n_kept, CASE WHEN e.run_id IS NOT NULL THEN coalesce(g.n, 0) END
+       AS n_engineered, CASE WHEN e.run_id IS NOT NULL THEN coalesce(d.n, 0) END AS n_dropped,
+       CASE WHEN p.run_id IS NOT NULL THEN coalesce(a.n, 0) END AS n_actions
+       FROM rn LEFT JOIN s_eda e USING (run_id) LEFT JOIN s_profile p USING (run_id)
+       LEFT JOIN (SELECT run_id, count(*) AS n FROM s_final_feature_names GROUP BY run_id) k USING (run_id)
+       LEFT JOIN (SELECT run_id, count(*) AS n FROM s_engineered_features GROUP BY run_id) g USING (run_id)
+       LEFT JOIN (SELECT run_id, count(*) AS n FROM s_dropped_features GROUP BY run_id) d USING (run_id)
+       LEFT JOIN (SELECT run_id, count(*) AS n FROM s_cleaning_actions_taken GROUP BY run_id) a USING (run_id)""", ctes=_SEC))
+def q_decision_counts(spark, sf):
+    """Kept, engineered, dropped and action counts of every stored run."""
+    return DOC.decision_counts(spark, _store(spark, sf))
 
 
 # ====================================================================== spec check, whole run, streams, synthetic

@@ -5,7 +5,7 @@ from __future__ import annotations
 import dataclasses
 import json
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, ClassVar
 
 
 def _plain(o):
@@ -69,6 +69,9 @@ class EDAReport(_Doc):
     target_distribution_notes: str = ""
     final_feature_names: list[str] = field(default_factory=list)
 
+    #: Gaps of each datetime column that has any (not part of the stored document, which has the sentences).
+    missing_datetimes: ClassVar[dict[str, int]] = {}
+
 
 @dataclass
 class TrialRecord(_Doc):
@@ -105,6 +108,7 @@ class EvaluationReport(_Doc):
     confusion_matrix: list[list[int]] | None = None
     residual_summary: dict[str, float] | None = None
     failure_analysis: FailureAnalysis | None = None
+    model_artifact_path: str | None = None
 
 
 @dataclass

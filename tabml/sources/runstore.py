@@ -18,7 +18,7 @@ concurrent writers of one run the last commit wins. ``compact`` drops superseded
 
 Section semantics of ``persist_run_state``: the spec is always replaced, a report is replaced when
 present and kept when absent, history and trace are replaced as whole lists. The 26 relational
-tables of the reference are views over these (``run_tables``).
+tables of the reference are views over these (``tabml.sources.documents``).
 """
 
 from __future__ import annotations
@@ -52,7 +52,8 @@ TUNING_T = ("struct<best_params:map<string,string>,best_cv_score:double,metric_o
             "converged:boolean,search_budget_used:int,search_budget_total:int,convergence_notes:string>")
 EVAL_T = ("struct<test_metrics:map<string,double>,metric_optimized:string,metric_value:double,"
           "metric_threshold:double,pass_fail:string,confusion_matrix:array<array<bigint>>,"
-          "residual_summary:map<string,double>,failure_analysis:struct<summary:string,recommended_next_step:string>>")
+          "residual_summary:map<string,double>,failure_analysis:struct<summary:string,recommended_next_step:string>,"
+          "model_artifact_path:string>")
 RUNS_SCHEMA = (f"run_id string, status string, loop_count int, created_at timestamp, updated_at timestamp, "
                f"spec {SPEC_T}, data_profile {PROFILE_T}, eda_report {EDA_T}, tuning_result {TUNING_T}, "
                f"evaluation_report {EVAL_T}")
@@ -281,7 +282,8 @@ def _section_row(name: str, doc):
                     metric_threshold=float(doc.metric_threshold), pass_fail=doc.pass_fail,
                     confusion_matrix=doc.confusion_matrix,
                     residual_summary=doc.residual_summary,
-                    failure_analysis=None if doc.failure_analysis is None else doc.failure_analysis.to_dict())
+                    failure_analysis=None if doc.failure_analysis is None else doc.failure_analysis.to_dict(),
+                    model_artifact_path=doc.model_artifact_path)
     raise KeyError(name)
 
 
@@ -388,7 +390,7 @@ def load_run_state(spark: SparkSession, root: str, run_id: str) -> PipelineRun |
             dict(v["test_metrics"]), v["metric_optimized"], v["metric_value"], v["metric_threshold"], v["pass_fail"],
             None if v["confusion_matrix"] is None else [list(x) for x in v["confusion_matrix"]],
             None if v["residual_summary"] is None else dict(v["residual_summary"]),
-            None if fa is None else FailureAnalysis(fa["summary"], fa["recommended_next_step"]))
+            None if fa is None else FailureAnalysis(fa["summary"], fa["recommended_next_step"]), v["model_artifact_path"])
     hist = _run_rows(spark, root, "history", HISTORY_SCHEMA, run_id, heads).orderBy("seq").collect()
     run.history = [HistoryEntry(h["ts"].isoformat() if h["ts"] else "", h["stage"], h["event"]) for h in hist]
     tr = _run_rows(spark, root, "trace", TRACE_SCHEMA, run_id, heads).orderBy("seq").collect()
@@ -397,35 +399,6 @@ def load_run_state(spark: SparkSession, root: str, run_id: str) -> PipelineRun |
     return run
 
 
-def run_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Flat views of the store (the reference's relational tables), keyed by run_id (+ ord)."""
-    runs = _read(spark, root, "runs", RUNS_SCHEMA)
-    out = {"runs": runs.select("run_id", "status", "loop_count", "created_at", "updated_at"),
-           "problem_specs": runs.select("run_id", "spec.*"),
-           "history_entries": _read(spark, root, "history", HISTORY_SCHEMA),
-           "trace_entries": _read(spark, root, "trace", TRACE_SCHEMA)}
-
-    def exploded(col: str, name: str):
-        return runs.select("run_id", F.posexplode(col).alias("ord", "x")).select("run_id", "ord", "x.*")
-    out["column_schemas"] = exploded("data_profile.column_schema", "column_schemas")
-    out["cleaning_actions"] = exploded("data_profile.cleaning_actions_taken", "cleaning_actions")
-    out["class_balance_entries"] = exploded("data_profile.class_balance", "class_balance_entries")
-    out["feature_correlations"] = exploded("eda_report.correlation_summary", "feature_correlations")
-    out["feature_decisions"] = (exploded("eda_report.engineered_features", "e").withColumn("kind", F.lit("engineered"))
-                                .unionByName(exploded("eda_report.dropped_features", "d")
-                                             .withColumn("kind", F.lit("dropped"))))
-    out["trial_records"] = _read(spark, root, "trials", TRIALS_SCHEMA)
-    out["test_metric_entries"] = runs.select("run_id", F.explode("evaluation_report.test_metrics").alias("metric", "value"))
-    out["confusion_matrix_cells"] = (runs.select("run_id", F.posexplode("evaluation_report.confusion_matrix")
-                                                 .alias("row_idx", "r"))
-                                     .select("run_id", "row_idx", F.posexplode("r").alias("col_idx", "count")))
-    out["evaluation_reports"] = runs.where(F.col("evaluation_report").isNotNull()).select(
-        "run_id", "evaluation_report.metric_optimized", "evaluation_report.metric_value",
-        "evaluation_report.metric_threshold", "evaluation_report.pass_fail",
-        "evaluation_report.failure_analysis.summary", "evaluation_report.failure_analysis.recommended_next_step")
-    return out
-
-
 def run_list(spark: SparkSession, root: str) -> DataFrame:
     """Light summary of every run, newest first (J2 + sort)."""
     runs = _read(spark, root, "runs", RUNS_SCHEMA)

@@ -69,6 +69,44 @@ FROM (SELECT concat('run-', CAST(user_id AS STRING)) AS run_id, min(ts) AS creat
       FROM {events} GROUP BY user_id) t"""
 
 
+# Report sections of the derived runs: one row per (run, event type) and the lists made of them.
+_TYPES = """SELECT concat('run-', CAST(user_id AS STRING)) AS run_id, user_id, event_type, count(*) AS n,
+  count(CASE WHEN value < 10 THEN 1 END) AS low, round(avg(value), 4) AS mean, max(value) AS top FROM {events} GROUP BY user_id, event_type"""
+_AT = "CAST(row_number() OVER (PARTITION BY run_id ORDER BY event_type) - 1 AS INT) AS ord"
+_PROFILED, _EXPLORED = "user_id % 7 <> 0", "user_id % 7 > 1"   # runs that got as far as this section
+SECTION_SQL = {
+    "profile": f"""SELECT run_id, CAST(sum(n) AS BIGINT) AS row_count, CAST(count(*) AS INT) AS column_count,
+  CASE WHEN sum(low) = 0 THEN 'no gaps' END AS blocking_issue FROM ty WHERE {_PROFILED} GROUP BY run_id""",
+    "column_schema": f"""SELECT run_id, {_AT}, event_type AS name, CASE WHEN top >= 300 THEN 'double' ELSE 'bigint' END AS dtype,
+  round(CAST(100 AS DOUBLE) * low / n, 2) AS missing_pct, event_type = 'purchase' AS is_target FROM ty WHERE {_PROFILED}""",
+    "cleaning_actions_taken": f"""SELECT run_id, {_AT}, event_type AS col, 'median_imputation' AS action,
+  concat(CAST(low AS STRING), ' gaps') AS rationale FROM ty WHERE {_PROFILED} AND low > 2""",
+    "class_balance": f"""SELECT run_id, {_AT}, event_type AS label, round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY run_id), 4) AS share
+  FROM ty WHERE {_PROFILED} AND user_id % 2 = 0""",
+    "warnings": f"SELECT run_id, {_AT}, concat('few rows of ', event_type) AS v FROM ty WHERE {_PROFILED} AND n < 12",
+    "outlier_flags": f"SELECT run_id, {_AT}, event_type AS v FROM ty WHERE {_PROFILED} AND top >= 300",
+    "eda": f"SELECT run_id, concat(CAST(count(*) AS STRING), ' types') AS notes FROM ty WHERE {_EXPLORED} GROUP BY run_id",
+    "correlation_summary": f"SELECT run_id, {_AT}, event_type AS feature, round(mean / 497, 4) AS corr FROM ty WHERE {_EXPLORED}",
+    "engineered_features": f"""SELECT run_id, {_AT}, concat(event_type, '__x') AS name, 'product' AS rationale FROM ty
+  WHERE {_EXPLORED} AND n >= 12""",
+    "dropped_features": f"SELECT run_id, {_AT}, event_type AS name, 'few rows' AS rationale FROM ty WHERE {_EXPLORED} AND n < 12",
+    "leakage_warnings": f"SELECT run_id, {_AT}, event_type AS v FROM ty WHERE {_EXPLORED} AND top >= 400",
+    "data_quality_warnings": f"SELECT run_id, {_AT}, concat(event_type, ' has gaps') AS v FROM ty WHERE {_EXPLORED} AND low >= 3",
+    "final_feature_names": f"SELECT run_id, {_AT}, concat(event_type, '__x') AS v FROM ty WHERE {_EXPLORED} AND n >= 12",
+}
+# Confusion counts of the classification runs, residuals of the others.
+MATRIX_SQL = """SELECT concat('run-', CAST(user_id AS STRING)) AS run_id,
+  count(CASE WHEN value < 100 AND event_type <> 'purchase' THEN 1 END) AS tn, count(CASE WHEN value < 100 AND event_type = 'purchase' THEN 1 END) AS fp,
+  count(CASE WHEN value >= 100 AND event_type <> 'purchase' THEN 1 END) AS fn, count(CASE WHEN value >= 100 AND event_type = 'purchase' THEN 1 END) AS tp
+FROM {events} WHERE user_id % 2 = 0 GROUP BY user_id"""
+RESIDUAL_SQL = """SELECT concat('run-', CAST(user_id AS STRING)) AS run_id, round(avg(value), 4) AS mean, max(value) AS top
+FROM {events} WHERE user_id % 2 = 1 GROUP BY user_id"""
+
+
+def section(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.sql(f"WITH ty AS ({_TYPES}) {SECTION_SQL[name]}", events=table(spark, sf, "events"))
+
+
 def spark_form(sql: str) -> str:
     return sql
 
@@ -77,6 +115,9 @@ def duck_form(sql: str) -> str:
     return sql.replace("{events}", "events").replace("{part}", "part")
 
 
+TYPES_CTE = ("ty", duck_form(_TYPES))
+
+
 def history(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(HISTORY_SQL, events=table(spark, sf, "events"))
 

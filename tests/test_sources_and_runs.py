@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tabml.operators import runs as RU
 from tabml.reports import EvaluationReport, HistoryEntry, PipelineRun, TraceEntry
+from tabml.sources import documents as DOC
 from tabml.sources import files as SRC
 from tabml.sources import runstore as RS
 from tabml.spec import ProblemSpec
@@ -57,7 +58,7 @@ def test_run_store_round_trip_and_replace(spark, tmp_path):
     back = RS.load_run_state(spark, root, "r1")
     assert back.status == "done" and back.evaluation_report.metric_value == 0.9 and len(back.history) == 2
     assert RS.load_run_state(spark, root, "nope") is None
-    cells = RS.run_tables(spark, root)["confusion_matrix_cells"].count()
+    cells = DOC.run_tables(spark, root)["confusion_matrix_cells"].count()
     assert cells == 4
 
 
