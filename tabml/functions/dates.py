@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tabml.functions.missing import quoted
+
 PART_SUFFIXES = ("__year", "__month", "__day_of_week", "__is_weekend")
 
 
@@ -15,7 +17,7 @@ def part_names(c: str) -> list[str]:
 def datetime_parts(c: str) -> list[Column]:
     """All four as double. A missing date gives missing year/month/day_of_week, but is_weekend 0.0:
     the reference compares a missing weekday with 5, which is false."""
-    col = F.col(c)
+    col = F.col(quoted(c))
     wd = F.weekday(col)  # Monday = 0
     return [
         F.year(col).cast("double").alias(c + "__year"),

@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from tabml import spec as S
+from tabml.session import ensure_checkpoint_dir
 
 
 def _g(group: list[str] | None) -> list[str]:
@@ -134,32 +135,30 @@ def macro_prf(df: DataFrame, label: str, pred: str, group: list[str] | None = No
     return per.groupBy(*g).agg(F.avg(p).alias("precision"), F.avg(r).alias("recall"), F.avg(f1).alias("f1"))
 
 
-def roc_auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
-    """Exact ROC AUC with tied scores at half weight (= trapezoid rule), one row ``roc_auc``.
+def roc_auc(df: DataFrame, label: str, score: str, positive=1, group: list[str] | None = None) -> DataFrame:
+    """Exact ROC AUC with tied scores at half weight (= trapezoid rule): (group..., roc_auc), one row without a group. Null
+    where a group has one class only; rows without a score do not count.
 
-    Distinct scores are range-partitioned by a global sort; negatives below each score = negatives of
-    earlier partitions (a per-partition total, one row per partition) + a running sum inside the
-    partition. The partition layout is pinned (persisted) before it is used twice."""
-    spark = df.sparkSession
-    d = (df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s"))
-         .agg(F.sum((F.col(label) == F.lit(positive)).cast("long")).alias("pos"),
-              F.sum((F.col(label) != F.lit(positive)).cast("long")).alias("neg")))
-    # The partition layout must be the same for both uses below. A persisted frame pins it: a lost
-    # cached partition is recomputed from the same RDD, whose range bounds are fixed.
-    from pyspark import StorageLevel
-    d = d.orderBy("s").withColumn("pid", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    per = {r["pid"]: r["n"] for r in d.groupBy("pid").agg(F.sum("neg").alias("n")).collect()}
-    offsets, run = [], 0
-    for pid in sorted(per):
-        offsets.append((pid, run))
-        run += per[pid]
-    off = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "pid int, off long"))
-    w = Window.partitionBy("pid").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    d2 = d.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0))).join(off, "pid")
-    value = d2.agg(F.try_divide(F.sum(F.col("pos") * (F.col("off") + F.col("below") + F.col("neg") / 2.0)),
-                                F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc")).first()[0]
-    d.unpersist()
-    return spark.createDataFrame([(value,)], "roc_auc double")
+    Distinct (group, score) pairs are range-partitioned by a global sort, so neither a group nor all scores meet in one task.
+    Negatives below a score are those of its group in earlier partitions (one row for each partition a group reaches into, summed
+    by a window) and a running sum inside the partition. The layout is written once (checkpoint), as both uses need the same."""
+    g = _g(group)
+    d = (df.where(F.col(score).isNotNull()).groupBy(*g, F.col(score).alias("__s"))
+         .agg(F.sum((F.col(label) == F.lit(positive)).cast("long")).alias("__pos"),
+              F.sum((F.col(label) != F.lit(positive)).cast("long")).alias("__neg")))
+    ensure_checkpoint_dir(df.sparkSession)
+    d = d.orderBy(*g, "__s").withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
+    earlier = Window.partitionBy(*g).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    per = d.groupBy(*g, "__pid").agg(F.sum("__neg").alias("__n"))
+    per = per.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(g)], F.col("__pid").alias("__at"),
+                     F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
+    inside = Window.partitionBy("__pid", *g).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("__below", F.coalesce(F.sum("__neg").over(inside), F.lit(0)))
+    on = F.col("__pid") == F.col("__at")
+    for i, c in enumerate(g):
+        on = on & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    hits = F.sum(F.col("__pos") * (F.col("__off") + F.col("__below") + F.col("__neg") / 2.0))
+    return d.join(per, on).groupBy(*g).agg(F.try_divide(hits, F.sum("__pos").cast("double") * F.sum("__neg")).alias("roc_auc"))
 
 
 def is_binary(df: DataFrame, label: str) -> bool:
@@ -212,29 +211,29 @@ def classification_metrics(df: DataFrame, label: str, pred: str, score: str | No
     return out
 
 
-def fold_metric(df: DataFrame, metric: str, label: str, pred: str, score: str | None = None,
-                fold: str = "fold") -> DataFrame:
-    """Per-fold value of one metric, signed like its CV scorer (error metrics negated)."""
+def grouped_metric(df: DataFrame, metric: str, label: str, pred: str, score: str | None = None,
+                   group: list[str] | None = None) -> DataFrame:
+    """(group..., score): one metric of every group in one plan, signed like its CV scorer (error metrics negated)."""
+    g = _g(group)
     if metric in ("f1", "precision", "recall"):
-        m = macro_prf(df, label, pred, [fold]).select(fold, F.col(metric).alias("score"))
+        m = macro_prf(df, label, pred, g).select(*g, F.col(metric).alias("score"))
     elif metric == "accuracy":
-        m = accuracy(df, label, pred, [fold]).select(fold, F.col("accuracy").alias("score"))
+        m = accuracy(df, label, pred, g).select(*g, F.col("accuracy").alias("score"))
     elif metric in ("rmse", "mae", "r2"):
         sign = -1.0 if metric in ("rmse", "mae") else 1.0
-        m = regression_metrics(df, label, pred, [fold]).select(fold, (F.col(metric) * sign).alias("score"))
+        m = regression_metrics(df, label, pred, g).select(*g, (F.col(metric) * sign).alias("score"))
     elif metric == "roc_auc":
-        folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
-        parts = [roc_auc(df.where(F.col(fold) == f), label, score).select(F.lit(f).alias(fold),
-                                                                            F.col("roc_auc").alias("score"))
-                 for f in folds]
-        m = parts[0]
-        for p in parts[1:]:
-            m = m.unionByName(p)
+        m = roc_auc(df, label, score, group=g).select(*g, F.col("roc_auc").alias("score"))
     else:
-        raise ValueError(f"No CV scorer for success_metric '{metric}'. Known metrics: {sorted(S.CV_SCORERS)}.")
+        S.cv_scorer(metric)  # raises
     return m
 
 
+def fold_metric(df: DataFrame, metric: str, label: str, pred: str, score: str | None = None, fold: str = "fold") -> DataFrame:
+    """Per-fold value of one metric."""
+    return grouped_metric(df, metric, label, pred, score, [fold])
+
+
 def cv_mean(df: DataFrame, metric: str, label: str, pred: str, score: str | None = None,
             fold: str = "fold") -> DataFrame:
     """Mean of the per-fold metric (not pooled)."""

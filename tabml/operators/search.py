@@ -1,50 +1,126 @@
 """Cross-validated scoring and the seeded search, plus trial analytics.
 
-Folds come from W3 (a ``fold`` column), so every run uses the same seeded, stratified folds (the
-contract of ``CrossValidator(foldCol=...)``, with the assembled frame persisted once and the
-(trial, fold) fits submitted concurrently).
+Folds come from W3 (a ``fold`` column), so every run uses the same seeded, stratified folds.
+
+One forest a fold serves every trial. It is grown with the most trees and the deepest level that any trial asks for, and every
+node keeps its row count and label statistics, so the forest of a trial is contained in it: the first ``n_estimators`` trees, each cut
+at ``max_depth`` and at nodes with fewer rows than ``min_samples_split``. A row walks each tree once; the predictions of all trials
+on all folds form one long table, which one grouped metric scores. Jobs and fits do not grow with the number of trials.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.ml.evaluation import Evaluator
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabml import spec as S
+from tabml.functions.missing import quoted
 from tabml.operators import metrics as M
 from tabml.operators import train as T
 from tabml.reports import TrialRecord, TuningResult
+from tabml.session import scratch_path
 from tabml.spec import ProblemSpec
 
-
-class MetricEvaluator(Evaluator):
-    """Scores predictions with the requested metric, signed like the reference's CV scorers
-    (macro averages, exact AUC; error metrics negated so larger is always better)."""
-
-    def __init__(self, metric: str, spec: ProblemSpec, labels: list | None):
-        super().__init__()
-        self.metric, self.spec, self.labels = metric, spec, labels
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        t = T.LABEL
-        if self.metric in ("rmse", "mae", "r2"):
-            r = M.regression_metrics(dataset, t, "prediction").first()
-            return -float(r[self.metric]) if self.metric in ("rmse", "mae") else float(r["r2"])
-        if self.metric == "roc_auc":
-            d = dataset.withColumn("__score", _prob1(dataset))
-            return float(M.roc_auc(d, t, "__score", positive=1.0).first()["roc_auc"])
-        return float(M.macro_values(dataset, t, "prediction")[self.metric])
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
-def _prob1(df: DataFrame):
-    from pyspark.ml.functions import vector_to_array
-    return vector_to_array(F.col("probability"))[1]
+#: Values that the walk of a block of rows holds at most (rows x trials x classes, rows x levels).
+BLOCK_VALUES = 1 << 22
+
+
+@dataclass
+class Forest:
+    """Nodes of a forest as arrays: children by place (-1: none), rows of the node, label shares (or the mean); roots by tree."""
+
+    roots: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    rows: np.ndarray
+    value: np.ndarray   # (nodes, classes), or (nodes, 1)
+
+    def trials(self, x: np.ndarray, params: list[dict]) -> np.ndarray:
+        """(trials, rows, classes): mean over a trial's trees of the value where its cut of the tree ends."""
+        n = len(x)
+        out = np.zeros((len(params), n, self.value.shape[1]))
+        every = np.arange(n)
+        deepest = max(p["max_depth"] for p in params)
+        for j, root in enumerate(self.roots):
+            live = [i for i, p in enumerate(params) if j < p["n_estimators"]]
+            path = [np.full(n, root)]
+            while len(path) <= deepest:
+                at = path[-1]
+                inner = self.left[at] >= 0
+                if not inner.any():
+                    break
+                go = x[every, self.feature[at]] <= self.threshold[at]
+                path.append(np.where(inner, np.where(go, self.left[at], self.right[at]), at))
+            levels = np.array(path)
+            rows = self.rows[levels]
+            ends = {m: np.where((rows < m).any(0), (rows < m).argmax(0), len(levels) - 1) for m in {params[i]["min_samples_split"] for i in live}}
+            for i in live:
+                stop = np.minimum(ends[params[i]["min_samples_split"]], min(params[i]["max_depth"], len(levels) - 1))
+                out[i] += self.value[levels[stop, every]]
+        return out / np.array([min(p["n_estimators"], len(self.roots)) for p in params])[:, None, None]
+
+
+def read_forest(spark: SparkSession, model, classes: int | None) -> Forest:
+    """The nodes of a fitted forest, from its saved form (as large as the model, which the driver holds already)."""
+    path = scratch_path(spark, "forest")
+    model.write().save(path)
+    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats", "nodeData.rawCount",
+                                                     "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
+                                                     "nodeData.split.leftCategoriesOrThreshold", "nodeData.split.numCategories")
+    t = rows.orderBy("treeID", "id").toArrow().combine_chunks()
+    col = lambda c: np.asarray(t.column(c))
+    if (col("numCategories") > 0).any():
+        raise ValueError("a split on categories: features are plain numbers here")
+    tree, ids = col("treeID"), col("id")
+    first = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+    base = first[np.searchsorted(tree[first], tree)]   # ids count the nodes of a tree from 0
+    child = lambda c: np.where(col(c) >= 0, base + col(c), -1)
+    cuts = t.column("leftCategoriesOrThreshold").combine_chunks()
+    have = np.diff(np.asarray(cuts.offsets)) > 0
+    threshold = np.zeros(len(ids))
+    threshold[have] = np.asarray(cuts.flatten())[: have.sum()]
+    if classes is None:
+        value = col("prediction")[:, None]
+    else:
+        value = np.asarray(t.column("impurityStats").combine_chunks().flatten()).reshape(len(ids), classes)
+        value = value / value.sum(1, keepdims=True)
+    return Forest(first + 0, np.maximum(col("featureIndex"), 0), threshold, child("leftChild"), child("rightChild"), col("rawCount"), value)
+
+
+def trial_predictions(data: DataFrame, forests: dict[int, Forest], params: list[dict], classification: bool) -> DataFrame:
+    """(trial, fold, label, prediction, score) of every row for every trial, by the forest of the row's fold (which did not see it)."""
+    shared = data.sparkSession.sparkContext.broadcast((forests, params))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trained, ps = shared.value
+        k = max(f.value.shape[1] for f in trained.values())
+        step = max(1, BLOCK_VALUES // max(len(ps) * k, 2 + max(p["max_depth"] for p in ps)))
+        for b in batches:
+            fold, label = np.asarray(b.column("fold")), np.asarray(b.column("label"))
+            x = np.asarray(b.column("x").flatten()).reshape(b.num_rows, -1)
+            for f in np.unique(fold):
+                mine = np.flatnonzero(fold == f)
+                for i in range(0, len(mine), step):
+                    at = mine[i: i + step]
+                    got = trained[int(f)].trials(x[at], ps)
+                    best = got.argmax(2).astype(np.float64) if classification else got[:, :, 0]
+                    score = got[:, :, 1] if classification and k == 2 else np.zeros(best.shape)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.repeat(np.arange(len(ps), dtype=np.int32), len(at))), pa.array(np.full(best.size, f, dtype=np.int32)),
+                        pa.array(np.tile(label[at], len(ps))), pa.array(best.ravel()), pa.array(score.ravel())],
+                        ["trial", "fold", "label", "prediction", "score"])
+
+    rows = data.select(vector_to_array(T.FEATURES).alias("x"), F.col(T.LABEL).cast("double").alias("label"), F.col("fold").cast("int").alias("fold"))
+    return rows.mapInArrow(run, "trial int, fold int, label double, prediction double, score double")
 
 
 def draw_params(n_trials: int, seed: int = S.SPLIT_SEED) -> list[dict]:
@@ -56,41 +132,34 @@ def draw_params(n_trials: int, seed: int = S.SPLIT_SEED) -> list[dict]:
     return out
 
 
-def _cv(X: DataFrame, spec: ProblemSpec, features: list[str], param_list: list[dict], parallelism: int = 4):
-    """Mean fold score of each parameter set.
-
-    The feature vector is assembled once and the (vector, label, fold) frame persisted, so no fold
-    re-runs the upstream lineage; every (parameter set, fold) fit is an independent Spark job set,
-    submitted from a small thread pool so that small fits share the cluster."""
+def _cv(X: DataFrame, spec: ProblemSpec, features: list[str], param_list: list[dict], parallelism: int = 4) -> list[float]:
+    """Mean fold score of each parameter set. The (vector, label, fold) frame is persisted once; a fold's forest is fitted on the other folds."""
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark import StorageLevel
-    from pyspark.ml.feature import VectorAssembler
 
-    base = X.select(*features, spec.target_column, "fold").persist(StorageLevel.MEMORY_AND_DISK)
+    S.cv_scorer(spec.success_metric)   # a metric without a scorer stops here
+    spark = X.sparkSession
+    full = [{**T.DEFAULT_PARAMS, **p} for p in param_list]
+    base = X.select(*map(quoted, (*features, spec.target_column, "fold"))).persist(StorageLevel.MEMORY_AND_DISK)
     labels = T.class_labels(base, spec.target_column) if spec.is_classification else None
-    asm = VectorAssembler(inputCols=features, outputCol=T.FEATURES, handleInvalid="error")
-    data = asm.transform(T.with_label(base, spec, labels)).select(T.FEATURES, T.LABEL, "fold") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    data = T.assembler(features).transform(T.with_safe_names(T.with_label(base, spec, labels), features)) \
+        .select(T.FEATURES, T.LABEL, "fold").persist(StorageLevel.MEMORY_AND_DISK)
     folds = sorted(r[0] for r in data.select("fold").distinct().collect())
     base.unpersist()
-    train = {f: data.where(F.col("fold") != f) for f in folds}
-    valid = {f: data.where(F.col("fold") == f) for f in folds}
-    ev = MetricEvaluator(spec.success_metric, spec, labels)
-
-    def one(job):
-        i, f = job
-        model = T.forest(spec, param_list[i]).fit(train[f])
-        return i, f, ev.evaluate(model.transform(valid[f]))
-
-    jobs = [(i, f) for i in range(len(param_list)) for f in folds]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = list(pool.map(one, jobs))
+    whole = {"n_estimators": max(p["n_estimators"] for p in full), "max_depth": max(p["max_depth"] for p in full), "min_samples_split": 2}
+
+    def grow(f: int) -> Forest:
+        model = T.forest(spec, whole).fit(data.where(F.col("fold") != f))
+        return read_forest(spark, model, len(labels) if spec.is_classification else None)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds)))) as pool:
+        forests = dict(zip(folds, pool.map(grow, folds)))
+    preds = trial_predictions(data, forests, full, spec.is_classification)
+    by_fold = M.grouped_metric(preds, spec.success_metric, "label", "prediction", "score", ["trial", "fold"])
+    got = {r["trial"]: r["cv"] for r in by_fold.groupBy("trial").agg(F.avg("score").alias("cv")).collect()}   # one row a trial
     data.unpersist()
-    scores: dict[int, list[float]] = {}
-    for i, _, v in results:
-        scores.setdefault(i, []).append(v)
-    return [sum(scores[i]) / len(scores[i]) for i in range(len(param_list))]
+    return [got[i] for i in range(len(full))]
 
 
 def cv_score(X: DataFrame, spec: ProblemSpec, features: list[str], params: dict) -> float:

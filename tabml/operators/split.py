@@ -17,13 +17,14 @@ from pyspark.sql.window import Window
 
 from tabml import spec as S
 from tabml.functions.dtypes import BOOL, CATEGORICAL, DATETIME, NUMERIC, column_classes
-from tabml.functions.missing import nullify
+from tabml.functions.missing import nullify, quoted
 from tabml.operators.profile import apply_fills, dedup_rows, drop_missing_target, median_fills, mode_fills
 from tabml.spec import ProblemSpec
 
 HASH = "__h"
 BUCKET = "__bucket"
 GROUP = "__grp"
+ROW_KEY = "__row"
 BUCKET_HEX_DIGITS = 4          # 65,536 buckets per class
 MAX_BROADCAST_GROUPS = 100_000  # the per-class cut-off table is broadcast only below this size
 # The window forms rank a whole class in one task: a small-input form (and the tests' reference for
@@ -36,7 +37,13 @@ def key_text(df: DataFrame, key: str | None) -> Column:
     distinct after dedup, so this orders them; differs between engines, so rows-only checks)."""
     if key is not None:
         return F.col(key).cast("string")
-    return F.xxhash64(*[F.col(c) for c in df.columns]).cast("string")
+    return F.xxhash64(*[F.col(quoted(c)) for c in df.columns]).cast("string")
+
+
+def with_row_key(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Carry the split's key (or the hash of the whole deduplicated row) as ROW_KEY, so that the folds of a run are dealt by rows. The
+    feature values alone repeat, and equal ones would be ranked in one cell."""
+    return df.withColumn(ROW_KEY, key_text(df.drop("is_test"), key))
 
 
 def with_hash_order(df: DataFrame, key: str | None, seed: int = S.SPLIT_SEED) -> DataFrame:
@@ -134,7 +141,7 @@ def train_test_split(df: DataFrame, spec: ProblemSpec, key: str | None = None,
             qf = F.broadcast(_quota_frame(spark, quotas, base.schema[GROUP].dataType))
             w = Window.partitionBy(GROUP).orderBy(*_tie(key))
             return (base.join(qf, GROUP).withColumn("__rn", F.row_number().over(w))
-                    .withColumn("is_test", F.col("__rn") <= F.col("__quota")).select(*out_cols))
+                    .withColumn("is_test", F.col("__rn") <= F.col("__quota")).select(*map(quoted, out_cols)))
     cells = base.groupBy(GROUP, BUCKET).agg(F.count(F.lit(1)).alias("n"))
     if df.is_cached:
         # a cached input is cheap to read twice: counts and cut-offs as a small eager job, then one
@@ -158,7 +165,7 @@ def train_test_split(df: DataFrame, spec: ProblemSpec, key: str | None = None,
     w = Window.partitionBy(GROUP).orderBy(*_tie(key))
     edge = (tagged.where(F.col(BUCKET) == F.col("__cut")).withColumn("__rn", F.row_number().over(w))
             .withColumn("is_test", F.col("__rn") <= F.col("__need")))
-    return clear.select(*out_cols).unionByName(edge.select(*out_cols))
+    return clear.select(*map(quoted, out_cols)).unionByName(edge.select(*map(quoted, out_cols)))
 
 
 _CUT_SCHEMA = GROUP + " {}, __cut int, __need long"
@@ -185,7 +192,7 @@ def train_only_fills(split_df: DataFrame, spec: ProblemSpec) -> dict:
     target = spec.target_column
     classes = {n: c for n, c, _ in column_classes(split_df)}
     cols = [c for c in split_df.columns if c not in (target, "is_test")]
-    gaps = split_df.agg(*[F.max(F.col(c).isNull().cast("int")).alias(c) for c in cols]).first().asDict()
+    gaps = split_df.agg(*[F.max(F.col(quoted(c)).isNull().cast("int")).alias(c) for c in cols]).first().asDict()
     train = split_df.where(~F.col("is_test"))
     num = [c for c in cols if gaps[c] and classes[c] == NUMERIC]
     cat = [c for c in cols if gaps[c] and classes[c] in (CATEGORICAL, BOOL)]
@@ -233,7 +240,7 @@ def cv_folds(train: DataFrame, spec: ProblemSpec, key: str | None = None, folds:
             w = Window.partitionBy(GROUP).orderBy(*_tie(key))
             return (base.join(of, GROUP)
                     .withColumn("fold", ((F.col("__off") + F.row_number().over(w) - 1) % folds).cast("int"))
-                    .select(*out_cols))
+                    .select(*map(quoted, out_cols)))
     cells = base.groupBy(GROUP, BUCKET).agg(F.count(F.lit(1)).alias("n"))
     # offset of a cell = rows of earlier classes + rows of earlier buckets of its class: a running sum
     # per class (65,536 cells per task) plus class offsets from a one-row-per-class table (AQE
@@ -247,4 +254,4 @@ def cv_folds(train: DataFrame, spec: ProblemSpec, key: str | None = None, folds:
     w = Window.partitionBy(GROUP, BUCKET).orderBy(*_tie(key))
     return (base.join(offsets, [GROUP, BUCKET])
             .withColumn("fold", ((F.col("__off") + F.row_number().over(w) - 1) % folds).cast("int"))
-            .select(*out_cols))
+            .select(*map(quoted, out_cols)))

@@ -527,6 +527,21 @@ def q_roc_auc(spark, sf):
     return M.roc_auc(V.predictions(spark, sf), "label", "score").select(r6("roc_auc").alias("roc_auc"))
 
 
+def _auc_sql(src: str, group: str) -> list[tuple[str, str]]:
+    return [("d", f"SELECT {group}, score AS s, sum(label) AS pos, sum(1 - label) AS neg FROM {src} GROUP BY ALL"),
+            ("c", f"SELECT *, coalesce(sum(neg) OVER (PARTITION BY {group} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM d"),
+            ("a", f"SELECT {group}, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN round(sum(pos * (below + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)), 6) "
+                  f"END AS roc_auc FROM c GROUP BY {group}")]
+
+
+@query("roc_auc_by_group", Q.compose("SELECT l_suppkey, roc_auc FROM a", (), [
+    ("p", "SELECT l_suppkey, CAST(l_quantity > 25 AS INTEGER) AS label, l_extendedprice AS score FROM lineitem"), *_auc_sql("p", "l_suppkey")]))
+def q_roc_auc_by_group(spark, sf):
+    """A20 for every supplier's lines in one plan, by a continuous score."""
+    li = V.table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_quantity") > 25).cast("int").alias("label"), F.col("l_extendedprice").alias("score"))
+    return M.roc_auc(li, "label", "score", group=["l_suppkey"]).select("l_suppkey", r6("roc_auc").alias("roc_auc"))
+
+
 @query("regression_metrics", Q.compose(
     """SELECT round(sqrt(avg((y - y_pred) * (y - y_pred))), 6) AS rmse, round(avg(abs(y - y_pred)), 6) AS mae,
        round(1 - sum((y - y_pred) * (y - y_pred)) / (count(y) * var_pop(y)), 6) AS r2 FROM predictions""", ("predictions",)))
@@ -558,6 +573,16 @@ def q_cv_mean(spark, sf):
     return M.cv_mean(fo, "f1", "is_p", "pred").select(r6("cv_score").alias("cv_score"))
 
 
+@query("cv_mean_auc", Q.compose("SELECT round(avg(roc_auc), 6) AS cv_score FROM a", (), [
+    ("cvs", "SELECT o_orderkey, CAST(o_orderstatus = 'P' AS INTEGER) AS is_p, o_totalprice AS score FROM orders"),
+    ("fo", Q.folds_sql("cvs", "o_orderkey", "is_p")), ("p", "SELECT fold, is_p AS label, score FROM fo"), *_auc_sql("p", "fold")]))
+def q_cv_mean_auc(spark, sf):
+    """A23 by exact AUC: every fold ranked in one plan."""
+    o = V.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderstatus") == "P").cast("int").alias("is_p"), F.col("o_totalprice").alias("score"))
+    fo = SP.cv_folds(o, FLAG_SPEC, key="o_orderkey")
+    return M.cv_mean(fo, "roc_auc", "is_p", "is_p", "score").select(r6("cv_score").alias("cv_score"))
+
+
 @query("matrix_total", Q.compose(
     """SELECT count(*) AS total, count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
        count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp, count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
@@ -570,11 +595,10 @@ def q_matrix_total(spark, sf):
 # ====================================================================== model operators (rows-only)
 
 def _flagship_folds(spark, sf):
-    from tabml.operators import search as SE  # noqa: F401
     split, model, _ = flagship(spark, sf)
     model.passthrough = ("row_key", "is_test")
     X = model.transform(split.withColumn("row_key", F.col("o_orderkey")))
-    tr = SP.cv_folds(X.where(~F.col("is_test")), FLAG_SPEC)
+    tr = SP.cv_folds(X.where(~F.col("is_test")), FLAG_SPEC, key="row_key")
     return X, tr, model.plan.final_feature_names
 
 

@@ -68,7 +68,8 @@ def engineer_features_tool(spark: SparkSession, data_source: str, target_column:
     if profile.blocking_issue:
         raise PipelineBlockedError("feature_agent", profile.blocking_issue)
     split, _ = SP.split_and_clean(deduped, spec, prepared=True)
-    est = FE.FeatureSelector(spec, exclude=("is_test",), profile=profile)
+    split = SP.with_row_key(split)
+    est = FE.FeatureSelector(spec, exclude=("is_test", SP.ROW_KEY), profile=profile)
     model = est.fit(split.where(~F.col("is_test")))
     X = model.transform(split).persist()
     if cache is not None:
@@ -91,7 +92,7 @@ def tune_model_tool(spark: SparkSession, data_source: str, target_column: str, t
                     success_metric: str | None = None, base_dir: str | None = None) -> TuningResult:
     spec = _spec(data_source, target_column, task_type, success_metric, trials=max_tuning_trials)
     X, feats = _features(spark, data_source, target_column, task_type, cache, run_id, base_dir)
-    folds = SP.cv_folds(X.where(~F.col("is_test")).drop("is_test"), spec).persist()
+    folds = SP.cv_folds(X.where(~F.col("is_test")).drop("is_test"), spec, key=SP.ROW_KEY).persist()
     result = SE.tune_hyperparameters(folds, spec, feats, n_trials=max_tuning_trials)
     folds.unpersist()
     if cache is not None:
