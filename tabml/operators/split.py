@@ -1,9 +1,11 @@
 """The one seeded split, train-only imputation, and CV folds.
 
 Row order for both split and folds is ``md5(key || ':42')`` (then the key): a pure function of the
-row, so every engine and every re-run gives the same rows. At scale nothing sorts the whole table
-in one task: the first 16 bits of the hash give 65,536 buckets per class; bucket counts are a
-small table, and only the rows of each class's cut-off bucket are ranked exactly.
+row, so every engine and every re-run gives the same rows. Nothing sorts a class in one task: digits of the hash cut
+it into cells, cell counts are small tables, and rows are ranked inside cells only. The split looks at four digits
+of every class and at four more inside its cut-off cell, so the rows it ranks are one in 2**32 of a class. The folds rank
+every row; they take as many digits as keep a cell at about CELL_ROWS rows, whatever the table holds, and sum
+the cells before one digit group at a time.
 """
 
 from __future__ import annotations
@@ -25,11 +27,10 @@ HASH = "__h"
 BUCKET = "__bucket"
 GROUP = "__grp"
 ROW_KEY = "__row"
-BUCKET_HEX_DIGITS = 4          # 65,536 buckets per class
+PART = "__part"
+BUCKET_HEX_DIGITS = 4          # 65,536 cells of a digit group
 MAX_BROADCAST_GROUPS = 100_000  # the per-class cut-off table is broadcast only below this size
-# The window forms rank a whole class in one task: a small-input form (and the tests' reference for
-# the bucketed form). Above this many rows in any class the bucketed form runs instead (same rows).
-WINDOW_FORM_MAX_ROWS = 1_000_000
+CELL_ROWS = 4096               # rows that a cell of the folds holds on average, at most
 
 
 def key_text(df: DataFrame, key: str | None) -> Column:
@@ -123,63 +124,44 @@ def train_test_split(df: DataFrame, spec: ProblemSpec, key: str | None = None,
                      method: str = "bucketed") -> DataFrame:
     """Adds ``is_test``; 20 % test rows, stratified by label for classification.
 
-    The input should already be target-complete and deduplicated (``prepare_for_split``).
-    Bucketed form: (class, bucket) counts give each class's quota and cut-off bucket; only rows of
-    the cut-off bucket are ranked. Over an uncached input this is one lazy plan whose count branch
-    and row branch share the input (its deduplication shuffle runs once); over a cached input the
-    small tables come from a short eager job first. Both give the same rows (tested)."""
+    The input should already be target-complete and deduplicated (``prepare_for_split``), which is what makes its hashes
+    differ. (class, cell) counts give each class's quota and cut-off cell, counts inside that cell its cut-off part; only
+    the rows of that part are ranked. One lazy plan: its count branches and row branch share the input's shuffle.
+    ``method="window"`` ranks each class in one task instead: the plain form that the tests compare with."""
     spark = df.sparkSession
     base, grp = _groups(with_hash_order(df, key), spec)
     out_cols = df.columns + ["is_test"]
     if method == "window":
-        counts = {r[GROUP]: r["n"] for r in base.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"))
-                  .limit(MAX_BROADCAST_GROUPS + 1).collect()}
-        if len(counts) > MAX_BROADCAST_GROUPS:
-            raise ValueError(f"{len(counts)} classes: too many for a stratified split")
-        if max(counts.values(), default=0) <= WINDOW_FORM_MAX_ROWS:
-            quotas = test_quotas(counts, stratified=spec.is_classification)
-            qf = F.broadcast(_quota_frame(spark, quotas, base.schema[GROUP].dataType))
-            w = Window.partitionBy(GROUP).orderBy(*_tie(key))
-            return (base.join(qf, GROUP).withColumn("__rn", F.row_number().over(w))
-                    .withColumn("is_test", F.col("__rn") <= F.col("__quota")).select(*map(quoted, out_cols)))
+        counts = {r[GROUP]: r["n"] for r in base.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).collect()}
+        qf = _quota_frame(spark, test_quotas(counts, stratified=spec.is_classification), base.schema[GROUP].dataType)
+        w = Window.partitionBy(GROUP).orderBy(*_tie(key))
+        return (base.join(qf, GROUP).withColumn("__rn", F.row_number().over(w))
+                .withColumn("is_test", F.col("__rn") <= F.col("__quota")).select(*map(quoted, out_cols)))
+    base = base.withColumn(PART, F.coalesce(F.conv(F.substring(HASH, BUCKET_HEX_DIGITS + 1, BUCKET_HEX_DIGITS), 16, 10).cast("int"), F.lit(0)))
     cells = base.groupBy(GROUP, BUCKET).agg(F.count(F.lit(1)).alias("n"))
-    if df.is_cached:
-        # a cached input is cheap to read twice: counts and cut-offs as a small eager job, then one
-        # plain pass (fewer stages than deriving them inside the plan)
-        cells = cells.persist()
-        counts = {r[GROUP]: r["n"] for r in cells.groupBy(GROUP).agg(F.sum("n").alias("n"))
-                  .limit(MAX_BROADCAST_GROUPS + 1).collect()}
-        if len(counts) > MAX_BROADCAST_GROUPS:
-            raise ValueError(f"more than {MAX_BROADCAST_GROUPS} classes: too many for a stratified split")
-        quotas = _quota_frame(spark, test_quotas(counts, stratified=spec.is_classification),
-                              base.schema[GROUP].dataType)
-        cut = spark.createDataFrame(_cut_offs(cells, F.broadcast(quotas)).collect(), _CUT_SCHEMA.format(
-            base.schema[GROUP].dataType.simpleString()))
-        cells.unpersist()
-    else:
-        # an uncached input (e.g. after a deduplication shuffle) is produced once: the count branch
-        # and the row branch of this single plan share it (the exchange is reused)
-        cut = _cut_offs(cells, quota_table(cells, spec.is_classification))
-    tagged = base.join(F.broadcast(cut), GROUP)   # one row per class, bounded (checked)
-    clear = tagged.where(F.col(BUCKET) != F.col("__cut")).withColumn("is_test", F.col(BUCKET) < F.col("__cut"))
+    cut = _cut_offs(cells, quota_table(cells, spec.is_classification), BUCKET, "__cut")
+    inside = base.select(GROUP, BUCKET, PART).join(F.broadcast(cut), GROUP).where(F.col(BUCKET) == F.col("__cut"))
+    parts = inside.groupBy(GROUP, PART).agg(F.count(F.lit(1)).alias("n"))
+    cut = cut.join(_cut_offs(parts, cut.select(GROUP, F.col("__need").alias("__quota")), PART, "__cut_part")
+                   .withColumnRenamed("__need", "__need_part"), GROUP)
+    tagged = base.join(F.broadcast(cut), GROUP)   # one row per class, bounded (checked by quota_table)
+    edge = (F.col(BUCKET) == F.col("__cut")) & (F.col(PART) == F.col("__cut_part"))
+    before = (F.col(BUCKET) < F.col("__cut")) | ((F.col(BUCKET) == F.col("__cut")) & (F.col(PART) < F.col("__cut_part")))
+    clear = tagged.where(~edge).withColumn("is_test", before)
     w = Window.partitionBy(GROUP).orderBy(*_tie(key))
-    edge = (tagged.where(F.col(BUCKET) == F.col("__cut")).withColumn("__rn", F.row_number().over(w))
-            .withColumn("is_test", F.col("__rn") <= F.col("__need")))
-    return clear.select(*map(quoted, out_cols)).unionByName(edge.select(*map(quoted, out_cols)))
+    ranked = tagged.where(edge).withColumn("__rn", F.row_number().over(w)).withColumn("is_test", F.col("__rn") <= F.col("__need_part"))
+    return clear.select(*map(quoted, out_cols)).unionByName(ranked.select(*map(quoted, out_cols)))
 
 
-_CUT_SCHEMA = GROUP + " {}, __cut int, __need long"
-
-
-def _cut_offs(cells: DataFrame, quotas: DataFrame) -> DataFrame:
-    """Per class: the first bucket whose running count reaches the quota, and how many of its rows
-    (in hash order) are test rows."""
-    wb = Window.partitionBy(GROUP).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _cut_offs(cells: DataFrame, quotas: DataFrame, cell: str, name: str) -> DataFrame:
+    """Per class: the first cell whose running count reaches the quota (``name``), and how many of its rows
+    (in hash order) are test rows (``__need``)."""
+    wb = Window.partitionBy(GROUP).orderBy(cell).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = cells.withColumn("cum", F.sum("n").over(wb)).join(quotas, GROUP)
     return (cum.where(F.col("cum") >= F.col("__quota"))
-            .groupBy(GROUP).agg(F.min_by(F.struct(F.col(BUCKET).alias("b"), (F.col("__quota") - F.col("cum") + F.col("n"))
-                                                  .alias("need")), F.col(BUCKET)).alias("c"))
-            .select(GROUP, F.col("c.b").cast("int").alias("__cut"), F.col("c.need").cast("long").alias("__need")))
+            .groupBy(GROUP).agg(F.min_by(F.struct(F.col(cell).alias("b"), (F.col("__quota") - F.col("cum") + F.col("n"))
+                                                  .alias("need")), F.col(cell)).alias("c"))
+            .select(GROUP, F.col("c.b").cast("int").alias(name), F.col("c.need").cast("long").alias("__need")))
 
 
 def prepare_for_split(df: DataFrame, spec: ProblemSpec) -> DataFrame:
@@ -216,42 +198,53 @@ def split_and_clean(df: DataFrame, spec: ProblemSpec, key: str | None = None,
     return apply_fills(split, fills), fills
 
 
+def fold_digits(rows: int) -> int:
+    """Hex digits of the hash that cut ``rows`` into cells of CELL_ROWS rows or fewer on average (and not under a 16th of that)."""
+    digits = 1
+    while digits < 32 and rows > CELL_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def cell_offsets(cells: DataFrame) -> DataFrame:
+    """(``__grp``, ``__cell``, ``__off``): rows of a class before each cell, from (``__grp``, ``__cell``, n) with cells of equally many hex
+    digits. Digit groups of four are summed one after the other, so a window never holds more than 65,536 rows."""
+    first = cells.select(F.length("__cell").alias("d")).first()
+    digits = first["d"] if first else 1
+    ends = [*range(BUCKET_HEX_DIGITS, digits, BUCKET_HEX_DIGITS), digits]
+    out, off = cells.withColumn("__off", F.lit(0).cast("long")), cells
+    for i in reversed(range(len(ends))):
+        mine, outer = F.substring("__cell", 1, ends[i]), F.substring("__cell", 1, ends[i - 1] if i else 0)
+        off = off.groupBy(GROUP, mine.alias("__cell")).agg(F.sum("n").alias("n"))
+        w = Window.partitionBy(GROUP, outer).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+        step = off.select(F.col(GROUP).alias("__g"), F.col("__cell").alias("__c"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__s"))
+        out = out.join(step, (F.col(GROUP) == F.col("__g")) & (mine == F.col("__c"))).withColumn("__off", F.col("__off") + F.col("__s")).drop("__g", "__c", "__s")
+    return out.select(GROUP, "__cell", "__off")
+
+
 def cv_folds(train: DataFrame, spec: ProblemSpec, key: str | None = None, folds: int = S.CV_FOLDS,
              method: str = "bucketed") -> DataFrame:
     """Adds ``fold`` = position in (label, hash) order mod 3 (hash order for regression):
     shuffled, seeded, stratified folds whose sizes differ by at most one per class.
 
-    Bucketed form: positions = rows of earlier (label, bucket) cells + rank inside the cell, so the
-    only row shuffle is by (label, bucket): 65,536 balanced cells per class."""
+    Position = rows of earlier classes + rows of earlier cells of the class + rank inside the cell, so the only row
+    shuffle is by (label, cell). ``key`` should tell rows apart (``with_row_key``): rows with equal keys share a cell.
+    ``method="window"`` ranks each class in one task instead: the plain form that the tests compare with."""
     base, grp = _groups(with_hash_order(train, key), spec)
     out_cols = train.columns + ["fold"]
+    before = Window.orderBy(GROUP).rowsBetween(Window.unboundedPreceding, -1)
     if method == "window":
-        # per class: rows of earlier classes (a small table) + rank inside the class
-        sizes = base.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).limit(MAX_BROADCAST_GROUPS + 1).collect()
-        if len(sizes) > MAX_BROADCAST_GROUPS:
-            raise ValueError(f"more than {MAX_BROADCAST_GROUPS} classes: too many for stratified folds")
-        if max((r["n"] for r in sizes), default=0) <= WINDOW_FORM_MAX_ROWS:
-            spark = train.sparkSession
-            offs, run = [], 0
-            for r in sorted(sizes, key=lambda r: r[GROUP]):
-                offs.append((r[GROUP], run))
-                run += r["n"]
-            of = F.broadcast(spark.createDataFrame(offs, f"{GROUP} {base.schema[GROUP].dataType.simpleString()}, __off long"))
-            w = Window.partitionBy(GROUP).orderBy(*_tie(key))
-            return (base.join(of, GROUP)
-                    .withColumn("fold", ((F.col("__off") + F.row_number().over(w) - 1) % folds).cast("int"))
-                    .select(*map(quoted, out_cols)))
-    cells = base.groupBy(GROUP, BUCKET).agg(F.count(F.lit(1)).alias("n"))
-    # offset of a cell = rows of earlier classes + rows of earlier buckets of its class: a running sum
-    # per class (65,536 cells per task) plus class offsets from a one-row-per-class table (AQE
-    # broadcasts that table at run time when it is small)
-    w_in = Window.partitionBy(GROUP).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    w_cls = Window.orderBy(GROUP).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = base.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"))
+        of = sizes.select(GROUP, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__off"))
+        w = Window.partitionBy(GROUP).orderBy(*_tie(key))
+        return (base.join(of, GROUP).withColumn("fold", ((F.col("__off") + F.row_number().over(w) - 1) % folds).cast("int"))
+                .select(*map(quoted, out_cols)))
+    base = base.withColumn("__cell", F.coalesce(F.substring(HASH, 1, fold_digits(train.count())), F.lit("")))
+    cells = base.groupBy(GROUP, "__cell").agg(F.count(F.lit(1)).alias("n"))
     cls = (cells.groupBy(GROUP).agg(F.sum("n").alias("__tot"))
-           .select(GROUP, F.coalesce(F.sum("__tot").over(w_cls), F.lit(0)).alias("__cls_off")))
-    offsets = (cells.withColumn("__in", F.coalesce(F.sum("n").over(w_in), F.lit(0))).join(cls, GROUP)
-               .select(GROUP, BUCKET, (F.col("__cls_off") + F.col("__in")).alias("__off")))
-    w = Window.partitionBy(GROUP, BUCKET).orderBy(*_tie(key))
-    return (base.join(offsets, [GROUP, BUCKET])
+           .select(GROUP, F.coalesce(F.sum("__tot").over(before), F.lit(0)).alias("__cls_off")))   # one row a class
+    offsets = cell_offsets(cells).join(cls, GROUP).select(GROUP, "__cell", (F.col("__cls_off") + F.col("__off")).alias("__off"))
+    w = Window.partitionBy(GROUP, "__cell").orderBy(*_tie(key))
+    return (base.join(offsets, [GROUP, "__cell"])
             .withColumn("fold", ((F.col("__off") + F.row_number().over(w) - 1) % folds).cast("int"))
             .select(*map(quoted, out_cols)))

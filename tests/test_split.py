@@ -104,3 +104,39 @@ def test_regression_split_and_folds_use_no_nested_loop_join(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert SP.train_test_split(df, REG, key="id").where("is_test").count() == 40
+
+
+def test_folds_equal_the_window_form_with_many_digits(spark, monkeypatch):
+    """Cells of about two rows need several digit groups; nulls in other columns and repeated feature values do not matter."""
+    import random
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "b", "b", "b"]), rng.choice([None, 1.0])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, y string, x double").repartition(5)
+    spec = ProblemSpec("classification", "y", "f1", 0.8, "x.parquet")
+    want = sorted((r["id"], r["fold"]) for r in SP.cv_folds(df, spec, key="id", method="window").collect())
+    monkeypatch.setattr(SP, "BUCKET_HEX_DIGITS", 1)   # groups of one digit: three levels
+    monkeypatch.setattr(SP, "CELL_ROWS", 2)
+    assert SP.fold_digits(3000) == 3
+    assert sorted((r["id"], r["fold"]) for r in SP.cv_folds(df, spec, key="id").collect()) == want
+    lazy = sorted(r["id"] for r in SP.train_test_split(df, spec, key="id").where("is_test").collect())
+    assert lazy == sorted(r["id"] for r in SP.train_test_split(df, spec, key="id", method="window").where("is_test").collect())
+    assert [SP.fold_digits(n) for n in (0, 32, 33, 512, 513)] == [1, 1, 2, 2, 3]
+
+
+def test_cells_stay_bounded_on_equal_feature_rows(spark):
+    """20,000 rows with the same features and label: the row key deals them over cells, and no cell is large."""
+    df = spark.range(20_000).select("id", F.lit(1.0).alias("x"), F.lit("a").alias("y"))
+    spec = ProblemSpec("classification", "y", "f1", 0.8, "x.parquet")
+    split = SP.with_row_key(SP.train_test_split(SP.prepare_for_split(df, spec), spec))
+    X = split.select("x", "y", SP.ROW_KEY, "is_test")
+    assert X.where("is_test").count() == 4000
+    folds = SP.cv_folds(X.where("not is_test"), spec, key=SP.ROW_KEY)
+    assert sorted(r["count"] for r in folds.groupBy("fold").count().collect()) == [5333, 5333, 5334]
+    cells = SP.with_hash_order(X, SP.ROW_KEY).groupBy(F.substring(SP.HASH, 1, SP.fold_digits(16_000))).count()
+    assert cells.agg(F.max("count")).first()[0] < 2 * SP.CELL_ROWS
+
+
+def test_empty_split_and_folds(spark):
+    df = strat_df(spark).where("false")
+    for spec in (CLS, REG):
+        assert SP.train_test_split(df, spec, key="id").count() == SP.cv_folds(df, spec, key="id").count() == 0
