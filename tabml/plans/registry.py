@@ -1483,17 +1483,22 @@ def q_rf_predict(spark, sf):
     return preds.select(F.col("row_key").alias("o_orderkey"), "pred", "score")
 
 
-@query("reuse")
+@query("reuse", """SELECT 'deduped' AS piece, count(*) AS n_rows, true AS reused FROM (SELECT DISTINCT * FROM orders WHERE o_orderstatus IS NOT NULL) d
+       UNION ALL SELECT 'X', count(*), true FROM (SELECT DISTINCT * FROM orders WHERE o_orderstatus IS NOT NULL) d
+       UNION ALL SELECT 'other run', NULL, false""")
 def q_reuse(spark, sf):
-    """The feature tool reuses a run's profiled frame only when every piece is cached."""
-    from tabml.plans.tools import RunCache, engineer_features_tool, profile_dataset_tool
-    cache = RunCache()
-    profile_dataset_tool(spark, "builtin:orders_status", "is_p", "classification", cache, "r1", base_dir=sf)
-    rows = [("r1", cache.get("r1", "deduped", "profile") is not None),
-            ("r2", cache.get("r2", "deduped", "profile") is not None)]
-    engineer_features_tool(spark, "builtin:orders_status", "is_p", "classification", cache, "r1", base_dir=sf)
-    rows.append(("r1_features", cache.get("r1", "X", "features") is not None))
-    return spark.createDataFrame(rows, "piece string, reused boolean")
+    """One tool profiles, the next takes its frame from the shared folder through a cache object of its own, as another session
+    would; rows of each stored piece, and a run without pieces."""
+    from tabml.plans.tools import DurableCache, engineer_features_tool, profile_dataset_tool
+    root = scratch_path(spark, "stages")
+    at = dict(data_source="builtin:orders_status", target_column="is_p", task_type="classification", base_dir=sf)
+    profile_dataset_tool(spark, cache=DurableCache(spark, root), run_id="r1", **at)
+    engineer_features_tool(spark, cache=DurableCache(spark, root), run_id="r1", **at)
+    later, rows = DurableCache(spark, root), []
+    for piece, run in (("deduped", "r1"), ("X", "r1"), ("other run", "r2")):
+        got = later.get(run, "X" if run == "r2" else piece)
+        rows.append((piece, got[0].count() if got else None, got is not None))
+    return spark.createDataFrame(rows, "piece string, n_rows long, reused boolean")
 
 
 @query("round_text", Q.compose(

@@ -1,14 +1,12 @@
 """Flat-argument stage tools (the reference's extension points) with M11 reuse.
 
 Each tool can run alone from a data source, or reuse earlier results of the same run from a
-``RunCache`` -- only when every piece it needs is present; otherwise it recomputes. Cached values
-are persisted DataFrames and small driver-side documents; nothing large leaves the executors.
+``RunCache`` (this session) or ``DurableCache`` (any session) -- only when every piece it needs is
+present; otherwise it recomputes.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,26 +15,13 @@ from tabml.operators import profile as P
 from tabml.operators import search as SE
 from tabml.operators import split as SP
 from tabml.operators import train as T
+from tabml.plans.cache import DurableCache, RunCache  # noqa: F401
 from tabml.plans.pipeline import PipelineBlockedError
 from tabml.reports import DataProfile, EDAReport, EvaluationReport, TuningResult
 from tabml.sources.files import load_data
 from tabml.spec import PipelineConstraints, ProblemSpec
 
 
-@dataclass
-class RunCache:
-    entries: dict[str, dict] = field(default_factory=dict)
-
-    def get(self, run_id: str | None, *keys: str):
-        """All requested pieces, or None when any is missing (partial reuse is never attempted)."""
-        e = self.entries.get(run_id or "", {})
-        return None if any(k not in e for k in keys) else [e[k] for k in keys]
-
-    def put(self, run_id: str | None, **values) -> None:
-        if run_id:
-            self.entries.setdefault(run_id, {}).update(values)
-
-
 def _spec(data_source, target_column, task_type, success_metric=None, metric_threshold=0.0, trials=None):
     metric = success_metric or ("f1" if task_type == "classification" else "r2")
     return ProblemSpec(task_type, target_column, metric, metric_threshold, data_source,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import types
+import typing
 from dataclasses import dataclass, field
 from typing import Any, ClassVar
 
@@ -18,6 +20,23 @@ def _plain(o):
     return o
 
 
+def build(hint, value):
+    """A report (or a field of one) from its plain form; unknown fields are left out."""
+    if value is None or hint is Any:
+        return value
+    if dataclasses.is_dataclass(hint):
+        hints = typing.get_type_hints(hint)
+        return hint(**{f.name: build(hints[f.name], value[f.name]) for f in dataclasses.fields(hint) if f.name in value})
+    origin, args = typing.get_origin(hint), typing.get_args(hint)
+    if origin in (typing.Union, types.UnionType):
+        return build(next(a for a in args if a is not type(None)), value)
+    if origin is list:
+        return [build(args[0], v) for v in value]
+    if origin is dict:
+        return {k: build(args[1], v) for k, v in value.items()}
+    return value
+
+
 class _Doc:
     def to_dict(self) -> dict:
         return _plain(self)
