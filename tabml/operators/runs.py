@@ -38,13 +38,15 @@ def event_type(event: Column) -> Column:
             .otherwise("info"))
 
 
+def _latest_where(value: Column, cond: Column) -> Column:
+    """The value of the last event by (ts, seq) among those that meet ``cond``; null without one."""
+    return F.max_by(value, F.when(cond, F.struct("ts", "seq")))
+
+
 def latest_proceed(history: DataFrame, stage: str) -> DataFrame:
     """Per run, proceed=True/False from the stage's last line that logs it; null if never."""
-    runs = history.select("run_id").distinct()
-    logged = (history.where((F.col("stage") == stage)
-                            & (F.col("event").contains("proceed=True") | F.col("event").contains("proceed=False")))
-              .groupBy("run_id").agg(_latest(F.col("event").contains("proceed=True")).alias("proceed")))
-    return runs.join(logged, "run_id", "left")
+    yes = F.col("event").contains("proceed=True")
+    return history.groupBy("run_id").agg(_latest_where(yes, (F.col("stage") == stage) & (yes | F.col("event").contains("proceed=False"))).alias("proceed"))
 
 
 def resume_point(history: DataFrame) -> DataFrame:
@@ -61,9 +63,7 @@ def resume_point(history: DataFrame) -> DataFrame:
 
 def escalation_reason(history: DataFrame, analysis: DataFrame | None = None) -> DataFrame:
     """The rule-based analysis if present, else the last line mentioning escalation."""
-    last = (history.where(F.lower("event").contains("escalat")).groupBy("run_id")
-            .agg(_latest(F.col("event")).alias("last_escalation")))
-    runs = history.select("run_id").distinct().join(last, "run_id", "left")
+    runs = history.groupBy("run_id").agg(_latest_where(F.col("event"), F.lower("event").contains("escalat")).alias("last_escalation"))
     if analysis is None:
         return runs.select("run_id", F.col("last_escalation").alias("reason"))
     a = analysis.select("run_id", F.when(F.col("summary").isNotNull(), F.concat(
@@ -96,6 +96,11 @@ def with_cost(trace: DataFrame) -> DataFrame:
     return _cost_decimal(trace).withColumn("estimated_cost_usd", F.col("__cost").cast("double")).drop("__cost")
 
 
+def call_costs(trace: DataFrame) -> DataFrame:
+    """``trace`` with the exact decimal ``cost`` of each call."""
+    return _cost_decimal(trace).withColumnRenamed("__cost", "cost")
+
+
 def trace_totals(trace: DataFrame) -> DataFrame:
     """Per run total cost (sum of the rounded entries, rounded 6) and tokens."""
     t = _cost_decimal(trace)

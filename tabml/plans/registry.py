@@ -1361,6 +1361,34 @@ def q_stream_run_status(spark, sf):
     return st.select("run_id", "n_events", "last_event", "loop_backs")
 
 
+@query("stream_live_status", Q.compose(
+    """SELECT run_id, n_events, last_event, loop_backs, n_calls, total_tokens, total_cost_usd FROM
+       (SELECT run_id, count(*) AS n_events, arg_max(event, struct_pack(ts := ts, seq := seq)) AS last_event,
+        count(*) FILTER (WHERE contains(event, 'fail ->')) AS loop_backs FROM h GROUP BY run_id) a
+       JOIN (SELECT run_id, count(*) AS n_calls, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
+        CAST(round(sum(dcost), 6) AS DOUBLE) AS total_cost_usd FROM c GROUP BY run_id) t USING (run_id)""", ctes=[_H, _TR, _COST]))
+def q_stream_live_status(spark, sf):
+    """R2 with both sources: history and model calls as two file streams of several micro-batches each."""
+    from tabml.streaming.status import stream_live_status
+    at = {}
+    for name, rows in (("history", RV.history(spark, sf)), ("trace", RV.trace(spark, sf))):
+        path = scratch_path(spark, f"{name}-src")
+        rows.repartition(3, "seq").write.parquet(path)
+        at[name] = (path, spark.read.parquet(path).schema)
+    st = stream_live_status(spark, *at["history"], *at["trace"], scratch_path(spark, "live"), scratch_path(spark, "live-ckpt"))
+    return st.select("run_id", "n_events", "last_event", "loop_backs", "n_calls", "total_tokens", "total_cost_usd")
+
+
+@query("escalation_analysis", Q.compose(
+    """SELECT run_id, coalesce(CASE WHEN pass_fail = 'fail' THEN 'threshold missed (next step: ' || step || ')' END, last_escalation) AS reason
+       FROM (SELECT run_id, arg_max(event, struct_pack(ts := ts, seq := seq)) FILTER (WHERE contains(lower(event), 'escalat')) AS last_escalation
+             FROM h GROUP BY run_id) l JOIN ev USING (run_id)""", ctes=_SEC))
+def q_escalation_analysis(spark, sf):
+    """W8 with the analysis of the stored evaluation reports: it goes before the last line that mentions an escalation."""
+    analysis = DOC.run_tables(spark, _store(spark, sf))["failure_analyses"]
+    return RU.escalation_reason(RV.history(spark, sf), analysis)
+
+
 @query("synth_customers")
 def q_synth_customers(spark, sf):
     """One synthetic customer per row of the customer table, leaky variant included."""
