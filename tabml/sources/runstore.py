@@ -5,8 +5,9 @@ folder per run would not survive millions of runs) and are append-only. A write
 folder of its own, moves the finished files into the tables and then adds one line per (run, table) to
 ``commits``; all its rows carry one version. A reader takes, per run and table, the rows of the largest
 committed version, so concurrent writers of different runs never touch each other's rows, a crash before
-the commit leaves the earlier state in force, and a write costs its own rows, never the store's. Of
-concurrent writers of one run the last commit wins. ``compact`` drops superseded rows. Files are clustered by
+the commit leaves the earlier state in force, and a write costs its own rows, never the store's: the versions in use are
+names of empty files in ``_versions``, which a writer only lists. Of concurrent writers of one run the last commit wins.
+``compact`` drops superseded rows while writers go on. Files are clustered by
 (run_bucket, run_id, order), so reading one run prunes to its bucket and to a few row groups.
 
 - ``runs``     one row per run: status, loop count, times, the spec and the four stage reports as
@@ -188,7 +189,7 @@ def _replace_all(spark: SparkSession, root: str, parts: list[tuple], after: str
         ids = ids.select("run_id", F.lit(name).alias("part"))
         heads = ids if heads is None else heads.unionByName(ids)
     _stage_commits(heads.withColumn("version", F.lit(version)), stage)
-    _publish(spark, root, stage, [p[0] for p in parts])
+    _publish(spark, root, stage, [p[0] for p in parts], version)
 
 
 def _stage_commits(heads: DataFrame, stage: str) -> None:
@@ -196,8 +197,10 @@ def _stage_commits(heads: DataFrame, stage: str) -> None:
      .write.partitionBy("run_bucket").parquet(os.path.join(stage, "commits")))
 
 
-def _publish(spark: SparkSession, root: str, stage: str, names: list[str]) -> None:
-    """Move the staged tables into the store, the commits last, and remove the stage."""
+def _publish(spark: SparkSession, root: str, stage: str, names: list[str], version: str) -> None:
+    """Name the version, move the staged tables into the store, the commits last, and remove the stage."""
+    fs, p = _fs(spark, os.path.join(root, "_versions", version))
+    fs.create(p).close()
     for name in [*names, "commits"]:
         _move(spark, os.path.join(stage, name), _path(root, name))
     fs, p = _fs(spark, stage)
@@ -210,33 +213,56 @@ def _replace(spark: SparkSession, root: str, name: str, new: DataFrame, schema:
     _replace_all(spark, root, [(name, new, schema, order, run_ids)], _latest(spark, root))
 
 
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    fs, p = _fs(spark, os.path.join(root, "_versions"))
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def _latest(spark: SparkSession, root: str) -> str | None:
-    commits = _raw(spark, root, "commits", COMMITS_SCHEMA)
-    return None if commits is None else commits.agg(F.max("version")).first()[0]
+    """The largest version in use, from file names only."""
+    return max(_versions(spark, root), default=None)
 
 
 def compact(spark: SparkSession, root: str) -> None:
-    """Drop superseded rows: the rows in force are written once more under versions just above their own, then the files
-    found at the start go. Run it while nothing writes to the store; readers that are under way may have to start again."""
+    """Drop superseded rows beside running writers.
+
+    The commits found at the start name the versions that are compacted; the rows in force among them are written once more under
+    versions just above their own, so a commit that comes later stays above. Only files that hold rows of those versions go: the files
+    of a writer that has moved its rows but not yet committed are of another version and stay. Readers that are under way may
+    have to start again, as ``persist_run_state`` does."""
     tables = {"runs": (RUNS_SCHEMA, None), "history": (HISTORY_SCHEMA, "seq"), "trace": (TRACE_SCHEMA, "seq"),
               "trials": (TRIALS_SCHEMA, "trial_number")}
-    old = {name: _files(spark, _path(root, name)) for name in [*tables, "commits"]}
-    mark = f"~{uuid.uuid4().hex}"
+    known = _versions(spark, root)
+    old_commits = _files(spark, _path(root, "commits"))
+    if not old_commits:
+        return
+    paths = [os.path.join(_path(root, "commits"), *f) for f in old_commits]
+    commits = (spark.read.schema(f"{COMMITS_SCHEMA}, run_bucket int").option("basePath", _path(root, "commits")).parquet(*paths)
+               .select("run_id", "part", "version").checkpoint())
+    heads = commits.groupBy("run_id", "part").agg(F.max("version").alias("version"))
+    mark = f"~{time.time_ns():020d}{uuid.uuid4().hex[:12]}"   # one mark only: a row compacted again gets the newer one
+    plain = F.substring_index("version", "~", 1)
     stage = os.path.join(root, "_staged", mark[1:])
-    heads = _heads(spark, root)
+    gone: list[tuple[str, str]] = [("commits", p) for p in paths]
     for name, (schema, order) in tables.items():
         raw = _raw(spark, root, name, schema)
-        if raw is not None:
-            mine = heads.where(F.col("part") == name).select("run_id", "version")
-            live = raw.join(broadcast_if_small(mine), ["run_id", "version"], "left_semi").select(*raw.columns)
-            (_clustered(live.withColumn("version", F.concat("version", F.lit(mark))), order)
-             .write.partitionBy("run_bucket").parquet(os.path.join(stage, name)))
-    _stage_commits(heads.withColumn("version", F.concat("version", F.lit(mark))), stage)
-    _publish(spark, root, stage, list(tables))
-    for name, files in old.items():
-        for folder, f in files:
-            fs, p = _fs(spark, os.path.join(_path(root, name), folder, f))
-            fs.delete(p, False)
+        if raw is None:
+            continue
+        mine = heads.where(F.col("part") == name).select("run_id", "version")
+        live = raw.join(broadcast_if_small(mine), ["run_id", "version"], "left_semi").select(*raw.columns)
+        (_clustered(live.withColumn("version", F.concat(plain, F.lit(mark))), order)
+         .write.partitionBy("run_bucket").parquet(os.path.join(stage, name)))
+        settled = commits.where(F.col("part") == name).select("version").distinct()
+        held = raw.select(F.input_file_name().alias("file"), "version").distinct()   # one row a file: a file is of one version
+        gone += [(name, r["file"]) for r in held.join(settled, "version", "left_semi").select("file").distinct().collect()]
+    _stage_commits(heads.withColumn("version", F.concat(plain, F.lit(mark))), stage)
+    _publish(spark, root, stage, list(tables), max(known, default="0" * 20).split("~")[0] + mark)
+    for _, path in gone:
+        fs, p = _fs(spark, path)
+        fs.delete(p, False)
+    for version in known:
+        fs, p = _fs(spark, os.path.join(root, "_versions", version))
+        fs.delete(p, False)
 
 
 # ---------------------------------------------------------------- document <-> row
@@ -296,10 +322,25 @@ def parse_param_value(text: str):
         return text
 
 
+READ_TRIES = 6
+
+
+def _stored_run(spark: SparkSession, root: str, run_id: str) -> tuple[dict[str, str], Row | None]:
+    """(versions in force, row) of one run; read again when a compaction took the files away in between."""
+    for left in reversed(range(READ_TRIES)):
+        try:
+            heads = _run_heads(spark, root, run_id)
+            return heads, load_run_row(spark, root, run_id, heads)
+        except Exception as e:  # noqa: BLE001 - Spark wraps the missing file in several ways
+            if left == 0 or not any(t in str(e) for t in ("FileNotFound", "FILE_NOT_EXIST", "does not exist", "PATH_NOT_FOUND")):
+                raise
+            time.sleep(0.2)
+    raise AssertionError
+
+
 def persist_run_state(spark: SparkSession, root: str, run: PipelineRun) -> None:
     """Idempotent replace of one run (spec always, reports when present, history/trace whole)."""
-    heads = _run_heads(spark, root, run.run_id)
-    old = load_run_row(spark, root, run.run_id, heads)
+    heads, old = _stored_run(spark, root, run.run_id)
     sections = {}
     for s in SECTIONS:
         new = _section_row(s, getattr(run, s))

@@ -107,3 +107,56 @@ def test_document_joins_are_on_run_id(spark, sf):
     from tabml.plans import registry as R
     plan = DOC.run_documents(spark, R._store(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and "PythonUDF" not in plan
+
+
+def test_compaction_beside_eight_writers(spark, tmp_path):
+    """Every run's last write is in force afterwards, whatever the compactions in between took away."""
+    from concurrent.futures import ThreadPoolExecutor
+    root = str(tmp_path / "busy")
+    spec = ProblemSpec("classification", "y", "f1", 0.8, "a.csv")
+
+    def write(k):
+        for n in range(4):
+            RS.persist_run_state(spark, root, PipelineRun(f"w{k}", spec, f"s{n}", n, history=[HistoryEntry("2024-01-01T00:00:00", "o", f"e{i}") for i in range(n + 1)],
+                                                          data_profile=DataProfile(k, 1) if n == 0 else None))
+
+    def squeeze():
+        for _ in range(4):
+            RS.compact(spark, root)
+    with ThreadPoolExecutor(9) as pool:
+        jobs = [pool.submit(write, k) for k in range(8)] + [pool.submit(squeeze)]
+        for j in jobs:
+            j.result()
+    RS.compact(spark, root)
+    rows = {r.run_id: r for r in DOC.run_documents(spark, root).collect()}
+    assert {k: (r.status, r.loop_count, len(r.history), r.data_profile.row_count) for k, r in rows.items()} == {f"w{k}": ("s3", 3, 4, k) for k in range(8)}
+    assert RS._raw(spark, root, "history", RS.HISTORY_SCHEMA).count() == 32 and len(RS._versions(spark, root)) == 1   # nothing superseded is left
+
+
+def test_compaction_keeps_rows_moved_but_not_committed(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "late")
+    spec = ProblemSpec("classification", "y", "f1", 0.8, "a.csv")
+    RS.persist_run_state(spark, root, PipelineRun("a", spec, "old"))
+    staged = []
+
+    def half(spark, root, stage, names, version):
+        for name in names:
+            RS._move(spark, f"{stage}/{name}", f"{root}/{name}")
+        staged.append(stage)
+    monkeypatch.setattr(RS, "_publish", half)
+    RS.persist_run_state(spark, root, PipelineRun("b", spec, "late"))   # rows are in the tables, the commit is not
+    monkeypatch.undo()
+    RS.compact(spark, root)
+    RS.compact(spark, root)
+    assert RS.load_run_state(spark, root, "b") is None and RS.load_run_state(spark, root, "a").status == "old"
+    RS._move(spark, f"{staged[0]}/commits", f"{root}/commits")
+    assert RS.load_run_state(spark, root, "b").status == "late" and RS.load_run_state(spark, root, "a").status == "old"
+
+
+def test_a_write_opens_none_of_the_stored_rows(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "big")
+    h = spark.createDataFrame([("r", 0, None, "s", "e")], RS.HISTORY_SCHEMA)
+    RS.write_history(root, h)
+    monkeypatch.setattr(RS, "_raw", lambda *a: (_ for _ in ()).throw(AssertionError("stored rows were opened")))
+    RS.write_history(root, h)
+    assert len(RS._versions(spark, root)) == 2
