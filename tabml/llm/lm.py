@@ -45,7 +45,7 @@ TABLES = 3
 LEAST_BITS, MOST_BITS, PLACE_BYTES = 14, 22, 32
 REGION = 14
 COUNT_BYTES, COUNT_TASKS = 1 << 26, 1 << 16
-HEAD, LEAD = 1 << 18, 20
+HEAD, LEAD = 1 << 19, 20
 #: Log odds are kept in steps of 1 / STEPS.
 STEPS = 16
 GATES, CELLS = 8, 25
@@ -161,7 +161,10 @@ def before(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def context(table: int, key: np.ndarray) -> np.ndarray:
     """Hashes (uint32) of a table's contexts."""
-    return ((key + np.uint64(1)) * _MULT[table] >> np.uint64(32)).astype(np.uint32)
+    key = key + np.uint64(1)
+    key *= _MULT[table]
+    key >>= np.uint64(32)
+    return key.astype(np.uint32)
 
 
 def contexts(x: np.ndarray, at: np.ndarray, shifts: np.ndarray) -> list[np.ndarray]:
@@ -355,6 +358,13 @@ def fit(train: DataFrame, text_col: str = "text") -> Model:
     return Model(tables(spelled, odds, bits, head["key"].to_numpy(), head["n"].to_numpy()), words.where(F.col("level") < least).select("key", "n"), texts, total + texts, distinct + (texts > 0))
 
 
+def _squash(odds: np.ndarray) -> np.ndarray:
+    out = np.negative(odds)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
+
+
 class Mixer:
     """Weights and corrections of ``rows`` texts that are scored side by side."""
 
@@ -373,21 +383,24 @@ class Mixer:
         cell = (row * GATES).take(of) + c.first.take(path)
         cell += (kept[1] != 0).view(np.uint8) | ((kept[2] != 0).view(np.uint8) << 1)
         odds = [k * np.float32(1 / STEPS) for k in kept]
-        mixed = self.weights[0].take(cell) * odds[0]
+        mixed = self.weights[0].take(cell)
+        mixed *= odds[0]
         for w, o in zip(self.weights[1:], odds[1:]):
-            mixed += w.take(cell) * o
+            part = w.take(cell)
+            part *= o
+            mixed += part
         np.clip(mixed, -12, 12, out=mixed)
         step = (row * CELLS + CELLS // 2).take(of) + np.rint(mixed).astype(np.int64)
         final = np.clip(mixed + self.corrections.take(step), -14, 14)
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])  # of each text's bytes in the block
         begin = (np.cumsum(n) - n)[first]
-        chance = 1 / (1 + np.exp(-final))
+        chance = _squash(final)
         texts = row[first]
         self.bits[texts] -= np.add.reduceat(np.log2(np.abs(1 - bit - chance)), begin, dtype=np.float64)
         size = np.diff(np.r_[begin, len(of)])
         rate = np.ones(len(self.bits))
         rate[texts] = 1 / (size + DAMP)
-        miss = bit - 1 / (1 + np.exp(-mixed))
+        miss = bit - _squash(mixed)
         each = np.repeat(rate * RATE, GATES)
         for w, o in zip(self.weights, odds):
             w += (each * np.bincount(cell, miss * o, len(w))).astype(np.float32)
