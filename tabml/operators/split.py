@@ -198,6 +198,14 @@ def split_and_clean(df: DataFrame, spec: ProblemSpec, key: str | None = None,
     return apply_fills(split, fills), fills
 
 
+def _rows_at_most(df: DataFrame) -> int:
+    """A bound on the rows from the sizes of what the plan reads (two bytes a row and more), or their count where those are unknown. It only
+    sets how finely the cells are cut."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return size // 2 if size < 1 << 60 else df.count()
+
+
 def fold_digits(rows: int) -> int:
     """Hex digits of the hash that cut ``rows`` into cells of CELL_ROWS rows or fewer on average (and not under a 16th of that)."""
     digits = 1
@@ -206,11 +214,9 @@ def fold_digits(rows: int) -> int:
     return digits
 
 
-def cell_offsets(cells: DataFrame) -> DataFrame:
-    """(``__grp``, ``__cell``, ``__off``): rows of a class before each cell, from (``__grp``, ``__cell``, n) with cells of equally many hex
+def cell_offsets(cells: DataFrame, digits: int) -> DataFrame:
+    """(``__grp``, ``__cell``, ``__off``): rows of a class before each cell, from (``__grp``, ``__cell``, n) with cells of ``digits`` hex
     digits. Digit groups of four are summed one after the other, so a window never holds more than 65,536 rows."""
-    first = cells.select(F.length("__cell").alias("d")).first()
-    digits = first["d"] if first else 1
     ends = [*range(BUCKET_HEX_DIGITS, digits, BUCKET_HEX_DIGITS), digits]
     out, off = cells.withColumn("__off", F.lit(0).cast("long")), cells
     for i in reversed(range(len(ends))):
@@ -239,11 +245,12 @@ def cv_folds(train: DataFrame, spec: ProblemSpec, key: str | None = None, folds:
         w = Window.partitionBy(GROUP).orderBy(*_tie(key))
         return (base.join(of, GROUP).withColumn("fold", ((F.col("__off") + F.row_number().over(w) - 1) % folds).cast("int"))
                 .select(*map(quoted, out_cols)))
-    base = base.withColumn("__cell", F.coalesce(F.substring(HASH, 1, fold_digits(train.count())), F.lit("")))
+    digits = fold_digits(_rows_at_most(train))
+    base = base.withColumn("__cell", F.coalesce(F.substring(HASH, 1, digits), F.lit("")))
     cells = base.groupBy(GROUP, "__cell").agg(F.count(F.lit(1)).alias("n"))
     cls = (cells.groupBy(GROUP).agg(F.sum("n").alias("__tot"))
            .select(GROUP, F.coalesce(F.sum("__tot").over(before), F.lit(0)).alias("__cls_off")))   # one row a class
-    offsets = cell_offsets(cells).join(cls, GROUP).select(GROUP, "__cell", (F.col("__cls_off") + F.col("__off")).alias("__off"))
+    offsets = cell_offsets(cells, digits).join(cls, GROUP).select(GROUP, "__cell", (F.col("__cls_off") + F.col("__off")).alias("__off"))
     w = Window.partitionBy(GROUP, "__cell").orderBy(*_tie(key))
     return (base.join(offsets, [GROUP, "__cell"])
             .withColumn("fold", ((F.col("__off") + F.row_number().over(w) - 1) % folds).cast("int"))
