@@ -218,12 +218,14 @@ def cell_offsets(cells: DataFrame, digits: int) -> DataFrame:
     """(``__grp``, ``__cell``, ``__off``): rows of a class before each cell, from (``__grp``, ``__cell``, n) with cells of ``digits`` hex
     digits. Digit groups of four are summed one after the other, so a window never holds more than 65,536 rows."""
     ends = [*range(BUCKET_HEX_DIGITS, digits, BUCKET_HEX_DIGITS), digits]
-    out, off = cells.withColumn("__off", F.lit(0).cast("long")), cells
-    for i in reversed(range(len(ends))):
-        mine, outer = F.substring("__cell", 1, ends[i]), F.substring("__cell", 1, ends[i - 1] if i else 0)
+    before = lambda outer: Window.partitionBy(GROUP, F.substring("__cell", 1, outer)).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    out = cells.withColumn("__off", F.coalesce(F.sum("n").over(before(ends[-2] if len(ends) > 1 else 0)), F.lit(0)))
+    off = cells
+    for i in reversed(range(len(ends) - 1)):
+        mine = F.substring("__cell", 1, ends[i])
         off = off.groupBy(GROUP, mine.alias("__cell")).agg(F.sum("n").alias("n"))
-        w = Window.partitionBy(GROUP, outer).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-        step = off.select(F.col(GROUP).alias("__g"), F.col("__cell").alias("__c"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__s"))
+        step = off.select(F.col(GROUP).alias("__g"), F.col("__cell").alias("__c"),
+                          F.coalesce(F.sum("n").over(before(ends[i - 1] if i else 0)), F.lit(0)).alias("__s"))
         out = out.join(step, (F.col(GROUP) == F.col("__g")) & (mine == F.col("__c"))).withColumn("__off", F.col("__off") + F.col("__s")).drop("__g", "__c", "__s")
     return out.select(GROUP, "__cell", "__off")
 
