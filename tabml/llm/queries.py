@@ -53,13 +53,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = passages.merged_spans(passages.repeated_passages(docs)).withColumnRenamed("id", "doc_id")
-    got = docs.select("doc_id").join(found, "doc_id", "left")
+    got = passages.with_spans(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return got.select("doc_id", F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"), F.coalesce(removed, F.lit(0)).alias("n_repeated_words"),
-                      F.coalesce("spans", F.array().cast(passages.SPANS)).alias("spans"),
-                      F.coalesce("source_ids", F.array().cast("array<bigint>")).alias("source_ids"))
+    return got.select("row.doc_id", F.size("spans").alias("n_spans"), removed.alias("n_repeated_words"), "spans", "source_ids")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

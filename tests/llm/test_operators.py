@@ -338,7 +338,8 @@ def brute_passages(texts):
 
 
 def test_passages(spark, docs, corpus):
-    got = {r.id: r.spans for r in passages.merged_spans(passages.repeated_passages(docs)).collect()}
+    got = passages.with_spans(docs).where("size(spans) > 0").collect()
+    got = {r.row.doc_id: r.spans for r in got}
     for i, must in brute_passages(corpus).items():
         have = {x for s in got.get(i, []) for x in range(s.start, s.end)}
         assert must <= have, i
@@ -346,10 +347,42 @@ def test_passages(spark, docs, corpus):
     near = [prose(random.Random(1), 80)]
     w = near[0].split()
     w[40] = "zz"
-    got = passages.merged_spans(passages.repeated_passages(make(spark, near + [" ".join(w[:40] + w[41:])]))).collect()
-    assert got == [] or got[0].id == 1
+    got = passages.with_spans(make(spark, near + [" ".join(w[:40] + w[41:])])).orderBy("row.doc_id").collect()
+    assert got[0].spans == [] and [(s.start, s.end) for s in got[1].spans] == [(0, 79)] and got[1].source_ids == [0]
     assert passages.cut_words("a  b c\td e", [(1, 3)]) == "a  d e"
-    assert passages.repeated_passages(make(spark, [])).count() == 0
+    assert passages.with_spans(make(spark, [])).count() == 0
+
+
+def test_passages_of_frequent_lines(spark):
+    """Passages of six lines out of few frequent ones, each passage copied once: the texts around them hold the same lines in other orders."""
+    rng = random.Random(8)
+    lines = [prose(rng, 10) for _ in range(40)]
+    mixed = lambda n: " ".join(rng.choice(lines) for _ in range(n))
+    copied = [mixed(6) for _ in range(60)]
+    texts = [f"{prose(rng, 30)} {c} {prose(rng, 30)}" for c in copied] + [f"{prose(rng, 20)} {mixed(4)} {prose(rng, 20)}" for _ in range(400)]
+    texts += [f"{prose(rng, 25)} {c} {prose(rng, 15)}" for c in copied]
+    got = {r.row.doc_id: r.spans for r in passages.with_spans(make(spark, texts)).collect()}
+    lost = [i for i in range(60) if not any(s.start <= 25 and s.end >= 85 for s in got[460 + i])]
+    assert not lost
+    assert not any(got[i] for i in range(60, 460))
+
+
+def test_passages_ids_copies_and_clashing_names(spark):
+    rng = random.Random(9)
+    p, q, short = prose(rng, 60), prose(rng, 70), prose(rng, 30)
+    texts = [p + " end", q, "x " + p, q, q, short, short, None, f"{prose(rng, 9)} {p}", "y " + q, p + " end"]
+    ids = [1, 1, 2, 3, None, 4, 5, 6, None, 1, 1]
+    d = make(spark, texts, ids).withColumn("spans", F.lit("a")).withColumn("d", F.lit(1)).withColumn("first", F.lit(2))
+    got = [(r.row.doc_id, r.row.text, [(x.start, x.end) for x in r.spans]) for r in passages.with_spans(d).collect()]
+    assert sorted(map(str, (g[:2] for g in got))) == sorted(map(str, zip(ids, texts)))
+    assert all(not s for _, t, s in got if t in (short, None))
+    for passage, at in ((p, {texts[0]: 0, texts[2]: 1, texts[8]: 9}), (q, {q: 0, texts[9]: 1})):
+        kept = set()
+        for i, t, s in got:
+            if t in at:
+                assert s in ([], [(at[t], at[t] + len(passage.split()))])
+                kept |= {(i, t)} - ({(i, t)} if s else set())
+        assert len(kept) == 1  # one text of one id keeps the passage (rows equal in both are one), all others lose it
 
 
 def test_compact_windows_are_tree_nodes():
