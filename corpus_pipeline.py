@@ -46,11 +46,12 @@ def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = passages.merged_spans(passages.repeated_passages(docs)).select(F.col("id").alias("doc_id"), "spans")
-    found = Scratch(spark, "stage").table(found)
-    # one shuffle of the texts, at any size: the spans grow with the corpus, so they aren't broadcast
-    got = docs.join(found.hint("shuffle_hash"), "doc_id", "left").withColumn("text", _cut("text", "spans"))
-    return got.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
+    got = passages.with_spans(docs)
+    hit = F.size("spans") > 0
+    cut = F.when(hit, _cut("row.text", "spans")).otherwise(F.col("row.text"))
+    got = got.select("row", hit.alias("hit"), cut.alias("cut"))
+    new = {"text": F.col("cut"), "n_chars": F.when(F.col("hit"), F.length("cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))}
+    return got.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
