@@ -1,10 +1,14 @@
 """Main text of HTML pages by tree scoring.
 
-A page becomes a light element tree. Boilerplate subtrees (by tag, role, class or id, hidden ones too) are left out of it.
+A page becomes a light element tree. Boilerplate subtrees by tag, role or hiding are left out of it; those with a boilerplate class or
+id go too, unless they hold the page's text: a ``main`` element, or, where no article stands outside, over half of the unlinked text (a quarter
+with all first-level headings; a reader-comment name is never spared by its text). Names that say how a wrapper looks (``has-sidebar``) don't count.
 Each paragraph-like element earns points for length and commas and passes them to its ancestors, halved per step;
 an element's score is discounted by its link density. The best element is the container; if it stands in an
 ``article`` or ``main`` element, that one is (headings beside the body belong to it). Siblings of the container with a good share
-of its score, or with long text and few links, are kept too. Without any scored paragraph the body's remaining text is kept.
+of its score, with long text and few links, of the same kind as a ``section``, or headings are kept too, and so is the last
+first-level heading before a container that has none. Without any scored paragraph the body's remaining text is kept.
+Time and memory grow with the page's length, however deep it is nested.
 
 Blocks are runs of text between block-level tags; references are decoded, white space becomes one space, blocks are
 joined by ``\\n`` in page order. Nothing is capped.
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +38,9 @@ DROP_NAMES = frozenset(
     "disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination "
     "popup promo promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription tags toolbar topbar widget".split())
+READER_NAMES = frozenset("comment comments disqus reply replies respond".split())
+LOOK_NAMES = frozenset("has have with no without show hide layout".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -50,41 +58,98 @@ _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "points", "chars", "link_chars", "order")
+    __slots__ = ("tag", "parent", "kids", "points", "chars", "link_chars", "order", "doubt")
 
     def __init__(self, tag: str, parent: Node | None, order: int):
         self.tag, self.parent, self.order = tag, parent, order
         self.kids: list[Node | str] = []
         self.points, self.chars, self.link_chars = 0.0, 0, 0
+        self.doubt = ""  # "name": boilerplate by its names, "reader": by a name of reader comments
 
 
 def boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+    """Boilerplate by tag, role or hiding."""
     if tag in DROP_TAGS or (tag == "header" and not in_article):
         return True
     if not attrs or tag in ("html", "body"):
         return False
-    if _HIDDEN.search(attrs):
-        return True
-    for m in _NAMES.finditer(attrs):
-        value = m[2] or m[3] or m[4] or ""
-        if m[1].lower() == "role":
-            if value.strip().lower() in DROP_ROLES:
-                return True
-        elif tag not in ("article", "main") and any(x.lower() in DROP_NAMES for x in _SPLIT.split(value)):
-            return True
-    return False
+    return bool(_HIDDEN.search(attrs)) or any(
+        m[1].lower() == "role" and (m[2] or m[3] or m[4] or "").strip().lower() in DROP_ROLES for m in _NAMES.finditer(attrs))
+
+
+def doubt(tag: str, attrs: str) -> str:
+    """Boilerplate by a word of a class or id."""
+    got = ""
+    if attrs and tag not in ("html", "body", "article", "main"):
+        for m in _NAMES.finditer(attrs):
+            if m[1].lower() == "role":
+                continue
+            for name in (m[2] or m[3] or m[4] or "").split():
+                parts = [x.lower() for x in _SPLIT.split(name) if x]
+                if parts and parts[0] in LOOK_NAMES:
+                    continue
+                if any(x in READER_NAMES for x in parts):
+                    return "reader"
+                if any(x in DROP_NAMES for x in parts):
+                    got = "name"
+    return got
+
+
+class Open:
+    """The open elements, and where on their stack each tag stands, so that no look-up walks the stack."""
+
+    def __init__(self, root: Node):
+        self.stack = [(root, True)]  # (element, kept)
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: Node, kept: bool) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((node, kept))
+
+    def cut(self, i: int) -> None:
+        while len(self.stack) > i:
+            node, _ = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of these tags; 0 if none is open."""
+        return max((at[-1] for t in tags if (at := self.at.get(t))), default=0)
+
+    def first_after(self, tags, i: int) -> int:
+        """Place of the outermost open element of these tags inside place i; 0 if none."""
+        return min((at[k] for t in tags if (at := self.at.get(t)) and (k := bisect_right(at, i)) < len(at)), default=0)
+
+    def end(self, tag: str) -> None:
+        i = self.last((tag,))
+        if i and (tag in BLOCK or not self.blocks or i >= self.blocks[-1]):  # an inline end tag doesn't close blocks
+            self.cut(i)
+
+    def implied(self, tag: str) -> None:
+        if tag in CLOSES_P and (i := self.last(("p",))) > self.last(("td", "th", "table", "button", "object")):
+            self.cut(i)
+        if tag in IMPLIED_END:
+            ends, stops = IMPLIED_END[tag]
+            i = self.first_after(ends, self.last(stops)) if tag == "tr" else self.last(ends)
+            if i > self.last(stops):
+                self.cut(i)
 
 
 def parse(page: str) -> Node:
     """Element tree without boilerplate; unclosed and misnested tags are closed as browsers mostly do."""
     root = Node("#root", None, 0)
-    stack = [(root, True)]  # (element, kept)
+    opened = Open(root)
     at, n, size = 0, 1, len(page)
     while at < size:
         m = _TAG.search(page, at)
         end = m.start() if m else size
-        if end > at and stack[-1][1]:
-            stack[-1][0].kids.append(page[at:end])
+        top, kept = opened.stack[-1]
+        if end > at and kept:
+            top.kids.append(page[at:end])
         if not m:
             break
         at = m.end()
@@ -98,47 +163,53 @@ def parse(page: str) -> Node:
         else:
             slash, tag, attrs = m[2], m[3].lower(), m[4]
         if slash:
-            if tag == "p" and not any(e.tag == "p" for e, _ in stack):
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i][0].tag in BLOCK:  # an inline end tag doesn't close blocks
-                    break
+            opened.end(tag)
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             if not attrs.rstrip().endswith("/"):
+                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = close.end() if close else size
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0].tag in ("td", "th", "table", "button", "object"):
-                    break
-        if tag in IMPLIED_END:
-            ends, stops = IMPLIED_END[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0].tag in ends:
-                    del stack[i:]
-                    if tag != "tr":
-                        break
-                elif stack[i][0].tag in stops:
-                    break
-        top, kept = stack[-1]
+        opened.implied(tag)
+        top, kept = opened.stack[-1]
         node = Node(tag, top, n)
         n += 1
-        kept = kept and not boilerplate(tag, attrs, any(e.tag == "article" for e, _ in stack))
+        kept = kept and not boilerplate(tag, attrs, bool(opened.last(("article", "main"))))
         if kept:
+            node.doubt = doubt(tag, attrs)
             top.kids.append(node)
         if tag not in VOID:
-            stack.append((node, kept))
+            opened.push(node, kept)
+    settle(root)
     return root
 
 
+def settle(root: Node) -> None:
+    """Removes the doubtful subtrees that don't hold the page's text."""
+    nodes = walk(root)
+    if not any(e.doubt for e in nodes):
+        return
+    links, text, heads, mains, articles = {}, {}, {}, {}, {}
+    for e in nodes:
+        links[e.order] = e.tag == "a" or (e.parent is not None and links[e.parent.order])
+        text[e.order] = 0 if links[e.order] else sum(len(k.strip()) for k in e.kids if isinstance(k, str))
+        heads[e.order], mains[e.order], articles[e.order] = int(e.tag == "h1"), int(e.tag == "main"), int(e.tag in ("article", "main"))
+    for e in reversed(nodes):
+        if e.parent is not None:
+            for count in (text, heads, mains, articles):
+                count[e.parent.order] += count[e.order]
+
+    def holds_text(e: Node) -> bool:
+        """No article stands outside, and a good part of the text inside: over half, or over a quarter and all first-level headings."""
+        i, r = e.order, root.order
+        share = 4 if heads[i] and heads[i] == heads[r] else 2
+        return articles[i] == articles[r] and share * text[i] > text[r]
+
+    spared = {e.order for e in nodes if not e.doubt or mains[e.order] or (e.doubt == "name" and holds_text(e))}
+    for e in nodes:
+        e.kids = [k for k in e.kids if isinstance(k, str) or k.order in spared]
+
+
 def walk(root: Node) -> list[Node]:
     """Elements in page order, without recursion."""
     out, todo = [], [root]
@@ -158,27 +229,26 @@ def score(root: Node) -> list[Node]:
         e.chars = sum(map(len, own))
         e.link_chars = e.chars if links[e.order] else 0
         e.points = 0.0
-    paragraphs = {}
-    for e in nodes:  # the paragraph of a text is the nearest scored element
-        p = e
-        while p is not None and p.tag not in SCORED:
-            p = p.parent
+    near: dict[int, Node | None] = {}  # the paragraph of a text is the nearest scored element
+    paragraphs: dict[int, list] = {}
+    for e in nodes:
+        p = near[e.order] = e if e.tag in SCORED else near[e.parent.order] if e.parent is not None else None
         if p is not None and not links[e.order]:
             for k in e.kids:
                 if isinstance(k, str) and (s := k.strip()):
                     got = paragraphs.setdefault(p.order, [p, 0, 0])
                     got[1] += len(s)
                     got[2] += s.count(",")
+    for p, size, commas in paragraphs.values():
+        up = p.parent if p.tag in ("p", "pre", "li", "dd", "td", "blockquote") else p
+        if up is not None:
+            up.points += min(1.0, size / 25) + commas + min(size / 100, 3.0)
     for e in reversed(nodes):
         if e.parent is not None:
             e.parent.chars += e.chars
             e.parent.link_chars += e.link_chars
-    for p, size, commas in paragraphs.values():
-        points = min(1.0, size / 25) + commas + min(size / 100, 3.0)
-        up, share = (p.parent if p.tag in ("p", "pre", "li", "dd", "td", "blockquote") else p), 1.0
-        while up is not None and up.tag != "#root":
-            up.points += points * share
-            up, share = up.parent, share / 2
+            e.parent.points += e.points / 2
+    root.points = 0.0
     for e in nodes:
         e.points *= 1 - e.link_chars / max(e.chars, 1)
     return nodes
@@ -198,17 +268,24 @@ def chosen(root: Node) -> list[Node]:
             if up.tag == "article":
                 break
     if best.parent is None or best.parent.tag in ("#root", "html"):
-        return [best]
-    keep = []
-    for k in best.parent.kids:
-        if not isinstance(k, Node):
-            continue
-        density = k.link_chars / max(k.chars, 1)
-        if k is best or k.points >= max(10.0, 0.2 * best.points) or (k.tag == "p" and k.chars > 80 and density < 0.25):
-            keep.append(k)
+        keep = [best]
+    else:
+        keep = [k for k in best.parent.kids if isinstance(k, Node) and (k is best or beside(k, best))]
+    heads, inside = [e for e in nodes if e.tag == "h1" and e.chars], {e.order for k in keep for e in walk(k)}
+    if heads and not any(h.order in inside for h in heads):
+        title = [h for h in heads if h.order < best.order and 2 * h.link_chars < h.chars][-1:]
+        return title + keep
     return keep
 
 
+def beside(k: Node, best: Node) -> bool:
+    """Whether a sibling of the container belongs to the text."""
+    density = k.link_chars / max(k.chars, 1)
+    if k.points >= max(10.0, 0.2 * best.points) or (k.tag == "p" and k.chars > 80 and density < 0.25):
+        return True
+    return density < 0.25 and ((k.tag == best.tag == "section") or (k.tag in HEADINGS and best.parent.tag != "body"))
+
+
 def blocks(tops: list[Node]) -> list[str]:
     out: list[str] = []
     run: list[str] = []

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -63,6 +64,31 @@ def test_html_text():
                                "long enough to be kept as a sibling of it.</p></div>").count("\n") == 1
 
 
+def test_html_text_keeps_the_whole_article():
+    body = "Long text, with commas, here. " * 12
+    text = body.strip()
+    wrap = lambda x: f"<html><body><nav><a href=/>Home</a></nav>{x}<footer>end</footer></body></html>"
+    assert html_text.main_text(wrap(f'<div class="post has-social"><p>{body}</div>')) == text
+    assert html_text.main_text(wrap(f'<div class="social post"><p>{body}</div>')) == text
+    assert html_text.main_text(wrap(f"<div><h1>Title</h1><div><p>{body}</div></div>")) == "Title\n" + text
+    assert html_text.main_text(wrap(f"<div><div><h1>Title</h1></div><div><div><p>{body}</div></div></div>")) == "Title\n" + text
+    assert html_text.main_text(wrap(f"<main><header><h1>Title</h1></header><p>{body}</main>")) == "Title\n" + text
+    assert html_text.main_text(wrap(f"<div><section><p>{body}</section><section><p>Short end.</section></div>")) == text + "\nShort end."
+    readers = f'<div id="comments"><div><p>{body * 9}</div></div>'
+    assert html_text.main_text(wrap(f"<div><p>{body}</div>{readers}")) == text
+    assert html_text.main_text(wrap(f'<article><h1>T</h1><p>{body}</article><div class="promo"><p>{body * 9}</div>')) == "T\n" + text
+    assert html_text.main_text(wrap(f'<h1><a href="/">Site</a></h1><div><p>{body}</div>')) == text
+
+
+def test_html_text_of_deep_and_broken_markup_is_linear():
+    n = 30000
+    start = time.time()
+    assert html_text.main_text("<div>" * n + "<p>hello, world text</p>" + "</div>" * n) == "hello, world text"
+    for page in ("<div>x" * n, "<p><b>x" * n, "<i>" + "<b>" * n + "</u></i>" * n + "<p>x", "<ul><li>x" * n, "<table><tr><td>x" * n, "<svg/>x" * n):
+        assert html_text.main_text(page).count("x") == page.count("x")
+    assert time.time() - start < 60
+
+
 def test_extract_text_keeps_rows(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "<p>Hi</p>", "a"), (2, "<p>Hi</p>", "a")], "page_id long, html string, text string")
     got = html_text.extract_text(df).select("page_id", "extracted.*").collect()
