@@ -9,8 +9,8 @@ The texts' hashes first pass a Bloom filter of the items' hashes (``BLOOM_BITS``
 filter only lets more hits through to the join), so only hits are shuffled: each with its region, the words up to ``REACH`` before
 the first and after the last hit that lie close together.
 
-Nulls: null or empty texts hold no overlap; null item texts and items without a word are never found; null ids are kept. Repeated
-rows of a text are judged each; repeated items count once per id. Empty tables give no rows, or no overlap. Only the named
+Nulls: null or empty texts hold no overlap; null item texts and items without a word are never found. A text is known by a 64-bit digest, not
+by its id, so rows with null or repeated ids are judged each by their own text; repeated items count once per id. Empty tables give no rows, or no overlap. Only the named
 columns are read, so clashing names do not matter.
 """
 
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabml.llm import textnum as T
@@ -166,9 +166,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array([s[1] for s in spans], pa.int64())], ["row", "item", "start", "end"])
 
 
-def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text: str = "text") -> DataFrame:
-    """(row, item, start, end): words [start, end) of the text with this integer id overlap the item."""
+def text_digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def find_overlaps(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(row, item, start, end): words [start, end) of the texts with this ``text_digest`` overlap the item."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "decon")
     items = bench.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null").distinct()
@@ -180,7 +183,8 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
              .toPandas())  # at most 2**17 rows
     bloom = np.zeros(1 << (BLOOM_BITS - 6), dtype=np.uint64)
     bloom[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
-    rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text")).where("row is not null")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(text_digest(text).alias("row"), text.alias("text"))
     regions = scratch.table(rows.mapInArrow(_find(bloom, every), REGION))
     hits = regions.select("row", "region", F.explode("hits").alias("h")).select("row", "region", F.col("h.seed").alias("seed"), F.col("h.place").alias("p"))
     found = hits.join(seed, "seed").select("row", "region", "item", (F.col("p") - F.col("place")).alias("diagonal")).distinct()
@@ -188,8 +192,17 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     return full.select("row", "item", "start", "words", "diagonal", "item_words").mapInArrow(_verify, "row long, item long, start long, end long")
 
 
+def judged(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, contaminated, n_items, n_spans, items) per row of ``docs``, ``row`` being the whole row as a struct."""
+    found = find_overlaps(docs, bench, text_col).distinct().groupBy("row")
+    found = found.agg(F.count_distinct("item").alias("n_items"), F.count("*").alias("n_spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    found = Scratch(docs.sparkSession, "judged").table(found.withColumnRenamed("row", "digest"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_digest(F.col(f"`{text_col}`")).alias("digest"))
+    got = whole.join(found, "digest", "left")
+    return got.select("row", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
+                      F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+
+
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_items, n_spans, items) of the texts that overlap some item."""
-    got = find_overlaps(docs, bench, id_col, text_col).distinct().groupBy("row")
-    return got.agg(F.count_distinct("item").alias("n_items"), F.count("*").alias("n_spans"),
-                   F.array_sort(F.collect_set("item")).alias("items")).withColumnRenamed("row", id_col)
+    """(id, n_items, n_spans, items) of the rows whose text overlaps some item."""
+    return judged(docs, bench, text_col).where("contaminated").select(F.col("row")[id_col].alias(id_col), "n_items", "n_spans", "items")

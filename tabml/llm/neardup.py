@@ -18,8 +18,8 @@ components, ``BLOCK`` by ``BLOCK``, so that no link is lost. Links are confirmed
 A signature distance above ``LIMIT`` is taken as similarity below 0.8: for 50 symbols at 0.8 the chance of that is under 1e-6.
 
 Nulls: null, empty and wordless texts have an empty set, size 0, no link, and are their own component; a null id is an id of its
-own class but is not linked. Fewer words than ``k`` give the whole sequence as the one run. Repeated rows (same id and set) share a component. An
-empty table gives no rows. Only the two named columns are read, so clashing names do not matter.
+own class but is not linked. Fewer words than ``k`` give the whole sequence as the one run. Repeated rows (same id and set) share a component;
+different texts under one id are classes of their own (ids are integers below 2**62). An empty table gives no rows. Only the two named columns are read, so clashing names do not matter.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabml.llm import textnum as T
@@ -40,6 +40,7 @@ SYMBOLS = CHUNKS * WIDTH
 LIMIT = 25
 NEAREST = 3
 BLOCK = 256
+IDS_END = 1 << 62
 SIG_BLOCK = 2048
 _rng = np.random.RandomState(20240607)
 _MULT = (_rng.randint(0, 1 << 31, SYMBOLS).astype(np.uint64) << np.uint64(33)) | (_rng.randint(0, 1 << 31, SYMBOLS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -70,18 +71,23 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digests(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit digests of each row's set."""
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(h, s), dtype=np.uint64)]) for s in (11, 12)]
+    return [(s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums]
+
+
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, w in T.word_slices(b.column("text")):
                 h, bounds = distinct_runs(w, k)
                 n = np.diff(bounds)
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(h, s), dtype=np.uint64)]) for s in (11, 12)]
-                digest = [(s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums]
+                digest = _digests(h, bounds)
                 sig = signatures(h, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(lo, hi - lo), pa.array(n), pa.array(digest[0]), pa.array(digest[1]),
-                     pa.array([r.tobytes() for r in sig], pa.binary())], ["id", "n", "d1", "d2", "sig"])
+                    [b.column("id").slice(lo, hi - lo), b.column("digest").slice(lo, hi - lo), pa.array(n), pa.array(digest[0]), pa.array(digest[1]),
+                     pa.array([r.tobytes() for r in sig], pa.binary())], ["id", "digest", "n", "d1", "d2", "sig"])
     return run
 
 
@@ -104,14 +110,14 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(k: int):
-    """(id, runs) of texts, the runs as bytes of sorted 64-bit hashes."""
+    """(name, n, d1, d2, runs) of texts, the runs as bytes of sorted 64-bit hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, w in T.word_slices(b.column("text")):
                 h, bounds = distinct_runs(w, k)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(lo, hi - lo),
-                     pa.array([h[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())], ["id", "runs"])
+                    [b.column("id").slice(lo, hi - lo), pa.array(np.diff(bounds)), *map(pa.array, _digests(h, bounds)),
+                     pa.array([h[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())], ["name", "n", "d1", "d2", "runs"])
     return run
 
 
@@ -153,15 +159,30 @@ def _compare_block(percent: int):
     return run
 
 
+def text_digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, k: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id). Ids are integers."""
+    return grouped(docs, k, percent, id_col, text_col).drop("digest", "group_id")
+
+
+def grouped(docs: DataFrame, k: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_duplicates`` with ``digest`` (``text_digest``) and ``group_id``, a name of the component that no other has (null: linked with nothing)."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "neardup")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = scratch.table(rows.mapInArrow(_sketch(k), "id long, n long, d1 long, d2 long, sig binary"))
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), text_digest(text).alias("digest"))
+    sketch = scratch.table(rows.mapInArrow(_sketch(k), "id long, digest long, n long, d1 long, d2 long, sig binary"))
     linked = sketch.where("n > 0 and id is not null")
-    # classes: equal sets; sig is a function of the set
-    classes = scratch.table(linked.groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
+    # classes: equal sets; sig is a function of the set. A class is called by its smallest id, if no other class is
+    named = scratch.table(linked.groupBy("n", "d1", "d2").agg(F.min("id").alias("name"), F.first("sig").alias("sig")))
+    again = named.groupBy("name").agg(F.min(F.struct("n", "d1", "d2")).alias("own"), F.count("*").alias("c")).where("c > 1").select("name", "own")
+    past = F.lit(IDS_END) + F.xxhash64("n", "d1", "d2").bitwiseAND(F.lit((1 << 61) - 1))
+    called = F.when(F.col("own").isNull() | (F.col("own") == F.struct("n", "d1", "d2")), F.col("name")).otherwise(past)
+    classes = scratch.table(named.join(scratch.table(again), "name", "left").select("n", "d1", "d2", "name", called.alias("id"), "sig"))
+    scratch.drop(named)
     keys = classes.select("id", "sig").mapInArrow(_keys, "id long, key long")
     hubs = keys.groupBy("key").agg(F.min_by("id", F.xxhash64("key", "id")).alias("hub"), F.count("*").alias("c")).where("c > 1")
     hubs = scratch.table(hubs.select("key", "hub", "c"))  # a join of two exchanges: a hot key's classes can be split among tasks
@@ -181,9 +202,10 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, id_col: str = "d
         near = near.unionByName(more)
         family = components(scratch, parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
     # full sets of the classes in families only
-    wanted = family.select(F.col("id").alias("want")).hint("shuffle_hash")
-    sets = rows.join(wanted, F.col("id") == F.col("want"), "left_semi").mapInArrow(_sets(k), "id long, runs binary")
-    sets = scratch.table(sets.dropDuplicates(["id"]))
+    wanted = family.select("id").join(classes.select("id", "name", "n", "d1", "d2"), "id")
+    texts = rows.join(wanted.select(F.col("name").alias("want")).distinct().hint("shuffle_hash"), F.col("id") == F.col("want"), "left_semi")
+    sets = texts.mapInArrow(_sets(k), "name long, n long, d1 long, d2 long, runs binary").dropDuplicates(["name", "n", "d1", "d2"])
+    sets = scratch.table(sets.join(wanted, ["name", "n", "d1", "d2"]).select("id", "runs"))
     best = Window.partitionBy("a").orderBy("dist", "b")
     first = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= NEAREST).select("a", "b")
     first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -195,12 +217,15 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = 80, id_col: str = "d
     state = scratch.table(state.select("id", "family", F.coalesce("component", "id").alias("comp")))
     more = _separate_parts(scratch, state, sig, sets, percent)
     final = components(scratch, links.unionByName(more))
-    rep = classes.select("n", "d1", "d2", F.col("id").alias("rep")).join(final, F.col("rep") == F.col("id"), "left")
-    rep = rep.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    inside = linked.select("id", "n", "d1", "d2").join(rep, ["n", "d1", "d2"]).select("id", "n", "component_id")
-    alone = sketch.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    return inside.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
-                                            F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    rep = classes.select("n", "d1", "d2", "name", F.col("id").alias("rep")).join(final, F.col("rep") == F.col("id"), "left")
+    rep = scratch.table(rep.select("n", "d1", "d2", "name", F.coalesce("component", "rep").alias("group_id")))
+    lowest = rep.groupBy("group_id").agg(F.min("name").alias("component_id"))
+    rep = rep.join(lowest, "group_id").select("n", "d1", "d2", "group_id", "component_id")
+    inside = linked.select("id", "digest", "n", "d1", "d2").join(rep, ["n", "d1", "d2"]).select("id", "n", "component_id", "digest", "group_id")
+    alone = sketch.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"), "digest", F.lit(None).cast("long").alias("group_id"))
+    return inside.unionByName(alone).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
+        F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), "digest", "group_id")
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,11 +45,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    got = docs.select("doc_id").join(found, "doc_id", "left")
-    return got.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
-                      F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+    got = decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select("row.doc_id", "contaminated", "n_items", "n_spans", "items")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

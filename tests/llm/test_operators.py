@@ -148,6 +148,16 @@ def test_near_duplicates_edge_rows(spark):
     assert neardup.near_duplicates(make(spark, []), k=2).count() == 0
 
 
+def test_near_duplicates_of_texts_that_share_an_id(spark):
+    rng = random.Random(12)
+    a, b = prose(rng, 60), prose(rng, 60)
+    d = make(spark, [a, b, a, b + " more", b], ids=[1, 1, 2, 3, 4])
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(d, k=2).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False)]
+    groups = {(r.doc_id, r.digest): r.group_id for r in neardup.grouped(d, k=2).collect()}
+    assert len(groups) == 5 and len(set(groups.values())) == 2
+
+
 def test_near_duplicates_far_from_every_hub(spark, monkeypatch):
     """Under the keys that A and B share, unrelated classes are hubs: classes of one symbol run each, by set signatures."""
     import numpy as np
@@ -291,6 +301,15 @@ def test_decontamination(spark):
     assert decontaminate.contamination(make(spark, []), bench).count() == 0
 
 
+def test_decontamination_judges_texts_not_ids(spark):
+    rng = random.Random(13)
+    leak = prose(rng, 30)
+    bench = spark.createDataFrame([(7, leak)], "item_id long, text string")
+    d = make(spark, [prose(rng, 50), "x " + leak, "y " + leak, prose(rng, 50), None], ids=[1, 1, None, None, None]).withColumn("items", F.lit(1))
+    got = {r.row.text: (r.contaminated, r["items"]) for r in decontaminate.judged(d, bench).collect()}
+    assert len(got) == 5 and all(v == ((True, [7]) if leak in (t or "") else (False, [])) for t, v in got.items())
+
+
 def test_decontamination_masks_hit_every_accepted_pattern():
     from itertools import combinations
 
