@@ -4,10 +4,10 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
 
 * quality rules: documents that the rules reject go (null and short texts are rejected).
 * near-dedup: five-word shingles at a similarity of 0.8; the document with the smallest id of each group stays, rows
-  that repeat its id go; null ids and wordless texts are in no group and stay.
+  that repeat its id and text go (an unlike text under its id is judged by itself); null ids and wordless texts are in no group and stay.
 * substring dedup: later near-copies of passages of 50 words or more are cut out of the texts, the first stays; ``n_chars`` follows
   the text; no document goes.
-* decontamination: documents that overlap a benchmark item go; null ids stay.
+* decontamination: documents that overlap a benchmark item go, whatever their id.
 * mixing: every document with its size, its source's size and target, the words taken, and ``pieces``: the drawn parts of its text with
   their output shard, their place in it and the pass over the source. Rows with a null id take part like any other.
 """
@@ -29,14 +29,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdicts = Scratch(spark, "stage").table(neardup.near_duplicates(docs, k=5))
-    # one shuffle of the texts, at any size: the rejected ids grow with the corpus, so they aren't broadcast
-    kept = docs.join(verdicts.where("not kept").select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_anti")
-    again = verdicts.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not again.isEmpty():  # ids on several rows: one of each stays
-        once = kept.join(again, "doc_id", "left_anti")
-        kept = once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    verdicts = Scratch(spark, "stage").table(neardup.grouped(docs, k=5).where("group_id is not null").select("doc_id", "digest", "group_id"))
+    stays = verdicts.groupBy("group_id").agg(F.min(F.struct("doc_id", "digest")).alias("s")).select("s.*", F.lit(True).alias("stays"))
+    judged = verdicts.select("doc_id", "digest").distinct().join(stays, ["doc_id", "digest"], "left")
+    judged = judged.select(F.col("doc_id").alias("id"), "digest", F.coalesce("stays", F.lit(False)).alias("stays"))
+    again = verdicts.groupBy(F.col("doc_id").alias("id"), "digest").count().where("count > 1").drop("count")
+    judged = Scratch(spark, "stage").table(judged.join(again.withColumn("again", F.lit(True)), ["id", "digest"], "left"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), neardup.text_digest(F.col("text")).alias("digest"))
+    # one shuffle of the texts, at any size: the verdicts grow with the corpus, so they aren't broadcast
+    got = rows.join(judged.hint("merge"), ["id", "digest"], "left").where("stays is null or stays")
+    once = got.where("again").dropDuplicates(["id", "digest"])  # rows equal in id and text: one stays
+    return got.where("again is null").unionByName(once).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 @arrow_udf(StringType())
@@ -56,8 +59,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = Scratch(spark, "stage").table(decontaminate.contamination(docs, bench).select("doc_id"))
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    got = decontaminate.judged(docs, bench).where("not contaminated")
+    return got.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
