@@ -219,8 +219,9 @@ def grouped(docs: DataFrame, k: int, percent: int = 80, id_col: str = "doc_id",
     final = components(scratch, links.unionByName(more))
     rep = classes.select("n", "d1", "d2", "name", F.col("id").alias("rep")).join(final, F.col("rep") == F.col("id"), "left")
     rep = scratch.table(rep.select("n", "d1", "d2", "name", F.coalesce("component", "rep").alias("group_id")))
-    lowest = rep.groupBy("group_id").agg(F.min("name").alias("component_id"))
-    rep = rep.join(lowest, "group_id").select("n", "d1", "d2", "group_id", "component_id")
+    # a component's name is its smallest id, but where only a class called otherwise has that id
+    lowest = rep.groupBy("group_id").agg(F.min("name").alias("lowest")).where("lowest <> group_id")
+    rep = rep.join(scratch.table(lowest), "group_id", "left").select("n", "d1", "d2", "group_id", F.coalesce("lowest", "group_id").alias("component_id"))
     inside = linked.select("id", "digest", "n", "d1", "d2").join(rep, ["n", "d1", "d2"]).select("id", "n", "component_id", "digest", "group_id")
     alone = sketch.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"), "digest", F.lit(None).cast("long").alias("group_id"))
     return inside.unionByName(alone).select(
