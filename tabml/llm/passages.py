@@ -10,8 +10,11 @@ the passages of ``LENGTH`` tokens that start in a range of places; these ranges
 of two functions gives the places where both agree with any text that holds the same passage: every pair of functions, and all
 ``HASHES`` together, make a key with the common interval of their windows. Only windows whose min-hash another window has go into that join.
 
-Within a key no pairs are made: the text with the smallest id (then the first place in it) is the hub and the others meet it alone. As a key
+Within a key the text with the smallest id (then the first place in it) is the hub and the others meet it first. As a key
 holds two min-hashes of one passage, or all of them, passages made of frequent lines meet under the keys of their line sequence, not of one line.
+A hub may hold another passage than two texts that share one, so what of a key's windows is not cut after that goes a second, exact way: of a
+passage's ``LENGTH`` tokens at most ``SPARE`` may be missing in the other one, so that one holds at least one of the ``SPARE`` + 1 rarest.
+Passages with more than ``SPARE`` tokens that no window has twice end there; the others meet every window of an earlier place that has one of their rarest.
 What a text and a hub have in common is joined to stretches of overlapping intervals and verified on the words: a token is shared if the
 other passage has it, and a passage is a stretch of ``LENGTH`` tokens with at least ``SHARED_PCT`` percent shared (8/9 of two
 equally long sequences is a Jaccard similarity of 0.8). Touching stretches are one span. The first text keeps its passage,
@@ -41,6 +44,7 @@ WORDS = 50
 LENGTH = WORDS - RUN + 1
 HASHES = 4
 SHARED_PCT = 89
+SPARE = LENGTH - -(-SHARED_PCT * LENGTH // 100)
 REACH = (1 << 12) - 1
 HUB_STEP = 64
 IDS_END = 1 << 62
@@ -234,7 +238,7 @@ def _found(scratch: Scratch, rows: DataFrame, texts: DataFrame) -> DataFrame:
     joint = scratch.table(met.repartition("t").sortWithinPartitions("t").mapInArrow(_joint, "key long, t long, win long"))
     scratch.drop(windows, shared)
     hubs = joint.groupBy("key").agg(F.min(F.struct("t", "win")).alias("h"), F.count("*").alias("c")).where("c > 1")
-    hubs = scratch.table(hubs.select("key", F.col("h.t").alias("hub"), F.col("h.win").alias("hub_win")))
+    hubs = scratch.table(hubs.select("key", F.col("h.t").alias("hub"), F.col("h.win").alias("hub_win"), "c"))
 
     def left(c):
         return F.shiftright(c, 13)
@@ -254,17 +258,101 @@ def _found(scratch: Scratch, rows: DataFrame, texts: DataFrame) -> DataFrame:
     step = F.lit(HUB_STEP)
     pairs = scratch.table(pairs.select("t", "lo", "hi", "hub", (F.floor(F.col("hub_lo") / step) * step).alias("hub_lo"),
                                        (F.ceil((F.col("hub_hi") + 1) / step) * step).alias("hub_hi")))
+    # places that can still meet others than the hub: under a key of two windows both have met
+    crowded = joint.join(hubs.where("c > 2").select("key"), "key").select("t", left("win").alias("lo"), right("win").alias("hi")).distinct()
+    before = Window.partitionBy("t").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("t").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
+    crowded = crowded.withColumn("new", (F.col("lo") > F.coalesce(F.max("hi").over(before), F.lit(-1))).cast("int"))
+    crowded = scratch.table(crowded.withColumn("stretch", F.sum("new").over(upto)).groupBy("t", "stretch").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("stretch"))
     scratch.drop(joint, hubs)
+    found = scratch.table(_verified(scratch, rows, texts, pairs))
+    return found.unionByName(_verified(scratch, rows, texts, _others(scratch, rows, texts, crowded, found)))
+
+
+def _with_ranges(rows: DataFrame, texts: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(t, ranges, text) of the texts that have ranges (t, lo, hi)."""
+    need = ranges.groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")).join(texts.select("t", "d", F.col("id").alias("first")), "t")
+    return rows.join(need, (rows["d"] == need["d"]) & rows["id"].eqNullSafe(need["first"])).select("t", "ranges", "text")
+
+
+def _verified(scratch: Scratch, rows: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(t, start, end, hub) of the pairs (t, lo, hi, hub, hub_lo, hub_hi), by their words."""
     need = pairs.select("t", "lo", "hi").unionByName(pairs.select(F.col("hub").alias("t"), F.col("hub_lo").alias("lo"), F.col("hub_hi").alias("hi")))
-    need = need.groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")).join(texts.select("t", "d", F.col("id").alias("first")), "t")
-    parts = rows.join(need, (rows["d"] == need["d"]) & rows["id"].eqNullSafe(need["first"])).select("t", "ranges", "text")
-    parts = scratch.table(parts.mapInArrow(_slices, "t long, lo long, hi long, part string").dropDuplicates(["t", "lo", "hi"]))
+    parts = _with_ranges(rows, texts, need).mapInArrow(_slices, "t long, lo long, hi long, part string")
+    parts = scratch.table(parts.dropDuplicates(["t", "lo", "hi"]))
     hub_parts = parts.select(F.col("t").alias("hub"), F.col("lo").alias("hub_lo"), F.col("hi").alias("hub_hi"), F.col("part").alias("hub_part"))
     both = pairs.join(parts, ["t", "lo", "hi"]).join(hub_parts, ["hub", "hub_lo", "hub_hi"])
     return both.select(F.col("t").alias("id"), "lo", "part", "hub", "hub_lo", "hub_part").mapInArrow(
         _verify, "id long, start long, end long, source_id long").withColumnsRenamed({"id": "t", "source_id": "hub"})
 
 
+def rare_seeds(n: np.ndarray, skip: np.ndarray) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+    """Of a range whose tokens occur ``n`` times (0: nowhere else), the stretches [from, to) of passages that another place may
+    hold, and for each the places of their rarest tokens. ``skip``: starts of passages that are cut already."""
+    if len(n) < LENGTH:
+        return [], []
+    sums = np.concatenate([[0], np.cumsum(n == 0)])
+    good = np.flatnonzero((sums[LENGTH:] - sums[:-LENGTH] <= SPARE) & ~skip[: len(n) - LENGTH + 1])
+    if not len(good):
+        return [], []
+    cut = np.flatnonzero(np.diff(good) > LENGTH)
+    stretches, places = [], []
+    for x, y in zip(np.r_[0, cut + 1], np.r_[cut, len(good) - 1]):
+        at = good[x: y + 1]
+        rare = np.argpartition(np.lib.stride_tricks.sliding_window_view(n, LENGTH)[at], SPARE, axis=1)[:, : SPARE + 1] + at[:, None]
+        rare = np.unique(rare)
+        stretches.append((int(at[0]), int(at[-1]) + LENGTH))
+        places.append(rare[n[rare] > 0])
+    return stretches, places
+
+
+def _range_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for x, y, w in T.word_slices(b.column("text")):
+            s, bounds = tokens(w)
+            out = [(t, r["lo"], r["hi"], s[bounds[i] + r["lo"]: min(bounds[i] + r["hi"] + 1, bounds[i + 1])].view(np.int64))
+                   for i, (t, ranges) in enumerate(zip(b.column("t").slice(x, y - x).to_pylist(), b.column("ranges").slice(x, y - x).to_pylist())) for r in ranges]
+            ends = np.cumsum([0] + [len(o[3]) for o in out], dtype=np.int32)
+            flat = np.concatenate([o[3] for o in out]) if out else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)] + [
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["t", "lo", "hi", "toks"])
+
+
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for t, lo, hi, heard, spans in zip(*(b.column(c).to_pylist() for c in ("t", "lo", "hi", "heard", "spans"))):
+            n, toks = np.zeros(hi - lo + 1, np.int64), np.zeros(hi - lo + 1, np.int64)
+            for e in heard:
+                n[e["at"]], toks[e["at"]] = e["n"], e["tok"]
+            skip = np.zeros(len(n), bool)
+            for s in spans or ():
+                skip[max(0, s["start"] - lo): max(0, s["end"] - lo - LENGTH - RUN + 2)] = True
+            for (x, y), places in zip(*rare_seeds(n, skip)):
+                out += [(t, lo + x, lo + y - 1, k) for k in set(toks[places].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(4)], ["t", "lo", "hi", "tok"])
+
+
+def _others(scratch: Scratch, rows: DataFrame, texts: DataFrame, crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (t, lo, hi, hub, hub_lo, hub_hi) of what is not cut yet of the ranges ``crowded`` with every such range, of an earlier or the
+    same text, that has one of its rarest tokens."""
+    held = scratch.table(_with_ranges(rows, texts, crowded).mapInArrow(_range_tokens, "t long, lo long, hi long, toks array<bigint>")
+                         .dropDuplicates(["t", "lo", "hi"]))
+    heard = scratch.table(held.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).where("n > 1"))
+    cut = F.exists("spans", lambda s: (s["start"] <= F.col("lo")) & (s["end"] >= F.col("hi") + RUN))
+    spans = scratch.table(_merged(found))
+    whole = held.join(spans, "t", "left").where(~F.coalesce(cut, F.lit(False))).select("t", "lo", "hi", F.posexplode("toks").alias("at", "tok"))
+    whole = whole.join(heard, "tok").groupBy("t", "lo", "hi").agg(F.collect_list(F.struct("at", "tok", "n")).alias("heard"))
+    # a passage needs this many of its tokens elsewhere; ranges without are not looked at further
+    whole = whole.where(F.size("heard") >= LENGTH - SPARE).join(spans, "t", "left")
+    seeds = scratch.table(whole.mapInArrow(_seeds, "t long, lo long, hi long, tok long"))
+    wanted = seeds.select("tok").distinct()
+    there = held.select(F.col("t").alias("hub"), F.col("lo").alias("hub_lo"), F.col("hi").alias("hub_hi"), F.explode(F.array_distinct("toks")).alias("tok"))
+    there = there.join(wanted, "tok", "left_semi")
+    return scratch.table(seeds.join(there, "tok").where("hub <= t").drop("tok").distinct())
+
+
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 

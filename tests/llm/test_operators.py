@@ -488,3 +488,42 @@ def test_url_filter(spark):
         ("e.net", "/p/", None, "block"), ("www.e.net", "/p", None, "block"), ("e.net", "/q", None, "allow"), ("other.net", "//", None, "allow")]
     none = url_filter.filter_urls(pages, "url", listed.limit(0), "u", []).collect()
     assert {r.verdict for r in none} == {"allow"} and len(none) == len(urls)
+
+
+def test_passages_whose_hubs_hold_other_texts(spark, monkeypatch):
+    """Two texts share a passage; under every joint key a third, earlier one is the hub and holds something else."""
+    import numpy as np
+    import pyarrow as pa
+
+    def one_key(batches):
+        for b in batches:
+            t = np.asarray(b.column("t"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(t), np.int64)), pa.array(t), pa.array(np.full(len(t), 59, np.int64))], ["key", "t", "win"])
+
+    rng = random.Random(21)
+    line, p = prose(rng, 12), prose(rng, 64)
+    near = p.split()
+    near[30] = "zz"
+    texts = [f"{prose(rng, 30)} {line} {prose(rng, 30)}", p, " ".join(near), f"{prose(rng, 52)} {line}"]
+    shared = [f"{t} {line} {prose(rng, 60)} {line}" for t in texts]
+    monkeypatch.setattr(passages, "_joint", one_key)
+    got = passages.with_spans(make(spark, shared)).orderBy("row.doc_id").collect()
+    assert [len(g.spans) for g in got] == [0, 0, 1, 0]
+    assert got[2].source_ids == [1] and got[2].spans[0].start == 0 and got[2].spans[0].end >= 63
+
+
+def test_rare_seeds_hit_every_near_copy():
+    import numpy as np
+
+    rng = np.random.RandomState(3)
+    for _ in range(200):
+        n = rng.randint(1, 50, passages.LENGTH + 20)
+        missing = rng.choice(passages.LENGTH, passages.SPARE, replace=False) + 7
+        shared = np.zeros(len(n), bool)
+        shared[7: 7 + passages.LENGTH] = True
+        shared[missing] = False
+        n[missing[: rng.randint(0, passages.SPARE + 1)]] = 0
+        stretches, places = passages.rare_seeds(n, np.zeros(len(n), bool))
+        assert any(x <= 7 and y >= 7 + passages.LENGTH and shared[at].any() for (x, y), at in zip(stretches, places))
+        skip = np.ones(len(n), bool)
+        assert passages.rare_seeds(n, skip) == ([], [])
