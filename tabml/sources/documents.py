@@ -20,6 +20,7 @@ from pyspark.sql.types import (ArrayType, BooleanType, DataType, DoubleType, Lon
                                TimestampNTZType, TimestampType)
 
 from tabml import reports as R
+from tabml.session import scratch_path
 from tabml.sources import runstore as RS
 from tabml.spec import ProblemSpec
 
@@ -168,18 +169,40 @@ def write_documents(root: str, docs: DataFrame) -> None:
 
 # ---------------------------------------------------------------- leaves
 
+#: Lists of a document that grow with the run's log and its search. Their entries are taken apart one by one.
+LONG_LISTS = ("history", "trace", "tuning_result.search_history")
+
+
+def _list_type(kind: DataType, path: str) -> DataType | None:
+    for name in path.split("."):
+        if not isinstance(kind, StructType) or name not in kind.names:
+            return None
+        kind = kind[name].dataType
+    return kind if isinstance(kind, ArrayType) else None
+
+
 def leaves(docs: DataFrame, key: str = "run_id") -> DataFrame:
     """(key, path, text, number): every value inside the columns of ``docs``, one row each, by its path (``a.b[0].c``; map entries by
-    key). Booleans and numbers are in ``number``, other values in ``text``. A list or map that is present has a row ``path#`` with its length."""
+    key). Booleans and numbers are in ``number``, other values in ``text``. A list or map that is present has a row ``path#`` with its length.
+
+    A document's leaves are never one array: the entries of ``LONG_LISTS`` are rows of their own before they are walked. The documents are written once
+    for that, so they are put together once and each list is read alone."""
+    long = {p: kind for p in LONG_LISTS if (kind := _list_type(docs.schema, p)) is not None}
+    if long:
+        path = scratch_path(docs.sparkSession, "documents")
+        docs.write.parquet(path)
+        docs = docs.sparkSession.read.schema(docs.schema).parquet(path)
     empty = "array<struct<path:string,text:string,number:double>>"
 
     def one(path: Column, text: Column | None, number: Column | None) -> Column:
         return F.array(F.struct(path.alias("path"), (F.lit(None).cast("string") if text is None else text).alias("text"),
                                 (F.lit(None).cast("double") if number is None else number).alias("number")))
 
-    def walk(c: Column, kind: DataType, path: Column) -> Column:
+    def walk(c: Column, kind: DataType, path: Column, name: str = "") -> Column:
         if isinstance(kind, StructType):
-            got = F.concat(*[walk(c[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields])
+            got = F.concat(*[walk(c[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}")), name and f"{name}.{f.name}") for f in kind.fields])
+        elif name in long:
+            got = one(F.concat(path, F.lit("#")), None, F.size(c).cast("double"))
         elif isinstance(kind, ArrayType):
             inner = F.transform(c, lambda x, i: walk(x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
             got = F.concat(one(F.concat(path, F.lit("#")), None, F.size(c).cast("double")), F.flatten(inner))
@@ -194,8 +217,13 @@ def leaves(docs: DataFrame, key: str = "run_id") -> DataFrame:
             got = one(path, c.cast("string"), None)
         return F.when(c.isNotNull(), got).otherwise(F.array().cast(empty))
 
-    every = F.concat(*[walk(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name)) for f in docs.schema.fields if f.name != key])
-    return docs.select(F.col(key), F.explode(every).alias("leaf")).select(key, "leaf.*")
+    every = F.concat(*[walk(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name), f.name) for f in docs.schema.fields if f.name != key])
+    out = docs.select(F.col(key), F.explode(every).alias("leaf"))
+    for p, kind in long.items():
+        entries = docs.select(F.col(key), F.posexplode(p).alias("__at", "__x"))
+        entry = walk(F.col("__x"), kind.elementType, F.concat(F.lit(f"{p}["), F.col("__at").cast("string"), F.lit("]")))
+        out = out.unionByName(entries.select(F.col(key), F.explode(entry).alias("leaf")))
+    return out.select(key, "leaf.*")
 
 
 # ---------------------------------------------------------------- relational tables
