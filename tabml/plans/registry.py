@@ -996,6 +996,15 @@ from tabml.sources import documents as DOC  # noqa: E402
 from tabml.sources import runstore as RS  # noqa: E402
 
 
+def _by_run(base: DataFrame, *parts: DataFrame) -> DataFrame:
+    """Left joins of ``base`` (one row a run) with parts (one row a run) on run_id, as one grouping: a chain of joins would hold two sort
+    buffers for every part in each task."""
+    every = base.withColumn("__here", F.lit(True))
+    for p in parts:
+        every = every.unionByName(p.where("run_id is not null"), allowMissingColumns=True)
+    return every.groupBy("run_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in every.columns if c != "run_id"]).where("__here").drop("__here")
+
+
 def _store_frames(spark, sf):
     """The derived runs in the store schemas; trials go to their own flat table (never an array per run)."""
     r = _runs_ext(spark, sf)
@@ -1023,14 +1032,16 @@ def _store_frames(spark, sf):
         F.col("metric_value"), F.col("metric_threshold"), F.col("pass_fail"), F.col("matrix"), F.col("residual"), failure,
         F.when(F.col("pass_fail") == "pass", F.concat(F.lit("models/"), F.col("run_id")))))
 
+    types = RV.types(spark, sf).checkpoint()   # read by every section
+
     def parts(head: str, *lists: str) -> DataFrame:
-        out = RV.section(spark, sf, head)
+        found = []
         for name in lists:
-            rows = RV.section(spark, sf, name)
+            rows = RV.section(types, name)
             entry = F.struct("ord", F.col("v").alias("x") if "v" in rows.columns else
                              F.struct(*[c for c in rows.columns if c not in ("run_id", "ord")]).alias("x"))
-            out = out.join(rows.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["x"]).alias(name)), "run_id", "left")
-        return out
+            found.append(rows.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["x"]).alias(name)))
+        return _by_run(RV.section(types, head), *found)
 
     pf = parts("profile", "column_schema", "class_balance", "outlier_flags", "cleaning_actions_taken", "warnings")
     some = lambda c: F.coalesce(c, F.array())
@@ -1042,8 +1053,7 @@ def _store_frames(spark, sf):
     spec = F.struct("task_type", F.lit("target").alias("target_column"), "success_metric", "metric_threshold",
                     "data_source", F.lit(None).cast("int"), "max_tuning_trials", F.lit(False), "max_loop_backs",
                     F.lit(None).cast("string"))
-    runs = (r.join(conv, "run_id", "left").join(best.select("run_id"), "run_id", "left").join(hist, "run_id", "left")
-            .join(matrix, "run_id", "left").join(residual, "run_id", "left").join(pf, "run_id", "left").join(ed, "run_id", "left")
+    runs = (_by_run(r, conv, best.select("run_id"), hist, matrix, residual, pf, ed)
             .select("run_id", "status", "loop_count", F.col("created_at").cast("timestamp"),
                     F.col("updated_at").cast("timestamp"), spec.cast(RS.SPEC_T).alias("spec"), "data_profile", "eda_report",
                     tuning.cast(RS.TUNING_T).alias("tuning_result"), evaluation.cast(RS.EVAL_T).alias("evaluation_report")))

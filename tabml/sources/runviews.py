@@ -103,8 +103,13 @@ RESIDUAL_SQL = """SELECT concat('run-', CAST(user_id AS STRING)) AS run_id, roun
 FROM {events} WHERE user_id % 2 = 1 GROUP BY user_id"""
 
 
-def section(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.sql(f"WITH ty AS ({_TYPES}) {SECTION_SQL[name]}", events=table(spark, sf, "events"))
+def types(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per (run, event type): what the sections are made of."""
+    return spark.sql(_TYPES, events=table(spark, sf, "events"))
+
+
+def section(types: DataFrame, name: str) -> DataFrame:
+    return types.sparkSession.sql(f"WITH ty AS (SELECT * FROM {{types}}) {SECTION_SQL[name]}", types=types)
 
 
 def spark_form(sql: str) -> str:
