@@ -160,3 +160,39 @@ def test_a_write_opens_none_of_the_stored_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(RS, "_raw", lambda *a: (_ for _ in ()).throw(AssertionError("stored rows were opened")))
     RS.write_history(root, h)
     assert len(RS._versions(spark, root)) == 2
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_lists_are_rows_before_they_are_walked(spark):
+    kind = "run_id string, status string, history array<struct<timestamp:string,stage:string,event:string>>, tuning_result struct<converged:boolean,search_history:array<struct<trial_number:int,params:map<string,string>>>>"
+    docs = spark.createDataFrame([("a", "done", [("t", "s", None)], (True, [(0, {"x": "1"}), (1, {})])), ("b", None, [], None), ("c", "new", None, (None, None))], kind)
+    got = DOC.leaves(docs)
+    assert _plan(got).count("posexplode") == 2
+    assert sorted((r.run_id, r.path, r.text, r.number) for r in got.collect()) == sorted([
+        ("a", "status", "done", None), ("a", "history#", None, 1.0), ("a", "history[0].timestamp", "t", None), ("a", "history[0].stage", "s", None),
+        ("a", "tuning_result.converged", None, 1.0), ("a", "tuning_result.search_history#", None, 2.0), ("a", "tuning_result.search_history[0].trial_number", None, 0.0),
+        ("a", "tuning_result.search_history[0].params#", None, 1.0), ("a", "tuning_result.search_history[0].params.x", "1", None),
+        ("a", "tuning_result.search_history[1].trial_number", None, 1.0), ("a", "tuning_result.search_history[1].params#", None, 0.0),
+        ("b", "history#", None, 0.0), ("c", "status", "new", None)])
+
+
+def test_parts_of_a_run_are_grouped_not_joined(spark):
+    from tabml.plans.registry import _by_run
+
+    base = spark.createDataFrame([("a", 1), ("b", None), (None, 3)], "run_id string, x int")
+    p = spark.createDataFrame([("a", [1, 2]), ("z", [3]), (None, [4])], "run_id string, p array<int>")
+    q = spark.createDataFrame([("b", {"k": 1.0})], "run_id string, q map<string,double>")
+    got = _by_run(base, p, q)
+    assert "Join" not in _plan(got)
+    want = base.join(p, "run_id", "left").join(q, "run_id", "left")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_sections_read_the_types_once(spark, sf):
+    from tabml.sources import runviews as RV
+
+    types = RV.types(spark, sf).checkpoint()
+    assert "parquet" not in _plan(RV.section(types, "column_schema")).lower() and RV.section(types, "column_schema").count() > 0
