@@ -14,7 +14,9 @@ Within a key the text with the smallest id (then the first place in it) is the h
 holds two min-hashes of one passage, or all of them, passages made of frequent lines meet under the keys of their line sequence, not of one line.
 A hub may hold another passage than two texts that share one, so what of a key's windows is not cut after that goes a second, exact way: of a
 passage's ``LENGTH`` tokens at most ``SPARE`` may be missing in the other one, so that one holds at least one of the ``SPARE`` + 1 rarest.
-Passages with more than ``SPARE`` tokens that no window has twice end there; the others meet every window of an earlier place that has one of their rarest.
+Passages with more than ``SPARE`` tokens that have no earlier place end there. The earlier side is what is heard up to ``AROUND`` places off a token of a
+passage that has at most ``SPARE`` tokens of its own; of equal surroundings the first place speaks for all. Passages meet the first place of each of their
+rarest tokens, and those still uncut then every other one: linear in the copies, still in pairs where unlike passages share all their frequent tokens.
 What a text and a hub have in common is joined to stretches of overlapping intervals and verified on the words: a token is shared if the
 other passage has it, and a passage is a stretch of ``LENGTH`` tokens with at least ``SHARED_PCT`` percent shared (8/9 of two
 equally long sequences is a Jaccard similarity of 0.8). Touching stretches are one span. The first text keeps its passage,
@@ -47,6 +49,10 @@ SHARED_PCT = 89
 SPARE = LENGTH - -(-SHARED_PCT * LENGTH // 100)
 REACH = (1 << 12) - 1
 HUB_STEP = 64
+OFTEN = 1 << 12
+AROUND = LENGTH + SPARE
+FACTOR = 6364136223846793005
+INVERSE = pow(FACTOR, -1, 1 << 64)
 IDS_END = 1 << 62
 
 
@@ -229,14 +235,34 @@ def _texts(scratch: Scratch, rows: DataFrame) -> DataFrame:
     return scratch.table(texts.join(own, "id", "left").select(F.when(F.col("own") == F.col("d"), F.col("id")).otherwise(past).alias("t"), "d", "id", "n_rows"))
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, d, win): each once, and only those whose key has another one. A key may span batches."""
+    last, out = None, False  # the last row, held until the next one is known; whether it is out already
+    for b in batches:
+        key, d, win = (np.asarray(b.column(c)) for c in ("key", "d", "win"))
+        if last is not None:
+            key, d, win = (np.r_[x, y] for x, y in zip(last, (key, d, win)))
+        if not len(key):
+            continue
+        new = np.r_[True, (key[1:] != key[:-1]) | (d[1:] != d[:-1]) | (win[1:] != win[:-1])]
+        key, d, win = key[new], d[new], win[new]
+        same = key[1:] == key[:-1]
+        keep = np.r_[False, same] | np.r_[same, False]
+        if last is not None and out:
+            keep[0] = False
+        out = bool(keep[-1]) or (len(key) == 1 and out)
+        last = key[-1:], d[-1:], win[-1:]
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, d, win)], ["key", "d", "win"])
+
+
 def _found(scratch: Scratch, rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(t, start, end, hub): words [start, end) of the text t near-duplicate a passage of the text hub, which comes first."""
-    windows = scratch.table(rows.mapInArrow(_windows, "key long, d long, win long").distinct())
-    # tables, so that the joins below are of two exchanges: a hot key's windows can be split among tasks
-    shared = scratch.table(windows.groupBy("key").count().where("count > 1").select("key"))
-    met = windows.join(shared, "key").join(texts.select("t", "d"), "d").select("t", "key", "win")
+    # one exchange of the windows: copies of a row and keys that no other window has end in it
+    windows = rows.mapInArrow(_windows, "key long, d long, win long").repartition("key").sortWithinPartitions("key", "d", "win")
+    shared = scratch.table(windows.mapInArrow(_shared, "key long, d long, win long"))
+    met = shared.join(texts.select("t", "d"), "d").select("t", "key", "win")
     joint = scratch.table(met.repartition("t").sortWithinPartitions("t").mapInArrow(_joint, "key long, t long, win long"))
-    scratch.drop(windows, shared)
+    scratch.drop(shared)
     hubs = joint.groupBy("key").agg(F.min(F.struct("t", "win")).alias("h"), F.count("*").alias("c")).where("c > 1")
     hubs = scratch.table(hubs.select("key", F.col("h.t").alias("hub"), F.col("h.win").alias("hub_win"), "c"))
 
@@ -267,7 +293,7 @@ def _found(scratch: Scratch, rows: DataFrame, texts: DataFrame) -> DataFrame:
         F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("stretch"))
     scratch.drop(joint, hubs)
     found = scratch.table(_verified(scratch, rows, texts, pairs))
-    return found.unionByName(_verified(scratch, rows, texts, _others(scratch, rows, texts, crowded, found)))
+    return _others(scratch, rows, texts, crowded, found)
 
 
 def _with_ranges(rows: DataFrame, texts: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -290,67 +316,202 @@ def _verified(scratch: Scratch, rows: DataFrame, texts: DataFrame, pairs: DataFr
 def rare_seeds(n: np.ndarray, skip: np.ndarray) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
     """Of a range whose tokens occur ``n`` times (0: nowhere else), the stretches [from, to) of passages that another place may
     hold, and for each the places of their rarest tokens. ``skip``: starts of passages that are cut already."""
+    got = [(x, y, at[n[at] > 0]) for x, y, at, _, _ in _rarest(n, skip)]
+    return [(x, y) for x, y, _ in got], [at for _, _, at in got]
+
+
+def _starts(heard: np.ndarray) -> np.ndarray:
+    """Starts of passages with at most SPARE tokens that are not heard."""
+    sums = np.concatenate([[0], np.cumsum(~heard)])
+    return sums[LENGTH:] - sums[:-LENGTH] <= SPARE
+
+
+def _rarest(n: np.ndarray, skip: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(from, to, places of the rarest tokens, the first start of a passage that counts on each place, all of them as bits from it) of each stretch."""
     if len(n) < LENGTH:
-        return [], []
-    sums = np.concatenate([[0], np.cumsum(n == 0)])
-    good = np.flatnonzero((sums[LENGTH:] - sums[:-LENGTH] <= SPARE) & ~skip[: len(n) - LENGTH + 1])
-    if not len(good):
-        return [], []
-    cut = np.flatnonzero(np.diff(good) > LENGTH)
-    stretches, places = [], []
-    for x, y in zip(np.r_[0, cut + 1], np.r_[cut, len(good) - 1]):
-        at = good[x: y + 1]
+        return []
+    good = np.flatnonzero(_starts(n > 0) & ~skip[: len(n) - LENGTH + 1])
+    out = []
+    for at in np.split(good, np.flatnonzero(np.diff(good) > LENGTH) + 1) if len(good) else []:
         rare = np.argpartition(np.lib.stride_tricks.sliding_window_view(n, LENGTH)[at], SPARE, axis=1)[:, : SPARE + 1] + at[:, None]
-        rare = np.unique(rare)
-        stretches.append((int(at[0]), int(at[-1]) + LENGTH))
-        places.append(rare[n[rare] > 0])
-    return stretches, places
+        places, which = np.unique(rare, return_inverse=True)
+        first, bits = np.full(len(places), len(n)), np.zeros(len(places), np.int64)
+        which, start = which.ravel(), np.repeat(at, SPARE + 1)
+        np.minimum.at(first, which, start)
+        np.bitwise_or.at(bits, which, np.int64(1) << (start - first[which]))
+        out.append((int(at[0]), int(at[-1]) + LENGTH, places, first, bits))
+    return out
 
 
 def _range_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tok, t, p, lo, hi): the token at each place p of a text's ranges."""
     for b in batches:
         for x, y, w in T.word_slices(b.column("text")):
             s, bounds = tokens(w)
-            out = [(t, r["lo"], r["hi"], s[bounds[i] + r["lo"]: min(bounds[i] + r["hi"] + 1, bounds[i + 1])].view(np.int64))
-                   for i, (t, ranges) in enumerate(zip(b.column("t").slice(x, y - x).to_pylist(), b.column("ranges").slice(x, y - x).to_pylist())) for r in ranges]
-            ends = np.cumsum([0] + [len(o[3]) for o in out], dtype=np.int32)
-            flat = np.concatenate([o[3] for o in out]) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)] + [
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["t", "lo", "hi", "toks"])
+            s = s.view(np.int64)
+            for i, (t, ranges) in enumerate(zip(b.column("t").slice(x, y - x).to_pylist(), b.column("ranges").slice(x, y - x).to_pylist())):
+                for r in ranges:
+                    got = s[bounds[i] + r["lo"]: min(bounds[i] + r["hi"] + 1, bounds[i + 1])]
+                    p = np.arange(len(got)) + r["lo"]
+                    cols = [got, np.full(len(got), t), p, np.full(len(got), r["lo"]), np.full(len(got), r["hi"])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["tok", "t", "p", "lo", "hi"])
+
 
+def _heard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (tok, t, p), those whose token has another place: with n, their number up to OFTEN, negative at the first place.
+    A token may span batches; no more than OFTEN of its rows are held."""
+    names = ["tok", "t", "p", "lo", "hi"]
+    held, over = [np.zeros(0, np.int64)] * 5, False  # the last token's rows; over: OFTEN of them and more are out
+
+    def emit(cols, n, first):
+        keep = n > 1
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols] + [pa.array(np.where(first, -n, n)[keep])], [*names, "n"])
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        new = [np.asarray(b.column(c)) for c in names]
+        if not len(new[0]):
+            continue
+        if over:  # the token that is out already goes on
+            m = int(np.searchsorted(new[0], over_tok, side="right"))
+            if m:
+                yield emit([c[:m] for c in new], np.full(m, OFTEN), np.zeros(m, bool))
+            new = [c[m:] for c in new]
+            over = not len(new[0])
+        held = [np.r_[h, c] for h, c in zip(held, new)]
+        if not len(held[0]):
+            continue
+        done = int(np.searchsorted(held[0], held[0][-1]))
+        if len(held[0]) - done >= OFTEN:
+            over, over_tok, done = True, held[0][-1], len(held[0])
+        if done:
+            at = np.flatnonzero(np.r_[True, held[0][1:done] != held[0][: done - 1]])
+            n = np.minimum(np.diff(np.r_[at, done]), OFTEN)
+            first = np.zeros(done, bool)
+            first[at] = True
+            yield emit([h[:done] for h in held], np.repeat(n, np.diff(np.r_[at, done])), first)
+            held = [h[done:] for h in held]
+    if len(held[0]):
+        yield emit(held, np.full(len(held[0]), len(held[0])), np.arange(len(held[0])) == 0)
+
+
+def _around(kind: np.ndarray, heard: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash, for each of the heard places ``at``, of the heard tokens up to AROUND places off, in order; one that repeats at once counts once."""
+    place = np.flatnonzero(heard)
+    kinds = kind[place]
+    new = np.r_[True, kinds[1:] != kinds[:-1]][: len(kinds)]
+    run = np.cumsum(new) - 1
+    up, down = (np.cumprod(np.r_[np.uint64(1), np.full(int(new.sum()), f, np.uint64)]) for f in (FACTOR, INVERSE))
+    sums = np.r_[np.uint64(0), np.cumsum(T.mix(kinds[new].view(np.uint64), 701) * up[:-1])]
+    x = run[np.searchsorted(place, at - AROUND)]
+    y = run[np.searchsorted(place, at + AROUND, side="right") - 1] + 1
+    return (sums[y] - sums[x]) * down[x]
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (t, lo, p, hi, tok, n) sorted by (t, lo, p), a text's cut spans first (lo -1, from p to hi): (tok, t, lo, hi, u, v), the rarest tokens
+    of the passages of what is not cut of the stretch [lo, hi], with their starts as bits v from u, and with u -1 the tokens of all passages that another text may hold,
+    with [lo, hi] around them and v for what is heard there."""
+    names = ["t", "lo", "p", "hi", "tok", "n"]
+    held = [np.zeros(0, np.int64)] * 6
+
+    def text(t, lo, p, hi, tok, n, out):
+        spans = np.flatnonzero(lo == -1)
+        begin = np.flatnonzero(np.r_[True, lo[1:] != lo[:-1]])
+        for x, y in zip(begin, np.r_[begin[1:], len(lo)]):
+            if lo[x] == -1 or y - x < LENGTH - SPARE:
+                continue
+            count, kind = np.zeros(hi[x] - lo[x] + 1, np.int64), np.zeros(hi[x] - lo[x] + 1, np.int64)
+            count[p[x:y] - lo[x]], kind[p[x:y] - lo[x]] = n[x:y], tok[x:y]
+            if len(count) < LENGTH:
+                continue
+            # as the earlier side: the tokens of every passage that can be another's, each with what is heard around it
+            inside = np.zeros(len(count) + 1, np.int64)
+            good = np.flatnonzero(_starts(count != 0))
+            np.add.at(inside, good, 1)
+            np.add.at(inside, good + LENGTH, -1)
+            at = np.flatnonzero((np.cumsum(inside[:-1]) > 0) & (count != 0))
+            around = _around(kind, count != 0, at)
+            _, one = np.unique(T.mix(kind[at].view(np.uint64) ^ around, 700), return_index=True)
+            at, around = at[one] + lo[x], around[one].view(np.int64)
+            out.append((kind[at - lo[x]], np.full(len(at), t), np.maximum(at - AROUND, 0), at + AROUND, np.full(len(at), -1), around))
+            # as the later side
+            skip = np.zeros(len(count), bool)
+            for i in spans:
+                skip[max(0, p[i] - lo[x]): max(0, hi[i] - lo[x] - LENGTH - RUN + 2)] = True
+            for a, b, places, u, v in _rarest(np.maximum(count, 0), skip):
+                heard = count[places] > 0
+                places, u, v = places[heard], u[heard] + lo[x], v[heard]
+                out.append((kind[places], np.full(len(places), t), np.full(len(places), lo[x] + a), np.full(len(places), lo[x] + b - 1), u, v))
+
+    def emit(cols):
         out = []
-        for t, lo, hi, heard, spans in zip(*(b.column(c).to_pylist() for c in ("t", "lo", "hi", "heard", "spans"))):
-            n, toks = np.zeros(hi - lo + 1, np.int64), np.zeros(hi - lo + 1, np.int64)
-            for e in heard:
-                n[e["at"]], toks[e["at"]] = e["n"], e["tok"]
-            skip = np.zeros(len(n), bool)
-            for s in spans or ():
-                skip[max(0, s["start"] - lo): max(0, s["end"] - lo - LENGTH - RUN + 2)] = True
-            for (x, y), places in zip(*rare_seeds(n, skip)):
-                out += [(t, lo + x, lo + y - 1, k) for k in set(toks[places].tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(4)], ["t", "lo", "hi", "tok"])
+        begin = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+        for x, y in zip(begin, np.r_[begin[1:], len(cols[0])]):
+            text(cols[0][x], *(c[x:y] for c in cols[1:]), out)
+        flat = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in flat], ["tok", "t", "lo", "hi", "u", "v"])
+
+    parts = []
+    for b in batches:
+        cols = [np.asarray(b.column(c)) for c in names]
+        if not len(cols[0]):
+            continue
+        done = int(np.searchsorted(cols[0], cols[0][-1]))
+        if parts and (done or parts[0][0][0] != cols[0][0]):
+            yield emit([np.concatenate(c) for c in zip(*parts, [c[:done] for c in cols])])
+            parts = []
+        elif done:
+            yield emit([c[:done] for c in cols])
+        parts.append([c[done:] for c in cols])
+    if parts:
+        yield emit([np.concatenate(c) for c in zip(*parts)])
+
+
+def _uncut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_marks`` with a passage that the text's ``spans`` do not cover."""
+    bit = np.arange(LENGTH)
+    for b in batches:
+        spans, u, v = b.column("spans"), np.asarray(b.column("u")), np.asarray(b.column("v"))
+        ends, flat = np.asarray(spans.offsets), spans.values
+        begin, stop = np.asarray(flat.field("start")), np.asarray(flat.field("end"))
+        keep = np.ones(len(u), bool)
+        for i in np.flatnonzero(np.diff(ends)):
+            start = u[i] + bit[(v[i] >> bit) & 1 == 1]
+            own = slice(ends[i], ends[i + 1])
+            at = np.searchsorted(begin[own], start, side="right") - 1
+            keep[i] = bool(((at < 0) | (stop[own][at] < start + LENGTH + RUN - 1)).any())
+        yield b.select(["tok", "t", "lo", "hi"]).filter(pa.array(keep))
 
 
 def _others(scratch: Scratch, rows: DataFrame, texts: DataFrame, crowded: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (t, lo, hi, hub, hub_lo, hub_hi) of what is not cut yet of the ranges ``crowded`` with every such range, of an earlier or the
-    same text, that has one of its rarest tokens."""
-    held = scratch.table(_with_ranges(rows, texts, crowded).mapInArrow(_range_tokens, "t long, lo long, hi long, toks array<bigint>")
-                         .dropDuplicates(["t", "lo", "hi"]))
-    heard = scratch.table(held.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).where("n > 1"))
-    cut = F.exists("spans", lambda s: (s["start"] <= F.col("lo")) & (s["end"] >= F.col("hi") + RUN))
+    """``found`` and what else of the ranges ``crowded`` repeats a passage of such a range of an earlier or the same text, that has one
+    of its rarest tokens."""
     spans = scratch.table(_merged(found))
-    whole = held.join(spans, "t", "left").where(~F.coalesce(cut, F.lit(False))).select("t", "lo", "hi", F.posexplode("toks").alias("at", "tok"))
-    whole = whole.join(heard, "tok").groupBy("t", "lo", "hi").agg(F.collect_list(F.struct("at", "tok", "n")).alias("heard"))
-    # a passage needs this many of its tokens elsewhere; ranges without are not looked at further
-    whole = whole.where(F.size("heard") >= LENGTH - SPARE).join(spans, "t", "left")
-    seeds = scratch.table(whole.mapInArrow(_seeds, "t long, lo long, hi long, tok long"))
-    wanted = seeds.select("tok").distinct()
-    there = held.select(F.col("t").alias("hub"), F.col("lo").alias("hub_lo"), F.col("hi").alias("hub_hi"), F.explode(F.array_distinct("toks")).alias("tok"))
-    there = there.join(wanted, "tok", "left_semi")
-    return scratch.table(seeds.join(there, "tok").where("hub <= t").drop("tok").distinct())
+    toks = _with_ranges(rows, texts, crowded).mapInArrow(_range_tokens, "tok long, t long, p long, lo long, hi long")
+    heard = toks.repartition("tok").sortWithinPartitions("tok", "t", "p").mapInArrow(_heard, "tok long, t long, p long, lo long, hi long, n long")
+    zero = F.lit(0).cast("long")
+    known = spans.select("t", F.explode("spans").alias("s")).select(
+        zero.alias("tok"), "t", F.col("s.start").alias("p"), F.lit(-1).cast("long").alias("lo"), F.col("s.end").alias("hi"), zero.alias("n"))
+    both = heard.unionByName(known).repartition("t").sortWithinPartitions("t", "lo", "p")
+    marks = scratch.table(both.mapInArrow(_marks, "tok long, t long, lo long, hi long, u long, v long"))
+    seeds = scratch.table(marks.where("u >= 0").distinct())
+    there = marks.where("u < 0").select("tok", F.col("t").alias("hub"), F.col("lo").alias("hub_lo"), F.col("hi").alias("hub_hi"), F.col("v").alias("around"))
+    there = scratch.table(there.join(seeds.select("tok").distinct(), "tok", "left_semi"))
+    scratch.drop(marks)
+    # tokens are shared or not by what is heard around them, so of equal surroundings the first place speaks for the later ones
+    own = seeds.join(there.withColumn("t", F.col("hub")), ["tok", "t"]).where("hub_lo < hi")
+    place = F.struct("hub", "hub_lo", "hub_hi")
+    kinds = there.groupBy("tok", "around").agg(F.min(place).alias("h")).select("tok", "h.*")
+    kinds = scratch.table(kinds.select("tok", "hub", (F.floor(F.col("hub_lo") / HUB_STEP) * HUB_STEP).alias("hub_lo"),
+                                       (F.ceil((F.col("hub_hi") + 1) / HUB_STEP) * HUB_STEP).alias("hub_hi")).distinct())
+    first = kinds.groupBy("tok").agg(F.min(place).alias("h")).select("tok", "h.*")
+    cols = ["t", "lo", "hi", "hub", "hub_lo", "hub_hi"]
+    pairs = scratch.table(seeds.join(first, "tok").where("hub < t").select(cols).unionByName(own.select(cols)).distinct())
+    found = scratch.table(found.unionByName(_verified(scratch, rows, texts, pairs)))
+    # then, for what that leaves uncut, every other one
+    left = seeds.join(_merged(found), "t", "left").mapInArrow(_uncut, "tok long, t long, lo long, hi long")
+    more = left.join(kinds, "tok").where("hub < t").select(cols).distinct().join(pairs, cols, "left_anti")
+    return found.unionByName(_verified(scratch, rows, texts, scratch.table(more)))
 
 
 SPANS = "array<struct<start:bigint,end:bigint>>"

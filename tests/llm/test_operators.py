@@ -527,3 +527,53 @@ def test_rare_seeds_hit_every_near_copy():
         assert any(x <= 7 and y >= 7 + passages.LENGTH and shared[at].any() for (x, y), at in zip(stretches, places))
         skip = np.ones(len(n), bool)
         assert passages.rare_seeds(n, skip) == ([], [])
+
+
+def line_behind_runs(n):
+    """``n`` texts: a run of one word, which one other text has too, before a line that all have."""
+    rng = random.Random(5)
+    line = prose(rng, 20)
+    return [f"{' '.join([f'run{i // 2}'] * 34)} {line} {prose(rng, 40)}" for i in range(n)]
+
+
+def test_passages_behind_a_frequent_line_meet_in_proportion(spark, monkeypatch):
+    """Texts that only share a frequent line are not met one by one, and what they share besides is still found."""
+    met, verified = [], passages._verified
+
+    def counted(scratch, rows, texts, pairs):
+        met.append(pairs.count())
+        return verified(scratch, rows, texts, pairs)
+
+    monkeypatch.setattr(passages, "_verified", counted)
+    sums = []
+    for n in (24, 72):
+        met.clear()
+        got = passages.with_spans(make(spark, line_behind_runs(n))).orderBy("row.doc_id").collect()
+        assert all(bool(g.spans) == (i % 2 == 1) for i, g in enumerate(got))
+        assert all(g.spans[0].start == 0 and g.spans[0].end >= 50 and g.source_ids[0] <= i for i, g in enumerate(got) if i % 2)
+        sums.append(sum(met))
+    assert sums[1] <= 4 * sums[0]
+
+
+def test_passages_rows_that_span_batches(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.RandomState(4)
+    monkeypatch.setattr(passages, "OFTEN", 6)
+    for size in (1, 2, 3, 7, 1000):
+        def cut(cols, names):
+            return [pa.RecordBatch.from_arrays([pa.array(c[x: x + size]) for c in cols], names) for x in range(0, len(cols[0]), size)]
+
+        rows = sorted([tuple(r) for r in rng.randint(0, 4, (60, 3)).tolist()] + [(9, 1, 1), (9, 1, 1)])
+        got = [r for b in passages._shared(cut(np.array(rows).T, ["key", "d", "win"])) for r in zip(*b.to_pydict().values())]
+        kinds = sorted(set(rows))
+        assert got == [r for r in kinds if sum(k[0] == r[0] for k in kinds) > 1]
+
+        toks = sorted([(int(a), i, i, 0, 9) for i, a in enumerate(rng.randint(0, 12, 40))] + [(20, i, i, 0, 9) for i in range(15)])
+        got = [r for b in passages._heard(cut(np.array(toks).T, ["tok", "t", "p", "lo", "hi"])) for r in zip(*b.to_pydict().values())]
+        want = []
+        for i, r in enumerate(toks):
+            n = min(6, sum(x[0] == r[0] for x in toks))
+            want += [(*r, -n if not i or toks[i - 1][0] != r[0] else n)] * (n > 1)
+        assert got == want
