@@ -14,9 +14,11 @@ Within a key the text with the smallest id (then the first place in it) is the h
 holds two min-hashes of one passage, or all of them, passages made of frequent lines meet under the keys of their line sequence, not of one line.
 A hub may hold another passage than two texts that share one, so what of a key's windows is not cut after that goes a second, exact way: of a
 passage's ``LENGTH`` tokens at most ``SPARE`` may be missing in the other one, so that one holds at least one of the ``SPARE`` + 1 rarest.
-Passages with more than ``SPARE`` tokens that have no earlier place end there. The earlier side is what is heard up to ``AROUND`` places off a token of a
-passage that has at most ``SPARE`` tokens of its own; of equal surroundings the first place speaks for all. Passages meet the first place of each of their
-rarest tokens, and those still uncut then every other one: linear in the copies, still in pairs where unlike passages share all their frequent tokens.
+Passages with more than ``SPARE`` tokens that have no earlier place end there, and so do those whose tokens that have one are cut already, all under one span
+(the last passages before and after a cut one mostly are such): whatever text shares them, it shares nothing else. The earlier side is what is heard up to
+``AROUND`` places off a token of a passage that has at most ``SPARE`` tokens of its own; of equal surroundings the first place speaks for all. Passages meet the
+first place of each of their rarest tokens, those still uncut up to ``PLACES`` others, and then every other one: linear in the copies, still in pairs where unlike
+passages share all their frequent tokens.
 What a text and a hub have in common is joined to stretches of overlapping intervals and verified on the words: a token is shared if the
 other passage has it, and a passage is a stretch of ``LENGTH`` tokens with at least ``SHARED_PCT`` percent shared (8/9 of two
 equally long sequences is a Jaccard similarity of 0.8). Touching stretches are one span. The first text keeps its passage,
@@ -51,6 +53,9 @@ REACH = (1 << 12) - 1
 HUB_STEP = 64
 OFTEN = 1 << 12
 AROUND = LENGTH + SPARE
+PAIR_TOKENS = 1 << 16
+PLACES = 8
+BITS = np.arange(LENGTH)
 FACTOR = 6364136223846793005
 INVERSE = pow(FACTOR, -1, 1 << 64)
 IDS_END = 1 << 62
@@ -77,23 +82,26 @@ def compact_windows(v: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     end = np.repeat(bounds[1:], np.diff(bounds))
     best = T.sliding_min(packed, LENGTH)
     best = best[np.arange(len(best)) + LENGTH <= end[: len(best)]]
-    node = np.unique((best & low).astype(np.int64))
+    node = (best & low).astype(np.int64)
+    node = node[np.r_[True, node[1:] != node[:-1]][: len(node)]]   # the minimum of a sliding window never moves back
     row = np.searchsorted(bounds, node, side="right") - 1
-    left, right = bounds[row].copy(), bounds[row + 1] - 1
-    val, rows = packed[node].tolist(), row.tolist()
-    stack: list[int] = []
-    at = node.tolist()
-    for i in range(len(at)):
-        while stack and (rows[stack[-1]] != rows[i] or val[stack[-1]] > val[i]):
-            j = stack.pop()
-            if rows[j] == rows[i]:
-                right[j] = at[i] - 1
-        if stack:
-            left[i] = at[stack[-1]] + 1
-        stack.append(i)
+    val = packed[node]
+    before, after = _nearest_smaller(val, row), len(node) - 1 - _nearest_smaller(val[::-1], row[::-1])[::-1]
+    left = np.where(before >= 0, node[before] + 1, bounds[row])
+    right = np.where(after < len(node), node[np.minimum(after, len(node) - 1)] - 1, bounds[row + 1] - 1)
     return node, left, right
 
 
+def _nearest_smaller(val: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Index of the nearest earlier value of the row that is smaller (-1: none). All between an index and the one it points to are larger, so it may jump on."""
+    to = np.arange(-1, len(val) - 1)
+    to[np.r_[True, row[1:] != row[:-1]][: len(row)]] = -1
+    live = np.flatnonzero(to >= 0)
+    while len(live := live[(to[live] >= 0) & (val[to[live]] > val[live])]):
+        to[live] = to[to[live]]
+    return to
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, d, win): key is the min-hash with the function in its low bits; win packs node, and its distance to left and right."""
     for b in batches:
@@ -163,16 +171,16 @@ def _joint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words [lo, hi + RUN) of a text for each of its ranges, as bytes of the text."""
+    """Tokens [lo, hi] of a text for each of its ranges, as the bytes of their hashes."""
     for b in batches:
         for x, y, w in T.word_slices(b.column("text")):
+            s, bounds = tokens(w)
             out = []
             for i, (t, ranges) in enumerate(zip(b.column("t").slice(x, y - x).to_pylist(), b.column("ranges").slice(x, y - x).to_pylist())):
-                begin, stop = int(w.first[i]), int(w.first[i + 1])
                 for r in ranges:
-                    p, q = begin + r["lo"], min(begin + r["hi"] + RUN - 1, stop - 1)
-                    if p <= q:
-                        out.append((t, r["lo"], r["hi"], w.data[w.start[p]: w.end[q]].tobytes()))
+                    p, q = bounds[i] + r["lo"], min(bounds[i] + r["hi"] + 1, bounds[i + 1])
+                    if p < q:
+                        out.append((t, r["lo"], r["hi"], s[p:q].tobytes()))
                 if len(out) >= 1024:
                     yield _parts(out)
                     out = []
@@ -181,7 +189,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _parts(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)] + [
-        pa.array([o[3] for o in out], pa.binary()).cast(pa.string())], ["t", "lo", "hi", "part"])
+        pa.array([o[3] for o in out], pa.binary())], ["t", "lo", "hi", "part"])
 
 
 def shared_spans(a: np.ndarray, b: np.ndarray, same_text: int | None = None) -> list[tuple[int, int]]:
@@ -207,24 +215,52 @@ def shared_spans(a: np.ndarray, b: np.ndarray, same_text: int | None = None) ->
     return out
 
 
-def _row_tokens(column: pa.Array) -> list[np.ndarray]:
-    out = []
-    for _, _, w in T.word_slices(column):
-        s, bounds = tokens(w)
-        out += [s[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
-    return out
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds per row) of a column of ``_slices``."""
+    column = column.cast(pa.large_binary())
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[off[0]: off[-1]]
+    return raw.view(np.uint64), (off - off[0]) >> 3
+
+
+def spans_of_pairs(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, from, to): ``shared_spans`` of many pairs of two texts at once; pair i is a[a_ends[i]:a_ends[i + 1]] against the same of b."""
+    n, m = np.diff(a_ends), np.diff(b_ends)
+    own = np.arange(1, len(n) + 1, dtype=np.uint64) * np.uint64(FACTOR)
+    pair = np.repeat(np.arange(len(n)), n)
+    x, y = a ^ own[pair], np.sort(b ^ np.repeat(own, m))
+    hit = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
+    sums = np.concatenate([[0], np.cumsum(hit)])
+    start = np.flatnonzero(np.arange(len(a)) + LENGTH <= a_ends[1:][pair])
+    good = start[100 * (sums[start + LENGTH] - sums[start]) >= SHARED_PCT * LENGTH]
+    if not len(good):
+        return (np.zeros(0, np.int64),) * 3
+    cut = np.flatnonzero((np.diff(good) > LENGTH) | (np.diff(pair[good]) > 0))
+    begin, last = good[np.r_[0, cut + 1]], good[np.r_[cut, len(good) - 1]]
+    places = np.flatnonzero(hit)
+    which = pair[begin]
+    s, e = places[np.searchsorted(places, begin)], places[np.searchsorted(places, last + LENGTH) - 1] + 1
+    return which, s - a_ends[which], e - a_ends[which]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            b = whole.slice(at, 256)
-            got = []
-            cols = [b.column(c).to_pylist() for c in ("id", "lo", "hub", "hub_lo")]
-            for i, lo, hub, hub_lo, x, y in zip(*cols, _row_tokens(b.column("part")), _row_tokens(b.column("hub_part"))):
-                for s, e in shared_spans(x, y, lo - hub_lo if i == hub else None):
-                    got.append((i, lo + s, lo + e + RUN - 1, hub))
-            yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], pa.int64()) for c in range(4)], ["id", "start", "end", "source_id"])
+        i, lo, hub, hub_lo = (np.asarray(whole.column(c)) for c in ("id", "lo", "hub", "hub_lo"))
+        (a, a_ends), (b, b_ends) = _flat(whole.column("part")), _flat(whole.column("hub_part"))
+        ends = a_ends + b_ends
+        at = 0
+        while at < whole.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + PAIR_TOKENS, side="right")) - 1)
+            got = [np.zeros((0, 3), np.int64)]
+            for k in at + np.flatnonzero(i[at:to] == hub[at:to]):
+                spans = shared_spans(a[a_ends[k]: a_ends[k + 1]], b[b_ends[k]: b_ends[k + 1]], int(lo[k] - hub_lo[k]))
+                got.append(np.array([(k, s, e) for s, e in spans], np.int64).reshape(-1, 3))
+            which, s, e = spans_of_pairs(a[a_ends[at]: a_ends[to]], a_ends[at: to + 1] - a_ends[at], b[b_ends[at]: b_ends[to]], b_ends[at: to + 1] - b_ends[at])
+            two = i[at + which] != hub[at + which]
+            got.append(np.column_stack([at + which[two], s[two], e[two]]))
+            k, s, e = np.concatenate(got).T
+            yield pa.RecordBatch.from_arrays([pa.array(i[k]), pa.array(lo[k] + s), pa.array(lo[k] + e + RUN - 1), pa.array(hub[k])], ["id", "start", "end", "source_id"])
+            at = to
 
 
 def _texts(scratch: Scratch, rows: DataFrame) -> DataFrame:
@@ -274,23 +310,25 @@ def _found(scratch: Scratch, rows: DataFrame, texts: DataFrame) -> DataFrame:
 
     pairs = joint.join(hubs, "key").where("t <> hub or win <> hub_win").select(
         "t", left("win").alias("lo"), right("win").alias("hi"), "hub", left("hub_win").alias("hub_lo"), right("hub_win").alias("hub_hi"))
-    # stretches of overlapping intervals of one text against one hub
+    # stretches of overlapping intervals of one text against one hub; none is shorter than LENGTH, so those that start in one step of it overlap
+    ends = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    hub_ends = [F.min("hub_lo").alias("hub_lo"), F.max("hub_hi").alias("hub_hi")]
+    pairs = pairs.groupBy("t", "hub", F.floor(F.col("lo") / LENGTH).alias("step")).agg(*ends, *hub_ends)
     before = Window.partitionBy("t", "hub").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("t", "hub").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
     pairs = pairs.withColumn("new", (F.col("lo") > F.coalesce(F.max("hi").over(before), F.lit(-1))).cast("int"))
-    pairs = pairs.withColumn("stretch", F.sum("new").over(upto)).groupBy("t", "hub", "stretch").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("hub_lo").alias("hub_lo"), F.max("hub_hi").alias("hub_hi"))
+    pairs = pairs.withColumn("stretch", F.sum("new").over(upto)).groupBy("t", "hub", "stretch").agg(*ends, *hub_ends)
     # a hub's ranges in steps, so that their number grows with its text, not with its partners
     step = F.lit(HUB_STEP)
     pairs = scratch.table(pairs.select("t", "lo", "hi", "hub", (F.floor(F.col("hub_lo") / step) * step).alias("hub_lo"),
                                        (F.ceil((F.col("hub_hi") + 1) / step) * step).alias("hub_hi")))
     # places that can still meet others than the hub: under a key of two windows both have met
-    crowded = joint.join(hubs.where("c > 2").select("key"), "key").select("t", left("win").alias("lo"), right("win").alias("hi")).distinct()
+    crowded = joint.join(hubs.where("c > 2").select("key"), "key").select("t", left("win").alias("lo"), right("win").alias("hi"))
+    crowded = crowded.groupBy("t", F.floor(F.col("lo") / LENGTH).alias("step")).agg(*ends)
     before = Window.partitionBy("t").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("t").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
     crowded = crowded.withColumn("new", (F.col("lo") > F.coalesce(F.max("hi").over(before), F.lit(-1))).cast("int"))
-    crowded = scratch.table(crowded.withColumn("stretch", F.sum("new").over(upto)).groupBy("t", "stretch").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("stretch"))
+    crowded = scratch.table(crowded.withColumn("stretch", F.sum("new").over(upto)).groupBy("t", "stretch").agg(*ends).drop("stretch"))
     scratch.drop(joint, hubs)
     found = scratch.table(_verified(scratch, rows, texts, pairs))
     return _others(scratch, rows, texts, crowded, found)
@@ -305,7 +343,7 @@ def _with_ranges(rows: DataFrame, texts: DataFrame, ranges: DataFrame) -> DataFr
 def _verified(scratch: Scratch, rows: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(t, start, end, hub) of the pairs (t, lo, hi, hub, hub_lo, hub_hi), by their words."""
     need = pairs.select("t", "lo", "hi").unionByName(pairs.select(F.col("hub").alias("t"), F.col("hub_lo").alias("lo"), F.col("hub_hi").alias("hi")))
-    parts = _with_ranges(rows, texts, need).mapInArrow(_slices, "t long, lo long, hi long, part string")
+    parts = _with_ranges(rows, texts, need).mapInArrow(_slices, "t long, lo long, hi long, part binary")
     parts = scratch.table(parts.dropDuplicates(["t", "lo", "hi"]))
     hub_parts = parts.select(F.col("t").alias("hub"), F.col("lo").alias("hub_lo"), F.col("hi").alias("hub_hi"), F.col("part").alias("hub_part"))
     both = pairs.join(parts, ["t", "lo", "hi"]).join(hub_parts, ["hub", "hub_lo", "hub_hi"])
@@ -326,6 +364,22 @@ def _starts(heard: np.ndarray) -> np.ndarray:
     return sums[LENGTH:] - sums[:-LENGTH] <= SPARE
 
 
+def _heard_ends(heard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last heard place of the passage at each start (past each other if it has none)."""
+    places, start = np.r_[np.flatnonzero(heard), len(heard)], np.arange(len(heard))
+    last = np.r_[-1, np.flatnonzero(heard)]
+    return places[np.searchsorted(places, start)], last[np.searchsorted(last, start + LENGTH) - 1]
+
+
+def settled(first: np.ndarray, last: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Passages whose heard tokens, from ``first`` to ``last``, one of the cut spans (in order and apart) covers: whatever other text holds such a
+    passage, the words they share are cut already."""
+    if not len(begin):
+        return np.zeros(len(first), bool)
+    at = np.searchsorted(begin, first, side="right") - 1
+    return (at >= 0) & (stop[at] >= last + RUN)
+
+
 def _rarest(n: np.ndarray, skip: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(from, to, places of the rarest tokens, the first start of a passage that counts on each place, all of them as bits from it) of each stretch."""
     if len(n) < LENGTH:
@@ -408,9 +462,9 @@ def _around(kind: np.ndarray, heard: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (t, lo, p, hi, tok, n) sorted by (t, lo, p), a text's cut spans first (lo -1, from p to hi): (tok, t, lo, hi, u, v), the rarest tokens
-    of the passages of what is not cut of the stretch [lo, hi], with their starts as bits v from u, and with u -1 the tokens of all passages that another text may hold,
-    with [lo, hi] around them and v for what is heard there."""
+    """Of rows (t, lo, p, hi, tok, n) sorted by (t, lo, p), a text's cut spans first (lo -1, from p to hi): (tok, t, lo, hi, around, passages),
+    the rarest tokens of the passages of the stretch [lo, hi] that are not settled, each with the first and last heard place of its passages, and with passages null the
+    tokens of all passages that another text may hold, with [lo, hi] around them and what is heard there."""
     names = ["t", "lo", "p", "hi", "tok", "n"]
     held = [np.zeros(0, np.int64)] * 6
 
@@ -433,23 +487,24 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             around = _around(kind, count != 0, at)
             _, one = np.unique(T.mix(kind[at].view(np.uint64) ^ around, 700), return_index=True)
             at, around = at[one] + lo[x], around[one].view(np.int64)
-            out.append((kind[at - lo[x]], np.full(len(at), t), np.maximum(at - AROUND, 0), at + AROUND, np.full(len(at), -1), around))
+            out.append((kind[at - lo[x]], np.full(len(at), t), np.maximum(at - AROUND, 0), at + AROUND, around, [None] * len(at)))
             # as the later side
-            skip = np.zeros(len(count), bool)
-            for i in spans:
-                skip[max(0, p[i] - lo[x]): max(0, hi[i] - lo[x] - LENGTH - RUN + 2)] = True
+            first, last = _heard_ends(count > 0)
+            skip = settled(first + lo[x], last + lo[x], p[spans], hi[spans])
             for a, b, places, u, v in _rarest(np.maximum(count, 0), skip):
-                heard = count[places] > 0
-                places, u, v = places[heard], u[heard] + lo[x], v[heard]
-                out.append((kind[places], np.full(len(places), t), np.full(len(places), lo[x] + a), np.full(len(places), lo[x] + b - 1), u, v))
+                for i in np.flatnonzero(count[places] > 0):
+                    start = u[i] + BITS[(v[i] >> BITS) & 1 == 1]
+                    ends = np.unique(np.column_stack([first[start], last[start]]) + lo[x], axis=0)
+                    out.append(([kind[places[i]]], [t], [lo[x] + a], [lo[x] + b - 1], [0], [ends.tobytes()]))
 
     def emit(cols):
         out = []
         begin = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
         for x, y in zip(begin, np.r_[begin[1:], len(cols[0])]):
             text(cols[0][x], *(c[x:y] for c in cols[1:]), out)
-        flat = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in flat], ["tok", "t", "lo", "hi", "u", "v"])
+        flat = [np.concatenate(c) for c in list(zip(*out))[:5]] if out else [np.zeros(0, np.int64)] * 5
+        passages = pa.array([w for o in out for w in o[5]], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in flat] + [passages], ["tok", "t", "lo", "hi", "around", "passages"])
 
     parts = []
     for b in batches:
@@ -468,19 +523,17 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _uncut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``_marks`` with a passage that the text's ``spans`` do not cover."""
-    bit = np.arange(LENGTH)
+    """Rows of ``_marks`` with a passage that the text's ``spans`` do not settle."""
     for b in batches:
-        spans, u, v = b.column("spans"), np.asarray(b.column("u")), np.asarray(b.column("v"))
+        spans = b.column("spans")
         ends, flat = np.asarray(spans.offsets), spans.values
         begin, stop = np.asarray(flat.field("start")), np.asarray(flat.field("end"))
-        keep = np.ones(len(u), bool)
+        keep = np.ones(b.num_rows, bool)
         for i in np.flatnonzero(np.diff(ends)):
-            start = u[i] + bit[(v[i] >> bit) & 1 == 1]
+            first, last = np.frombuffer(b.column("passages")[i].as_py(), np.int64).reshape(-1, 2).T
             own = slice(ends[i], ends[i + 1])
-            at = np.searchsorted(begin[own], start, side="right") - 1
-            keep[i] = bool(((at < 0) | (stop[own][at] < start + LENGTH + RUN - 1)).any())
-        yield b.select(["tok", "t", "lo", "hi"]).filter(pa.array(keep))
+            keep[i] = not settled(first, last, begin[own], stop[own]).all()
+        yield b.select(["tok", "t", "lo", "hi", "passages"]).filter(pa.array(keep))
 
 
 def _others(scratch: Scratch, rows: DataFrame, texts: DataFrame, crowded: DataFrame, found: DataFrame) -> DataFrame:
@@ -493,9 +546,9 @@ def _others(scratch: Scratch, rows: DataFrame, texts: DataFrame, crowded: DataFr
     known = spans.select("t", F.explode("spans").alias("s")).select(
         zero.alias("tok"), "t", F.col("s.start").alias("p"), F.lit(-1).cast("long").alias("lo"), F.col("s.end").alias("hi"), zero.alias("n"))
     both = heard.unionByName(known).repartition("t").sortWithinPartitions("t", "lo", "p")
-    marks = scratch.table(both.mapInArrow(_marks, "tok long, t long, lo long, hi long, u long, v long"))
-    seeds = scratch.table(marks.where("u >= 0").distinct())
-    there = marks.where("u < 0").select("tok", F.col("t").alias("hub"), F.col("lo").alias("hub_lo"), F.col("hi").alias("hub_hi"), F.col("v").alias("around"))
+    marks = scratch.table(both.mapInArrow(_marks, "tok long, t long, lo long, hi long, around long, passages binary"))
+    seeds = scratch.table(marks.where("passages is not null").drop("around").distinct())
+    there = marks.where("passages is null").select("tok", F.col("t").alias("hub"), F.col("lo").alias("hub_lo"), F.col("hi").alias("hub_hi"), "around")
     there = scratch.table(there.join(seeds.select("tok").distinct(), "tok", "left_semi"))
     scratch.drop(marks)
     # tokens are shared or not by what is heard around them, so of equal surroundings the first place speaks for the later ones
@@ -508,10 +561,14 @@ def _others(scratch: Scratch, rows: DataFrame, texts: DataFrame, crowded: DataFr
     cols = ["t", "lo", "hi", "hub", "hub_lo", "hub_hi"]
     pairs = scratch.table(seeds.join(first, "tok").where("hub < t").select(cols).unionByName(own.select(cols)).distinct())
     found = scratch.table(found.unionByName(_verified(scratch, rows, texts, pairs)))
-    # then, for what that leaves uncut, every other one
-    left = seeds.join(_merged(found), "t", "left").mapInArrow(_uncut, "tok long, t long, lo long, hi long")
-    more = left.join(kinds, "tok").where("hub < t").select(cols).distinct().join(pairs, cols, "left_anti")
-    return found.unionByName(_verified(scratch, rows, texts, scratch.table(more)))
+    # what that leaves uncut meets a few others, as a family of near copies mostly has one without a change just there; then every other one
+    some = kinds.groupBy("tok", F.pmod(F.xxhash64("hub"), F.lit(PLACES))).agg(F.min(place).alias("h")).select("tok", "h.*")
+    for others in (some, kinds):
+        seeds = scratch.table(seeds.join(_merged(found), "t", "left").mapInArrow(_uncut, "tok long, t long, lo long, hi long, passages binary"))
+        more = scratch.table(seeds.join(others, "tok").where("hub < t").select(cols).distinct().join(pairs, cols, "left_anti"))
+        found = scratch.table(found.unionByName(_verified(scratch, rows, texts, more)))
+        pairs = pairs.unionByName(more)
+    return found
 
 
 SPANS = "array<struct<start:bigint,end:bigint>>"

@@ -559,6 +559,59 @@ def test_passages_of_many_copies_behind_another_hub_meet_in_proportion(spark, mo
     assert sums[1] <= 4 * sums[0], sums
 
 
+def test_passages_beside_cut_ones_meet_no_others(spark, monkeypatch):
+    """Copies of one passage behind a few own words, and before these a long line that few share: the passages that begin in the own words have nothing
+    left to share, so the texts do not meet in pairs for them."""
+    met, verified = [], passages._verified
+
+    def counted(scratch, rows, texts, pairs):
+        met.append(pairs.distinct().count())
+        return verified(scratch, rows, texts, pairs)
+
+    monkeypatch.setattr(passages, "_verified", counted)
+    rng, sums = random.Random(23), []
+    p = prose(rng, 64)
+    for n in (12, 36):
+        met.clear()
+        lines = [prose(rng, 60) for _ in range(n // 3)]
+        texts = [f"{prose(rng, 20)} {lines[i // 3]} {prose(rng, 5)} {p}" for i in range(n)]
+        got = passages.with_spans(make(spark, texts)).orderBy("row.doc_id").collect()
+        assert not got[0].spans and all((85, 149) == (max(g.spans[-1].start, 85), g.spans[-1].end) for g in got[1:])
+        sums.append(sum(met))
+    assert sums[1] <= 4 * sums[0], sums
+
+
+def test_settled_passages():
+    import numpy as np
+
+    heard = np.zeros(120, bool)
+    heard[10:70] = True
+    first, last = passages._heard_ends(heard)
+    n = passages.LENGTH
+    assert (first[5], last[5]) == (10, 4 + n) and (first[20], last[20]) == (20, 19 + n) and (first[60], last[60]) == (60, 69) and first[80] > last[80]
+    begin, stop = np.array([8, 200]), np.array([10 + n + passages.RUN, 300])
+    got = passages.settled(first, last, begin, stop)
+    assert got[5] and got[11] and not got[12] and not passages.settled(first, last, begin[1:], stop[1:])[:70].any()
+
+
+def test_pairs_of_passages_verify_as_one_by_one():
+    import numpy as np
+
+    rng = np.random.RandomState(6)
+    for _ in range(60):
+        pairs = []
+        for _ in range(rng.randint(1, 20)):
+            b = rng.randint(0, 1 << 62, rng.randint(0, 200)).astype(np.uint64)
+            a = b[rng.randint(0, 40):].copy()
+            change = rng.rand(len(a)) < rng.choice([0, 0.02, 0.1])
+            a[change] = rng.randint(0, 1 << 62, int(change.sum()))
+            pairs.append((np.r_[rng.randint(0, 1 << 62, rng.randint(0, 60)).astype(np.uint64), a, a[: rng.randint(0, 80)]], b))
+        flat = [np.concatenate(c) for c in zip(*pairs)]
+        ends = [np.r_[0, np.cumsum([len(x) for x in c])] for c in zip(*pairs)]
+        got = passages.spans_of_pairs(flat[0], ends[0], flat[1], ends[1])
+        assert list(zip(*(x.tolist() for x in got))) == [(i, s, e) for i, (a, b) in enumerate(pairs) for s, e in passages.shared_spans(a, b)]
+
+
 def test_passages_rows_that_span_batches(monkeypatch):
     import numpy as np
     import pyarrow as pa
