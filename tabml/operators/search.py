@@ -4,8 +4,9 @@ Folds come from W3 (a ``fold`` column), so every run uses the same seeded, strat
 
 One forest a fold serves every trial. It is grown with the most trees and the deepest level that any trial asks for, and every
 node keeps its row count and label statistics, so the forest of a trial is contained in it: the first ``n_estimators`` trees, each cut
-at ``max_depth`` and at nodes with fewer rows than ``min_samples_split``. A row walks each tree once; the predictions of all trials
-on all folds form one long table, which one grouped metric scores. Jobs and fits do not grow with the number of trials.
+at ``max_depth`` and at nodes with fewer rows than ``min_samples_split``. A row walks each tree once and takes the values of all trials from
+where it ends; rows that are equal in all features walk once for all of them. Metrics of labels are scored from counts of (trial, fold, label, prediction), which the
+tasks make; for the others the predictions of all trials on all folds form one long table. One grouped metric scores either. Jobs and fits do not grow with the number of trials.
 """
 
 from __future__ import annotations
@@ -50,8 +51,16 @@ class Forest:
         out = np.zeros((len(params), n, self.value.shape[1]))
         every = np.arange(n)
         deepest = max(p["max_depth"] for p in params)
-        for j, root in enumerate(self.roots):
+        stops = np.array([p["n_estimators"] for p in params])
+        order = np.argsort(-stops, kind="stable")   # most trees first, so those that still take part stand in front
+        sums = np.zeros((n, len(params), self.value.shape[1]))
+        depth, least = (np.array([params[i][k] for i in order]) for k in ("max_depth", "min_samples_split"))
+        for j, (root, end) in enumerate(zip(self.roots, np.r_[self.roots[1:], len(self.left)])):
             live = [i for i, p in enumerate(params) if j < p["n_estimators"]]
+            if live and end - root <= n:   # a table of the tree's nodes costs less than the rows' paths
+                m = len(live)
+                sums[:, :m] += self.value[self._cut(root, end, depth[:m], least[:m])][self._walk(x, root, deepest) - root]
+                continue
             path = [np.full(n, root)]
             while len(path) <= deepest:
                 at = path[-1]
@@ -66,8 +75,33 @@ class Forest:
             for i in live:
                 stop = np.minimum(ends[params[i]["min_samples_split"]], min(params[i]["max_depth"], len(levels) - 1))
                 out[i] += self.value[levels[stop, every]]
+        out[order] += sums.transpose(1, 0, 2)
         return out / np.array([min(p["n_estimators"], len(self.roots)) for p in params])[:, None, None]
 
+    def _walk(self, x: np.ndarray, root: int, deepest: int) -> np.ndarray:
+        """The node where each row ends in one tree."""
+        at = np.full(len(x), root)
+        live = np.arange(len(x)) if self.left[root] >= 0 else np.zeros(0, np.int64)
+        for _ in range(deepest):
+            if not len(live):
+                break
+            node = at[live]
+            node = np.where(x[live, self.feature[node]] <= self.threshold[node], self.left[node], self.right[node])
+            at[live] = node
+            live = live[self.left[node] >= 0]
+        return at
+
+    def _cut(self, root: int, end: int, depth: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """(nodes of the tree, trials): where a row that reaches the node ends in the cut of each trial."""
+        out = np.full((end - root, len(depth)), root)
+        level, at = np.array([root]), 0
+        while len(level := level[self.left[level] >= 0]):
+            goes = (out[level - root] == level[:, None]) & (self.rows[level][:, None] >= least) & (at < depth)
+            for child in (self.left[level], self.right[level]):
+                out[child - root] = np.where(goes, child[:, None], out[level - root])
+            level, at = np.concatenate([self.left[level], self.right[level]]), at + 1
+        return out
+
 
 def read_forest(spark: SparkSession, model, classes: int | None) -> Forest:
     """The nodes of a fitted forest, from its saved form (as large as the model, which the driver holds already)."""
@@ -96,6 +130,10 @@ def read_forest(spark: SparkSession, model, classes: int | None) -> Forest:
     return Forest(first + 0, np.maximum(col("featureIndex"), 0), threshold, child("leftChild"), child("rightChild"), col("rawCount"), value)
 
 
+def _vectors(data: DataFrame) -> DataFrame:
+    return data.select(vector_to_array(T.FEATURES).alias("x"), F.col(T.LABEL).cast("double").alias("label"), F.col("fold").cast("int").alias("fold"))
+
+
 def trial_predictions(data: DataFrame, forests: dict[int, Forest], params: list[dict], classification: bool) -> DataFrame:
     """(trial, fold, label, prediction, score) of every row for every trial, by the forest of the row's fold (which did not see it)."""
     shared = data.sparkSession.sparkContext.broadcast((forests, params))
@@ -119,8 +157,54 @@ def trial_predictions(data: DataFrame, forests: dict[int, Forest], params: list[
                         pa.array(np.tile(label[at], len(ps))), pa.array(best.ravel()), pa.array(score.ravel())],
                         ["trial", "fold", "label", "prediction", "score"])
 
-    rows = data.select(vector_to_array(T.FEATURES).alias("x"), F.col(T.LABEL).cast("double").alias("label"), F.col("fold").cast("int").alias("fold"))
-    return rows.mapInArrow(run, "trial int, fold int, label double, prediction double, score double")
+    return _vectors(data).mapInArrow(run, "trial int, fold int, label double, prediction double, score double")
+
+
+def _distinct(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that differ (by their bytes), with the sums of n."""
+    rows = np.ascontiguousarray(rows)
+    _, first, which = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return rows[first], np.bincount(which.ravel(), weights=n, minlength=len(first))
+
+
+def trial_cells(data: DataFrame, forests: dict[int, Forest], params: list[dict]) -> DataFrame:
+    """(trial, fold, label, prediction, n): ``trial_predictions`` of a classification counted inside the tasks. A task holds rows that differ only."""
+    shared = data.sparkSession.sparkContext.broadcast((forests, params))
+    k = max(f.value.shape[1] for f in forests.values())
+    step = max(1, BLOCK_VALUES // max(len(params) * k, 2 + max(p["max_depth"] for p in params)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trained, ps = shared.value
+        rows, n = None, np.zeros(0)   # fold, label and features of what is held
+
+        def counted():
+            for i in range(0, len(rows), step):
+                for f in np.unique(rows[i: i + step, 0]):
+                    at = i + np.flatnonzero(rows[i: i + step, 0] == f)
+                    best = trained[int(f)].trials(rows[at, 2:], ps).argmax(2)
+                    labels, label = np.unique(rows[at, 1], return_inverse=True)
+                    cell = (np.arange(len(ps))[:, None] * len(labels) + label) * k + best
+                    cells, which = np.unique(cell, return_inverse=True)
+                    sums = np.bincount(which.ravel(), weights=np.tile(n[at], len(ps)))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array((cells // k // len(labels)).astype(np.int32)), pa.array(np.full(len(cells), f, dtype=np.int32)),
+                        pa.array(labels[cells // k % len(labels)]), pa.array((cells % k).astype(np.float64)), pa.array(sums.astype(np.int64))],
+                        ["trial", "fold", "label", "prediction", "n"])
+
+        for b in batches:
+            new = np.column_stack([np.asarray(b.column("fold")).astype(np.float64), np.asarray(b.column("label")),
+                                   np.asarray(b.column("x").flatten()).reshape(b.num_rows, -1)])
+            rows, n = new if rows is None else np.concatenate([rows, new]), np.r_[n, np.ones(len(new))]
+            if len(rows) >= step:
+                rows, n = _distinct(rows, n)
+                if 2 * len(rows) >= step:
+                    yield from counted()
+                    rows, n = None, np.zeros(0)
+        if rows is not None:
+            rows, n = _distinct(rows, n)
+            yield from counted()
+
+    return _vectors(data).mapInArrow(run, "trial int, fold int, label double, prediction double, n long")
 
 
 def draw_params(n_trials: int, seed: int = S.SPLIT_SEED) -> list[dict]:
@@ -155,8 +239,11 @@ def _cv(X: DataFrame, spec: ProblemSpec, features: list[str], param_list: list[d
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds)))) as pool:
         forests = dict(zip(folds, pool.map(grow, folds)))
-    preds = trial_predictions(data, forests, full, spec.is_classification)
-    by_fold = M.grouped_metric(preds, spec.success_metric, "label", "prediction", "score", ["trial", "fold"])
+    if spec.success_metric in M.LABEL_METRICS:
+        by_fold = M.grouped_metric(trial_cells(data, forests, full), spec.success_metric, "label", "prediction", group=["trial", "fold"], weight="n")
+    else:
+        preds = trial_predictions(data, forests, full, spec.is_classification)
+        by_fold = M.grouped_metric(preds, spec.success_metric, "label", "prediction", "score", ["trial", "fold"])
     got = {r["trial"]: r["cv"] for r in by_fold.groupBy("trial").agg(F.avg("score").alias("cv")).collect()}   # one row a trial
     data.unpersist()
     return [got[i] for i in range(len(full))]

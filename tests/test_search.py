@@ -90,6 +90,29 @@ def test_scores_of_all_trials_equal_each_alone(spark, kind, metric):
     assert np.allclose(scores, [np.mean([want[i, f] for f in range(3)]) for i in range(2)], atol=0.1 if spec.is_classification else 0.15)
 
 
+def test_labels_are_counted_inside_the_tasks(spark, monkeypatch):
+    """Cells of all trials equal the counted long table; equal rows walk a tree once, whatever their number."""
+    folded, spec = prepared(spark, "three")
+    folded = folded.withColumn("a", F.round("a", 1)).withColumn("b.x", F.lit(1.0)).withColumn("c", F.round("c", 1))
+    folded = folded.union(folded).union(folded).coalesce(1)
+    params = [{"n_estimators": 4, "max_depth": 2, "min_samples_split": 2}, {"n_estimators": 9, "max_depth": 6, "min_samples_split": 30}]
+    labels = T.class_labels(folded, "y")
+    data = T.assembler(FEATURES).transform(T.with_safe_names(T.with_label(folded, spec, labels), FEATURES)).cache()
+    forests = {f: SE.read_forest(spark, T.forest(spec, {"n_estimators": 9, "max_depth": 6, "min_samples_split": 2}).fit(
+        data.select(T.FEATURES, T.LABEL, "fold").where(F.col("fold") != f)), 3) for f in range(3)}
+    long = SE.trial_predictions(data, forests, params, True).groupBy("trial", "fold", "label", "prediction").count()
+    for block in (SE.BLOCK_VALUES, 600):
+        monkeypatch.setattr(SE, "BLOCK_VALUES", block)
+        cells = SE.trial_cells(data, forests, params)
+        assert sorted(map(tuple, cells.groupBy("trial", "fold", "label", "prediction").sum("n").collect())) == sorted(map(tuple, long.collect()))
+        if block > 600:
+            assert cells.agg(F.sum("n")).first()[0] == 2 * data.count() and cells.count() <= 2 * 3 * 9
+    for m in M.LABEL_METRICS:
+        one = M.grouped_metric(SE.trial_predictions(data, forests, params, True), m, "label", "prediction", group=["trial", "fold"])
+        got = M.grouped_metric(cells, m, "label", "prediction", group=["trial", "fold"], weight="n")
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, got.collect()))
+
+
 def test_search_fits_one_forest_a_fold(spark, monkeypatch):
     folded, spec = prepared(spark, "int")
     made = []
