@@ -14,11 +14,11 @@ Within a key the text with the smallest id (then the first place in it) is the h
 holds two min-hashes of one passage, or all of them, passages made of frequent lines meet under the keys of their line sequence, not of one line.
 A hub may hold another passage than two texts that share one, so what of a key's windows is not cut after that goes a second, exact way: of a
 passage's ``LENGTH`` tokens at most ``SPARE`` may be missing in the other one, so that one holds at least one of the ``SPARE`` + 1 rarest.
-Passages with more than ``SPARE`` tokens that have no earlier place end there, and so do those whose tokens that have one are cut already, all under one span
-(the last passages before and after a cut one mostly are such): whatever text shares them, it shares nothing else. The earlier side is what is heard up to
+Passages with more than ``SPARE`` tokens that have no earlier place end there. The earlier side is what is heard up to
 ``AROUND`` places off a token of a passage that has at most ``SPARE`` tokens of its own; of equal surroundings the first place speaks for all. Passages meet the
-first place of each of their rarest tokens, those still uncut up to ``PLACES`` others, and then every other one: linear in the copies, still in pairs where unlike
-passages share all their frequent tokens.
+first place of each of their rarest tokens, then up to ``PLACES`` others, and then every other one. After the first place those end whose tokens that have an earlier
+place are cut, all under one span (passages that begin shortly before a cut one or end shortly after it mostly are such): whatever text shares them, it shares
+nothing else. That is linear in the copies, still in pairs where unlike passages share all their frequent tokens.
 What a text and a hub have in common is joined to stretches of overlapping intervals and verified on the words: a token is shared if the
 other passage has it, and a passage is a stretch of ``LENGTH`` tokens with at least ``SHARED_PCT`` percent shared (8/9 of two
 equally long sequences is a Jaccard similarity of 0.8). Touching stretches are one span. The first text keeps its passage,
@@ -463,7 +463,7 @@ def _around(kind: np.ndarray, heard: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (t, lo, p, hi, tok, n) sorted by (t, lo, p), a text's cut spans first (lo -1, from p to hi): (tok, t, lo, hi, around, passages),
-    the rarest tokens of the passages of the stretch [lo, hi] that are not settled, each with the first and last heard place of its passages, and with passages null the
+    the rarest tokens of the passages of the stretch [lo, hi] that are not cut, each with the first and last heard place of its passages, and with passages null the
     tokens of all passages that another text may hold, with [lo, hi] around them and what is heard there."""
     names = ["t", "lo", "p", "hi", "tok", "n"]
     held = [np.zeros(0, np.int64)] * 6
@@ -490,7 +490,8 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((kind[at - lo[x]], np.full(len(at), t), np.maximum(at - AROUND, 0), at + AROUND, around, [None] * len(at)))
             # as the later side
             first, last = _heard_ends(count > 0)
-            skip = settled(first + lo[x], last + lo[x], p[spans], hi[spans])
+            start = np.arange(len(count)) + lo[x]
+            skip = settled(start, start + LENGTH - 1, p[spans], hi[spans])
             for a, b, places, u, v in _rarest(np.maximum(count, 0), skip):
                 for i in np.flatnonzero(count[places] > 0):
                     start = u[i] + BITS[(v[i] >> BITS) & 1 == 1]

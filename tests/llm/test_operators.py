@@ -577,8 +577,8 @@ def test_passages_beside_cut_ones_meet_no_others(spark, monkeypatch):
         texts = [f"{prose(rng, 20)} {lines[i // 3]} {prose(rng, 5)} {p}" for i in range(n)]
         got = passages.with_spans(make(spark, texts)).orderBy("row.doc_id").collect()
         assert not got[0].spans and all((85, 149) == (max(g.spans[-1].start, 85), g.spans[-1].end) for g in got[1:])
-        sums.append(sum(met))
-    assert sums[1] <= 4 * sums[0], sums
+        sums.append(sum(met[2:]))   # after the hubs and the first places
+    assert sums == [0, 0], sums
 
 
 def test_settled_passages():
